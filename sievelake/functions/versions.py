@@ -96,37 +96,73 @@ def _weight(metric: Column, table: dict[str, float]) -> Column:
     return result
 
 
+def _bound(fields: dict[str, Column], body) -> Column:
+    """Evaluate `fields` once and hand them to `body` as a struct.
+
+    Repeating a sub-expression in several places would repeat its code; a
+    one-element transform names it instead.
+    """
+    parts = [item for name, value in fields.items() for item in (F.lit(name), value)]
+    return F.get(F.transform(F.array(F.named_struct(*parts)), body), F.lit(0))
+
+
+def _damage(w: Column) -> Column:
+    return 1 - (1 - w["C"]) * (1 - w["I"]) * (1 - w["A"])
+
+
 def cvss3_base_score(vector: Column | str) -> Column:
     """Base score of a CVSS 3.x vector; null when a base metric is missing."""
     vector = col(vector)
-    w = {name: _weight(_metric(vector, name), table) for name, table in V3_WEIGHTS.items()}
-    scope = _metric(vector, "S")
+    changed = _metric(vector, "S") == "C"
     privileges = _metric(vector, "PR")
-    pr = F.when(scope == "U", _weight(privileges, V3_PRIVILEGES["U"])).when(
-        scope == "C", _weight(privileges, V3_PRIVILEGES["C"])
-    )
-    iss = 1 - (1 - w["C"]) * (1 - w["I"]) * (1 - w["A"])
-    impact = F.when(scope == "U", 6.42 * iss).otherwise(
-        7.52 * (iss - 0.029) - 3.25 * F.pow(iss - 0.02, F.lit(15))
+    fields = {name: _weight(_metric(vector, name), table) for name, table in V3_WEIGHTS.items()}
+    fields["PR"] = F.when(changed, _weight(privileges, V3_PRIVILEGES["C"])).otherwise(
+        _weight(privileges, V3_PRIVILEGES["U"])
     )
-    exploitability = 8.22 * w["AV"] * w["AC"] * pr * w["UI"]
-    raw = F.when(scope == "C", 1.08 * (impact + exploitability)).otherwise(impact + exploitability)
-    # Round up to one decimal on the integer grid of 1e-5, as the 3.1 document defines it.
-    grid = F.round(F.least(raw, F.lit(10.0)) * 100000).cast("long")
-    rounded = F.ceil(grid / 10000) / 10
-    complete = impact.isNotNull() & exploitability.isNotNull() & vector.rlike("^CVSS:3[.][01]/")
-    return F.when(complete, F.when(impact <= 0, F.lit(0.0)).otherwise(rounded.cast("double")))
+    fields["changed"] = F.when(_metric(vector, "S").isin("U", "C"), changed)
+
+    def impact_of(s: Column) -> Column:
+        return F.when(s["changed"], 7.52 * (s["iss"] - 0.029) - 3.25 * F.pow(s["iss"] - 0.02, F.lit(15))).otherwise(
+            6.42 * s["iss"]
+        )
+
+    def score(s: Column) -> Column:
+        total = s["impact"] + s["exploitability"]
+        raw = F.least(F.when(s["changed"], 1.08 * total).otherwise(total), F.lit(10.0))
+        # Round up to one decimal on the integer grid of 1e-5, as the 3.1 document defines it.
+        rounded = F.ceil(F.round(raw * 100000).cast("long") / 10000) / 10
+        known = s["changed"].isNotNull() & total.isNotNull()
+        return F.when(known, F.when(s["impact"] <= 0, F.lit(0.0)).otherwise(rounded.cast("double")))
+
+    def with_impact(w: Column) -> Column:
+        staged = {
+            "changed": w["changed"],
+            "exploitability": 8.22 * w["AV"] * w["AC"] * w["PR"] * w["UI"],
+            "iss": _damage(w),
+        }
+        return _bound(
+            staged,
+            lambda s: _bound(
+                {"changed": s["changed"], "exploitability": s["exploitability"], "impact": impact_of(s)}, score
+            ),
+        )
+
+    return F.when(vector.rlike("^CVSS:3[.][01]/"), _bound(fields, with_impact))
 
 
 def cvss2_base_score(vector: Column | str) -> Column:
     """Base score of a CVSS 2 vector; null when a base metric is missing."""
     vector = col(vector)
-    w = {name: _weight(_metric(vector, name), table) for name, table in V2_WEIGHTS.items()}
-    impact = 10.41 * (1 - (1 - w["C"]) * (1 - w["I"]) * (1 - w["A"]))
-    exploitability = 20 * w["AC"] * w["Au"] * w["AV"]
-    factor = F.when(impact == 0, F.lit(0.0)).otherwise(F.lit(1.176))
-    score = F.round((0.6 * impact + 0.4 * exploitability - 1.5) * factor, 1)
-    return F.when(~vector.startswith("CVSS:"), score)
+    fields = {name: _weight(_metric(vector, name), table) for name, table in V2_WEIGHTS.items()}
+
+    def score(s: Column) -> Column:
+        factor = F.when(s["impact"] == 0, F.lit(0.0)).otherwise(F.lit(1.176))
+        return F.round((0.6 * s["impact"] + 0.4 * s["exploitability"] - 1.5) * factor, 1)
+
+    def with_impact(w: Column) -> Column:
+        return _bound({"impact": 10.41 * _damage(w), "exploitability": 20 * w["AC"] * w["Au"] * w["AV"]}, score)
+
+    return F.when(~vector.startswith("CVSS:"), _bound(fields, with_impact))
 
 
 def cvss_base_score(vector: Column | str) -> Column:

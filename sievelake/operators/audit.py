@@ -48,6 +48,10 @@ def _normalized(field: Column) -> Column:
     return F.lower(F.translate(field, "_-.", ""))
 
 
+def _matches(pattern: str):
+    return lambda field: _normalized(field).rlike(pattern)
+
+
 def audit_field_coverage(records: DataFrame, fields: str = "fields", timestamp_auto: Column | None = None) -> DataFrame:
     """Which of the five audit categories a record's field names cover.
 
@@ -59,8 +63,7 @@ def audit_field_coverage(records: DataFrame, fields: str = "fields", timestamp_a
     names = [category for category, _ in fv.AUDIT_FIELD_CATEGORIES]
     rows = records
     for category, aliases in fv.AUDIT_FIELD_CATEGORIES:
-        pattern = any_of(aliases)
-        matched = F.array_distinct(F.filter(fields, lambda f, p=pattern: _normalized(f).rlike(p)))
+        matched = F.array_distinct(F.filter(fields, _matches(any_of(aliases))))
         if category == "timestamp":
             matched = F.when(auto, F.array_union(text_list(["auto"]), matched)).otherwise(matched)
         rows = rows.withColumn(f"_{category}", matched)

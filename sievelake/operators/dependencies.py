@@ -28,10 +28,13 @@ def _ordered_events(ranges: Column) -> Column:
         usable,
         lambda r: F.transform(
             r["events"],
-            lambda e: F.struct(
-                (e["introduced"] == "0").alias("from_start"),
-                F.when(_filled(e["introduced"]).isNotNull(), semver_key(e["introduced"])).alias("introduced"),
-                F.when(_filled(e["fixed"]).isNotNull(), semver_key(e["fixed"])).alias("fixed"),
+            lambda e: F.named_struct(
+                F.lit("from_start"),
+                e["introduced"] == "0",
+                F.lit("introduced"),
+                F.when(_filled(e["introduced"]).isNotNull(), semver_key(e["introduced"])),
+                F.lit("fixed"),
+                F.when(_filled(e["fixed"]).isNotNull(), semver_key(e["fixed"])),
             ),
         ),
     )
@@ -154,7 +157,9 @@ def scan_dependencies(deps: DataFrame, advisories: DataFrame, order: str = "ord"
 
 def snapshot_freshness(sources: DataFrame, snapshots: DataFrame, as_of: str) -> DataFrame:
     """Latest snapshot per source and its state at `as_of`; sources without one are cold."""
-    latest = snapshots.groupBy("source").agg(F.max("ts").alias("latest"), F.count(F.lit(1)).alias("n_snapshots"))
+    latest = snapshots.groupBy("source").agg(
+        F.max(F.col("ts").cast("timestamp")).alias("latest"), F.count(F.lit(1)).alias("n_snapshots")
+    )
     moment = F.lit(as_of).cast("timestamp")
     age = F.floor((F.unix_seconds(moment) - F.unix_seconds("latest")) / 86400)
     rows = (

@@ -93,11 +93,19 @@ def sort_by_severity(findings: DataFrame, order: str = "ord") -> DataFrame:
     return findings.orderBy(severity_order("severity"), order)
 
 
-def paginate(findings: DataFrame, offset: int, page: int = fv.PAGE_SIZE, limit: int = 0, order: str = "ord", bin_width: int = 1 << 20) -> DataFrame:
+def paginate(
+    findings: DataFrame,
+    offset: int,
+    page: int = fv.PAGE_SIZE,
+    limit: int = 0,
+    order: str = "ord",
+    ties: tuple[str, ...] = (),
+    bin_width: int = 1 << 20,
+) -> DataFrame:
     """Rows offset .. offset+page of the severity order, with row number and next offset.
 
-    Positions come from counts per (severity, bin of `order`), where `order` is
-    a unique whole number: a bin holds at most `bin_width` rows, so ranking
+    Positions come from counts per (severity, bin of `order`), a whole number that
+    nearly numbers the rows (`ties` settle repeats): a bin is bounded, so ranking
     touches only the one or two bins the page falls in, not the whole table.
     next_offset is null on the last page.
     """
@@ -117,7 +125,7 @@ def paginate(findings: DataFrame, offset: int, page: int = fv.PAGE_SIZE, limit:
         .filter((F.col("_start") < start + size) & (F.col("_end") > start))
         .drop("_n", "_end")
     )
-    within = Window.partitionBy("_sev", "_bin").orderBy(order)
+    within = Window.partitionBy("_sev", "_bin").orderBy(order, *ties)
     rows = (
         binned.join(located, ["_sev", "_bin"])
         .withColumn("row_no", F.col("_start") + F.row_number().over(within))
