@@ -13,6 +13,7 @@ from sievelake.functions.versions import (
     semver_key,
 )
 from sievelake.operators.graph import components
+from sievelake.session import cut_lineage
 
 RANGE_TYPES = ["SEMVER", "ECOSYSTEM"]
 
@@ -69,14 +70,16 @@ def match_advisories(deps: DataFrame, advisories: DataFrame, order: str = "ord")
     leading = F.transform(
         F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/")
     )
-    offered = advisories.select(
-        "adv_id", "package", _ordered_events(F.col("ranges")).alias("_ranges"), F.explode(leading).alias("module")
+    # One row per advisory and module: an advisory lists few packages, so this
+    # gathers little, and the join then yields each match exactly once.
+    offered = (
+        advisories.select("adv_id", "package", "ranges", F.explode(leading).alias("module"))
+        .groupBy("adv_id", "module")
+        .agg(F.min("package").alias("package"), F.flatten(F.collect_list("ranges")).alias("_ranges"))
+        .withColumn("_ranges", _ordered_events(F.col("_ranges")))
     )
     pairs = distinct.join(offered, "module").filter(_is_affected(F.col("_key"), F.col("_ranges")))
-    # An advisory may list several packages below one module.
-    return pairs.groupBy("module", "version", "adv_id").agg(
-        F.min("package").alias("package"), F.first("n_deps").alias("n_deps"), F.min("first_ord").alias("first_ord")
-    )
+    return pairs.select("module", "version", "adv_id", "package", "n_deps", "first_ord")
 
 
 def alias_groups(advisories: DataFrame) -> DataFrame:
@@ -117,7 +120,8 @@ def group_aliases(advisories: DataFrame, groups: DataFrame) -> DataFrame:
 def scan_dependencies(deps: DataFrame, advisories: DataFrame, order: str = "ord") -> DataFrame:
     """DEP-VULN once per advisory group, on the first direct dependency the group's best advisory hits."""
     direct = deps.filter(~F.col("indirect"))
-    matches = match_advisories(direct, advisories, order)
+    # Read three times below; one reliable copy instead of three matchings.
+    matches = cut_lineage(match_advisories(direct, advisories, order))
     hit = advisories.join(matches.select("adv_id").distinct(), "adv_id", "left_semi")
     best = alias_groups(hit).select("group_id", F.col("best_id").alias("adv_id")).distinct()
     first = (

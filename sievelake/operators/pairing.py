@@ -50,11 +50,16 @@ def group_repeated(findings: DataFrame, order: str = "ord") -> DataFrame:
     that could grow without bound.
     """
     typed = findings.filter(F.col("rule_id") == "PAN-TYPE")
-    return typed.groupBy("path", "subject").agg(
+    merged = typed.groupBy("path", "subject").agg(
+        F.max(severity_rank("severity")).alias("_rank"), F.count(F.lit(1)).alias("n"), F.min(order).alias("first_ord")
+    )
+    return merged.select(
+        "path",
+        "subject",
         F.lit("PAN-TYPE").alias("rule_id"),
-        F.max_by("severity", severity_rank("severity")).alias("severity"),
-        F.count(F.lit(1)).alias("n"),
-        F.min(order).alias("first_ord"),
+        severity_of_rank(F.col("_rank")).alias("severity"),
+        "n",
+        "first_ord",
     )
 
 

@@ -69,13 +69,16 @@ def requirement_status(dim: DataFrame, findings: DataFrame) -> DataFrame:
 def propagate_related(status: DataFrame, findings: DataFrame, order: str = "ord") -> DataFrame:
     """Give NOT_CHECKED requirements the status of the first active finding that relates to them.
 
-    "First" is the smallest `order`, found by an aggregate with map-side combine.
+    "First" is the smallest `order`. Pairs of requirements are reduced first, so
+    the choice runs on a handful of rows.
     """
     primary = (
         findings.filter(is_active(findings))
         .select(F.explode("related_requirements").alias("_related"), "requirement_id", F.col(order).alias("_order"))
+        .groupBy("_related", "requirement_id")
+        .agg(F.min("_order").alias("_first"))
         .groupBy("_related")
-        .agg(F.min_by("requirement_id", "_order").alias("_primary"))
+        .agg(F.min_by("requirement_id", "_first").alias("_primary"))
     )
     source = status.select(F.col("requirement_id").alias("_primary"), F.col("status").alias("_status"))
     joined = (

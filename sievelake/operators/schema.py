@@ -28,15 +28,15 @@ def scan_schema_columns(columns: DataFrame) -> DataFrame:
     Context names count in card tables only, expiry names only there and only
     while the PAN is unprotected.
     """
+    # Position and protection of a PAN-like column in one number: the smallest one tells
+    # whether the first such column is binary, and numbers aggregate by hash.
+    readable = (F.lower("sql_type") != "bytea").cast("long")
     rows = attach_group_facts(
         columns,
         ["table_name"],
-        _pan_type=F.min_by(
-            F.when(is_pan_like(F.col("column_name")), F.col("sql_type")),
-            F.when(is_pan_like(F.col("column_name")), F.col("ordinal")),
-        ),
+        _first_pan=F.min(F.when(is_pan_like(F.col("column_name")), F.col("ordinal").cast("long") * 2 + readable)),
     )
-    protected = F.coalesce(F.lower("_pan_type") == "bytea", F.lit(True))
+    protected = F.coalesce(F.col("_first_pan") % 2 == 0, F.lit(True))
     norm = normalize_name("column_name")
     card_table = contains_any(normalize_name("table_name"), fv.CARD_TABLE_WORDS)
     sensitive = is_sensitive_keyword("column_name") | (

@@ -35,11 +35,15 @@ def findings_by_rule(findings: DataFrame, order: str = "ord") -> DataFrame:
     The instances are the findings themselves, joined by rule_id where wanted;
     they are not gathered into one row per rule.
     """
-    grouped = findings.groupBy("rule_id").agg(
-        F.min_by("severity", order).alias("severity"),
-        F.min_by("requirement_id", order).alias("requirement_id"),
-        F.count(F.lit(1)).alias("n"),
-        F.min(order).alias("first_ord"),
+    # Count on plain keys first: a hash aggregate, where min_by over all rows would sort them.
+    grid = findings.groupBy("rule_id", "severity", "requirement_id").agg(
+        F.count(F.lit(1)).alias("_n"), F.min(order).alias("_first")
+    )
+    grouped = grid.groupBy("rule_id").agg(
+        F.min_by("severity", "_first").alias("severity"),
+        F.min_by("requirement_id", "_first").alias("requirement_id"),
+        F.sum("_n").alias("n"),
+        F.min("_first").alias("first_ord"),
     )
     return grouped.orderBy(severity_order("severity"), F.desc("n"), "first_ord")
 

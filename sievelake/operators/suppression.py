@@ -166,7 +166,7 @@ def inline_reason(path: Column, line: Column) -> Column:
             after = F.substr(line, F.instr(line, marker) + len(marker))
             if closing:
                 after = F.regexp_replace(strip(after), f"{closing}$", "")
-            hit = ext.isin(exts) & line.contains(marker)
+            hit = line.contains(marker) & ext.isin(exts)
             result = F.when(hit, strip(after)) if result is None else result.when(hit, strip(after))
     return result
 
@@ -188,7 +188,10 @@ def inline_suppressions(findings: DataFrame, lines: DataFrame) -> DataFrame:
         )
     joined = findings.join(
         marked, (F.col("record_id") == F.col("_record")) & (F.col("line_no") == F.col("_line_no")), "left"
-    ).withColumn("_reason", F.when(~F.col("suppressed"), inline_reason(F.col("path"), F.col("_line"))))
+    ).withColumn(
+        "_reason",
+        F.when(F.col("_line").isNotNull() & ~F.col("suppressed"), inline_reason(F.col("path"), F.col("_line"))),
+    )
     found = F.col("_reason").isNotNull()
     return (
         joined.withColumn("suppression_reason", F.coalesce("_reason", "suppression_reason"))

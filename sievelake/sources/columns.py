@@ -24,13 +24,14 @@ def inventory_of_tables(spark: SparkSession, tables: dict[str, DataFrame]) -> Da
 def inventory_of_events(events: DataFrame) -> DataFrame:
     """Columns that exist after replaying ADD and DROP events in order.
 
-    A column exists when its last event is an ADD. One aggregation with map-side
-    combine; the order is carried in the aggregate, not in a window.
+    A column exists when its last event is an ADD. One hash aggregation with
+    map-side combine: order and kind of an event travel in one number.
     """
+    is_add = (F.col("op") == "ADD").cast("long")
     last = events.filter(~F.lower("column_name").isin(fv.CONSTRAINT_WORDS)).groupBy("table_name", "column_name").agg(
-        F.max_by("op", "ord").alias("last_op"),
+        F.max(F.col("ord") * 2 + is_add).alias("_last"),
         F.min("ord").alias("first_ord"),
         F.max("ord").alias("last_ord"),
         F.count(F.lit(1)).alias("n_events"),
     )
-    return last.filter(F.col("last_op") == "ADD").drop("last_op")
+    return last.filter(F.col("_last") % 2 == 1).drop("_last")

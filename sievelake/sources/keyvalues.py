@@ -41,7 +41,9 @@ def extract_kv(lines: DataFrame) -> DataFrame:
 
 def extract_inline_kv(lines: DataFrame) -> DataFrame:
     """`key = "value"` runs anywhere in a line of prose, in order."""
-    hits = lines.filter(F.col("line").rlike(INLINE_ASSIGNMENT))
+    # Plain substring tests first: the pattern is slow on long words without a sign.
+    line = F.col("line")
+    hits = lines.filter(line.contains("=") & line.contains('"')).filter(line.rlike(INLINE_ASSIGNMENT))
     keys = F.regexp_extract_all("line", F.lit(INLINE_ASSIGNMENT), 1)
     values = F.regexp_extract_all("line", F.lit(INLINE_ASSIGNMENT), 2)
     return hits.select(
@@ -60,62 +62,47 @@ def flatten_json(df: DataFrame, json: str, keep=("record_id",), max_depth: int =
     Each row is expanded level by level inside one projection: no shuffle, and
     the input is read once whatever its depth.
     """
-    entry = "struct<key:string,node:variant>"
-    empty = F.expr(f"cast(array() as array<{entry}>)")
-
-    def child_object(e: Column) -> Column:
-        fields = F.map_entries(F.try_variant_get(e["node"], "$", "map<string,variant>"))
-        return F.transform(
-            fields,
-            lambda f: F.struct(
-                F.when(e["key"] == "", f["key"])
-                .otherwise(F.concat(e["key"], F.lit("."), f["key"]))
-                .alias("key"),
-                f["value"].alias("node"),
-            ),
-        )
+    entry = "struct<key:string,node:variant,leaf:boolean>"
 
-    def child_array(e: Column) -> Column:
-        items = F.try_variant_get(e["node"], "$", "array<variant>")
-        return F.transform(
-            items,
-            lambda item, i: F.struct(
-                F.concat(e["key"], F.lit("["), i.cast("string"), F.lit("]")).alias("key"),
-                item.alias("node"),
-            ),
-        )
+    def as_object(node: Column) -> Column:
+        return F.try_variant_get(node, "$", "map<string,variant>")
 
-    def kind(e: Column) -> Column:
-        return F.schema_of_variant(e["node"])
+    def as_array(node: Column) -> Column:
+        return F.try_variant_get(node, "$", "array<variant>")
 
-    def open_entry(e: Column) -> Column:
-        return (
-            F.when(kind(e).startswith("OBJECT<"), child_object(e))
-            .when(kind(e).startswith("ARRAY<"), child_array(e))
-            .otherwise(F.array(e))
-        )
+    def made(key: Column, node: Column, leaf: bool) -> Column:
+        return F.struct(key.alias("key"), node.alias("node"), F.lit(leaf).alias("leaf"))
+
+    def child_key(parent: Column, name: Column) -> Column:
+        return F.when(parent == "", name).otherwise(F.concat(parent, F.lit("."), name))
 
-    def is_container(e: Column) -> Column:
-        return kind(e).rlike("^(OBJECT|ARRAY)<")
+    def opened(e: Column) -> Column:
+        """Children of a container, or the entry itself marked as a leaf."""
+        fields = F.transform(
+            F.map_entries(as_object(e["node"])), lambda f: made(child_key(e["key"], f["key"]), f["value"], False)
+        )
+        items = F.transform(
+            as_array(e["node"]),
+            lambda item, i: made(F.concat(e["key"], F.lit("["), i.cast("string"), F.lit("]")), item, False),
+        )
+        return F.when(e["leaf"], F.array(e)).otherwise(
+            F.coalesce(fields, items, F.array(made(e["key"], e["node"], True)))
+        )
 
-    root = F.when(
-        F.schema_of_variant(F.col("_doc")).startswith("OBJECT<"),
-        F.array(F.struct(F.lit("").alias("key"), F.col("_doc").alias("node"))),
-    ).otherwise(empty)
     expanded = F.aggregate(
         F.sequence(F.lit(1), F.lit(max_depth)),
-        root.cast(f"array<{entry}>"),
+        F.array(made(F.lit(""), F.col("_doc"), False)).cast(f"array<{entry}>"),
+        # Rows whose entries are all leaves pass the remaining levels untouched.
         lambda acc, _: F.when(
-            F.exists(acc, is_container),
-            F.flatten(F.transform(acc, open_entry)).cast(f"array<{entry}>"),
+            F.exists(acc, lambda e: ~e["leaf"]), F.flatten(F.transform(acc, opened)).cast(f"array<{entry}>")
         ).otherwise(acc),
     )
-    leaves = df.select(*keep, F.try_parse_json(col(json)).alias("_doc")).select(
-        *keep, F.explode(expanded).alias("_leaf")
-    )
-    value = F.try_variant_get(F.col("_leaf.node"), "$", "string")
+    documents = df.select(*keep, F.try_parse_json(col(json)).alias("_doc")).filter(as_object(F.col("_doc")).isNotNull())
+    leaves = documents.select(*keep, F.explode(expanded).alias("_leaf"))
+    node = F.col("_leaf.node")
+    scalar = F.col("_leaf.leaf") | (as_object(node).isNull() & as_array(node).isNull())
     return (
-        leaves.filter(~is_container(F.col("_leaf")))
-        .select(*keep, F.col("_leaf.key").alias("key"), value.alias("value"))
+        leaves.filter(scalar)
+        .select(*keep, F.col("_leaf.key").alias("key"), F.try_variant_get(node, "$", "string").alias("value"))
         .filter(F.col("value").isNotNull() & (F.col("value") != ""))
     )
