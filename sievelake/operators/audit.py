@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from sievelake import fixed_values as fv
 from sievelake.functions.policies import field_class, is_safe_log_field
 from sievelake.functions.text import any_of
-from sievelake.operators.payment import payment_tier
+from sievelake.operators.groups import ROWS, join_facts
+from sievelake.operators.payment import is_first_tier, tier_of
 from sievelake.schemas import text_list
 
 SCANNER = "audit"
@@ -18,13 +19,22 @@ def audit_trail_coverage(ops: DataFrame, logs: DataFrame, key: str, name: str =
     """One row per payment operation: structured trail, unstructured trail, or none.
 
     `ops` has (record_id, key, name), `logs` has (key, structured). Logs shrink
-    to one row per key before the join; tier 3 names count only for keys that
-    also have a tier 1 operation.
+    to one row per key, operations to their facts per key, and both reach the
+    operations in one join; tier 3 names count only for keys that also have a
+    tier 1 operation.
     """
     trail = logs.groupBy(key).agg(
         F.bool_or("structured").alias("_structured"), F.bool_or(~F.col("structured")).alias("_unstructured")
     )
-    tiered = payment_tier(ops, group=key, name=name).filter(F.col("tier") > 0).join(trail, key, "left")
+    per_key = ops.groupBy(key).agg(
+        F.bool_or(is_first_tier(F.col(name))).alias("_has_first"), F.count(F.lit(1)).alias(ROWS)
+    )
+    facts = per_key.join(trail, key, "left")
+    tiered = (
+        join_facts(ops, facts, [key])
+        .withColumn("tier", tier_of(F.col(name), F.col("_has_first")))
+        .filter(F.col("tier") > 0)
+    )
     structured = F.coalesce("_structured", F.lit(False))
     unstructured = F.coalesce("_unstructured", F.lit(False))
     by_tier = F.element_at(text_list(["CRITICAL", "HIGH", "MEDIUM"]), F.col("tier"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sievelake import fixed_values as fv
 from sievelake.functions.text import any_of
+from sievelake.operators.groups import join_lookup
 
 
 def transit_downgrade(findings: DataFrame, flow: DataFrame, node: str = "node") -> DataFrame:
@@ -17,8 +18,8 @@ def transit_downgrade(findings: DataFrame, flow: DataFrame, node: str = "node")
     authentication or transit-path field is in transit: PAN-KEYWORD becomes
     INFO and PAN-TYPE disappears. Storage-tagged fields stay as they are.
     """
-    reach = flow.select(F.col("source").alias("_source"), F.col("reaches").alias("_reaches"))
-    joined = findings.join(reach, findings[node] == reach["_source"], "left")
+    reach = flow.select(F.col("source").alias(node), F.col("reaches").alias("_reaches"))
+    joined = join_lookup(findings, reach, [node])
     ruled = F.col("rule_id").isin("PAN-KEYWORD", "PAN-TYPE") & F.col(node).isNotNull()
     stored = F.coalesce("_reaches", F.lit(False))
     untagged_transit = F.col("subject").isin(fv.SAD_FIELD_NAMES) | F.lower("path").rlike(
@@ -33,7 +34,7 @@ def transit_downgrade(findings: DataFrame, flow: DataFrame, node: str = "node")
         .withColumn(
             "flow_note", F.when(F.col("_stored"), F.lit("stored")).when(F.col("_transit"), F.lit("transit only"))
         )
-        .drop("_source", "_reaches", "_stored", "_transit")
+        .drop("_reaches", "_stored", "_transit")
     )
 
 
@@ -95,7 +96,8 @@ def diff_findings(expected: DataFrame, actual: DataFrame, tolerance: int = fv.LI
     anywhere = want.filter(F.col("line_no") <= 0).join(have.select(*keys).distinct(), keys, "left_semi")
     matched = near.unionByName(anywhere)
     missing = want.join(matched, [*keys, "line_no"], "left_anti")
-    unexpected = have.join(want.select(*keys).distinct(), keys, "left_anti")
+    wanted = want.select(*keys).distinct().withColumn("_wanted", F.lit(True))
+    unexpected = join_lookup(have, wanted, keys).filter(F.col("_wanted").isNull())
 
     def tagged(df: DataFrame, name: str) -> DataFrame:
         return df.select(F.lit(name).alias("outcome"), *keys, "line_no")

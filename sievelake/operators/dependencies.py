@@ -16,6 +16,7 @@ from sievelake.operators.graph import components
 from sievelake.session import cut_lineage
 
 RANGE_TYPES = ["SEMVER", "ECOSYSTEM"]
+VERSION_SLOTS = 16
 
 
 def _filled(value: Column) -> Column:
@@ -78,7 +79,11 @@ def match_advisories(deps: DataFrame, advisories: DataFrame, order: str = "ord")
         .agg(F.min("package").alias("package"), F.flatten(F.collect_list("ranges")).alias("_ranges"))
         .withColumn("_ranges", _ordered_events(F.col("_ranges")))
     )
-    pairs = distinct.join(offered, "module").filter(_is_affected(F.col("_key"), F.col("_ranges")))
+    # Versions of one popular module are dealt out over several slots.
+    slots = F.sequence(F.lit(0), F.lit(VERSION_SLOTS - 1))
+    distinct = distinct.withColumn("_slot", F.pmod(F.hash("version"), F.lit(VERSION_SLOTS)))
+    offered = offered.withColumn("_slot", F.explode(slots))
+    pairs = distinct.join(offered, ["module", "_slot"]).filter(_is_affected(F.col("_key"), F.col("_ranges")))
     return pairs.select("module", "version", "adv_id", "package", "n_deps", "first_ord")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sievelake.operators.groups import HOT_ROWS, ROWS, join_facts
 from sievelake.session import cut_lineage
 
 
@@ -16,7 +17,7 @@ def hops_to_sink(edges: DataFrame, sinks: DataFrame, max_hops: int = 5) -> DataF
     (source, node) pair. Each hop joins only the nodes found in the last one.
     """
     found = cut_lineage(sinks.select("node").distinct().withColumn("hops", F.lit(0)))
-    steps = edges.select("src", "dst").distinct()
+    steps = cut_lineage(edges.select("src", "dst").distinct())
     for hop in range(1, max_hops + 1):
         frontier = found.filter(F.col("hops") == hop - 1).select(F.col("node").alias("dst"))
         reached = steps.join(frontier, "dst", "left_semi").select(F.col("src").alias("node")).distinct()
@@ -36,20 +37,29 @@ def flow_reaches(edges: DataFrame, sources: DataFrame, sinks: DataFrame, max_hop
     return joined.select("source", F.col("hops").isNotNull().alias("reaches"), "hops")
 
 
-def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+def _fact_join(links: DataFrame, key: str, hot_rows: int):
+    """How to join one row per key onto the links: the careful way only if some key is hot."""
+    counts = cut_lineage(links.groupBy(key).agg(F.count(F.lit(1)).alias(ROWS)))
+    if counts.filter(F.col(ROWS) > hot_rows).isEmpty():
+        return lambda facts: links.join(facts, key)
+    return lambda facts: join_facts(links, facts.join(counts, key), [key], hot_rows)
+
+
+def components(links: DataFrame, max_rounds: int = 60, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Connected components of a membership list (member, token): (member, group_id).
 
     Members that share a token are connected, also through chains. group_id is
     the smallest member. Every round takes the smallest label per token and per
-    member (aggregates with map-side combine, so a token shared by very many
-    members is not expanded into pairs), hooks label roots, and jumps one level
-    along the labels. Rounds grow with the logarithm of the longest chain.
+    member, hooks label roots, and jumps one level along the labels. A token
+    shared by very many members is neither expanded into pairs nor joined in one
+    task. Rounds grow with the logarithm of the longest chain.
     """
     links = cut_lineage(links.select("member", "token").distinct())
     labels = cut_lineage(links.groupBy("member").agg(F.min("member").alias("label")))
+    joins = {key: _fact_join(links, key, hot_rows) for key in ("member", "token")}
     for _ in range(max_rounds):
-        of_token = links.join(labels, "member").groupBy("token").agg(F.min("label").alias("low"))
-        of_member = links.join(of_token, "token").groupBy("member").agg(F.min("low").alias("low"))
+        of_token = joins["member"](labels).groupBy("token").agg(F.min("label").alias("low"))
+        of_member = joins["token"](of_token).groupBy("member").agg(F.min("low").alias("low"))
         seen = labels.join(of_member, "member")
         offers = seen.select("member", F.least("label", "low").alias("label")).unionByName(
             seen.filter(F.col("low") < F.col("label")).select(F.col("label").alias("member"), F.col("low").alias("label"))

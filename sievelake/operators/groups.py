@@ -1,30 +1,72 @@
 """Patterns for work on groups of any size.
 
 A group may hold a large share of all rows, so nothing here gathers one: group
-facts come from aggregates with map-side combine and are joined back by key,
-and neighbourhood windows run on blocks of bounded length.
+facts come from aggregates with map-side combine and are joined back by key
+without sending a hot key's rows to one task, and neighbourhood windows run on
+blocks of bounded length.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+ROWS = "_rows"
+# Keys with more rows than this are joined by broadcast. There are at most
+# (rows / HOT_ROWS) such keys, a million of them for 10^12 rows.
+HOT_ROWS = 1_000_000
+
+
+def _same(keys: list[str], prefix: str) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(prefix + k)) for k in keys])
+
+
+def _row_hash(df: DataFrame) -> Column:
+    """A value that differs between rows and is the same on every attempt of a task."""
+    plain = [name for name, kind in df.dtypes if not kind.startswith(("map", "variant"))]
+    return F.xxhash64(F.lit("row"), *[F.col(c) for c in plain])
+
 
-def attach_group_facts(df: DataFrame, keys: list[str], **facts: Column) -> DataFrame:
-    """Add per-group aggregates to every row.
+def join_facts(df: DataFrame, facts: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Left join `facts`, one row per key, whose `_rows` counts the rows of `df` with that key.
 
-    The aggregate has one row per key, so the join is many-to-one. AQE turns it
-    into a broadcast when the aggregate is small at run time, and otherwise may
-    split a hot key's rows across tasks, because the other side is one row.
+    The facts of hot keys are few by arithmetic and are broadcast; their rows
+    then cross the shuffle under a hash of the whole row instead of the key, so
+    they spread evenly. Other rows join by key as usual. Hot keys are left out
+    of the second join, so no row matches twice. Null keys count as one key.
     """
-    stats = df.groupBy(*keys).agg(*[value.alias(name) for name, value in facts.items()])
-    renamed = stats.select(*[F.col(k).alias(f"_g_{k}") for k in keys], *facts)
-    condition = None
-    for key in keys:
-        same = F.col(key).eqNullSafe(F.col(f"_g_{key}"))
-        condition = same if condition is None else condition & same
-    return df.join(renamed, condition, "left").drop(*[f"_g_{k}" for k in keys])
+    names = [c for c in facts.columns if c not in (*keys, ROWS)]
+    packed = facts.select(
+        *[F.col(k).alias(f"_f_{k}") for k in keys], F.struct(*names).alias("_facts"), F.col(ROWS).alias("_f_rows")
+    )
+    hot = packed.filter(F.col("_f_rows") > hot_rows).select(
+        *[F.col(f"_f_{k}").alias(f"_h_{k}") for k in keys], F.col("_facts").alias("_hot")
+    )
+    cold = packed.filter(F.col("_f_rows") <= hot_rows).withColumn("_f_slot", F.xxhash64(*[F.col(f"_f_{k}") for k in keys]))
+    slot = F.when(F.col("_hot").isNotNull(), _row_hash(df)).otherwise(F.xxhash64(*[F.col(k) for k in keys]))
+    marked = df.join(F.broadcast(hot), _same(keys, "_h_"), "left").withColumn("_slot", slot)
+    joined = marked.join(cold, (F.col("_slot") == F.col("_f_slot")) & _same(keys, "_f_"), "left")
+    found = F.coalesce("_hot", "_facts")
+    return joined.select(*df.columns, *[found[name].alias(name) for name in names])
+
+
+def join_lookup(df: DataFrame, lookup: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Left join a table with one row per key, counting the rows of `df` per key first.
+
+    The count reads only the key columns and combines before its shuffle.
+    """
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(ROWS))
+    return join_facts(df, counts.join(lookup, keys), keys, hot_rows)
+
+
+def attach_group_facts(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS, **facts: Column) -> DataFrame:
+    """Add per-group aggregates to every row."""
+    stats = df.groupBy(*keys).agg(
+        *[value.alias(name) for name, value in facts.items()], F.count(F.lit(1)).alias(ROWS)
+    )
+    return join_facts(df, stats, keys, hot_rows)
 
 
 def into_blocks(df: DataFrame, position: str, halo: int, block: int = 4096) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievelake.functions.versions import h1_to_hex, purl
+from sievelake.operators.groups import join_lookup
 
 
 def sbom_inventory(entries: DataFrame, declared: DataFrame, order: str = "ord") -> DataFrame:
@@ -34,10 +35,9 @@ def inventory_status(projects: DataFrame, components: DataFrame, licences: DataF
     `licences` has (module, licence); components without one are counted.
     """
     known = licences.select("module").distinct().withColumn("_known", F.lit(True))
+    used = components.groupBy("project_id", "module").agg(F.count(F.lit(1)).alias("_n"))
     counts = (
-        components.groupBy("project_id", "module")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .join(known, "module", "left")
+        join_lookup(used, known, ["module"])
         .groupBy("project_id")
         .agg(
             F.sum("_n").alias("component_count"),

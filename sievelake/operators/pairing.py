@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievelake.functions.severity import severity_of_rank, severity_rank
 from sievelake.functions.text import normalize_name
+from sievelake.operators.groups import ROWS, join_facts
 
 
 def dedup_paired(findings: DataFrame, order: str = "ord") -> DataFrame:
@@ -18,24 +19,23 @@ def dedup_paired(findings: DataFrame, order: str = "ord") -> DataFrame:
     crowded place is not gathered.
     """
     place = ["path", "line_no"]
-    keyword = findings.filter(F.col("rule_id") == "PAN-KEYWORD")
     entry = F.struct(F.col(order).alias("ord"), F.col("subject").alias("subject"), severity_rank("severity").alias("rank"))
 
-    def last(kind: str):
-        return F.max(F.when(F.col("kind") == kind, entry))
+    def last(kind: str) -> Column:
+        return F.max(F.when((F.col("rule_id") == "PAN-KEYWORD") & (F.col("kind") == kind), entry))
 
-    pairs = (
-        keyword.groupBy(*place)
-        .agg(last("field").alias("_field"), last("tag").alias("_tag"))
-        .filter(normalize_name(F.col("_field.subject")) == normalize_name(F.col("_tag.subject")))
-        .select(
-            *place,
-            F.col("_field.ord").alias("_field_ord"),
-            F.col("_tag.ord").alias("_tag_ord"),
-            F.greatest("_field.rank", "_tag.rank").alias("_rank"),
-        )
+    places = findings.groupBy(*place).agg(
+        last("field").alias("_field"), last("tag").alias("_tag"), F.count(F.lit(1)).alias(ROWS)
     )
-    joined = findings.join(pairs, place, "left")
+    equal = F.coalesce(normalize_name(F.col("_field.subject")) == normalize_name(F.col("_tag.subject")), F.lit(False))
+    facts = places.select(
+        *place,
+        ROWS,
+        F.when(equal, F.col("_field.ord")).alias("_field_ord"),
+        F.when(equal, F.col("_tag.ord")).alias("_tag_ord"),
+        F.greatest("_field.rank", "_tag.rank").alias("_rank"),
+    )
+    joined = join_facts(findings, facts, place)
     kept = joined.filter(F.col("_tag_ord").isNull() | (F.col(order) != F.col("_tag_ord")))
     raised = F.col("_field_ord") == F.col(order)
     return kept.withColumn(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievelake import fixed_values as fv
@@ -36,18 +36,20 @@ def payment_context_score(entities: DataFrame) -> DataFrame:
     )
 
 
-def payment_tier(entities: DataFrame, group: str = "grp", name: str = "name") -> DataFrame:
-    """Add tier 1, 2, 3 or 0. Tier 3 needs a tier 1 entity in the same group.
-
-    The group fact is an aggregate joined back, so one huge group is not
-    gathered; only entities of groups with a tier 1 name carry it.
-    """
-    first = name_has(F.col(name), fv.TIER_1_WORDS)
-    facts = attach_group_facts(entities, [group], _has_first=F.bool_or(first))
-    tier = (
-        F.when(first, F.lit(1))
-        .when(name_has(F.col(name), fv.TIER_2_WORDS), F.lit(2))
-        .when(F.col("_has_first") & name_has(F.col(name), fv.TIER_3_WORDS), F.lit(3))
+def is_first_tier(name: Column) -> Column:
+    return name_has(name, fv.TIER_1_WORDS)
+
+
+def tier_of(name: Column, group_has_first: Column) -> Column:
+    return (
+        F.when(is_first_tier(name), F.lit(1))
+        .when(name_has(name, fv.TIER_2_WORDS), F.lit(2))
+        .when(group_has_first & name_has(name, fv.TIER_3_WORDS), F.lit(3))
         .otherwise(F.lit(0))
     )
-    return facts.withColumn("tier", tier).drop("_has_first")
+
+
+def payment_tier(entities: DataFrame, group: str = "grp", name: str = "name") -> DataFrame:
+    """Add tier 1, 2, 3 or 0. Tier 3 needs a tier 1 entity in the same group."""
+    facts = attach_group_facts(entities, [group], _has_first=F.bool_or(is_first_tier(F.col(name))))
+    return facts.withColumn("tier", tier_of(F.col(name), F.col("_has_first"))).drop("_has_first")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sievelake import fixed_values as fv
 from sievelake.functions.text import any_of, base_name, last_segment, parent_key
+from sievelake.operators.groups import attach_group_facts
 
 
 def is_skipped_config(path: Column) -> Column:
@@ -28,8 +29,8 @@ def scan_retention_groups(kv: DataFrame) -> DataFrame:
     """RET-CONFIG-NO-TTL per sensitive key group without a TTL-like sibling.
 
     Keys are first reduced to one row per (path, group). That row also carries
-    the file-level marks, so the file test aggregates groups, not keys: two
-    shuffles of already combined rows, and no distinct counts.
+    the file-level marks, so the file test aggregates groups, not keys, and
+    needs no distinct counts.
     """
     key = F.lower("key")
     rows = kv.filter(~is_skipped_config(F.col("path"))).select(
@@ -50,15 +51,12 @@ def scan_retention_groups(kv: DataFrame) -> DataFrame:
         F.bool_or("_doc").alias("_doc"),
         *[F.bool_or(f).alias(f) for f in flags],
     )
-    n_flags = sum((F.col(f).cast("int") for f in flags[1:]), F.col(flags[0]).cast("int"))
-    skipped = (
-        groups.groupBy("path")
-        .agg(F.bool_or("_doc").alias("_doc"), *[F.bool_or(f).alias(f) for f in flags])
-        .filter(F.col("_doc") | (n_flags >= 2))
-        .select("path")
+    files = attach_group_facts(
+        groups, ["path"], _skip_doc=F.bool_or("_doc"), **{f"{f}_any": F.bool_or(f) for f in flags}
     )
+    n_flags = sum((F.col(f"{f}_any").cast("int") for f in flags[1:]), F.col(f"{flags[0]}_any").cast("int"))
     sensitive = F.lower("parent").rlike(any_of(fv.RETENTION_KEYS))
-    hits = groups.filter(sensitive & ~F.col("_ttl")).join(skipped, "path", "left_anti")
+    hits = files.filter(sensitive & ~F.col("_ttl") & ~F.col("_skip_doc") & (n_flags < 2))
     dev = is_dev_config_path(F.col("path"))
     return hits.select(
         F.lit("RET-CONFIG-NO-TTL").alias("rule_id"),

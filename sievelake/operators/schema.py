@@ -9,7 +9,7 @@ from sievelake import fixed_values as fv
 from sievelake.functions.cards import classify_pan_sad, is_sensitive_keyword
 from sievelake.functions.policies import is_plaintext_type
 from sievelake.functions.text import contains_any, normalize_name
-from sievelake.operators.groups import attach_group_facts
+from sievelake.operators.groups import attach_group_facts, join_lookup
 from sievelake.schemas import emit, finding
 
 
@@ -97,9 +97,9 @@ def encryption_crossref(findings: DataFrame, encrypted: DataFrame) -> DataFrame:
     joined = (
         findings.withColumn("_table", F.lower("table_name"))
         .withColumn("_column", F.lower("column_name"))
-        .join(marks.withColumn("_encrypted", F.lit(True)), ["_table", "_column"], "left")
-        .join(tables, "_table", "left")
     )
+    joined = join_lookup(joined, marks.withColumn("_encrypted", F.lit(True)), ["_table", "_column"])
+    joined = join_lookup(joined, tables, ["_table"])
     encrypted_flag = F.coalesce(F.col("_encrypted"), F.lit(False))
     dropped = (
         (F.col("rule_id") == "SQL-SENSITIVE-COLUMN")
@@ -134,12 +134,12 @@ def dropped_column_downgrade(findings: DataFrame, events: DataFrame) -> DataFram
     )
     earlier = (
         events.filter(is_drop)
-        .join(last.select(*keys, "_last_add"), keys)
+        .transform(lambda drops: join_lookup(drops, last.select(*keys, "_last_add"), keys))
         .filter(F.col("ord") < F.col("_last_add"))
         .groupBy(*keys)
         .agg(F.max("ord").alias("_drop_before_add"))
     )
-    joined = findings.join(last, keys, "left").join(earlier, keys, "left")
+    joined = join_lookup(findings, last.join(earlier, keys, "left"), keys)
     # greatest() skips nulls, so a column without ADD events compares by its own ord.
     final_drop = (F.col("_last_drop") > F.greatest("ord", "_last_add")) & (
         F.col("_drop_before_add").isNull() | (F.col("_drop_before_add") <= F.col("ord"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sievelake import fixed_values as fv
 from sievelake.functions.paths import rule_regex
 from sievelake.functions.text import extension, strip
+from sievelake.operators.groups import join_lookup
 from sievelake.schemas import text_list
 
 MAX_RULES_IN_PLAN = 200
@@ -144,10 +145,7 @@ def apply_suppressions(findings: DataFrame, rules) -> DataFrame:
         marked = findings.withColumn("_rule", _first_rule(rules, F.col("path"), F.col("line_no")))
     else:
         table = rules if isinstance(rules, DataFrame) else rules_table(findings.sparkSession, rules)
-        first = match_rule_table(findings, table)
-        same = F.col("path").eqNullSafe(F.col("_p")) & F.col("line_no").eqNullSafe(F.col("_l"))
-        first = first.select(F.col("path").alias("_p"), F.col("line_no").alias("_l"), "_rule")
-        marked = findings.join(first, same, "left").drop("_p", "_l")
+        marked = join_lookup(findings, match_rule_table(findings, table), ["path", "line_no"])
     rule = F.col("_rule")
     return (
         marked.withColumn("suppressed", rule.isNotNull())
@@ -157,28 +155,31 @@ def apply_suppressions(findings: DataFrame, rules) -> DataFrame:
     )
 
 
-def inline_reason(path: Column, line: Column) -> Column:
-    """Reason given by a marker in the comment syntax of the file type; null without one."""
-    ext = extension(path)
+def marker_reason(line: Column, markers: list[str], closing: str) -> Column:
+    """Text after the first of `markers` that occurs in the line; null without one."""
     result = None
-    for exts, markers, closing in fv.INLINE_MARKERS:
-        for marker in markers:
-            after = F.substr(line, F.instr(line, marker) + len(marker))
-            if closing:
-                after = F.regexp_replace(strip(after), f"{closing}$", "")
-            hit = line.contains(marker) & ext.isin(exts)
-            result = F.when(hit, strip(after)) if result is None else result.when(hit, strip(after))
+    for marker in markers:
+        after = F.substr(line, F.instr(line, marker) + len(marker))
+        if closing:
+            after = F.regexp_replace(strip(after), f"{closing}$", "")
+        hit = line.contains(marker)
+        result = F.when(hit, strip(after)) if result is None else result.when(hit, strip(after))
     return result
 
 
 def inline_suppressions(findings: DataFrame, lines: DataFrame) -> DataFrame:
     """Apply markers found on the flagged line to findings no ignore rule matched.
 
-    Lines are cut down to those with a marker before the join, which is by
-    equality on (record_id, line_no).
+    Lines are cut down to those with a marker, and their reasons read, before
+    the join by equality on (record_id, line_no). The file type of the finding
+    then picks the reason given in its comment syntax.
     """
-    marked = lines.filter(F.col("line").contains("pci-ignore:")).select(
-        F.col("record_id").alias("_record"), F.col("line_no").alias("_line_no"), F.col("line").alias("_line")
+    line = F.col("line")
+    reasons = [f"_reason_{n}" for n in range(len(fv.INLINE_MARKERS))]
+    marked = lines.filter(line.contains("pci-ignore:")).select(
+        F.col("record_id").alias("_record"),
+        F.col("line_no").alias("_line_no"),
+        *[marker_reason(line, markers, end).alias(r) for r, (_, markers, end) in zip(reasons, fv.INLINE_MARKERS)],
     )
     if "suppressed" not in findings.columns:
         findings = (
@@ -186,12 +187,12 @@ def inline_suppressions(findings: DataFrame, lines: DataFrame) -> DataFrame:
             .withColumn("suppression_reason", F.lit(None).cast("string"))
             .withColumn("suppression_source", F.lit(None).cast("string"))
         )
+    ext = extension(F.col("path"))
+    chosen = F.coalesce(*[F.when(ext.isin(exts), F.col(r)) for r, (exts, _, _) in zip(reasons, fv.INLINE_MARKERS)])
+    open_hit = F.col("_line_no").isNotNull() & ~F.col("suppressed")
     joined = findings.join(
         marked, (F.col("record_id") == F.col("_record")) & (F.col("line_no") == F.col("_line_no")), "left"
-    ).withColumn(
-        "_reason",
-        F.when(F.col("_line").isNotNull() & ~F.col("suppressed"), inline_reason(F.col("path"), F.col("_line"))),
-    )
+    ).withColumn("_reason", F.when(open_hit, chosen))
     found = F.col("_reason").isNotNull()
     return (
         joined.withColumn("suppression_reason", F.coalesce("_reason", "suppression_reason"))
@@ -199,7 +200,7 @@ def inline_suppressions(findings: DataFrame, lines: DataFrame) -> DataFrame:
             "suppression_source", F.when(found, F.lit("inline comment")).otherwise(F.col("suppression_source"))
         )
         .withColumn("suppressed", F.col("suppressed") | found)
-        .drop("_record", "_line_no", "_line", "_reason")
+        .drop("_record", "_line_no", "_reason", *reasons)
     )
 
 

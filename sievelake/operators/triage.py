@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sievelake import fixed_values as fv
 from sievelake.functions.paths import file_location, link_window, mime_type
 from sievelake.operators.context import snippets
+from sievelake.operators.groups import join_lookup
 from sievelake.operators.summary import drop_verified_ok
 
 
@@ -35,4 +36,4 @@ def triage(findings: DataFrame, lines: DataFrame) -> DataFrame:
             "mime_type": mime_type("path"),
         }
     ).drop("code_snippet")
-    return enriched.join(snippets(open_findings, lines), ["record_id", "line_no"], "left")
+    return join_lookup(enriched, snippets(open_findings, lines), ["record_id", "line_no"])

@@ -107,16 +107,17 @@ def text_list(values) -> Column:
 
 def as_findings(df: DataFrame) -> DataFrame:
     """Project `df` onto the FINDING shape, filling what a rule leaves out."""
-    present = set(df.columns)
-    defaults = {"related_requirements": text_list([]), "dev_context": F.lit(False)}
+    present = dict(df.dtypes)
+    defaults = {"related_requirements": "array()", "dev_context": "false"}
     columns = []
     for field in FINDING.fields:
-        if field.name in present:
-            value = F.col(field.name)
+        kind = field.dataType.simpleString()
+        if present.get(field.name) == kind:
+            columns.append(field.name)
         else:
-            value = defaults.get(field.name, F.lit(None))
-        columns.append(value.cast(field.dataType).alias(field.name))
-    return df.select(*columns)
+            value = field.name if field.name in present else defaults.get(field.name, "NULL")
+            columns.append(f"CAST({value} AS {kind}) AS {field.name}")
+    return df.selectExpr(*columns)
 
 
 def finding(

@@ -25,6 +25,10 @@ def build_session(app: str = "sievelake", master: str | None = None, **conf: str
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.ui.enabled": "false",
+        # Larger generated methods are not compiled by the JVM; Spark then splits them instead.
+        "spark.sql.codegen.hugeMethodLimit": "8000",
+        # Call-site capture on every Column call makes building wide plans slow.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
     }
     settings.update(conf)
     for key, value in settings.items():
