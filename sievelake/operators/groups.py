@@ -81,5 +81,5 @@ def into_blocks(df: DataFrame, position: str, halo: int, block: int = 4096) -> D
     def block_of(value: Column) -> Column:
         return F.floor(value / block)
 
-    spans = F.array_distinct(F.array(block_of(pos - halo), block_of(pos), block_of(pos + halo)))
+    spans = F.sequence(block_of(pos - halo), block_of(pos + halo))
     return df.withColumn("block", F.explode(spans)).withColumn("in_core", F.col("block") == block_of(pos))

@@ -17,6 +17,7 @@ from sievelake.operators.requirements import (
 )
 from sievelake.operators.summary import findings_by_rule, scan_summary, severity_counts, sort_by_severity
 from sievelake.operators.suppression import apply_suppressions, exclude_packages, inline_suppressions
+from sievelake.schemas import as_findings
 
 
 @dataclass
@@ -39,10 +40,9 @@ class Report:
 
 
 def with_order(findings: DataFrame) -> DataFrame:
-    """Order key (scanner, path, line, column, rule) as a struct: comparable, no global sort."""
-    if "ord" in findings.columns:
-        return findings
-    return findings.withColumn("ord", F.struct("scanner", "path", "line_no", "col_no", "rule_id", "subject"))
+    """FINDING rows with an order key (scanner, path, line, column, rule): a comparable struct, no global sort."""
+    order = F.struct("scanner", "path", "line_no", "col_no", "rule_id", "subject")
+    return as_findings(findings).withColumn("ord", order)
 
 
 def compliance_report(
@@ -55,13 +55,16 @@ def compliance_report(
 ) -> Report:
     """Exclude, suppress, then derive every part of the report from one cached table.
 
-    Five parts read the suppressed findings, so they are persisted; a lost
-    executor only costs the recomputation of its blocks.
+    Findings with a numeric `ord` keep it; others are ordered by scanner, path,
+    line, column and rule. Several parts read the suppressed findings, so they
+    are persisted; a lost executor only costs the recomputation of its blocks.
     """
-    ordered = with_order(findings)
+    has_order = "ord" in findings.columns
+    ordered = findings if has_order else with_order(findings)
     if exclude_rules:
         kept, reports = exclude_packages(ordered, list(exclude_rules))
-        ordered = kept.unionByName(with_order(_pad(reports, kept)).drop("n_dropped"), allowMissingColumns=True)
+        reports = reports.drop("n_dropped") if has_order else with_order(reports)
+        ordered = kept.unionByName(reports, allowMissingColumns=True)
     marked = apply_suppressions(ordered, list(ignore_rules))
     if lines is not None:
         marked = inline_suppressions(marked, lines)
@@ -80,12 +83,3 @@ def compliance_report(
         scan=scan_summary(active, units),
         gate=gate(base),
     )
-
-
-def _pad(reports: DataFrame, like: DataFrame) -> DataFrame:
-    """Add the columns the order key needs, typed as in the findings."""
-    types = dict(like.dtypes)
-    for name in ("col_no", "subject", "ord"):
-        if name in types and name not in reports.columns:
-            reports = reports.withColumn(name, F.lit(None).cast(types[name]))
-    return reports

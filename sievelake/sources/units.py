@@ -41,7 +41,7 @@ def read_units(
         relative.alias("record_id"),
         F.lit("files").alias("source"),
         relative.alias("path"),
-        F.decode("content", F.lit("UTF-8")).alias("text"),
+        F.make_valid_utf8(F.col("content").cast("string")).alias("text"),
         F.col("length").alias("n_bytes"),
     )
 
