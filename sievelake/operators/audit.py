@@ -10,7 +10,7 @@ from sievelake.functions.policies import field_class, is_safe_log_field
 from sievelake.functions.text import any_of
 from sievelake.operators.groups import ROWS, join_facts
 from sievelake.operators.payment import is_first_tier, tier_of
-from sievelake.schemas import text_list
+from sievelake.schemas import RowRule, apply_rules, finding, text_list
 
 SCANNER = "audit"
 
@@ -100,27 +100,30 @@ def audit_field_coverage(records: DataFrame, fields: str = "fields", timestamp_a
     )
 
 
+def log_field_rule(fields: str = "fields", body_sourced: str = "body_sourced") -> RowRule:
+    def one(name: Column) -> Column:
+        kind = field_class(name)
+        severity = F.when(kind.isin("PAN", "SECRET") | F.col(body_sourced), F.lit("HIGH")).otherwise(F.lit("MEDIUM"))
+        related = (
+            F.when(kind == "PAN", text_list(["3.3.1", "3.5.1"]))
+            .when(kind == "SECRET", text_list(["8.6.2"]))
+            .otherwise(text_list([]))
+        )
+        made = finding(
+            "HTTP-INPUT-LOG",
+            severity,
+            "10.2.1",
+            related=related,
+            subject=name,
+            description="Request input is written to a log",
+            suggestion="Mask or drop the field before logging",
+            scanner="logs",
+        )
+        return F.when(~is_safe_log_field(name) & (kind != "GENERIC_ID"), made)
+
+    return RowRule(F.filter(F.transform(F.col(fields), one), lambda item: item.isNotNull()))
+
+
 def scan_log_fields(records: DataFrame, fields: str = "fields", body_sourced: str = "body_sourced") -> DataFrame:
     """HTTP-INPUT-LOG per logged field; generic identifiers and safe headers are left out."""
-    carried = [c for c in ("record_id", "path", "line_no") if c in records.columns]
-    rows = (
-        records.select(*carried, F.col(body_sourced).alias("_body"), F.explode(fields).alias("_field"))
-        .filter(~is_safe_log_field("_field"))
-        .withColumn("_class", field_class("_field"))
-        .filter(F.col("_class") != "GENERIC_ID")
-    )
-    classified = F.col("_class").isin("PAN", "SECRET")
-    return rows.select(
-        F.lit("HTTP-INPUT-LOG").alias("rule_id"),
-        F.when(classified | F.col("_body"), F.lit("HIGH")).otherwise(F.lit("MEDIUM")).alias("severity"),
-        F.lit("10.2.1").alias("requirement_id"),
-        F.lit("logs").alias("scanner"),
-        *carried,
-        F.col("_field").alias("subject"),
-        F.lit("Request input is written to a log").alias("description"),
-        F.lit("Mask or drop the field before logging").alias("suggestion"),
-        F.when(F.col("_class") == "PAN", text_list(["3.3.1", "3.5.1"]))
-        .when(F.col("_class") == "SECRET", text_list(["8.6.2"]))
-        .otherwise(text_list([]))
-        .alias("related_requirements"),
-    )
+    return apply_rules(records, [log_field_rule(fields, body_sourced)])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievelake import fixed_values as fv
@@ -16,7 +16,7 @@ from sievelake.functions.cards import (
 )
 from sievelake.functions.text import contains_any, normalize_name
 from sievelake.operators.groups import attach_group_facts
-from sievelake.schemas import emit, finding
+from sievelake.schemas import RowRule, apply_rules, finding, when_true
 from sievelake.sources.units import to_lines
 
 SCANNER = "cards"
@@ -56,37 +56,40 @@ def scan_pan_literals(units: DataFrame) -> DataFrame:
     )
 
 
+def kv_pan_rule() -> RowRule:
+    literal = finding(
+        "PAN-LITERAL",
+        "CRITICAL",
+        "3.4.1",
+        subject=F.col("key"),
+        description="Configuration value is a card number",
+        suggestion="Keep card numbers out of configuration; use a token reference",
+        scanner=SCANNER,
+    )
+    keyword = finding(
+        "PAN-KEYWORD",
+        "HIGH",
+        "3.3.1",
+        related=["3.3.1.2"],
+        subject=F.col("key"),
+        description="Configuration key names cardholder data",
+        suggestion="Inject the value from a vault at run time",
+        scanner=SCANNER,
+    )
+    return RowRule(
+        when_true(
+            [
+                (is_likely_pan(F.col("_c_digits")), literal),
+                (is_sensitive_keyword("key") & (F.col("value") != ""), keyword),
+            ]
+        ),
+        ({"_c_digits": extract_digits("value")},),
+    )
+
+
 def scan_kv_pan(kv: DataFrame) -> DataFrame:
     """PAN-LITERAL on values, PAN-KEYWORD on keys; one row may give both."""
-    return emit(
-        kv.withColumn("_sensitive", is_sensitive_keyword("key")),
-        SCANNER,
-        [
-            (
-                is_likely_pan(extract_digits("value")),
-                finding(
-                    "PAN-LITERAL",
-                    "CRITICAL",
-                    "3.4.1",
-                    subject=F.col("key"),
-                    description="Configuration value is a card number",
-                    suggestion="Keep card numbers out of configuration; use a token reference",
-                ),
-            ),
-            (
-                F.col("_sensitive") & (F.col("value") != ""),
-                finding(
-                    "PAN-KEYWORD",
-                    "HIGH",
-                    "3.3.1",
-                    related=["3.3.1.2"],
-                    subject=F.col("key"),
-                    description="Configuration key names cardholder data",
-                    suggestion="Inject the value from a vault at run time",
-                ),
-            ),
-        ],
-    )
+    return apply_rules(kv, [kv_pan_rule()])
 
 
 def scan_pan_columns(columns: DataFrame) -> DataFrame:
@@ -126,29 +129,34 @@ def scan_pan_columns(columns: DataFrame) -> DataFrame:
     )
 
 
+def log_pan_rule(fields: str = "fields", values: str | None = None) -> RowRule:
+    def one(name: Column, value: Column | None) -> Column:
+        named = is_sensitive_keyword(name)
+        kind = F.when(named, classify_pan_sad(name)).otherwise(F.lit("PAN"))
+        hit = named if value is None else named | F.coalesce(is_likely_pan(extract_digits(value)), F.lit(False))
+        requirement = requirement_for(kind, "logger")
+        made = finding(
+            "PAN-LOGGER",
+            "CRITICAL",
+            requirement["requirement_id"],
+            related=requirement["related"],
+            subject=name,
+            description="Log record carries cardholder data",
+            suggestion="Mask the field or log a token reference",
+            scanner=SCANNER,
+        )
+        return F.when(hit, made)
+
+    if values is None:
+        found = F.transform(F.col(fields), lambda name: one(name, None))
+    else:
+        found = F.zip_with(F.col(fields), F.col(values), one)
+    return RowRule(F.filter(found, lambda item: item.isNotNull()))
+
+
 def scan_log_pan(logs: DataFrame, fields: str = "fields", values: str | None = None) -> DataFrame:
     """PAN-LOGGER per logged field that names card data or holds a card number.
 
     `fields` is an array of names; `values`, if given, an array of their texts.
     """
-    pairs = F.arrays_zip(
-        F.col(fields).alias("name"),
-        (F.col(values) if values else F.transform(F.col(fields), lambda _: F.lit(None).cast("string"))).alias("value"),
-    )
-    named = is_sensitive_keyword(F.col("name"))
-    numbered = F.coalesce(is_likely_pan(extract_digits(F.col("value"))), F.lit(False))
-    carried = [c for c in ("record_id", "path", "line_no") if c in logs.columns]
-    rows = logs.select(*carried, F.inline(pairs)).filter(named | numbered)
-    kind = F.when(named, classify_pan_sad("name")).otherwise(F.lit("PAN"))
-    requirement = requirement_for(kind, "logger")
-    return rows.select(
-        F.lit("PAN-LOGGER").alias("rule_id"),
-        F.lit("CRITICAL").alias("severity"),
-        requirement["requirement_id"].alias("requirement_id"),
-        F.lit(SCANNER).alias("scanner"),
-        *carried,
-        F.col("name").alias("subject"),
-        F.lit("Log record carries cardholder data").alias("description"),
-        F.lit("Mask the field or log a token reference").alias("suggestion"),
-        requirement["related"].alias("related_requirements"),
-    )
+    return apply_rules(logs, [log_pan_rule(fields, values)])

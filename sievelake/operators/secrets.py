@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievelake import fixed_values as fv
@@ -24,30 +24,40 @@ from sievelake.functions.secrets import (
 )
 from sievelake.functions.text import contains_any, last_segment
 from sievelake.functions.words import keyword_at_boundary
-from sievelake.schemas import emit, finding, text_list
+from sievelake.schemas import RowRule, apply_rules, finding, when_true
 
 ADVICE = "Inject the value from a secrets manager at run time"
 
 
-def scan_secrets(kv: DataFrame) -> DataFrame:
-    """Token prefixes, connection strings, credential keys and random values in one pass.
+def secret_rule() -> RowRule:
+    """Token prefixes, connection strings, credential keys and random values.
 
     Placeholders and SQL texts give nothing. Placeholder fragments and path or
     URL values stop the key-name rules but not the first two, and a placeholder
     fragment also keeps those two at their own severity.
     """
-    rows = (
-        kv.filter(~is_basic_placeholder("value") & ~is_sql_text("value"))
-        .withColumn("_prefix", secret_prefix("value"))
-        .withColumn("_fragment", has_placeholder_substring("value"))
-        .withColumn("_pair", is_path_or_url_pair("key", "value"))
-        .withColumn("_credential", ~F.col("_fragment") & ~F.col("_pair") & is_credential_key("key"))
-        .withColumn("_critical", dev_context("path", "value", F.lit("CRITICAL")))
-        .withColumn("_high", dev_context("path", "value", F.lit("HIGH")))
+    live, fragment, pair = F.col("_s_live"), F.col("_s_fragment"), F.col("_s_pair")
+    prefix, connection, credential = F.col("_s_prefix"), F.col("_s_connection"), F.col("_s_credential")
+    critical, high = F.col("_s_critical"), F.col("_s_high")
+    hit = prefix.isNotNull() | connection | credential
+    stages = (
+        {
+            "_s_live": ~is_basic_placeholder("value") & ~is_sql_text("value"),
+            "_s_fragment": has_placeholder_substring("value"),
+            "_s_pair": is_path_or_url_pair("key", "value"),
+        },
+        {
+            "_s_prefix": F.when(live, secret_prefix("value")),
+            "_s_connection": live & is_connection_string("value"),
+            "_s_credential": live & ~fragment & ~pair & is_credential_key("key"),
+        },
+        {
+            "_s_critical": F.when(hit, dev_context("path", "value", F.lit("CRITICAL"))),
+            "_s_high": F.when(credential, dev_context("path", "value", F.lit("HIGH"))),
+        },
     )
-    fragment = F.col("_fragment")
 
-    def outcome(rule_id: str, base: str, context, description):
+    def outcome(rule_id: str, base: str, context: Column, description) -> Column:
         return finding(
             rule_id,
             F.when(fragment, F.lit(base)).otherwise(context["severity"]),
@@ -56,126 +66,135 @@ def scan_secrets(kv: DataFrame) -> DataFrame:
             description=description,
             suggestion=ADVICE,
             dev_context=~fragment & context["dev_context"],
-            triage_hint=F.when(
-                ~fragment & ~F.col("_pair") & context["examples"], F.lit("dev_path_examples_skipped")
-            ),
+            triage_hint=F.when(~fragment & ~pair & context["examples"], F.lit("dev_path_examples_skipped")),
+            scanner="secrets",
         )
 
-    critical, high = F.col("_critical"), F.col("_high")
-    return emit(
-        rows,
-        "secrets",
+    found = when_true(
         [
             (
-                F.col("_prefix").isNotNull(),
-                outcome("SEC-PREFIX", "CRITICAL", critical, F.concat(F.col("_prefix"), F.lit(" in configuration"))),
-            ),
-            (
-                is_connection_string("value"),
-                outcome("SEC-CONNSTR", "CRITICAL", critical, "Connection string holds a password"),
+                prefix.isNotNull(),
+                outcome("SEC-PREFIX", "CRITICAL", critical, F.concat(prefix, F.lit(" in configuration"))),
             ),
+            (connection, outcome("SEC-CONNSTR", "CRITICAL", critical, "Connection string holds a password")),
+            (credential, outcome("SEC-CREDENTIAL-KEY", "CRITICAL", critical, "Credential key has a literal value")),
             (
-                F.col("_credential"),
-                outcome("SEC-CREDENTIAL-KEY", "CRITICAL", critical, "Credential key has a literal value"),
-            ),
-            (
-                F.col("_credential") & is_high_entropy("value"),
+                credential & is_high_entropy("value"),
                 outcome("SEC-HIGH-ENTROPY", "HIGH", high, "Credential key has a random-looking value"),
             ),
-        ],
+        ]
     )
+    return RowRule(found, stages)
 
 
-def scan_hardcoded_keys(kv: DataFrame) -> DataFrame:
+def scan_secrets(kv: DataFrame) -> DataFrame:
+    return apply_rules(kv, [secret_rule()])
+
+
+def hardcoded_key_rule() -> RowRule:
     """CRYPTO-HARDCODED-KEY: by name, by entropy, by encoding; the first tier wins.
 
     The tier sets a severity that the environment may lower. The value's shape
     then decides: error texts and identifier shapes are INFO, encoded keys
     CRITICAL, and files of constants at most HIGH.
     """
-    value = F.col("value")
-    rows = (
-        kv.filter(
-            ~is_excluded_literal("value") & ~is_sql_text("value") & ~is_non_secret("value") & ~is_character_set("value")
-        )
-        .withColumn("_name", last_segment("key"))
-        .withColumn("_entropy", shannon_entropy("value"))
-        .withColumn("_bytes", F.octet_length("value"))
-    )
-    tier = (
-        F.when(keyword_at_boundary("_name", fv.KEY_WORDS) & (F.col("_entropy") >= 3.0), F.lit(1))
-        .when((F.col("_bytes") >= fv.ENTROPY_MIN_BYTES) & (F.col("_entropy") > fv.ENTROPY_THRESHOLD), F.lit(2))
-        .when(value.rlike(fv.BASE64_PATTERN) | value.rlike(fv.HEX_PATTERN), F.lit(3))
-    )
-    rows = rows.withColumn("_tier", tier).filter(F.col("_tier").isNotNull())
-    base = F.when(F.col("_tier") == 1, F.lit("CRITICAL")).otherwise(F.lit("HIGH"))
-    rows = rows.withColumn("_context", dev_context("path", "value", base))
-
-    error_text = F.col("_name").rlike(fv.ERROR_VARIABLE_PATTERN) & contains_any(F.lower(value), fv.ERROR_TEXT_WORDS)
-    plain = (F.col("_entropy") < 4.5) & (F.col("_bytes") <= 40)
-    shape = (
-        F.when(error_text, F.lit("hardcoded_sentinel_error"))
-        .when(plain & value.rlike(fv.HEADER_NAME_PATTERN), F.lit("hardcoded_header_name"))
-        .when(plain & value.rlike(fv.SNAKE_CASE_PATTERN), F.lit("hardcoded_log_field"))
-        .when(plain & (F.col("_bytes") <= 20) & value.rlike(fv.JSON_KEY_PATTERN), F.lit("hardcoded_json_key"))
-    )
-    encoded = ((F.col("_bytes") >= 32) & value.rlike(fv.PURE_HEX_PATTERN)) | (
-        (F.col("_bytes") >= 24) & value.rlike(fv.BASE64_CHARSET_PATTERN) & (F.col("_entropy") >= 4.0)
+    value, live, tier = F.col("value"), F.col("_k_live"), F.col("_k_tier")
+    name, entropy, size = F.col("_k_name"), F.col("_k_entropy"), F.octet_length(F.col("value"))
+    context, shape, encoded = F.col("_k_context"), F.col("_k_shape"), F.col("_k_encoded")
+    plain = (entropy < 4.5) & (size <= 40)
+    error_text = name.rlike(fv.ERROR_VARIABLE_PATTERN) & contains_any(F.lower(value), fv.ERROR_TEXT_WORDS)
+    stages = (
+        {
+            "_k_live": ~is_excluded_literal("value")
+            & ~is_sql_text("value")
+            & ~is_non_secret("value")
+            & ~is_character_set("value"),
+            "_k_name": last_segment("key"),
+        },
+        {"_k_entropy": F.when(live, shannon_entropy("value"))},
+        {
+            "_k_tier": F.when(
+                live,
+                F.when(keyword_at_boundary(name, fv.KEY_WORDS) & (entropy >= 3.0), F.lit(1))
+                .when((size >= fv.ENTROPY_MIN_BYTES) & (entropy > fv.ENTROPY_THRESHOLD), F.lit(2))
+                .when(value.rlike(fv.BASE64_PATTERN) | value.rlike(fv.HEX_PATTERN), F.lit(3)),
+            )
+        },
+        {
+            "_k_context": F.when(
+                tier.isNotNull(),
+                dev_context("path", "value", F.when(tier == 1, F.lit("CRITICAL")).otherwise(F.lit("HIGH"))),
+            ),
+            "_k_shape": F.when(
+                tier.isNotNull(),
+                F.when(error_text, F.lit("hardcoded_sentinel_error"))
+                .when(plain & value.rlike(fv.HEADER_NAME_PATTERN), F.lit("hardcoded_header_name"))
+                .when(plain & value.rlike(fv.SNAKE_CASE_PATTERN), F.lit("hardcoded_log_field"))
+                .when(plain & (size <= 20) & value.rlike(fv.JSON_KEY_PATTERN), F.lit("hardcoded_json_key")),
+            ),
+            "_k_encoded": tier.isNotNull()
+            & (
+                ((size >= 32) & value.rlike(fv.PURE_HEX_PATTERN))
+                | ((size >= 24) & value.rlike(fv.BASE64_CHARSET_PATTERN) & (entropy >= 4.0))
+            ),
+        },
     )
     constants = F.col("path").rlike(fv.CONSTANTS_FILE_PATTERN)
-    rows = rows.withColumn("_shape", shape).withColumn("_encoded", encoded)
-    context = F.col("_context")
     severity = (
-        F.when(F.col("_shape").isNotNull(), F.lit("INFO"))
-        .when(F.col("_encoded"), F.lit("CRITICAL"))
+        F.when(shape.isNotNull(), F.lit("INFO"))
+        .when(encoded, F.lit("CRITICAL"))
         .when(constants & (context["severity"] == "CRITICAL"), F.lit("HIGH"))
         .otherwise(context["severity"])
     )
-    hint = F.coalesce(
-        F.col("_shape"), F.when(~F.col("_encoded") & constants, F.lit("crypto_key_constants_file"))
-    )
-    return rows.select(
-        F.lit("CRYPTO-HARDCODED-KEY").alias("rule_id"),
-        severity.alias("severity"),
-        F.lit("6.2.4").alias("requirement_id"),
-        F.lit("crypto").alias("scanner"),
-        "record_id",
-        "path",
-        "line_no",
-        F.col("key").alias("subject"),
-        F.concat(F.lit("Literal key material, tier "), F.col("_tier").cast("string")).alias("description"),
-        F.lit(ADVICE).alias("suggestion"),
-        text_list(["8.6.2"]).alias("related_requirements"),
-        context["dev_context"].alias("dev_context"),
-        hint.alias("triage_hint"),
+    made = finding(
+        "CRYPTO-HARDCODED-KEY",
+        severity,
+        "6.2.4",
+        related=["8.6.2"],
+        subject=F.col("key"),
+        description=F.concat(F.lit("Literal key material, tier "), tier.cast("string")),
+        suggestion=ADVICE,
+        dev_context=context["dev_context"],
+        triage_hint=F.coalesce(shape, F.when(~encoded & constants, F.lit("crypto_key_constants_file"))),
+        scanner="crypto",
     )
+    return RowRule(when_true([(tier.isNotNull(), made)]), stages)
 
 
-def scan_hardcoded_passwords(kv: DataFrame) -> DataFrame:
+def scan_hardcoded_keys(kv: DataFrame) -> DataFrame:
+    return apply_rules(kv, [hardcoded_key_rule()])
+
+
+def password_rule() -> RowRule:
     """AUTH-HARDCODED-PWD: password-like names; placeholders are INFO unless in production."""
-    base = F.when(is_password_placeholder("value"), F.lit("INFO")).otherwise(F.lit("CRITICAL"))
-    rows = (
-        kv.filter(keyword_at_boundary(last_segment("key"), fv.PASSWORD_WORDS))
-        .withColumn("_base", base)
-        .withColumn("_context", dev_context("path", "value", F.col("_base")))
-        .withColumn("_helper", has_test_helper_segment(F.col("path")))
+    named, placeholder, context = F.col("_p_named"), F.col("_p_placeholder"), F.col("_p_context")
+    helper = F.col("_p_helper")
+    base = F.when(placeholder, F.lit("INFO")).otherwise(F.lit("CRITICAL"))
+    stages = (
+        {
+            "_p_named": keyword_at_boundary(last_segment("key"), fv.PASSWORD_WORDS),
+            "_p_placeholder": is_password_placeholder("value"),
+        },
+        {
+            "_p_context": F.when(named, dev_context("path", "value", base)),
+            "_p_helper": named & has_test_helper_segment(F.col("path")),
+        },
     )
-    helper = F.col("_helper")
-    return rows.select(
-        F.lit("AUTH-HARDCODED-PWD").alias("rule_id"),
-        F.when(helper, F.lit("INFO")).otherwise(F.col("_context.severity")).alias("severity"),
-        F.lit("8.6.2").alias("requirement_id"),
-        F.lit("auth").alias("scanner"),
-        "record_id",
-        "path",
-        "line_no",
-        F.col("key").alias("subject"),
-        F.when(F.col("_base") == "INFO", F.lit("Password is a placeholder"))
-        .otherwise(F.lit("Password is a literal"))
-        .alias("description"),
-        F.lit(ADVICE).alias("suggestion"),
-        text_list(["8.3.1"]).alias("related_requirements"),
-        F.when(helper, F.lit("high")).alias("confidence"),
-        F.col("_context.dev_context").alias("dev_context"),
-        F.when(helper, F.lit("downgrade:testutil_exclusion")).alias("triage_hint"),
+    made = finding(
+        "AUTH-HARDCODED-PWD",
+        F.when(helper, F.lit("INFO")).otherwise(context["severity"]),
+        "8.6.2",
+        related=["8.3.1"],
+        subject=F.col("key"),
+        description=F.when(placeholder, F.lit("Password is a placeholder")).otherwise(F.lit("Password is a literal")),
+        suggestion=ADVICE,
+        confidence=F.when(helper, F.lit("high")),
+        dev_context=context["dev_context"],
+        triage_hint=F.when(helper, F.lit("downgrade:testutil_exclusion")),
+        scanner="auth",
     )
+    return RowRule(when_true([(named, made)]), stages)
+
+
+def scan_hardcoded_passwords(kv: DataFrame) -> DataFrame:
+    return apply_rules(kv, [password_rule()])

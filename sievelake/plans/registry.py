@@ -4,20 +4,20 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Callable, Mapping
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame
 
-from sievelake.operators.audit import scan_log_fields
-from sievelake.operators.cards import scan_kv_pan, scan_log_pan, scan_pan_columns, scan_pan_literals
+from sievelake.operators.audit import log_field_rule
+from sievelake.operators.cards import kv_pan_rule, log_pan_rule, scan_pan_columns, scan_pan_literals
 from sievelake.operators.crypto import scan_plain_http, scan_weak_hash
 from sievelake.operators.pages import scan_csp_headers, scan_pages
 from sievelake.operators.retention import scan_retention_groups
 from sievelake.operators.schema import scan_schema_columns
-from sievelake.operators.secrets import scan_hardcoded_keys, scan_hardcoded_passwords, scan_secrets
-from sievelake.operators.transport import scan_password_policy, scan_tls_settings
-from sievelake.schemas import as_findings
+from sievelake.operators.secrets import hardcoded_key_rule, password_rule, secret_rule
+from sievelake.operators.transport import password_policy_rule, tls_rule
+from sievelake.schemas import RowRule, apply_rules, as_findings
 
 log = logging.getLogger(__name__)
 Inputs = Mapping[str, DataFrame]
@@ -25,19 +25,34 @@ Inputs = Mapping[str, DataFrame]
 
 @dataclass(frozen=True)
 class RuleSpec:
-    """A rule set: what it reads, which requirements it covers, how it makes findings."""
+    """A rule set: what it reads, which requirements it covers, how it makes findings.
+
+    `row` gives a rule over single rows; such rules on one input share a scan.
+    `build` makes a findings DataFrame from the inputs, for everything else.
+    """
 
     name: str
     needs: tuple[str, ...]
     requirements: tuple[str, ...]
-    build: Callable[[Inputs], DataFrame]
+    build: Callable[[Inputs], DataFrame] | None = None
     description: str = ""
-    row_local: bool = field(default=True)  # True when it also runs unchanged on a stream
+    row: Callable[[], RowRule] | None = None
+    row_local: bool = True  # also runs unchanged on a stream
 
 
 DEFAULT_RULES = (
     RuleSpec("pan_literals", ("units",), ("3.4.1",), lambda i: scan_pan_literals(i["units"]), "card numbers in text"),
-    RuleSpec("kv_pan", ("kv",), ("3.4.1", "3.3.1"), lambda i: scan_kv_pan(i["kv"]), "card data in configuration"),
+    RuleSpec("kv_pan", ("kv",), ("3.4.1", "3.3.1"), row=kv_pan_rule, description="card data in configuration"),
+    RuleSpec("secrets", ("kv",), ("8.6.2",), row=secret_rule, description="secrets in configuration"),
+    RuleSpec("hardcoded_keys", ("kv",), ("6.2.4",), row=hardcoded_key_rule, description="literal key material"),
+    RuleSpec("passwords", ("kv",), ("8.6.2",), row=password_rule, description="literal passwords"),
+    RuleSpec("log_pan", ("logs",), ("3.5.1", "3.3.1"), row=log_pan_rule, description="card data in log records"),
+    RuleSpec("log_fields", ("logs",), ("10.2.1",), row=log_field_rule, description="request input in logs"),
+    RuleSpec("tls", ("settings",), ("4.2.1",), row=tls_rule, description="TLS settings"),
+    RuleSpec("password_policy", ("settings",), ("8.3.6",), row=password_policy_rule, description="password lengths"),
+    RuleSpec("plain_http", ("urls",), ("4.2.1",), lambda i: scan_plain_http(i["urls"]), "unencrypted addresses"),
+    RuleSpec("pages", ("pages",), ("6.4.3", "11.6.1"), lambda i: scan_pages(i["pages"]), "script integrity"),
+    RuleSpec("csp_headers", ("responses",), ("6.4.3",), lambda i: scan_csp_headers(i["responses"]), "content policy"),
     RuleSpec(
         "pan_columns",
         ("columns",),
@@ -46,11 +61,14 @@ DEFAULT_RULES = (
         "card data columns",
         row_local=False,
     ),
-    RuleSpec("log_pan", ("logs",), ("3.5.1", "3.3.1"), lambda i: scan_log_pan(i["logs"]), "card data in log records"),
-    RuleSpec("log_fields", ("logs",), ("10.2.1",), lambda i: scan_log_fields(i["logs"]), "request input in logs"),
-    RuleSpec("secrets", ("kv",), ("8.6.2",), lambda i: scan_secrets(i["kv"]), "secrets in configuration"),
-    RuleSpec("hardcoded_keys", ("kv",), ("6.2.4",), lambda i: scan_hardcoded_keys(i["kv"]), "literal key material"),
-    RuleSpec("passwords", ("kv",), ("8.6.2",), lambda i: scan_hardcoded_passwords(i["kv"]), "literal passwords"),
+    RuleSpec(
+        "schema_columns",
+        ("columns",),
+        ("3.3.1", "3.5.1"),
+        lambda i: scan_schema_columns(i["columns"]),
+        "sensitive columns",
+        row_local=False,
+    ),
     RuleSpec(
         "retention",
         ("kv",),
@@ -59,7 +77,6 @@ DEFAULT_RULES = (
         "configuration groups without retention",
         row_local=False,
     ),
-    RuleSpec("plain_http", ("urls",), ("4.2.1",), lambda i: scan_plain_http(i["urls"]), "unencrypted addresses"),
     RuleSpec(
         "weak_hash",
         ("lines",),
@@ -68,18 +85,6 @@ DEFAULT_RULES = (
         "weak hashes near sensitive names",
         row_local=False,
     ),
-    RuleSpec("pages", ("pages",), ("6.4.3", "11.6.1"), lambda i: scan_pages(i["pages"]), "script integrity"),
-    RuleSpec("csp_headers", ("responses",), ("6.4.3",), lambda i: scan_csp_headers(i["responses"]), "content policy"),
-    RuleSpec("tls", ("settings",), ("4.2.1",), lambda i: scan_tls_settings(i["settings"]), "TLS settings"),
-    RuleSpec("password_policy", ("settings",), ("8.3.6",), lambda i: scan_password_policy(i["settings"]), "lengths"),
-    RuleSpec(
-        "schema_columns",
-        ("columns",),
-        ("3.3.1", "3.5.1"),
-        lambda i: scan_schema_columns(i["columns"]),
-        "sensitive columns",
-        row_local=False,
-    ),
 )
 
 
@@ -87,20 +92,41 @@ def covered_requirements(rules=DEFAULT_RULES) -> set[str]:
     return {requirement for rule in rules for requirement in rule.requirements}
 
 
+def _attempt(names: str, build: Callable[[], DataFrame]) -> DataFrame | None:
+    try:
+        return as_findings(build())
+    except Exception as error:  # a broken rule must not stop the others
+        log.error("left out %s: %s", names, error)
+        return None
+
+
+def _row_scan(table: DataFrame, specs: list[RuleSpec]) -> list[DataFrame]:
+    """All row rules of one input in one scan; one by one when they do not build together."""
+    together = None
+    if len(specs) > 1:
+        names = ", ".join(spec.name for spec in specs) + " as one scan"
+        together = _attempt(names, lambda: apply_rules(table, [spec.row() for spec in specs]))
+    if together is not None:
+        return [together]
+    alone = [_attempt(spec.name, lambda s=spec: apply_rules(table, [s.row()])) for spec in specs]
+    return [df for df in alone if df is not None]
+
+
 def run_scans(inputs: Inputs, rules=DEFAULT_RULES) -> DataFrame:
     """Union of every rule whose inputs are present.
 
-    A rule that cannot be built on its inputs, say for a missing column, is
-    reported and left out; the others still run. The result is one lazy plan.
+    Row rules over one input share its scan. A rule that cannot be built on its
+    inputs, say for a missing column, is reported and left out; the others
+    still run. The result is one lazy plan.
     """
-    built = []
-    for rule in rules:
-        if not set(rule.needs) <= set(inputs):
-            continue
-        try:
-            built.append(as_findings(rule.build(inputs)))
-        except Exception as error:  # a broken rule must not stop the others
-            log.error("rule %s left out: %s", rule.name, error)
+    ready = [rule for rule in rules if set(rule.needs) <= set(inputs)]
+    built: list[DataFrame] = []
+    for name in dict.fromkeys(rule.needs[0] for rule in ready if rule.row):
+        built += _row_scan(inputs[name], [r for r in ready if r.row and r.needs[0] == name])
+    for rule in ready:
+        if rule.build:
+            made = _attempt(rule.name, lambda r=rule: r.build(inputs))
+            built += [] if made is None else [made]
     if not built:
         raise ValueError("no rule could be built from the given inputs")
     return reduce(DataFrame.unionByName, built)

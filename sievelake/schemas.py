@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -132,6 +134,7 @@ def finding(
     confidence=None,
     triage_hint=None,
     dev_context=None,
+    scanner=None,
 ) -> Column:
     """One rule outcome as a struct, for rules that emit several rows per input row."""
 
@@ -151,20 +154,42 @@ def finding(
         col(confidence).alias("confidence"),
         col(triage_hint).alias("triage_hint"),
         (F.lit(False) if dev_context is None else dev_context).alias("dev_context"),
+        col(scanner).alias("scanner"),
     )
 
 
-def emit(df: DataFrame, scanner: str, outcomes: list[tuple[Column, Column]], keep=()) -> DataFrame:
-    """Explode the outcomes whose condition holds. One pass over `df`, no shuffle.
+def when_true(outcomes: list[tuple[Column, Column]]) -> Column:
+    """Array of the outcomes whose condition holds."""
+    return F.filter(
+        F.array(*[F.when(condition, outcome) for condition, outcome in outcomes]), lambda item: item.isNotNull()
+    )
+
 
-    The conditions are also pushed in front of the explode as one disjunction,
-    so rows without any outcome never build the array.
+@dataclass(frozen=True)
+class RowRule:
+    """A rule that looks at one row at a time.
+
+    `stages` name intermediate columns, level by level, so that a costly value
+    used in several places is computed once. `found` is an array of findings.
     """
-    any_hit = outcomes[0][0]
-    for condition, _ in outcomes[1:]:
-        any_hit = any_hit | condition
-    candidates = F.array(*[F.when(condition, outcome) for condition, outcome in outcomes])
-    hits = F.filter(candidates, lambda item: item.isNotNull())
-    carried = [c for c in ("record_id", "path", "line_no", "col_no", *keep) if c in df.columns]
-    out = df.filter(any_hit).select(*carried, F.explode(hits).alias("_hit"))
-    return out.select(*carried, "_hit.*").withColumn("scanner", F.lit(scanner))
+
+    found: Column
+    stages: tuple[dict[str, Column], ...] = ()
+
+
+PLACE_COLUMNS = ("record_id", "path", "line_no", "col_no")
+
+
+def apply_rules(df: DataFrame, rules: list[RowRule], keep=()) -> DataFrame:
+    """Run any number of row rules in one pass over `df`: no shuffle, one scan."""
+    carried = [c for c in (*PLACE_COLUMNS, *keep) if c in df.columns]
+    for level in range(max(len(rule.stages) for rule in rules)):
+        named = {k: v for rule in rules if level < len(rule.stages) for k, v in rule.stages[level].items()}
+        df = df.withColumns(named)
+    found = rules[0].found if len(rules) == 1 else F.concat(*[rule.found for rule in rules])
+    return df.select(*carried, F.inline(found))
+
+
+def emit(df: DataFrame, scanner: str, outcomes: list[tuple[Column, Column]], keep=()) -> DataFrame:
+    """Rows for the outcomes whose condition holds. One pass over `df`, no shuffle."""
+    return apply_rules(df, [RowRule(when_true(outcomes))], keep).withColumn("scanner", F.lit(scanner))
