@@ -10,7 +10,8 @@ from sievelake.functions.policies import field_class, is_safe_log_field
 from sievelake.functions.text import any_of
 from sievelake.operators.groups import ROWS, join_facts
 from sievelake.operators.payment import is_first_tier, tier_of
-from sievelake.schemas import RowRule, apply_rules, finding, text_list
+from sievelake.schemas import RowRule, apply_rules, finding, text_list, when_true
+from sievelake.sources.logs import log_fields
 
 SCANNER = "audit"
 
@@ -59,7 +60,7 @@ def _normalized(field: Column) -> Column:
 
 
 def _matches(pattern: str):
-    return lambda field: _normalized(field).rlike(pattern)
+    return lambda pair: pair["norm"].rlike(pattern)
 
 
 def audit_field_coverage(records: DataFrame, fields: str = "fields", timestamp_auto: Column | None = None) -> DataFrame:
@@ -71,9 +72,10 @@ def audit_field_coverage(records: DataFrame, fields: str = "fields", timestamp_a
     """
     auto = F.lit(False) if timestamp_auto is None else timestamp_auto
     names = [category for category, _ in fv.AUDIT_FIELD_CATEGORIES]
-    rows = records
+    pairs = F.transform(fields, lambda f: F.struct(f.alias("name"), _normalized(f).alias("norm")))
+    rows = records.withColumn("_pairs", pairs)
     for category, aliases in fv.AUDIT_FIELD_CATEGORIES:
-        matched = F.array_distinct(F.filter(fields, _matches(any_of(aliases))))
+        matched = F.array_distinct(F.filter("_pairs", _matches(any_of(aliases)))["name"])
         if category == "timestamp":
             matched = F.when(auto, F.array_union(text_list(["auto"]), matched)).otherwise(matched)
         rows = rows.withColumn(f"_{category}", matched)
@@ -96,34 +98,32 @@ def audit_field_coverage(records: DataFrame, fields: str = "fields", timestamp_a
         )
         .withColumn("matched", F.map_from_entries(entries))
         .withColumn("missing", missing)
-        .drop(*[f"_{c}" for c in names])
+        .drop("_pairs", *[f"_{c}" for c in names])
     )
 
 
-def log_field_rule(fields: str = "fields", body_sourced: str = "body_sourced") -> RowRule:
-    def one(name: Column) -> Column:
-        kind = field_class(name)
-        severity = F.when(kind.isin("PAN", "SECRET") | F.col(body_sourced), F.lit("HIGH")).otherwise(F.lit("MEDIUM"))
-        related = (
-            F.when(kind == "PAN", text_list(["3.3.1", "3.5.1"]))
-            .when(kind == "SECRET", text_list(["8.6.2"]))
-            .otherwise(text_list([]))
-        )
-        made = finding(
-            "HTTP-INPUT-LOG",
-            severity,
-            "10.2.1",
-            related=related,
-            subject=name,
-            description="Request input is written to a log",
-            suggestion="Mask or drop the field before logging",
-            scanner="logs",
-        )
-        return F.when(~is_safe_log_field(name) & (kind != "GENERIC_ID"), made)
-
-    return RowRule(F.filter(F.transform(F.col(fields), one), lambda item: item.isNotNull()))
+def log_field_rule() -> RowRule:
+    """For rows of `log_fields`; generic identifiers and safe headers are left out."""
+    kind = F.col("_f_class")
+    related = (
+        F.when(kind == "PAN", text_list(["3.3.1", "3.5.1"]))
+        .when(kind == "SECRET", text_list(["8.6.2"]))
+        .otherwise(text_list([]))
+    )
+    made = finding(
+        "HTTP-INPUT-LOG",
+        F.when(kind.isin("PAN", "SECRET") | F.col("body_sourced"), F.lit("HIGH")).otherwise(F.lit("MEDIUM")),
+        "10.2.1",
+        related=related,
+        subject=F.col("field"),
+        description="Request input is written to a log",
+        suggestion="Mask or drop the field before logging",
+        scanner="logs",
+    )
+    found = when_true([(~is_safe_log_field("field") & (kind != "GENERIC_ID"), made)])
+    return RowRule(found, ({"_f_class": field_class("field")},))
 
 
 def scan_log_fields(records: DataFrame, fields: str = "fields", body_sourced: str = "body_sourced") -> DataFrame:
-    """HTTP-INPUT-LOG per logged field; generic identifiers and safe headers are left out."""
-    return apply_rules(records, [log_field_rule(fields, body_sourced)])
+    """HTTP-INPUT-LOG per logged field."""
+    return apply_rules(log_fields(records, fields, body_sourced=body_sourced), [log_field_rule()])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievelake import fixed_values as fv
@@ -17,6 +17,7 @@ from sievelake.functions.cards import (
 from sievelake.functions.text import contains_any, normalize_name
 from sievelake.operators.groups import attach_group_facts
 from sievelake.schemas import RowRule, apply_rules, finding, when_true
+from sievelake.sources.logs import log_fields
 from sievelake.sources.units import to_lines
 
 SCANNER = "cards"
@@ -129,29 +130,23 @@ def scan_pan_columns(columns: DataFrame) -> DataFrame:
     )
 
 
-def log_pan_rule(fields: str = "fields", values: str | None = None) -> RowRule:
-    def one(name: Column, value: Column | None) -> Column:
-        named = is_sensitive_keyword(name)
-        kind = F.when(named, classify_pan_sad(name)).otherwise(F.lit("PAN"))
-        hit = named if value is None else named | F.coalesce(is_likely_pan(extract_digits(value)), F.lit(False))
-        requirement = requirement_for(kind, "logger")
-        made = finding(
-            "PAN-LOGGER",
-            "CRITICAL",
-            requirement["requirement_id"],
-            related=requirement["related"],
-            subject=name,
-            description="Log record carries cardholder data",
-            suggestion="Mask the field or log a token reference",
-            scanner=SCANNER,
-        )
-        return F.when(hit, made)
-
-    if values is None:
-        found = F.transform(F.col(fields), lambda name: one(name, None))
-    else:
-        found = F.zip_with(F.col(fields), F.col(values), one)
-    return RowRule(F.filter(found, lambda item: item.isNotNull()))
+def log_pan_rule() -> RowRule:
+    """For rows of `log_fields`: one logged field each, with its text when known."""
+    named = is_sensitive_keyword("field")
+    numbered = F.coalesce(is_likely_pan(extract_digits("field_value")), F.lit(False))
+    requirement = requirement_for(F.when(named, classify_pan_sad("field")).otherwise(F.lit("PAN")), "logger")
+    made = finding(
+        "PAN-LOGGER",
+        "CRITICAL",
+        F.col("_l_requirement.requirement_id"),
+        related=F.col("_l_requirement.related"),
+        subject=F.col("field"),
+        description="Log record carries cardholder data",
+        suggestion="Mask the field or log a token reference",
+        scanner=SCANNER,
+    )
+    hit = F.col("_l_requirement").isNotNull()
+    return RowRule(when_true([(hit, made)]), ({"_l_requirement": F.when(named | numbered, requirement)},))
 
 
 def scan_log_pan(logs: DataFrame, fields: str = "fields", values: str | None = None) -> DataFrame:
@@ -159,4 +154,4 @@ def scan_log_pan(logs: DataFrame, fields: str = "fields", values: str | None = N
 
     `fields` is an array of names; `values`, if given, an array of their texts.
     """
-    return apply_rules(logs, [log_pan_rule(fields, values)])
+    return apply_rules(log_fields(logs, fields, values), [log_pan_rule()])

@@ -9,7 +9,7 @@ from sievelake import fixed_values as fv
 from sievelake.functions.cards import classify_pan_sad, is_sensitive_keyword
 from sievelake.functions.policies import is_plaintext_type
 from sievelake.functions.text import contains_any, normalize_name
-from sievelake.operators.groups import attach_group_facts, join_lookup
+from sievelake.operators.groups import ROWS, attach_group_facts, join_facts, join_lookup
 from sievelake.schemas import emit, finding
 
 
@@ -98,8 +98,15 @@ def encryption_crossref(findings: DataFrame, encrypted: DataFrame) -> DataFrame:
         findings.withColumn("_table", F.lower("table_name"))
         .withColumn("_column", F.lower("column_name"))
     )
-    joined = join_lookup(joined, marks.withColumn("_encrypted", F.lit(True)), ["_table", "_column"])
-    joined = join_lookup(joined, tables, ["_table"])
+    # Both marks are looked up for distinct columns, and reach the findings in one join.
+    columns = ["_table", "_column"]
+    facts = (
+        joined.groupBy(*columns)
+        .agg(F.count(F.lit(1)).alias(ROWS))
+        .join(marks.withColumn("_encrypted", F.lit(True)), columns, "left")
+        .join(tables, "_table", "left")
+    )
+    joined = join_facts(joined, facts, columns)
     encrypted_flag = F.coalesce(F.col("_encrypted"), F.lit(False))
     dropped = (
         (F.col("rule_id") == "SQL-SENSITIVE-COLUMN")

@@ -18,6 +18,7 @@ from sievelake.operators.schema import scan_schema_columns
 from sievelake.operators.secrets import hardcoded_key_rule, password_rule, secret_rule
 from sievelake.operators.transport import password_policy_rule, tls_rule
 from sievelake.schemas import RowRule, apply_rules, as_findings
+from sievelake.sources.logs import log_fields
 
 log = logging.getLogger(__name__)
 Inputs = Mapping[str, DataFrame]
@@ -27,8 +28,8 @@ Inputs = Mapping[str, DataFrame]
 class RuleSpec:
     """A rule set: what it reads, which requirements it covers, how it makes findings.
 
-    `row` gives a rule over single rows; such rules on one input share a scan.
-    `build` makes a findings DataFrame from the inputs, for everything else.
+    `row` gives a rule over single rows, taken from `prepare(input)` where given;
+    rules with the same input and preparation share a scan. `build` makes a findings DataFrame from the inputs, for everything else.
     """
 
     name: str
@@ -37,6 +38,7 @@ class RuleSpec:
     build: Callable[[Inputs], DataFrame] | None = None
     description: str = ""
     row: Callable[[], RowRule] | None = None
+    prepare: Callable[[DataFrame], DataFrame] | None = None
     row_local: bool = True  # also runs unchanged on a stream
 
 
@@ -46,8 +48,22 @@ DEFAULT_RULES = (
     RuleSpec("secrets", ("kv",), ("8.6.2",), row=secret_rule, description="secrets in configuration"),
     RuleSpec("hardcoded_keys", ("kv",), ("6.2.4",), row=hardcoded_key_rule, description="literal key material"),
     RuleSpec("passwords", ("kv",), ("8.6.2",), row=password_rule, description="literal passwords"),
-    RuleSpec("log_pan", ("logs",), ("3.5.1", "3.3.1"), row=log_pan_rule, description="card data in log records"),
-    RuleSpec("log_fields", ("logs",), ("10.2.1",), row=log_field_rule, description="request input in logs"),
+    RuleSpec(
+        "log_pan",
+        ("logs",),
+        ("3.5.1", "3.3.1"),
+        row=log_pan_rule,
+        prepare=log_fields,
+        description="card data in log records",
+    ),
+    RuleSpec(
+        "log_fields",
+        ("logs",),
+        ("10.2.1",),
+        row=log_field_rule,
+        prepare=log_fields,
+        description="request input in logs",
+    ),
     RuleSpec("tls", ("settings",), ("4.2.1",), row=tls_rule, description="TLS settings"),
     RuleSpec("password_policy", ("settings",), ("8.3.6",), row=password_policy_rule, description="password lengths"),
     RuleSpec("plain_http", ("urls",), ("4.2.1",), lambda i: scan_plain_http(i["urls"]), "unencrypted addresses"),
@@ -121,8 +137,9 @@ def run_scans(inputs: Inputs, rules=DEFAULT_RULES) -> DataFrame:
     """
     ready = [rule for rule in rules if set(rule.needs) <= set(inputs)]
     built: list[DataFrame] = []
-    for name in dict.fromkeys(rule.needs[0] for rule in ready if rule.row):
-        built += _row_scan(inputs[name], [r for r in ready if r.row and r.needs[0] == name])
+    for name, prepare in dict.fromkeys((rule.needs[0], rule.prepare) for rule in ready if rule.row):
+        rows = prepare(inputs[name]) if prepare else inputs[name]
+        built += _row_scan(rows, [r for r in ready if r.row and (r.needs[0], r.prepare) == (name, prepare)])
     for rule in ready:
         if rule.build:
             made = _attempt(rule.name, lambda r=rule: r.build(inputs))

@@ -159,10 +159,8 @@ def finding(
 
 
 def when_true(outcomes: list[tuple[Column, Column]]) -> Column:
-    """Array of the outcomes whose condition holds."""
-    return F.filter(
-        F.array(*[F.when(condition, outcome) for condition, outcome in outcomes]), lambda item: item.isNotNull()
-    )
+    """Array with the outcomes whose condition holds, and null for the others."""
+    return F.array(*[F.when(condition, outcome) for condition, outcome in outcomes])
 
 
 @dataclass(frozen=True)
@@ -170,7 +168,8 @@ class RowRule:
     """A rule that looks at one row at a time.
 
     `stages` name intermediate columns, level by level, so that a costly value
-    used in several places is computed once. `found` is an array of findings.
+    used in several places is computed once. `found` is an array of findings,
+    in which null stands for an outcome that did not occur.
     """
 
     found: Column
@@ -181,13 +180,17 @@ PLACE_COLUMNS = ("record_id", "path", "line_no", "col_no")
 
 
 def apply_rules(df: DataFrame, rules: list[RowRule], keep=()) -> DataFrame:
-    """Run any number of row rules in one pass over `df`: no shuffle, one scan."""
+    """Run any number of row rules in one pass over `df`: no shuffle, one scan.
+
+    Nulls are dropped after the explode: a plain filter stays in generated code,
+    where a filter on the array would evaluate every condition outside it.
+    """
     carried = [c for c in (*PLACE_COLUMNS, *keep) if c in df.columns]
     for level in range(max(len(rule.stages) for rule in rules)):
         named = {k: v for rule in rules if level < len(rule.stages) for k, v in rule.stages[level].items()}
         df = df.withColumns(named)
     found = rules[0].found if len(rules) == 1 else F.concat(*[rule.found for rule in rules])
-    return df.select(*carried, F.inline(found))
+    return df.select(*carried, F.inline(found)).filter(F.col("rule_id").isNotNull())
 
 
 def emit(df: DataFrame, scanner: str, outcomes: list[tuple[Column, Column]], keep=()) -> DataFrame:
