@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -75,27 +77,30 @@ def diff_findings(expected: DataFrame, actual: DataFrame, tolerance: int = fv.LI
 
     Expected rows match within `tolerance` lines, or anywhere in the path for
     line 0; actual rows are unexpected when no expected row shares rule,
-    severity and path. Both sides are made distinct first, and the line test
-    joins on line blocks, so repeated findings do not multiply.
+    severity and path. Both sides are made distinct first. The line test is a
+    semi and an anti join on line blocks over the same shuffles, so repeated
+    findings do not multiply.
     """
     keys = ["rule_id", "severity", "path"]
     want = expected.select(*keys, "line_no").distinct()
     have = actual.select(*keys, "line_no").distinct()
-    width = tolerance + 1
-    block = F.floor(F.col("line_no") / width)
-    probe = want.filter(F.col("line_no") > 0).withColumn(
-        "_block", F.explode(F.array(block - 1, block, block + 1))
+    block = F.floor(F.col("line_no") / (tolerance + 1))
+
+    # Lines within the tolerance lie in the same or a neighbouring block.
+    placed = want.filter(F.col("line_no") > 0).withColumn("_block", block)
+    nearby = have.select(
+        *[F.col(k).alias(f"_{k}") for k in keys],
+        F.col("line_no").alias("_line"),
+        F.explode(F.array(block - 1, block, block + 1)).alias("_near"),
     )
-    lines = have.select(*keys, F.col("line_no").alias("_line"), block.alias("_block"))
     near = (
-        probe.join(lines, [*keys, "_block"])
-        .filter(F.abs(F.col("line_no") - F.col("_line")) <= tolerance)
-        .select(*keys, "line_no")
-        .distinct()
+        reduce(lambda a, b: a & b, [F.col(k) == F.col(f"_{k}") for k in keys])
+        & (F.col("_block") == F.col("_near"))
+        & (F.abs(F.col("line_no") - F.col("_line")) <= tolerance)
     )
-    anywhere = want.filter(F.col("line_no") <= 0).join(have.select(*keys).distinct(), keys, "left_semi")
-    matched = near.unionByName(anywhere)
-    missing = want.join(matched, [*keys, "line_no"], "left_anti")
+    anywhere, paths = want.filter(F.col("line_no") <= 0), have.select(*keys).distinct()
+    matched = placed.join(nearby, near, "left_semi").drop("_block").unionByName(anywhere.join(paths, keys, "left_semi"))
+    missing = placed.join(nearby, near, "left_anti").drop("_block").unionByName(anywhere.join(paths, keys, "left_anti"))
     wanted = want.select(*keys).distinct().withColumn("_wanted", F.lit(True))
     unexpected = join_lookup(have, wanted, keys).filter(F.col("_wanted").isNull())
 

@@ -32,11 +32,9 @@ def scan_available(
     out: str,
     checkpoint: str,
     rules=DEFAULT_RULES,
-    files: str = "*",
 ) -> DataFrame:
-    """Scan the parquet files present in folder `source` in micro-batches, then return the findings table."""
-    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1000).option("pathGlobFilter", files)
-    stream = reader.parquet(source)
+    """Scan the parquet files now present under `source` in micro-batches, then return the findings table."""
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1000).parquet(source)
     findings = scan_stream(prepare(stream), rules)
     query = append_findings(findings, out, checkpoint)
     query.awaitTermination()

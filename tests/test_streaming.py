@@ -29,7 +29,7 @@ def test_stream_equals_batch(spark, tmp_path):
     source = str(tmp_path / "in")
     data.repartition(4).write.parquet(source)
     out, log = scratch_path(spark, "findings"), scratch_path(spark, "log")
-    got = scan_available(spark, source, data.schema, inputs, out, log, files="*.parquet")
+    got = scan_available(spark, source, data.schema, inputs, out, log)
     local = tuple(r for r in DEFAULT_RULES if r.row_local)
     assert rows(got) == rows(run_scans(inputs(data), local)) != []
 
@@ -37,7 +37,7 @@ def test_stream_equals_batch(spark, tmp_path):
     before = got.count()
     one = data.filter("record_id = '1'")
     one.write.mode("append").parquet(source)
-    more = scan_available(spark, source, data.schema, inputs, out, log, files="*.parquet")
+    more = scan_available(spark, source, data.schema, inputs, out, log)
     assert more.count() == before + run_scans(inputs(one), local).count()
 
 

@@ -456,6 +456,7 @@ add(
 SELECT adv_id, package, 0 AS range_no, 0 AS event_no, introduced, CAST(NULL AS VARCHAR) AS fixed FROM v_advisories
 UNION ALL SELECT adv_id, package, 0, 1, NULL, fixed FROM v_advisories WHERE fixed IS NOT NULL""",
 )
+add("sink01_write_findings", "SELECT ord, rule_id, severity, path, line_no FROM v_findings_bulk")
 add("sink01_findings_json", "SELECT ord, rule_id, severity, path FROM v_findings_bulk")
 
 # ---- scalar functions ---------------------------------------------------------
@@ -1210,7 +1211,7 @@ add(
     """
 SELECT l.severity, count(f.rule_id) AS n
 FROM (VALUES ('CRITICAL'), ('HIGH'), ('MEDIUM'), ('LOW'), ('INFO')) AS l(severity)
-LEFT JOIN v_findings_bulk f ON f.severity = l.severity AND f.rule_id <> 'DEP-VULN' GROUP BY l.severity""",
+LEFT JOIN v_findings_bulk f ON f.severity = l.severity GROUP BY l.severity""",
 )
 add(
     "a02_rule_histogram",

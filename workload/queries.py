@@ -267,6 +267,14 @@ def _(spark, sf):
     return rows.select(back.alias("_f")).select("_f.*")
 
 
+@query("sink01_write_findings")
+def _(spark, sf):
+    """Findings written by severity below the shared folder and read back."""
+    out = scratch_path(spark, "written")
+    sinks.write_findings(bulk(spark, sf).select("ord", "rule_id", "severity", "path", "line_no"), out)
+    return spark.read.parquet(out)
+
+
 # ---- scalar functions ---------------------------------------------------------
 
 
@@ -845,7 +853,7 @@ def _(spark, sf):
 
 @query("a01_severity_counts")
 def _(spark, sf):
-    return summary.severity_counts(bulk(spark, sf).filter(F.col("rule_id") != "DEP-VULN"))
+    return summary.severity_counts(bulk(spark, sf))
 
 
 @query("a02_rule_histogram")
@@ -1058,14 +1066,14 @@ def _(spark, sf):
             )
         }
 
+    # The pattern fits a single file and a folder of part files.
     found = scan_available(
         spark,
-        sf,
+        f"{sf}/events.parquet*",
         table(spark, sf, "events").schema,
         prepare,
         scratch_path(spark, "findings"),
         scratch_path(spark, "stream"),
-        files="events.parquet*",
     )
     return flat(found)
 

@@ -27,7 +27,7 @@ SELECT p_partkey AS record_id,
                ELSE '.yaml' END AS path,
        (p_partkey * 7919) % 12000000 AS n_bytes
 FROM part""",
-    "v_manifest": "SELECT path FROM v_paths WHERE record_id % 5 <> 0",
+    "v_manifest": "SELECT path FROM v_paths WHERE n_bytes < 9600000",
     "v_kv": """
 SELECT p.p_partkey AS record_id, v.path AS path, p.p_size AS line_no,
        'svc' || CAST(p.p_partkey % 40 AS STRING) || '.'
