@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from sievelake import fixed_values as fv
 from sievelake.functions.text import any_of
 from sievelake.operators.groups import join_lookup
+from sievelake.session import cut_lineage
+
+# Widened to five lines of about sixty bytes each, this many places are about 60 MB.
+MAX_BROADCAST_PLACES = 200_000
 
 
 def transit_downgrade(findings: DataFrame, flow: DataFrame, node: str = "node") -> DataFrame:
@@ -40,20 +44,28 @@ def transit_downgrade(findings: DataFrame, flow: DataFrame, node: str = "node")
     )
 
 
-def snippets(findings: DataFrame, lines: DataFrame, radius: int = fv.SNIPPET_RADIUS) -> DataFrame:
+def snippets(
+    findings: DataFrame,
+    lines: DataFrame,
+    radius: int = fv.SNIPPET_RADIUS,
+    max_broadcast_places: int = MAX_BROADCAST_PLACES,
+) -> DataFrame:
     """(record_id, line_no, code_snippet) per distinct finding place.
 
-    Places are widened to the few line numbers they need and joined to the
-    lines by equality, so the cost follows the findings and not the text, and
-    each result gathers at most 2 * radius + 1 lines. Places without a line are
-    left out.
+    Places are written once, counted, and widened to the few line numbers they
+    need. Up to `max_broadcast_places` of them are sent to the lines, so the
+    text itself is not shuffled; more are joined by equality on both sides. Each
+    result gathers at most 2 * radius + 1 lines. Places without a line are left
+    out.
     """
-    places = findings.select("record_id", "line_no").filter(F.col("line_no") >= 1).distinct()
+    places = cut_lineage(findings.select("record_id", "line_no").filter(F.col("line_no") >= 1).distinct())
     wanted = places.select(
         "record_id",
         "line_no",
         F.explode(F.sequence(F.greatest(F.col("line_no") - radius, F.lit(1)), F.col("line_no") + radius)).alias("_at"),
     )
+    if places.count() <= max_broadcast_places:
+        wanted = F.broadcast(wanted)
     text = lines.select(F.col("record_id").alias("_record"), F.col("line_no").alias("_no"), F.col("line").alias("_text"))
     found = wanted.join(text, (F.col("record_id") == F.col("_record")) & (F.col("_at") == F.col("_no")))
     gap = F.col("_at") - F.col("line_no")

@@ -439,10 +439,11 @@ def test_transit(spark):
     assert got == {1: ("HIGH", "high", "stored"), 2: info, 4: keep, 5: info, 6: info, 7: keep, 8: keep, 9: keep}
 
 
-def test_snippets(spark):
+@pytest.mark.parametrize("max_places", [0, 1000])
+def test_snippets(spark, max_places):
     lines = spark.createDataFrame([("r", i, f"l{i}") for i in range(1, 6)], "record_id string, line_no int, line string")
     df = spark.createDataFrame([("r", 1), ("r", 3), ("r", 3), ("r", 5), ("r", 6), ("r", 0), ("q", 1)], "record_id string, line_no int")
-    got = {r.line_no: tuple(r.code_snippet) for r in context.snippets(df, lines).collect()}
+    got = {r.line_no: tuple(r.code_snippet) for r in context.snippets(df, lines, max_broadcast_places=max_places).collect()}
     assert got == {1: ("", "l1", "l2\nl3"), 3: ("l1\nl2", "l3", "l4\nl5"), 5: ("l3\nl4", "l5", "")}
 
 

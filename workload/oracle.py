@@ -697,12 +697,19 @@ WHERE {likely_pan('t')}"""
 add("r01_scan_pan_literals", R01, ("text_lines", TEXT_LINES))
 
 DIGITS = "regexp_replace(value, '[^0-9]', '', 'g')"
-R02 = f"""
+
+
+def kv_pan_sql(source: str) -> str:
+    return f"""
 SELECT {found("'PAN-LITERAL'", "'CRITICAL'", "'3.4.1'", "record_id", "path", "line_no", "key")}
-FROM v_kv WHERE {likely_pan(DIGITS)}
+FROM {source} WHERE {likely_pan(DIGITS)}
 UNION ALL SELECT {found("'PAN-KEYWORD'", "'HIGH'", "'3.3.1'", "record_id", "path", "line_no", "key", "'3.3.1.2'")}
-FROM v_kv WHERE {sensitive('key')} AND value <> ''"""
-add("r02_scan_kv_pan", R02)
+FROM {source} WHERE {sensitive('key')} AND value <> ''"""
+
+
+R02 = kv_pan_sql("v_kv")
+ENV_FORM = f"SELECT * FROM v_kv UNION ALL SELECT record_id, path, line_no, upper({last('key')}) AS key, value FROM v_kv"
+add("r02_scan_kv_pan", kv_pan_sql("env_form"), ("env_form", ENV_FORM))
 
 R03 = f"""
 SELECT {found("'PAN-KEYWORD'", "CASE WHEN bank THEN 'INFO' WHEN payment >= 2 THEN 'CRITICAL' ELSE 'HIGH' END", "CASE WHEN k = 'PAN' THEN '3.5.1' ELSE '3.3.1' END", "table_name", "table_name", "ordinal", "table_name || '.' || column_name", "CASE WHEN k = 'PAN' THEN '' ELSE '3.3.1.2' END", "false", "CASE WHEN bank THEN 'banking_domain' ELSE '' END")}

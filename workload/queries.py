@@ -576,7 +576,10 @@ def _(spark, sf):
 
 @query("r02_scan_kv_pan")
 def _(spark, sf):
-    return flat(card_scans.scan_kv_pan(kv(spark, sf)))
+    """Dotted keys and the same rows as environment variables, whose whole name can be sensitive."""
+    dotted = kv(spark, sf)
+    variables = dotted.withColumn("key", F.upper(text.last_segment("key")))
+    return flat(card_scans.scan_kv_pan(dotted.unionByName(variables)))
 
 
 @query("r03_scan_pan_columns")
