@@ -45,7 +45,7 @@ def parent_key(key: Column | str) -> Column:
 
 def strip(value: Column) -> Column:
     """Trim blanks, tabs and line ends on both sides."""
-    return F.regexp_replace(value, r"^[ \t\r\n\f]+|[ \t\r\n\f]+$", "")
+    return F.btrim(value, F.lit(" \t\r\n\f"))
 
 
 def base_name(path: Column) -> Column:

@@ -23,7 +23,6 @@ def extract_kv(lines: DataFrame) -> DataFrame:
     """`KEY=VALUE` lines as KV rows: comments, blanks and empty values are dropped."""
     body = strip(F.col("line"))
     body = F.when(body.startswith("export "), strip(F.substr(body, F.lit(8)))).otherwise(body)
-    cut = F.instr(body, "=")
     rows = (
         lines.filter(F.col("line").contains("=") & ~strip(F.col("line")).startswith("#"))
         .select("record_id", "path", "line_no", body.alias("_body"))

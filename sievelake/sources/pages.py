@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,14 +31,17 @@ def tag_attributes(html: Column, names: str) -> Column:
 
 
 def attribute(attrs: Column, name: str) -> Column:
-    """Unquoted value of an attribute; '' when bare, null when absent. The last one counts."""
+    """Unquoted value of an attribute; '' when bare, null when absent. The last one counts.
+
+    Attribute text that never spells the name is not taken apart.
+    """
     names = F.regexp_extract_all(attrs, F.lit(ATTRIBUTE), 1)
     values = F.regexp_extract_all(attrs, F.lit(ATTRIBUTE), 2)
     pairs = F.filter(
         F.arrays_zip(names.alias("name"), values.alias("value")), lambda p: F.lower(p["name"]) == name
     )
     raw = F.try_element_at(pairs, F.lit(-1))["value"]
-    return F.regexp_replace(raw, """^["']|["']$""", "")
+    return F.when(attrs.rlike(f"(?i){re.escape(name)}"), F.regexp_replace(raw, """^["']|["']$""", ""))
 
 
 def script_elements(html: Column) -> Column:
@@ -90,7 +95,8 @@ def payment_form(html: Column) -> Column:
         hit = F.lit(False)
         for name in fv.PAYMENT_FORM_ATTRIBUTES:
             hit = hit | F.coalesce(attribute(attrs, name).rlike(words), F.lit(False))
-        return hit
+        # The words must occur somewhere in the tag before its attributes are read.
+        return attrs.rlike(words) & hit
 
     found = F.exists(tag_attributes(without_script_bodies(html), "form|input"), names_payment)
     return F.coalesce(F.when(html.rlike("(?i)<(form|input)"), found), F.lit(False))
