@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sievelake import fixed_values as fv
 from sievelake.functions.severity import severity_rank
-from sievelake.functions.text import any_of, base_name, col, extension, has_segment
+from sievelake.functions.text import any_of, base_name, col, extension, has_segment, look_up
 
 
 def is_prod_path(path: Column) -> Column:
@@ -60,19 +60,10 @@ def dev_context(path: Column | str, value: Column | str, severity: Column | str)
 
 def file_location(path: Column | str) -> Column:
     """Label of the first segment that names a known kind of folder; '' if none."""
-
-    def label(segment: Column) -> Column:
-        result = None
-        for names, text in fv.LOCATION_LABELS:
-            hit = segment.isin(names)
-            result = F.when(hit, F.lit(text)) if result is None else result.when(hit, F.lit(text))
-        return result
-
-    labels = F.filter(
-        F.transform(F.split(F.lower(col(path)), "/"), label),
-        lambda found: found.isNotNull(),
-    )
-    return F.coalesce(F.get(labels, F.lit(0)), F.lit(""))
+    labels = {name: label for names, label in fv.LOCATION_LABELS for name in names}
+    # The leftmost match is the first such segment.
+    first = F.regexp_extract(F.lower(col(path)), rf"(^|/)({any_of(labels)})(/|$)", 2)
+    return look_up(first, labels, "")
 
 
 def glob_regex(pattern: str) -> str:
@@ -122,11 +113,8 @@ def link_window(line_no: Column | str, radius: int = fv.LINK_RADIUS) -> Column:
 
 
 def mime_type(path: Column | str) -> Column:
-    ext = extension(col(path))
-    result = None
-    for names, mime in fv.MIME_TYPES:
-        result = F.when(ext.isin(names), F.lit(mime)) if result is None else result.when(ext.isin(names), F.lit(mime))
-    return result.otherwise(F.lit(fv.DEFAULT_MIME))
+    types = {ext: mime for exts, mime in fv.MIME_TYPES for ext in exts}
+    return look_up(extension(col(path)), types, fv.DEFAULT_MIME)
 
 
 def is_payment_path(path: Column | str) -> Column:

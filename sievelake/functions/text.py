@@ -55,3 +55,9 @@ def base_name(path: Column) -> Column:
 def extension(path: Column) -> Column:
     """Lower-cased extension with its dot; empty when there is none."""
     return F.lower(F.regexp_extract(path, r"(\.[^./]*)$", 1))
+
+
+def look_up(key: Column, table: dict[str, str], default: str) -> Column:
+    """Value of a small fixed table; the key expression is evaluated once."""
+    pairs = [F.lit(item) for pair in table.items() for item in pair]
+    return F.coalesce(F.try_element_at(F.create_map(*pairs), key), F.lit(default))

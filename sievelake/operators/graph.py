@@ -1,4 +1,4 @@
-"""Reachability and connected components as joins with reliable checkpoints."""
+"""Reachability and connected components as joins, with every round written to the shared folder."""
 
 from __future__ import annotations
 
@@ -39,10 +39,11 @@ def flow_reaches(edges: DataFrame, sources: DataFrame, sinks: DataFrame, max_hop
 
 def _fact_join(links: DataFrame, key: str, hot_rows: int):
     """How to join one row per key onto the links: the careful way only if some key is hot."""
-    counts = cut_lineage(links.groupBy(key).agg(F.count(F.lit(1)).alias(ROWS)))
+    counts = links.groupBy(key).agg(F.count(F.lit(1)).alias(ROWS))
     if counts.filter(F.col(ROWS) > hot_rows).isEmpty():
         return lambda facts: links.join(facts, key)
-    return lambda facts: join_facts(links, facts.join(counts, key), [key], hot_rows)
+    kept = cut_lineage(counts)
+    return lambda facts: join_facts(links, facts.join(kept, key), [key], hot_rows)
 
 
 def components(links: DataFrame, max_rounds: int = 60, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -55,7 +56,7 @@ def components(links: DataFrame, max_rounds: int = 60, hot_rows: int = HOT_ROWS)
     task. Rounds grow with the logarithm of the longest chain.
     """
     links = cut_lineage(links.select("member", "token").distinct())
-    labels = cut_lineage(links.groupBy("member").agg(F.min("member").alias("label")))
+    labels = links.select("member").distinct().withColumn("label", F.col("member"))
     joins = {key: _fact_join(links, key, hot_rows) for key in ("member", "token")}
     for _ in range(max_rounds):
         of_token = joins["member"](labels).groupBy("token").agg(F.min("label").alias("low"))

@@ -58,9 +58,12 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: later steps read files that outlive any executor."""
+    """Write `df` below the shared folder and continue from the files.
+
+    Later steps read files that outlive any executor. Unlike checkpoint(), the
+    plan runs once, and the files bring their size into later join planning.
+    """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+    path = scratch_path(spark, "step")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
