@@ -7,10 +7,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_module
+from workload.oracle import ORACLE
+from workload.queries import QUERIES
 from workload.views import TABLES
 
-QUERIES, ORACLE = entry_module.queries(), entry_module.oracle_sql()
-
 
 @pytest.fixture(scope="module")
 def engine(sf_dir):
@@ -40,6 +40,7 @@ def test_query_matches_sql(spark, engine, sf_dir, name):
 
 def test_every_query_has_sql():
     assert set(ORACLE) == set(QUERIES)
+    assert set(QUERIES) <= set(entry_module.queries()) and set(ORACLE) <= set(entry_module.oracle_sql())
 
 
 def test_flagship(spark):
