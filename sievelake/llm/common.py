@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A group of this many rows is sorted by one task; larger groups are cut into bins of about this size.
-ROWS_PER_BIN = 50_000
+ROWS_PER_BIN = 10_000
 
 
 def ship(spark: SparkSession) -> None:

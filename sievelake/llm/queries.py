@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 
 from sievelake.llm.common import pick, ship
 from sievelake.llm.mixing import mix
+from sievelake.llm.packing import pack
 from sievelake.llm.sharding import interleave
 from sievelake.session import cut_lineage
 
 #: Words are runs of characters other than space, tab and the line controls.
 WORD = r"[^\x20\x09-\x0D]+"
 SHARDS = 24
+#: Packing: tokens of a sequence, and of the quanta that sources send.
+SEQUENCE, QUANTUM = 1024, 128
 #: Production mixture: share of all tokens, epochs a source may be repeated, and weights.
 MIX_SHARE, MIX_EPOCHS = 0.9, 2
 LANGUAGE_WEIGHTS = {"en": 4.0, "de": 2.0, "es": 2.0, "fr": 2.0}
@@ -36,6 +39,19 @@ def mix_weights() -> list:
     return [F.lit(1.0), language, F.lit(1.0)]
 
 
+def vocabulary(name: str) -> str:
+    """Where a public tokenizer's file is; the package lies on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "source")
+    packed = pack(docs, vocabulary("byte_bpe_50k.json"), end_id=0, window=SEQUENCE, quantum=QUANTUM)
+    return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
 def op9_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "source")
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -59,6 +75,7 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_pack": op2_pack,
     "op9_interleave": op9_interleave,
     "op10_mix": op10_mix,
 }

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from sievelake.llm.common import ROWS_PER_BIN, bins_for, group_key, hash_bin, running, seeded_order
 
-ADDED = ["_source_rows", "_fraction", "_place", "_rows"]
 
 
 def interleave(
