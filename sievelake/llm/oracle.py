@@ -91,4 +91,24 @@ UNION ALL
 SELECT doc_id, lang_0, source_0, n_tokens, whole::INTEGER, least(n_tokens, rest - start) FROM part WHERE start < rest AND (n_tokens > 0 OR whole = 0)
 """
 
-ORACLE = {"op9_interleave": OP9, "op10_mix": OP10}
+OP4 = """
+WITH RECURSIVE words AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+'), []) AS w
+  FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) >= 4 THEN list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')))
+                      WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s
+  FROM words
+), items AS (SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM sets),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM items a JOIN items b ON a.shingle = b.shingle AND a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), reach AS (
+  SELECT doc_id, doc_id AS near FROM sets
+  UNION SELECT r.doc_id, CASE WHEN l.a = r.near THEN l.b ELSE l.a END FROM reach r JOIN links l ON r.near IN (l.a, l.b)
+)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, low AS component_id, doc_id = low AS kept
+FROM sets JOIN (SELECT doc_id, min(near) AS low FROM reach GROUP BY doc_id) USING (doc_id)
+"""
+
+ORACLE = {"op4_near_duplicates": OP4, "op9_interleave": OP9, "op10_mix": OP10}

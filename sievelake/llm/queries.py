@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sievelake.llm.common import pick, ship
 from sievelake.llm.mixing import mix
+from sievelake.llm.near_dups import near_duplicates
 from sievelake.llm.packing import pack
 from sievelake.llm.sharding import interleave
 from sievelake.session import cut_lineage
@@ -52,6 +53,10 @@ def op2_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), shingle=4, percent=80)
+
+
 def op9_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "source")
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -76,6 +81,7 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_pack": op2_pack,
+    "op4_near_duplicates": op4_near_duplicates,
     "op9_interleave": op9_interleave,
     "op10_mix": op10_mix,
 }
