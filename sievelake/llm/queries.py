@@ -9,6 +9,7 @@ from sievelake.llm.common import pick, ship
 from sievelake.llm.mixing import mix
 from sievelake.llm.near_dups import near_duplicates
 from sievelake.llm.packing import pack
+from sievelake.llm.quality import quality_rules
 from sievelake.llm.sharding import interleave
 from sievelake.session import cut_lineage
 
@@ -53,6 +54,16 @@ def op2_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def trusted_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents labelled as good and not toxic."""
+    return table(spark, sf_dir, "labels", "doc_id", "quality", "toxic").filter("quality = 1 AND toxic = 0").select("doc_id")
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules(table(spark, sf_dir, "documents", "doc_id", "text"), trusted_documents(spark, sf_dir))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "ratio")
+
+
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), shingle=4, percent=80)
 
@@ -81,6 +92,7 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_pack": op2_pack,
+    "op3_quality_rules": op3_quality_rules,
     "op4_near_duplicates": op4_near_duplicates,
     "op9_interleave": op9_interleave,
     "op10_mix": op10_mix,
