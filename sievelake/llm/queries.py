@@ -10,6 +10,7 @@ from sievelake.llm.mixing import mix
 from sievelake.llm.near_dups import near_duplicates
 from sievelake.llm.packing import pack
 from sievelake.llm.quality import quality_rules
+from sievelake.llm.secrets import scan_secrets
 from sievelake.llm.sharding import interleave
 from sievelake.session import cut_lineage
 
@@ -17,7 +18,7 @@ from sievelake.session import cut_lineage
 WORD = r"[^\x20\x09-\x0D]+"
 SHARDS = 24
 #: Packing: tokens of a sequence, and of the quanta that sources send.
-SEQUENCE, QUANTUM = 1024, 128
+SEQUENCE, QUANTUM = 1024, 256
 #: Production mixture: share of all tokens, epochs a source may be repeated, and weights.
 MIX_SHARE, MIX_EPOCHS = 0.9, 2
 LANGUAGE_WEIGHTS = {"en": 4.0, "de": 2.0, "es": 2.0, "fr": 2.0}
@@ -48,6 +49,13 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A source is an owner, and its documents in one language are a repository."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source")
+    found = scan_secrets(docs, repository=["source", "lang"], owner=["source"])
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_live", "n_example")
+
+
 def op2_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "source")
     packed = pack(docs, vocabulary("byte_bpe_50k.json"), end_id=0, window=SEQUENCE, quantum=QUANTUM)
@@ -91,6 +99,7 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_secret_scan": op1_secret_scan,
     "op2_pack": op2_pack,
     "op3_quality_rules": op3_quality_rules,
     "op4_near_duplicates": op4_near_duplicates,
