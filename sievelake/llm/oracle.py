@@ -111,4 +111,19 @@ SELECT doc_id, len(s)::BIGINT AS n_shingles, low AS component_id, doc_id = low A
 FROM sets JOIN (SELECT doc_id, min(near) AS low FROM reach GROUP BY doc_id) USING (doc_id)
 """
 
-ORACLE = {"op4_near_duplicates": OP4, "op9_interleave": OP9, "op10_mix": OP10}
+OP5 = """
+WITH words AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), []) AS w FROM documents),
+windows AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS run FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM words)
+), later AS (SELECT doc_id, i FROM windows QUALIFY row_number() OVER (PARTITION BY run ORDER BY doc_id, i) > 1),
+gone AS (SELECT DISTINCT doc_id, i + j AS pos FROM later, (SELECT unnest(range(20)) AS j)),
+each AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM words),
+kept AS (
+  SELECT doc_id, count(g.pos) AS n_removed, string_agg(word, ' ' ORDER BY pos) FILTER (WHERE g.pos IS NULL) AS rest
+  FROM each LEFT JOIN gone g USING (doc_id, pos) GROUP BY doc_id
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(rest, '')) AS kept_sha256
+FROM words LEFT JOIN kept USING (doc_id)
+"""
+
+ORACLE = {"op5_without_repeats": OP5, "op4_near_duplicates": OP4, "op9_interleave": OP9, "op10_mix": OP10}

@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievelake.llm.common import ROWS_PER_BIN, bins_for, group_key, running
-from sievelake.llm.tokens import encoder
-from sievelake.llm.words import pieces
+from sievelake.llm.tokens import encoder, with_end
+from sievelake.llm.words import pieces, text_bytes
 from sievelake.session import cut_lineage
 
 
@@ -28,14 +28,16 @@ def token_streams(df: DataFrame, key: str, text: str, source: str, vocabulary: s
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, part, met = encoder(vocabulary), TaskContext.get().partitionId(), {}
         for batch in pieces(batches, "_text"):
-            ids, at = tokens.encode(batch.column("_text").to_pylist())
-            before, blobs = [], []
-            for k, name in enumerate(batch.column("_source").to_pylist()):
-                blobs.append(np.append(ids[at[k] : at[k + 1]], end_id).astype("<u4").tobytes())
+            data, offsets = text_bytes(batch.column("_text"))
+            texts = [data[offsets[k] : offsets[k + 1]].tobytes() for k in range(batch.num_rows)]
+            ids, at = with_end(*tokens.encode(texts), end_id)
+            before = []
+            for name, n in zip(batch.column("_source").to_pylist(), np.diff(at).tolist(), strict=True):
                 before.append(met.get(name, 0))
-                met[name] = before[-1] + int(at[k + 1] - at[k]) + 1
+                met[name] = before[-1] + n
+            blobs = pa.LargeBinaryArray.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer((4 * at).astype(np.int64)), pa.py_buffer(ids.astype("<u4"))])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("_key"), batch.column("_source"), pa.array([part] * len(before), pa.int32()), pa.array(before, pa.int64()), pa.array(np.diff(at) + 1, pa.int64()), pa.array(blobs, pa.binary())],
+                [batch.column("_key"), batch.column("_source"), pa.array([part] * len(before), pa.int32()), pa.array(before, pa.int64()), pa.array(np.diff(at)), blobs.cast(pa.binary())],
                 names=["_key", "_source", "_part", "_before", "_n", "_ids"],
             )
 
@@ -81,7 +83,7 @@ def pack(
     vocabulary: str,
     end_id: int = 0,
     window: int = 1024,
-    quantum: int = 128,
+    quantum: int = 256,
     targets: dict[str | None, float] | None = None,
     key: str = "doc_id",
     text: str = "text",

@@ -10,6 +10,7 @@ from sievelake.llm.mixing import mix
 from sievelake.llm.near_dups import near_duplicates
 from sievelake.llm.packing import pack
 from sievelake.llm.quality import quality_rules
+from sievelake.llm.repeats import without_repeats
 from sievelake.llm.secrets import scan_secrets
 from sievelake.llm.sharding import interleave
 from sievelake.session import cut_lineage
@@ -76,6 +77,10 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), shingle=4, percent=80)
 
 
+def op5_without_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_repeats(table(spark, sf_dir, "documents", "doc_id", "text"), n=20)
+
+
 def op9_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "source")
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -103,6 +108,7 @@ QUERIES = {
     "op2_pack": op2_pack,
     "op3_quality_rules": op3_quality_rules,
     "op4_near_duplicates": op4_near_duplicates,
+    "op5_without_repeats": op5_without_repeats,
     "op9_interleave": op9_interleave,
     "op10_mix": op10_mix,
 }

@@ -34,41 +34,47 @@ def _byte_letters() -> list[str]:
 
 
 class _Memory(dict):
-    """Word to its number; the ids of word k are pool[start[k] : start[k + 1]]."""
+    """Word to its number; the ids of word k are numbers start[k] to start[k + 1] of the pool."""
 
     def __init__(self, ids_of):
         super().__init__()
-        self.ids_of, self.pool, self.start = ids_of, array("i"), array("q", [0])
+        self.ids_of, self.pool, self.start = ids_of, bytearray(), array("q", [0])
 
     def __missing__(self, word: bytes) -> int:
-        self.pool.extend(self.ids_of(word))
-        self.start.append(len(self.pool))
+        self.pool += self.ids_of(word)
+        self.start.append(len(self.pool) >> 2)
         self[word] = k = len(self.start) - 2
         return k
 
 
 class Encoder:
-    """encode() gives the ids that the library gives for whole texts without added special tokens."""
+    """encode() gives the ids that the library gives for whole texts without added special tokens.
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    Ids are kept as the bytes of 32-bit numbers.
+    """
+
+    def __init__(self, path: str, most: int = 700_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.spaced = self.tokenizer.normalizer is None  # a word's ids depend on the space before it
         self.model, self.letters = self.tokenizer.model, _byte_letters()
-        self.runs: dict[bytes, list[int]] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.runs: dict[bytes, bytes] = {}
         self.memory = _Memory(self._word)
 
-    def _whole(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+    def _whole(self, text: str) -> bytes:
+        return array("i", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _run(self, run: bytes) -> list[int]:
+    def _run(self, run: bytes) -> bytes:
         """Ids of a run of letters, with or without a space before it, or of marks."""
         shown = run.decode() if run.isascii() and run[:1] > b" " else "".join([self.letters[b] for b in run])
-        ids = self.runs[run] = [t.id for t in self.model.tokenize(shown)]
+        ids = self.runs[run] = array("i", [t.id for t in self.model.tokenize(shown)]).tobytes()
         return ids
 
-    def _word(self, word: bytes) -> list[int]:
+    def _word(self, word: bytes) -> bytes:
         head, word = (b"\n", word[1:]) if word[:1] == b"\n" else (b"", word)
         run = word.rstrip(_MARKS)
         marks = word[len(run) :]
@@ -79,16 +85,15 @@ class Encoder:
             if not _PLAIN.fullmatch(run):
                 return self._whole((head + word).decode())
             ids = self._run(run)
-        for part, before in ((head, True), (marks, False)):
-            if part:
-                more = self.runs.get(part) or self._run(part)
-                ids = more + ids if before else ids + more
+        if head:
+            ids = (self.runs.get(head) or self._run(head)) + ids
+        if marks:
+            ids += self.runs.get(marks) or self._run(marks)
         return ids
 
-    def _cut(self, text: str) -> list[bytes] | None:
+    def _cut(self, data: bytes) -> list[bytes] | None:
         """Words with the space or line feed before each (without, where that changes nothing); None if cuts may depend on more."""
-        data = text.encode()
-        if b"<|" in data or (data.translate(None, _HARMLESS) and _ODD.search(text)):
+        if b"<|" in data or (data.translate(None, _HARMLESS) and _ODD.search(data.decode())):
             return None
         if not self.spaced:
             return data.split()
@@ -99,30 +104,28 @@ class Encoder:
         words = [w if w[:1] == b"\n" else b" " + w for w in words[1:]]
         return [head, *words] if head else words
 
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts end to end, and where each text's ids start."""
+    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (UTF-8) end to end, and where each text's ids start."""
         if len(self.memory) > self.most:
-            self.memory, self.runs = _Memory(self._word), {}
+            self._forget()
         numbers, counts, whole = [], [], {}
-        for k, text in enumerate(texts):
-            text = text or ""
-            words = self._cut(text)
+        for k, data in enumerate(texts):
+            words = self._cut(data)
             if words is None:
-                whole[k] = self._whole(text)
+                whole[k] = np.frombuffer(self._whole(data.decode()), np.int32)
                 counts.append(0)
             else:
                 counts.append(len(words))
                 numbers.append(np.fromiter(map(self.memory.__getitem__, words), np.int64, len(words)))
         ids, per_text = self._gather(np.concatenate(numbers) if numbers else np.zeros(0, np.int64), np.array(counts, np.int64))
+        at = np.concatenate([[0], np.cumsum(per_text)])
         if not whole:
-            return ids, np.concatenate([[0], np.cumsum(per_text)])
-        at, parts = np.concatenate([[0], np.cumsum(per_text)]), []
-        for k in range(len(texts)):
-            parts.append(np.array(whole[k], np.int32) if k in whole else ids[at[k] : at[k + 1]])
+            return ids, at
+        parts = [whole[k] if k in whole else ids[at[k] : at[k + 1]] for k in range(len(texts))]
         return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
 
     def _gather(self, numbers: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        pool, start = np.array(self.memory.pool, np.int32), np.array(self.memory.start, np.int64)
+        pool, start = np.frombuffer(self.memory.pool, np.int32), np.frombuffer(self.memory.start, np.int64)
         lengths = start[numbers + 1] - start[numbers]
         ends = np.cumsum(lengths)
         where = np.repeat(start[numbers] - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
@@ -131,6 +134,11 @@ class Encoder:
         return pool[where], np.diff(edges)
 
 
+def with_end(ids: np.ndarray, at: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same with an end id behind each text's ids."""
+    return np.insert(ids, at[1:], end_id), at + np.arange(len(at))
+
+
 def encoder(path: str) -> Encoder:
     """One encoder for each vocabulary file and worker process."""
     if path not in _LOADED:
