@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievelake.llm.common import pick, ship
+from sievelake.llm.gif import read_gifs, store_gifs
 from sievelake.llm.mixing import mix
 from sievelake.llm.near_dups import near_duplicates
 from sievelake.llm.packing import pack
@@ -81,6 +82,23 @@ def op5_without_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeats(table(spark, sf_dir, "documents", "doc_id", "text"), n=20)
 
 
+def op6_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts stored as grey animations in the shared folder, read back and looked at."""
+    stored = cut_lineage(store_gifs(table(spark, sf_dir, "documents", "doc_id", "text")))
+    shown = read_gifs(stored, channels=1)
+    bins = F.transform("frames", lambda f: F.concat(f["delay_ms"].cast("string"), F.lit("ms "), f["height"].cast("string"), F.lit(" "), F.array_join(F.slice(f["histogram"], 1, 8), "/")))
+    return shown.select(
+        F.col("key").alias("doc_id"),
+        "n_bytes",
+        F.octet_length("samples").cast("long").alias("payload_bytes"),
+        F.sha2("samples", 256).alias("payload_sha256"),
+        F.crc32(F.substring("samples", -16, 16)).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        F.array_join(bins, ";").alias("feature"),
+    )
+
+
 def op9_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "source")
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -109,6 +127,7 @@ QUERIES = {
     "op3_quality_rules": op3_quality_rules,
     "op4_near_duplicates": op4_near_duplicates,
     "op5_without_repeats": op5_without_repeats,
+    "op6_gif": op6_gif,
     "op9_interleave": op9_interleave,
     "op10_mix": op10_mix,
 }
