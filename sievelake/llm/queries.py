@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sievelake.llm.common import pick, ship
 from sievelake.llm.gif import read_gifs, store_gifs
+from sievelake.llm.idfiles import id_segments, read_ids
 from sievelake.llm.mixing import mix
 from sievelake.llm.near_dups import near_duplicates
 from sievelake.llm.packing import pack
@@ -99,6 +100,12 @@ def op6_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_coded_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids written to the shared folder as coded segments, and read back from there."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return read_ids(cut_lineage(id_segments(docs, vocabulary("word_bpe_49k.json"), end_id=2)))
+
+
 def op9_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "source")
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -128,6 +135,7 @@ QUERIES = {
     "op4_near_duplicates": op4_near_duplicates,
     "op5_without_repeats": op5_without_repeats,
     "op6_gif": op6_gif,
+    "op8_coded_ids": op8_coded_ids,
     "op9_interleave": op9_interleave,
     "op10_mix": op10_mix,
 }
