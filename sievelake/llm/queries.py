@@ -15,6 +15,7 @@ from sievelake.llm.quality import quality_rules
 from sievelake.llm.repeats import without_repeats
 from sievelake.llm.secrets import scan_secrets
 from sievelake.llm.sharding import interleave
+from sievelake.llm.tools import link_calls
 from sievelake.session import cut_lineage
 
 #: Words are runs of characters other than space, tab and the line controls.
@@ -45,6 +46,13 @@ def mix_weights() -> list:
     return [F.lit(1.0), language, F.lit(1.0)]
 
 
+#: Tools that turns of conversations are read as calls of.
+SCHEMAS = {
+    "search": '{"type":"object","required":["query","limit"],"properties":{"query":{"type":"string","minLength":1},"limit":{"type":"integer","minimum":1,"maximum":20}},"additionalProperties":false}',
+    "note": '{"type":"object","required":["text"],"properties":{"text":{"type":"string","maxLength":300},"tags":{"type":"array","items":{"type":"string"},"maxItems":8}}}',
+}
+
+
 def vocabulary(name: str) -> str:
     """Where a public tokenizer's file is; the package lies on every machine."""
     import public_tokenizers
@@ -100,6 +108,33 @@ def op6_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def tool_events(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Turns as tool calls and results: a user's turn is a search, a system's a note, an assistant's the result of the turn before.
+
+    A call comes after the one two turns before it. Every third text in length is a call of a tool that no schema names.
+    """
+    turn, text = F.col("turn"), F.coalesce("text", F.lit(""))
+    name_of = lambda t: F.concat_ws("-", F.lit("call"), "conv_id", t)
+    search = F.to_json(F.struct((F.length(text) % 25).alias("limit"), text.alias("query")))
+    note = F.to_json(F.struct(text.alias("text"), F.array(F.coalesce("role", F.lit("")), F.lit("turn")).alias("tags")))
+    calls = conversations.filter("role IS NULL OR role != 'assistant'").select(
+        "conv_id",
+        "turn",
+        name_of(turn).alias("call_id"),
+        F.when(turn >= 2, name_of(turn - 2)).alias("after"),
+        F.when(F.length(text) % 3 == 0, "fetch").when(F.col("role") == "user", "search").otherwise("note").alias("name"),
+        F.when(F.col("role") == "user", search).otherwise(note).alias("arguments"),
+    )
+    results = conversations.filter("role = 'assistant'").select(name_of(turn - 1).alias("call_id"), "turn", F.col("text").alias("content"))
+    return calls, results
+
+
+def op7_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = tool_events(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
+    schemas = spark.createDataFrame([*SCHEMAS.items()], "name string, schema string")
+    return link_calls(calls, results, schemas)
+
+
 def op8_coded_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids written to the shared folder as coded segments, and read back from there."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
@@ -135,6 +170,7 @@ QUERIES = {
     "op4_near_duplicates": op4_near_duplicates,
     "op5_without_repeats": op5_without_repeats,
     "op6_gif": op6_gif,
+    "op7_tool_calls": op7_tool_calls,
     "op8_coded_ids": op8_coded_ids,
     "op9_interleave": op9_interleave,
     "op10_mix": op10_mix,
