@@ -65,5 +65,13 @@ def running(df: DataFrame, groups: list[str], bin_col: str, order: list[str], va
     return placed.join(offsets, keys).withColumn(before, F.col("_offset") + F.col("_inside")).drop("_value", "_inside", "_offset")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, or a longer one that no column of the table has."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def all_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions)

@@ -83,8 +83,8 @@ def mix(
     """
     names = [f"level_{i + 1}" for i in range(len(levels))]
     kept = [c for c in df.columns if c not in ("epoch", "take")]
-    rows = df.select(*[F.col(f"`{c}`") for c in kept], *[F.coalesce(x.cast("string"), F.lit("")).alias(f"_l{i}") for i, x in enumerate(levels)])
-    rows = rows.withColumn("_tokens", F.greatest(F.coalesce(F.col(tokens), F.lit(0)), F.lit(0)).cast("long"))
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_row"), F.col(f"`{key}`").alias("_key"), F.col(f"`{tokens}`").alias("_n"), *[F.coalesce(x.cast("string"), F.lit("")).alias(f"_l{i}") for i, x in enumerate(levels)])
+    rows = rows.withColumn("_tokens", F.greatest(F.coalesce(F.col("_n"), F.lit(0)), F.lit(0)).cast("long"))
     inner = [f"_l{i}" for i in range(len(levels))]
     leaves = rows.groupBy(*inner).agg(F.sum("_tokens").alias("available"), F.count(F.lit(1)).alias("_rows"))
     leaves = cut_lineage(leaves.withColumnsRenamed(dict(zip(inner, names, strict=True))))
@@ -98,11 +98,11 @@ def mix(
     every = marked.filter(F.col("_whole") > 0).withColumn("epoch", F.explode(F.sequence(F.lit(0), (F.col("_whole") - 1).cast("int"))))
     every = every.filter((F.col("epoch") == 0) | (F.col("_tokens") > 0)).withColumn("take", F.col("_tokens"))
     part = marked.filter(F.col("_rest") > 0).withColumn("epoch", F.col("_whole").cast("int"))
-    part = part.withColumn("_leaf", group_key(*inner)).withColumn("_hash", seeded_order(seed, "epoch", key))
+    part = part.withColumn("_leaf", group_key(*inner)).withColumn("_hash", seeded_order(seed, "epoch", "_key"))
     part = part.withColumn("_bin", hash_bin(F.col("_hash"), bins))
-    part = running(part, ["_leaf"], "_bin", ["_hash", key, "_tokens"], F.col("_tokens"), "_start", "_all")
+    part = running(part, ["_leaf"], "_bin", ["_hash", "_key", "_tokens"], F.col("_tokens"), "_start", "_all")
     part = part.filter(all_of([F.col("_start") < F.col("_rest"), (F.col("_tokens") > 0) | (F.col("epoch") == 0)]))
     part = part.withColumn("take", F.least(F.col("_tokens"), F.col("_rest") - F.col("_start")))
-    out = [*kept, "epoch", "take"]
+    out = ["_row.*", "epoch", "take"]
     return every.select(*out).unionByName(part.select(*out))
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
+from sievelake.llm.common import fresh
 from sievelake.llm.words import Words, gram_hashes, pieces, text_bytes, words_of
 
 #: Buckets of the hashed words and word pairs; the model is two counts for each.
@@ -141,9 +142,11 @@ def quality_rules(df: DataFrame, trusted: DataFrame, key: str = "doc_id", text:
     ratios = df.sparkSession.sparkContext.broadcast(log_ratios(count_grams(marked)))
     least = round(threshold * SCALE)
 
+    own = fresh(df, "_text")
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "_text"):
-            data, offsets = text_bytes(batch.column("_text"))
+        for batch in pieces(batches, own):
+            data, offsets = text_bytes(batch.column(own))
             words = words_of(data, offsets)
             found = measure(data, offsets, words)
             buckets, at = grams(words)
@@ -157,5 +160,5 @@ def quality_rules(df: DataFrame, trusted: DataFrame, key: str = "doc_id", text:
             yield pa.RecordBatch.from_arrays(columns, names=[*[f.name for f in carried], *added])
 
     counts = [StructField(c, BooleanType() if c in ("base_failed", "kept") else LongType()) for c in added]
-    whole = df.select(*[F.col(f"`{f.name}`") for f in carried], F.col(f"`{text}`").alias("_text"))
+    whole = df.select(*[F.col(f"`{f.name}`") for f in carried], F.col(f"`{text}`").alias(own))
     return whole.mapInArrow(work, StructType([*carried, *counts]))

@@ -26,14 +26,13 @@ def interleave(
     """
     bins = bins_for(df.count(), rows_per_bin)
     kept = [c for c in df.columns if c not in ("shard", "slot")]
-    rows = df.select(*[F.col(f"`{c}`") for c in kept]).withColumn("_source", group_key(source)).withColumn("_hash", seeded_order(seed, key))
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_row"), F.col(f"`{key}`").alias("_key"), group_key(source).alias("_source"))
+    rows = rows.withColumn("_hash", seeded_order(seed, "_key"))
     rows = rows.withColumn("_bin", hash_bin(F.col("_hash"), bins))
-    ranked = running(rows, ["_source"], "_bin", ["_hash", key], F.lit(1).cast("long"), "_rank", "_source_rows")
+    ranked = running(rows, ["_source"], "_bin", ["_hash", "_key"], F.lit(1).cast("long"), "_rank", "_source_rows")
     lined = ranked.withColumn("_fraction", (F.col("_rank") + F.lit(0.5)) / F.col("_source_rows")).drop("_bin")
     lined = lined.withColumn("_bin", F.floor(F.col("_fraction") * bins))
-    placed = running(lined, [], "_bin", ["_fraction", "_source", "_hash", key], F.lit(1).cast("long"), "_place", "_rows")
-    shard = F.expr(f"_place * {n_shards} div _rows")
+    placed = running(lined, [], "_bin", ["_fraction", "_source", "_hash", "_key"], F.lit(1).cast("long"), "_place", "_rows")
+    placed = placed.withColumn("shard", F.expr(f"_place * {n_shards} div _rows"))
     first = F.expr(f"(shard * _rows + {n_shards - 1}) div {n_shards}")
-    return placed.withColumn("shard", shard).withColumn("slot", F.col("_place") - first).withColumn("shard", F.col("shard").cast("int")).select(
-        *kept, "shard", "slot"
-    )
+    return placed.select("_row.*", F.col("shard").cast("int").alias("shard"), (F.col("_place") - first).alias("slot"))
