@@ -1,0 +1,305 @@
+"""Each operator on edge cases, against plain versions."""
+
+import hashlib
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from sievelake.llm import near_dups
+from sievelake.llm.components import components
+from sievelake.llm.gif import read_gifs, store_gifs
+from sievelake.llm.idfiles import id_segments, read_ids
+from sievelake.llm.mixing import leaf_budgets, mix
+from sievelake.llm.near_dups import near_duplicates
+from sievelake.llm.packing import pack
+from sievelake.llm.quality import quality_rules
+from sievelake.llm.repeats import without_repeats
+from sievelake.llm.secrets import redacted, scan_secrets
+from sievelake.llm.sharding import interleave
+from sievelake.llm.tools import link_calls
+
+from . import brute
+from .conftest import SECRET, edge_rows
+
+BYTE, WORD = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json"))
+
+
+@pytest.fixture(scope="module", autouse=True)
+def workers(spark):
+    from sievelake.llm.common import ship
+
+    ship(spark)
+
+
+@pytest.fixture(params=["edge", "clashing", "empty"])
+def docs(request):
+    return request.getfixturevalue(request.param)
+
+
+def plain(docs):
+    return [] if docs.isEmpty() else edge_rows()
+
+
+def test_secret_scan(docs):
+    found = scan_secrets(docs, ["source", "lang"], ["source"]).collect()
+    got = Counter((r.doc_id, r.n_assign, r.n_access, r.n_hex, r.base_sha256, r.spans) for r in found)
+    assert got == Counter((r[0], *brute.secrets(r[1])) for r in plain(docs))
+
+
+def test_secret_owners(spark):
+    other, example = "0a1b2c3d" * 5, "9f8e7d6c" * 4
+    rows = [(1, f"token = {SECRET}", "a", "x"), (2, f"see {SECRET} again", "b", "x"), (3, f"key {other}", "a", "x")]
+    rows += [(10 + k, f"use {example} here", f"r{k}", f"o{k % 3}") for k in range(6)]
+    rows += [(30, "Zq8Lw2Xv7Rt5Yp3Nm6Kd and more", "c", "z"), (31, "aaaaaaaaaaaaaaaaaaaaaaaaa1B", "c", "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, repo string, owner string")
+    found = {r.doc_id: r for r in scan_secrets(df, ["repo"], ["owner"]).collect()}
+    assert [v.verdict for v in found[1].verdicts] == ["live", "live"] and found[2].n_live == 1 and found[3].n_live == 1
+    assert all(found[10 + k].n_example == 1 and not found[10 + k].n_live for k in range(6))
+    assert found[30].spans == "owned:0:20" and found[31].spans == ""
+    both = df.join(scan_secrets(df, ["repo"], ["owner"]).select("doc_id", "verdicts"), "doc_id")
+    text = {r.doc_id: r.t for r in both.select("doc_id", redacted(F.col("text"), F.col("verdicts")).alias("t")).collect()}
+    assert text[1] == "[SECRET]" and text[2] == "see [SECRET] again" and text[10] == rows[3][1] and text[30] == "[SECRET] and more"
+
+
+def test_pack(docs):
+    tokenizer = Tokenizer.from_file(BYTE)
+    texts = defaultdict(list)
+    for r in plain(docs):
+        texts[r[0]].append(r[1])
+    pieces = pack(docs, BYTE, window=64, quantum=16, rows_per_bin=7).collect()
+    brute.check_packing(pieces, texts, tokenizer, window=64)
+
+
+def test_pack_keeps_proportions(spark):
+    rows = [(k, "one two three four five six seven " * 9, "big" if k % 4 else "small") for k in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    for targets in (None, {"big": 1.0, "small": 1.0}):
+        pieces = pack(df, BYTE, window=256, quantum=32, targets=targets, rows_per_bin=50).collect()
+        sequences, padding = brute.check_packing(pieces, {r[0]: [r[1]] for r in rows}, Tokenizer.from_file(BYTE), window=256)
+        assert padding < 3 * 256
+        small = defaultdict(int)
+        for p in pieces:
+            small[p.sequence_id] += p.length * (p.queue == "5=small")
+        total, share = sum(small.values()), 0.25 if targets is None else 0.5
+        until = sequences if targets is None else total // 128
+        for k in range(2, int(until) - 2):
+            sent = sum(small[j] for j in range(k + 1))
+            assert abs(sent - share * 256 * (k + 1)) <= 2 * 32
+
+
+def test_quality_rules(docs):
+    trusted = docs.filter("doc_id IN (4, 5, 8)").select("doc_id")
+    found = quality_rules(docs, trusted)
+    assert set(found.columns) >= set(docs.columns)
+    got = Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in found.collect())
+    assert got == Counter((r[0], *brute.measures(r[1])) for r in plain(docs))
+
+
+def test_quality_verdict(spark):
+    dice = np.random.default_rng(2)
+    good, bad = [f"word{k}" for k in range(300)], [f"junk{k}" for k in range(300)]
+    rows = [(k, " ".join(dice.choice(bad if k % 3 == 0 else good, 60))) for k in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = {r.doc_id: r for r in quality_rules(df, df.filter("doc_id % 3 = 1 AND doc_id < 300").select("doc_id")).collect()}
+    assert all(found[k].kept == (k % 3 != 0) for k in found)
+    again = {r.doc_id: r.ratio for r in quality_rules(df.coalesce(1), df.filter("doc_id % 3 = 1 AND doc_id < 300").select("doc_id")).collect()}
+    assert again == {k: r.ratio for k, r in found.items()}
+    none = quality_rules(df, df.filter("false").select("doc_id")).filter("ratio != 0 OR NOT kept")
+    assert none.isEmpty()
+
+
+def test_near_duplicates(docs):
+    found = near_duplicates(docs, shingle=4).collect()
+    rows = plain(docs)
+    want = brute.groups(list({r[0]: r[1] for r in rows if r[0] is not None}.items()), 4)
+    assert len(found) == len(rows)
+    for r in found:
+        if r.doc_id is None:
+            assert r.component_id is None and r.kept
+        else:
+            assert (r.n_shingles, r.component_id) == want[r.doc_id] and r.kept == (r.doc_id == r.component_id)
+
+
+def test_near_duplicates_in_large_groups(spark):
+    """Copies with many different edits: some are linked with a few others only."""
+    dice = np.random.default_rng(4)
+    base = [f"b{k}" for k in range(120)]
+    rows = []
+    for k in range(300):
+        words = list(base)
+        for at in dice.choice(120, int(dice.integers(0, 9)), replace=False):
+            words[at] = f"e{dice.integers(0, 6)}"
+        rows.append((k, " ".join(words)))
+    rows += [(1000 + k, " ".join(f"u{dice.integers(0, 3000)}" for _ in range(60))) for k in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = brute.groups(rows, 4)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(df, shingle=4).collect()}
+    assert got == want and 1 < len({c for _, c in want.values()})
+
+
+def test_components(spark):
+    dice = np.random.default_rng(6)
+    links = [(k, k + 1) for k in range(60)] + [(100, 100 + k) for k in range(1, 50)] + [(7, 7)] + [tuple(map(int, dice.integers(200, 400, 2))) for _ in range(120)]
+    up = {}
+
+    def top(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in links:
+        a, b = sorted((top(a), top(b)))
+        up[b] = a
+    got = {r.node: r.label for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {x: top(x) for x in up}
+    assert components(spark.createDataFrame([], "a long, b long")).isEmpty()
+
+
+def test_without_repeats(docs):
+    found = without_repeats(docs, n=5).collect()
+    rows = plain(docs)
+    key = lambda r: (r[0] is None, r[0] or 0)
+    single = sorted({(r[0], r[1]) for r in rows if r[0] is not None}, key=key)
+    want = brute.without_repeats(single, 5)
+    assert len(found) == len(rows)
+    for r in found:
+        if r.doc_id is not None:
+            assert (r.n_words, r.n_removed, r.kept_sha256) == want[r.doc_id]
+    nulls = sorted((r.n_words, r.n_removed) for r in found if r.doc_id is None)
+    assert nulls == ([] if not rows else [(0, 0), (24, 24)])
+
+
+def test_without_repeats_of_one_key(spark):
+    run = " ".join(f"w{k}" for k in range(12))
+    df = spark.createDataFrame([(1, run), (1, "x " + run), (1, run), (2, run + " end")], "doc_id long, text string")
+    found = sorted((r.doc_id, r.n_words, r.n_removed) for r in without_repeats(df, n=5).collect())
+    assert found[3] == (2, 13, 12) and found.count((1, 12, 0)) + found.count((1, 12, 12)) == 2
+    assert sum(r[2] for r in found[:3]) in (12, 24)
+
+
+def test_gif_round_trip(docs):
+    shown = read_gifs(store_gifs(docs), channels=1).collect()
+    rows = plain(docs)
+    assert len(shown) == len(rows)
+
+    def payload(text):
+        data = (text or "").encode()
+        return data + b" " * (-len(data) % 192 if data else 192)
+
+    assert Counter((r.key, r.n_bytes, bytes(r.samples)) for r in shown) == Counter((r[0], len((r[1] or "").encode()), payload(r[1])) for r in rows)
+    for r in shown:
+        assert all(f.delay_ms == 100 and sum(f.histogram) == 3 * f.width * f.height for f in r.frames)
+
+
+def test_gif_damaged(spark):
+    df = spark.createDataFrame([(1, None), (2, b""), (3, b"GIF89a\x01")], "key long, media binary")
+    assert all(r.frames is None and r.samples is None for r in read_gifs(df).collect())
+
+
+def test_coded_ids(docs, spark, tmp_path):
+    id_segments(docs, WORD, 2, partitions=3).write.parquet(str(tmp_path / "ids"))
+    found = read_ids(spark.read.parquet(str(tmp_path / "ids"))).collect()
+    tokenizer, at = Tokenizer.from_file(WORD), 0
+    rows = plain(docs)
+    assert Counter(r.doc_id for r in found) == Counter(r[0] for r in rows)
+    ids = lambda t: np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
+    want = Counter((r[0], len(ids(r[1])), zlib.crc32(ids(r[1]).tobytes())) for r in rows)
+    assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in found) == want
+    for r in sorted(found, key=lambda r: r.start):
+        assert r.start == at
+        at += r.n_tokens
+    keys = [r.doc_id for r in sorted(found, key=lambda r: r.start)]
+    assert keys == sorted(keys, key=lambda k: (k is not None, k or 0))
+
+
+def test_interleave(docs):
+    rows = interleave(docs, n_shards=4, rows_per_bin=3).collect()
+    assert len(rows) == len(plain(docs))
+    by = defaultdict(list)
+    for r in rows:
+        by[r.shard].append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in by.values())
+    if rows:
+        assert max(map(len, by.values())) - min(map(len, by.values())) <= 1
+    fields = ["doc_id", "text", "lang", "source", "n_chars"]
+    assert Counter(tuple(r[f] for f in fields) for r in rows) == Counter(plain(docs))
+
+
+def test_interleave_keeps_the_mixture(spark):
+    df = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("s"), F.col("id") % 20)).alias("source"))
+    rows = interleave(df, n_shards=10, rows_per_bin=100).groupBy("source", "shard").count().collect()
+    total = {r.source: r["count"] for r in df.groupBy("source").count().collect()}
+    assert all(abs(r["count"] - total[r.source] / 10) <= 2 for r in rows)
+
+
+def test_mix(docs):
+    counted = docs.withColumn("n_tokens", F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")))
+    levels, weights = [F.col("lang"), F.col("source")], [F.lit(1.0), F.lit(1.0)]
+    rows = mix(counted, levels, weights, 1.0, rows_per_bin=4).collect()
+    assert Counter(r.doc_id for r in rows) == Counter(r[0] for r in plain(docs))
+    assert all(r["take"] == (r.n_tokens or 0) and r.epoch == 0 for r in rows)
+    part = mix(counted, levels, weights, 500, max_epochs=3, rows_per_bin=4).collect()
+    if rows:
+        assert abs(sum(r["take"] for r in part) - 500) <= 12
+        assert all(0 <= r["take"] <= (r.n_tokens or 0) for r in part)
+
+
+def test_budgets(spark):
+    leaves = [("a", "x", 100), ("a", "y", 1000), ("b", "x", 5000), ("b", "z", 0), ("c", "x", 10)]
+    df = spark.createDataFrame(leaves, "d string, s string, available long")
+    weights = [F.when(F.col("d") == "c", 2.0).otherwise(1.0), F.lit(1.0)]
+
+    def budgets(total, epochs):
+        return {(r.d, r.s): r.budget for r in leaf_budgets(df, ["d", "s"], total, weights, epochs).collect()}
+
+    # c can't take its half: a and b share what is left; x of a can't take its half, so y gets it.
+    assert budgets(810, 1) == {("a", "x"): 100, ("a", "y"): 300, ("b", "x"): 400, ("b", "z"): 0, ("c", "x"): 10}
+    assert budgets(10_000, 1) == {(d, s): n for d, s, n in leaves}
+    assert budgets(2000, 2)[("c", "x")] == 20 and sum(budgets(2000, 2).values()) in range(1997, 2001)
+
+
+def test_mix_epochs(spark):
+    df = spark.createDataFrame([(k, "p" if k < 5 else "q", 10) for k in range(105)], "doc_id long, source string, n_tokens long")
+    rows = mix(df, [F.col("source")], [F.lit(1.0)], 235, max_epochs=3, seed="s").collect()
+    taken = Counter()
+    for r in rows:
+        taken[r.source] += r["take"]
+    assert taken == {"p": 117, "q": 117}
+    p = defaultdict(set)
+    for r in rows:
+        if r.source == "p":
+            p[r.epoch].add(r.doc_id)
+    assert p[0] == p[1] == set(range(5)) and len(p[2]) == 2 and len({r.doc_id for r in rows if r.source == "q"}) == 12
+
+
+def test_link_calls(spark):
+    schema = '{"type":"object","required":["a"],"properties":{"a":{"type":"integer"}}}'
+    calls = [(1, k, f"c{k}", f"c{k - 1}" if k else None, "f", '{"b": 1.0, "a": %d}' % k) for k in range(40)]
+    calls += [(1, 90, "r1", "r2", "f", '{"a": 1}'), (1, 91, "r2", "r1", "f", '{"a": 1}'), (1, 92, "r3", "r2", "f", "oops"), (2, 1, "d", "nowhere", "g", "{}"), (2, 1, "d", "nowhere", "g", "{}"), (2, 2, None, "d", "f", '{"a":"x"}'), (None, None, None, None, None, None)]
+    results = [("c3", 5, "late"), ("c3", 4, "first"), ("zz", 1, "lost"), (None, 2, None), ("d", 3, None)]
+    df = spark.createDataFrame(calls, "conv_id long, turn long, call_id string, after string, name string, arguments string").withColumn("depth", F.lit("x")).withColumn("status", F.lit("x"))
+    found = link_calls(df, spark.createDataFrame(results, "call_id string, turn long, content string"), spark.createDataFrame([("f", schema), ("f", schema), (None, None)], "name string, schema string")).collect()
+    by = {r.call_id: r for r in found if r.call_id}
+    assert len(found) == 40 + 3 + 1 + 2 + 2 and [by[f"c{k}"].depth for k in range(40)] == list(range(40))
+    assert by["r1"].depth is by["r2"].depth is by["r3"].depth is None and by["d"].depth == 0
+    assert (by["c3"].status, by["c3"].n_results, by["c3"].result_turn, by["c4"].status) == ("linked", 2, 4, "no_result")
+    assert by["c3"].message == '{"call":{"arguments":{"a":3,"b":1},"id":"c3","name":"f"},"result":"first","result_for":"c3"}'
+    assert (by["d"].n_calls, by["d"].errors, by["r3"].errors, by["r3"].message) == (2, "unknown tool g", "$: not JSON", None)
+    assert by["zz"].status == "orphan" and not by["zz"].valid
+    assert Counter(r.status for r in found if r.call_id is None) == {"no_result": 2, "orphan": 1}
+    nothing = link_calls(df.limit(0), spark.createDataFrame([], "call_id string, turn long, content string"), spark.createDataFrame([], "name string, schema string"))
+    assert nothing.isEmpty()
+
+
+def test_hash_names(spark):
+    """The signature of a set doesn't depend on order or repetition."""
+    rows = [(1, "a b c d e a b c d e"), (2, "a b c d e a b c d e a b c d e"), (3, "b c d e a b c d e a b c")]
+    df = spark.createDataFrame(rows, "_key long, _text string")
+    found = near_dups.sketch(df, 4, "bigint").collect()
+    assert len({(r.n, r._set_1, r._set_2, bytes(r.sig)) for r in found}) == 1
+    assert hashlib.sha256(bytes(found[0].sig)).digest()
