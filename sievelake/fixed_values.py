@@ -176,12 +176,13 @@ DEFAULT_EXCLUDED_DIRS = [".git", "vendor", "node_modules", "testdata", ".idea",
 TEST_DIR_SEGMENTS = ["test", "testing", "mocks", "fixtures", "e2e"]
 TEST_FILE_SUFFIX = "_test.go"
 MAX_FILE_BYTES = 10 * 1024 * 1024
-JSON_MAX_DEPTH = 20
 
 # ---- fixed values: weak algorithms --------------------------------------------
 HASH_CONTEXT_WORDS = ["password", "secret", "key", "token", "pan", "cvv", "card", "pin", "auth"]
 SHA256_CONTEXT_WORDS = ["password", "passwd", "pwd"]
 HASH_PROXIMITY_LINES = 5
+# Quoted text and comments, which hold neither calls nor names.
+NOT_CODE = r"""\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'|`[^`]*`|/\*.*?\*/|(?://|/\*).*$"""
 PLAIN_HTTP_PATTERN = r'http://[^\s"]+'
 LOCAL_HTTP_PATTERN = r"^http://(localhost|127\.0\.0\.1|0\.0\.0\.0|\[::1\]|example\.com)(:|/|$)"
 PROHIBITED_CIPHER_WORDS = ["RC4", "3DES", "NULL", "EXPORT", "ANON"]

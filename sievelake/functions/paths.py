@@ -88,6 +88,38 @@ def glob_regex(pattern: str) -> str:
     return "".join(out)
 
 
+def glob_regex_of(glob: Column) -> Column:
+    """The translation of glob_regex() for globs in a column."""
+
+    def quoted(text: Column) -> Column:
+        return F.concat(F.lit("\\Q"), text, F.lit("\\E"))
+
+    def part(token: Column) -> Column:
+        inner = F.substring(token, F.lit(2), F.length(token) - 2)
+        return (
+            F.when(token == "*", F.lit("[^/]*"))
+            .when(token == "?", F.lit("[^/]"))
+            .when((F.length(token) > 1) & token.startswith("["), F.concat(F.lit("["), F.replace(inner, F.lit("\\"), F.lit("\\\\")), F.lit("]")))
+            .when((F.length(token) > 1) & token.startswith("\\"), quoted(F.substr(token, F.lit(2))))
+            .otherwise(quoted(token))
+        )
+
+    tokens = F.regexp_extract_all(glob, F.lit(r"\[[\s\S][^\]]*\]|\\[\s\S]|[\s\S]"), 0)
+    return F.array_join(F.transform(tokens, part), "")
+
+
+def rule_regex_of(pattern: Column) -> Column:
+    """The translation of rule_regex() for patterns in a column."""
+    prefix = F.substring_index(pattern, "**", 1)
+    rest = F.substr(pattern, F.length(prefix) + 3)
+    literal = F.array_join(F.transform(F.regexp_extract_all(prefix, F.lit(r"[\s\S]"), 0), lambda c: F.concat(F.lit("\\Q"), c, F.lit("\\E"))), "")
+    return (
+        F.when(~pattern.contains("**"), F.concat(F.lit("^"), glob_regex_of(pattern), F.lit("$")))
+        .when(rest.isin("", "/"), F.concat(F.lit("^"), literal))
+        .otherwise(F.concat(F.lit("^"), literal, F.lit("(.*/)?"), glob_regex_of(F.substr(rest, F.lit(2))), F.lit("$")))
+    )
+
+
 def rule_regex(pattern: str) -> str:
     """Full-path regex of a rule pattern; a '**' splits it into path prefix and file glob.
 

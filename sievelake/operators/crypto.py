@@ -10,7 +10,7 @@ from sievelake.functions.policies import name_has
 from sievelake.functions.text import col
 from sievelake.operators.groups import into_blocks
 
-WEAK_CALL = r"(?i)(^|[^A-Za-z0-9_])(md5|sha1|des|sha256)(\.[A-Za-z0-9]+)?[ \t]*\("
+WEAK_CALL = r"(?i)(?<![A-Za-z0-9_])(md5|sha1|des|sha256)(\.[A-Za-z0-9]+)?[ \t]*\("
 
 
 def scan_plain_http(df: DataFrame, value: str = "value") -> DataFrame:
@@ -33,24 +33,27 @@ def scan_plain_http(df: DataFrame, value: str = "value") -> DataFrame:
 def scan_weak_hash(lines: DataFrame, block: int = 4096) -> DataFrame:
     """CRYPTO-WEAK-HASH per weak call, CRITICAL when a sensitive name is within five lines.
 
+    Every call of a line counts; quoted text and comments are neither calls nor names.
     Only lines with a call or a sensitive name are shuffled. Windows run on
     blocks of a record's lines, so one long record spreads over many tasks.
     """
+    code = F.regexp_replace("line", fv.NOT_CODE, " ")
     marked = lines.select(
         "record_id",
         *[c for c in ("path",) if c in lines.columns],
         "line_no",
-        F.lower(F.regexp_extract("line", WEAK_CALL, 2)).alias("_algo"),
-        name_has(F.col("line"), fv.HASH_CONTEXT_WORDS).alias("_sensitive"),
-        name_has(F.col("line"), fv.SHA256_CONTEXT_WORDS).alias("_password"),
-    ).filter((F.col("_algo") != "") | F.col("_sensitive") | F.col("_password"))
+        F.transform(F.regexp_extract_all(code, F.lit(WEAK_CALL), 1), F.lower).alias("_algos"),
+        name_has(code, fv.HASH_CONTEXT_WORDS).alias("_sensitive"),
+        name_has(code, fv.SHA256_CONTEXT_WORDS).alias("_password"),
+    ).filter((F.size("_algos") > 0) | F.col("_sensitive") | F.col("_password"))
     reach = fv.HASH_PROXIMITY_LINES
     near = Window.partitionBy("record_id", "block").orderBy("line_no").rangeBetween(-reach, reach)
     calls = (
         into_blocks(marked, "line_no", reach, block)
         .withColumn("_near", F.max("_sensitive").over(near))
         .withColumn("_near_password", F.max("_password").over(near))
-        .filter(F.col("in_core") & (F.col("_algo") != ""))
+        .filter("in_core")
+        .withColumn("_algo", F.explode("_algos"))
         .filter((F.col("_algo") != "sha256") | F.col("_near_password"))
     )
     critical = F.when(F.col("_algo") == "sha256", F.col("_near_password")).otherwise(F.col("_near"))

@@ -13,6 +13,7 @@ from sievelake.functions.versions import (
     semver_key,
 )
 from sievelake.operators.graph import components
+from sievelake.operators.groups import join_lookup
 from sievelake.session import cut_lineage
 
 RANGE_TYPES = ["SEMVER", "ECOSYSTEM"]
@@ -60,7 +61,8 @@ def match_advisories(deps: DataFrame, advisories: DataFrame, order: str = "ord")
     `advisories` has (adv_id, package, ranges). A package belongs to a module of
     the same path or of one of its leading paths, so each package is exploded
     into its leading paths and joined by equality. Dependencies are first
-    reduced to distinct (module, version), which many projects share.
+    reduced to distinct (module, version), which many projects share, and packages to the
+    leading paths that are modules of some dependency: a host name alone never is.
     """
     distinct = (
         deps.groupBy("module", "version")
@@ -75,8 +77,9 @@ def match_advisories(deps: DataFrame, advisories: DataFrame, order: str = "ord")
     # gathers little, and the join then yields each match exactly once.
     offered = (
         advisories.select("adv_id", "package", "ranges", F.explode(leading).alias("module"))
+        .join(deps.select("module").distinct(), "module", "left_semi")
         .groupBy("adv_id", "module")
-        .agg(F.min("package").alias("package"), F.flatten(F.collect_list("ranges")).alias("_ranges"))
+        .agg(F.min("package").alias("package"), F.flatten(F.sort_array(F.collect_list("ranges"))).alias("_ranges"))
         .withColumn("_ranges", _ordered_events(F.col("_ranges")))
     )
     # Versions of one popular module are dealt out over several slots.
@@ -107,7 +110,7 @@ def alias_groups(advisories: DataFrame) -> DataFrame:
     )
     member = groups.join(one, "adv_id")
     best = member.groupBy("group_id").agg(F.min(preference)["adv_id"].alias("best_id"))
-    return groups.join(best, "group_id").select("adv_id", "group_id", "best_id")
+    return join_lookup(groups, best, ["group_id"]).select("adv_id", "group_id", "best_id")
 
 
 def group_aliases(advisories: DataFrame, groups: DataFrame) -> DataFrame:
@@ -135,19 +138,31 @@ def scan_dependencies(deps: DataFrame, advisories: DataFrame, order: str = "ord"
         .agg(F.min(F.struct("first_ord", "module", "version", "package")).alias("_first"))
         .select("group_id", "adv_id", "_first.*")
     )
-    facts = advisories.groupBy("adv_id", "package").agg(
-        F.max("db_severity").alias("db_severity"), F.max("cvss").alias("cvss"), F.first("ranges").alias("ranges")
+    # All affected entries of a package in their listed order; equal numbers by content.
+    number = F.col("affected_no") if "affected_no" in advisories.columns else F.lit(0)
+    listed = hit.select("adv_id", "package", "db_severity", "cvss", "ranges", number.alias("_no"))
+    facts = listed.groupBy("adv_id", "package").agg(
+        F.min(F.struct("_no", "db_severity", "cvss")).alias("_labels"),
+        F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("_no", "ranges"))), lambda a: a["ranges"])).alias("ranges"),
     )
-    rows = first.join(facts, ["adv_id", "package"], "left")
-    events = F.flatten(F.transform("ranges", lambda r: r["events"]))
+    rows = first.join(facts.select("adv_id", "package", "_labels.db_severity", "_labels.cvss", "ranges"), ["adv_id", "package"], "left")
     exact = F.col("package") == F.col("module")
 
-    def first_of(field: str) -> Column:
-        return F.get(F.filter(F.transform(events, lambda e: _filled(e[field])), lambda v: v.isNotNull()), F.lit(0))
+    def named(events: Column, field: str) -> Column:
+        return F.filter(F.transform(events, lambda e: _filled(e[field])), lambda v: v.isNotNull())
+
+    def last_of(events: Column, field: str) -> Column:
+        return F.try_element_at(named(events, field), F.lit(-1))
 
-    fixed = F.when(exact, normalize_version(first_of("fixed")))
-    introduced = first_of("introduced")
-    introduced = F.when(exact, F.when(introduced == "0", F.lit("v0.0.0")).otherwise(normalize_version(introduced)))
+    def shown(version: Column) -> Column:
+        return F.when(version == "0", F.lit("v0.0.0")).otherwise(normalize_version(version))
+
+    # The fix is the first one listed; the range text is that of the first range with a beginning.
+    events = F.flatten(F.transform("ranges", lambda r: r["events"]))
+    fixed = F.when(exact, normalize_version(F.get(named(events, "fixed"), F.lit(0))))
+    spans = F.transform("ranges", lambda r: F.struct(last_of(r["events"], "introduced").alias("low"), last_of(r["events"], "fixed").alias("high")))
+    span = F.get(F.filter(spans, lambda s: s["low"].isNotNull()), F.lit(0))
+    affected = F.when(exact, F.concat(F.lit(">="), shown(span["low"]), F.coalesce(F.concat(F.lit(", <"), normalize_version(span["high"])), F.lit(""))))
     return rows.select(
         F.lit("DEP-VULN").alias("rule_id"),
         advisory_severity("db_severity", cvss_base_score("cvss")).alias("severity"),
@@ -160,7 +175,7 @@ def scan_dependencies(deps: DataFrame, advisories: DataFrame, order: str = "ord"
         "version",
         "first_ord",
         fixed.alias("fix_version"),
-        F.concat(F.lit(">="), introduced, F.coalesce(F.concat(F.lit(", <"), fixed), F.lit(""))).alias("affected_range"),
+        affected.alias("affected_range"),
     )
 
 

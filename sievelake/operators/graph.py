@@ -5,27 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievelake.operators.groups import HOT_ROWS, ROWS, join_facts
-from sievelake.session import cut_lineage
+from sievelake.operators.groups import HOT_ROWS, ROWS, join_facts, join_lookup
+from sievelake.session import cut_lineage, forget
 
 
-def hops_to_sink(edges: DataFrame, sinks: DataFrame, max_hops: int = 5) -> DataFrame:
+def hops_to_sink(edges: DataFrame, sinks: DataFrame, max_hops: int = 5, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Smallest number of edges from each node to any sink, up to `max_hops`.
 
     The search runs backwards from all sinks at once. Its state is one row per
     node, where a forward search from every source would hold a row per
-    (source, node) pair. Each hop joins only the nodes found in the last one.
+    (source, node) pair. Each hop joins only the nodes found in the last one;
+    a node with very many incoming edges is joined the careful way.
     """
     found = cut_lineage(sinks.select("node").distinct().withColumn("hops", F.lit(0)))
     steps = cut_lineage(edges.select("src", "dst").distinct())
+    join = _fact_join(steps, "dst", hot_rows)
     for hop in range(1, max_hops + 1):
-        frontier = found.filter(F.col("hops") == hop - 1).select(F.col("node").alias("dst"))
-        reached = steps.join(frontier, "dst", "left_semi").select(F.col("src").alias("node")).distinct()
+        frontier = found.filter(F.col("hops") == hop - 1).select(F.col("node").alias("dst"), F.lit(True).alias("_hit"))
+        reached = join(frontier).filter("_hit").select(F.col("src").alias("node")).distinct()
         fresh = reached.join(found, "node", "left_anti").withColumn("hops", F.lit(hop))
         fresh = cut_lineage(fresh)
         if fresh.isEmpty():
             break
         found = found.unionByName(fresh)
+    forget(steps)
     return found
 
 
@@ -46,19 +49,21 @@ def _fact_join(links: DataFrame, key: str, hot_rows: int):
     return lambda facts: join_facts(links, facts.join(kept, key), [key], hot_rows)
 
 
-def components(links: DataFrame, max_rounds: int = 60, hot_rows: int = HOT_ROWS) -> DataFrame:
+def components(links: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Connected components of a membership list (member, token): (member, group_id).
 
     Members that share a token are connected, also through chains. group_id is
     the smallest member. Every round takes the smallest label per token and per
     member, hooks label roots, and jumps one level along the labels. A token
     shared by very many members is neither expanded into pairs nor joined in one
-    task. Rounds grow with the logarithm of the longest chain.
+    task, and neither are the members of a giant component by their label. Rounds go on until
+    nothing changes, about the logarithm of the longest chain; a round's files are
+    deleted when the next one is written.
     """
     links = cut_lineage(links.select("member", "token").distinct())
     labels = links.select("member").distinct().withColumn("label", F.col("member"))
     joins = {key: _fact_join(links, key, hot_rows) for key in ("member", "token")}
-    for _ in range(max_rounds):
+    while True:
         of_token = joins["member"](labels).groupBy("token").agg(F.min("label").alias("low"))
         of_member = joins["token"](of_token).groupBy("member").agg(F.min("low").alias("low"))
         seen = labels.join(of_member, "member")
@@ -67,10 +72,10 @@ def components(links: DataFrame, max_rounds: int = 60, hot_rows: int = HOT_ROWS)
         )
         hooked = offers.groupBy("member").agg(F.min("label").alias("label"))
         parent = hooked.select(F.col("member").alias("label"), F.col("label").alias("up"))
-        jumped = hooked.join(parent, "label").select("member", F.col("up").alias("label"))
-        jumped = cut_lineage(jumped)
+        jumped = cut_lineage(join_lookup(hooked, parent, ["label"], hot_rows).select("member", F.col("up").alias("label")))
         changed = not jumped.join(labels, ["member", "label"], "left_anti").isEmpty()
+        forget(labels)
         labels = jumped
         if not changed:
+            forget(links)
             return labels.withColumnRenamed("label", "group_id")
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")

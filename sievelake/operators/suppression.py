@@ -8,12 +8,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievelake import fixed_values as fv
-from sievelake.functions.paths import rule_regex
+from sievelake.functions.paths import rule_regex_of
 from sievelake.functions.text import extension, strip
 from sievelake.operators.groups import join_lookup
 from sievelake.schemas import text_list
 
-MAX_RULES_IN_PLAN = 200
+# Copies of a rule that meets every place.
+SLOTS = 64
+EXCLUDE_PREFIX = "exclude-package:"
 IGNORE_SOURCE = "ignore-file:"
 
 
@@ -37,8 +39,8 @@ def parse_ignore_lines(lines: list[str]) -> tuple[list[IgnoreRule], list[Exclude
         line = raw.strip()
         if not line or line.startswith("#"):
             continue
-        if line.startswith("exclude-package:"):
-            pattern = line.removeprefix("exclude-package:").strip()
+        if line.startswith(EXCLUDE_PREFIX):
+            pattern = line.removeprefix(EXCLUDE_PREFIX).strip()
             if pattern:
                 excludes.append(ExcludeRule(number, pattern))
             continue
@@ -52,12 +54,21 @@ def parse_ignore_lines(lines: list[str]) -> tuple[list[IgnoreRule], list[Exclude
     return rules, excludes
 
 
-def read_ignore_file(spark: SparkSession, path: str, max_rows: int = 10_000):
-    """Parse a rule file. Rules are configuration; a file beyond `max_rows` is refused."""
-    rows = spark.read.text(path, wholetext=False).limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        raise ValueError(f"{path} has more than {max_rows} lines; load it as a rule table instead")
-    return parse_ignore_lines([r.value for r in rows])
+def read_ignore_file(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Rule tables (ignore rules, exclusions) of an ignore file of any length, in the syntax of parse_ignore_lines()."""
+    text = spark.read.text(path, wholetext=True)
+    line = strip(F.col("_line"))
+    rows = text.select(F.posexplode(F.split("value", "\n")).alias("_at", "_line")).select((F.col("_at") + 1).alias("source_line"), line.alias("_rule"))
+    rows = rows.filter((F.col("_rule") != "") & ~F.col("_rule").startswith("#"))
+    package = F.col("_rule").startswith(EXCLUDE_PREFIX)
+    excludes = rows.filter(package).select("source_line", strip(F.substr("_rule", F.lit(len(EXCLUDE_PREFIX) + 1))).alias("pattern"), F.lit(0).alias("line_no"))
+    head, tail = (F.regexp_extract("_rule", r"^(.+):(\*|0*[1-9][0-9]{0,8})$", k) for k in (1, 2))
+    rules = rows.filter(~package).select(
+        "source_line",
+        F.when(tail != "", head).otherwise(F.col("_rule")).alias("pattern"),
+        F.coalesce(F.when(tail != "*", tail.try_cast("int")), F.lit(0)).alias("line_no"),
+    )
+    return rules, excludes.filter("pattern != ''")
 
 
 def rules_table(spark: SparkSession, rules) -> DataFrame:
@@ -65,69 +76,43 @@ def rules_table(spark: SparkSession, rules) -> DataFrame:
     return spark.createDataFrame(rows, "source_line int, pattern string, line_no int")
 
 
-def _first_rule(rules, path: Column, line_no: Column | None) -> Column:
-    """Struct of the first matching rule in source order, or null."""
-    result = None
-    for rule in sorted(rules, key=lambda r: r.source_line):
-        hit = path.rlike(rule_regex(rule.pattern))
-        if "**" in rule.pattern:
-            head, tail = rule.pattern.split("**", 1)
-            if tail not in ("", "/"):
-                hit = hit & (F.length(path) > len(head))
-        if line_no is not None and getattr(rule, "line_no", 0) > 0:
-            hit = hit & (line_no == rule.line_no)
-        made = F.struct(F.lit(rule.source_line).alias("source_line"), F.lit(rule.pattern).alias("pattern"))
-        result = F.when(hit, made) if result is None else result.when(hit, made)
-    if result is None:
-        return F.lit(None).cast("struct<source_line:int,pattern:string>")
-    return result
-
-
-def _quoted(text: Column) -> Column:
-    return F.concat(F.lit("\\Q"), text, F.lit("\\E"))
-
+def _keyed(rules: DataFrame) -> DataFrame:
+    """Rules with their regex, the folder that they can be found under, and a slot.
 
-def _glob_regex(glob: Column) -> Column:
-    """Column form of the glob translation, for rules that arrive as a table."""
-    escaped = F.regexp_replace(glob, r"([.+^$(){}|\\])", r"\\$1")
-    single = F.replace(escaped, F.lit("?"), F.lit("[^/]"))
-    return F.replace(single, F.lit("*"), F.lit("[^/]*"))
-
-
-def match_rule_table(findings: DataFrame, rules: DataFrame) -> DataFrame:
-    """First matching rule per (path, line_no) for rule tables of any size.
-
-    Distinct locations are expanded by their ancestor folders and joined by
-    equality with each rule's literal folder; only those pairs meet the regex.
-    Only rules that start with a wildcard meet every location.
+    Rules without a literal folder meet every place, so they are copied to SLOTS slots that the
+    places are dealt to.
     """
     pattern = F.col("pattern")
     starred = pattern.contains("**")
     head = F.substring_index(pattern, "**", 1)
-    tail = F.substr(pattern, F.length(head) + 3)
-    whole_tree = starred & tail.isin("", "/")
-    regex = (
-        F.when(whole_tree, F.concat(F.lit("^"), _quoted(head)))
-        .when(
-            starred,
-            F.concat(F.lit("^"), _quoted(head), F.lit("(.*/)?"), _glob_regex(F.substr(tail, F.lit(2))), F.lit("$")),
-        )
-        .otherwise(F.concat(F.lit("^"), _glob_regex(pattern), F.lit("$")))
-    )
-    keyed = rules.select(
+    whole_tree = starred & F.substr(pattern, F.length(head) + 3).isin("", "/")
+    folder = F.regexp_extract(pattern, r"^([^*?\[\\]*)/", 1)
+    slots = F.when(folder == "", F.sequence(F.lit(0), F.lit(SLOTS - 1))).otherwise(F.array(F.lit(0)))
+    return rules.select(
         "source_line",
         "pattern",
         F.col("line_no").alias("_rule_line"),
-        regex.alias("_regex"),
-        F.regexp_extract(pattern, r"^([^*?\[\\]*)/", 1).alias("_folder"),
+        rule_regex_of(pattern).alias("_regex"),
+        folder.alias("_folder"),
         F.when(starred & ~whole_tree, F.length(head) + 1).otherwise(F.lit(0)).alias("_min_length"),
+        F.explode(slots).alias("_slot"),
     )
+
+
+def match_rule_table(findings: DataFrame, rules: DataFrame) -> DataFrame:
+    """First matching rule per (path, line_no) for rule tables of any size.
+
+    Distinct locations are expanded by their ancestor folders and joined by
+    equality with each rule's literal folder; only those pairs meet the regex.
+    Only rules that start with a wildcard meet every location, in slots.
+    """
     parts = F.split("path", "/")
     ancestors = F.transform(
         F.sequence(F.lit(0), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/")
     )
     places = findings.select("path", "line_no").distinct().withColumn("_folder", F.explode(ancestors))
-    pairs = places.join(keyed, "_folder").filter(
+    slot = F.when(F.col("_folder") == "", F.pmod(F.hash("path", "line_no"), F.lit(SLOTS))).otherwise(F.lit(0))
+    pairs = places.withColumn("_slot", slot).join(_keyed(rules), ["_folder", "_slot"]).filter(
         F.expr("path rlike _regex")
         & (F.length("path") >= F.col("_min_length"))
         & ((F.col("_rule_line") == 0) | (F.col("_rule_line") == F.col("line_no")))
@@ -135,20 +120,18 @@ def match_rule_table(findings: DataFrame, rules: DataFrame) -> DataFrame:
     return pairs.groupBy("path", "line_no").agg(F.min(F.struct("source_line", "pattern")).alias("_rule"))
 
 
-def apply_suppressions(findings: DataFrame, rules) -> DataFrame:
-    """Mark findings matched by an ignore rule; nothing is dropped.
+def _marked(findings: DataFrame, rules) -> DataFrame:
+    """Findings with the first matching rule in `_rule`; a list of rules, however long, is made a table."""
+    table = rules if isinstance(rules, DataFrame) else rules_table(findings.sparkSession, rules)
+    return join_lookup(findings, match_rule_table(findings, table), ["path", "line_no"])
 
-    A rule list becomes one ordered CASE in the scan of the findings: no join.
-    A DataFrame, or a longer list, goes through the folder-keyed join.
-    """
-    if isinstance(rules, list) and len(rules) <= MAX_RULES_IN_PLAN:
-        marked = findings.withColumn("_rule", _first_rule(rules, F.col("path"), F.col("line_no")))
-    else:
-        table = rules if isinstance(rules, DataFrame) else rules_table(findings.sparkSession, rules)
-        marked = join_lookup(findings, match_rule_table(findings, table), ["path", "line_no"])
+
+def apply_suppressions(findings: DataFrame, rules) -> DataFrame:
+    """Mark findings matched by an ignore rule, given as a list or as a table; nothing is dropped."""
     rule = F.col("_rule")
     return (
-        marked.withColumn("suppressed", rule.isNotNull())
+        _marked(findings, rules)
+        .withColumn("suppressed", rule.isNotNull())
         .withColumn("suppression_reason", F.concat(F.lit("pattern "), rule["pattern"]))
         .withColumn("suppression_source", F.concat(F.lit(IGNORE_SOURCE), rule["source_line"].cast("string")))
         .drop("_rule")
@@ -171,16 +154,18 @@ def inline_suppressions(findings: DataFrame, lines: DataFrame) -> DataFrame:
     """Apply markers found on the flagged line to findings no ignore rule matched.
 
     Lines are cut down to those with a marker, and their reasons read, before
-    the join by equality on (record_id, line_no). The file type of the finding
-    then picks the reason given in its comment syntax.
+    the join by equality on (record_id, line_no), and crowded lines are split. The file
+    type of the finding then picks the reason given in its comment syntax.
     """
     line = F.col("line")
     reasons = [f"_reason_{n}" for n in range(len(fv.INLINE_MARKERS))]
     marked = lines.filter(line.contains("pci-ignore:")).select(
-        F.col("record_id").alias("_record"),
-        F.col("line_no").alias("_line_no"),
+        "record_id",
+        "line_no",
         *[marker_reason(line, markers, end).alias(r) for r, (_, markers, end) in zip(reasons, fv.INLINE_MARKERS)],
     )
+    # A line that is given twice counts once.
+    marked = marked.groupBy("record_id", "line_no").agg(*[F.min(r).alias(r) for r in reasons])
     if "suppressed" not in findings.columns:
         findings = (
             findings.withColumn("suppressed", F.lit(False))
@@ -189,10 +174,7 @@ def inline_suppressions(findings: DataFrame, lines: DataFrame) -> DataFrame:
         )
     ext = extension(F.col("path"))
     chosen = F.coalesce(*[F.when(ext.isin(exts), F.col(r)) for r, (exts, _, _) in zip(reasons, fv.INLINE_MARKERS)])
-    open_hit = F.col("_line_no").isNotNull() & ~F.col("suppressed")
-    joined = findings.join(
-        marked, (F.col("record_id") == F.col("_record")) & (F.col("line_no") == F.col("_line_no")), "left"
-    ).withColumn("_reason", F.when(open_hit, chosen))
+    joined = join_lookup(findings, marked, ["record_id", "line_no"]).withColumn("_reason", F.when(~F.col("suppressed"), chosen))
     found = F.col("_reason").isNotNull()
     return (
         joined.withColumn("suppression_reason", F.coalesce("_reason", "suppression_reason"))
@@ -200,17 +182,17 @@ def inline_suppressions(findings: DataFrame, lines: DataFrame) -> DataFrame:
             "suppression_source", F.when(found, F.lit("inline comment")).otherwise(F.col("suppression_source"))
         )
         .withColumn("suppressed", F.col("suppressed") | found)
-        .drop("_record", "_line_no", "_reason", *reasons)
+        .drop("_reason", *reasons)
     )
 
 
-def exclude_packages(findings: DataFrame, rules: list[ExcludeRule]) -> tuple[DataFrame, DataFrame]:
+def exclude_packages(findings: DataFrame, rules) -> tuple[DataFrame, DataFrame]:
     """(kept findings, one SUPPRESSED-PACKAGE row per matching rule with its count).
 
-    The first matching rule takes a finding. Exclusions are scope configuration,
-    held as a list and compiled into the scan.
+    The first matching rule, of a list or a table, takes a finding.
     """
-    marked = findings.withColumn("_rule", _first_rule(rules, F.col("path"), None))
+    table = rules if isinstance(rules, DataFrame) else rules_table(findings.sparkSession, rules)
+    marked = _marked(findings, table.withColumn("line_no", F.lit(0)))
     kept = marked.filter(F.col("_rule").isNull()).drop("_rule")
     counts = (
         marked.filter(F.col("_rule").isNotNull())

@@ -45,6 +45,11 @@ def with_order(findings: DataFrame) -> DataFrame:
     return as_findings(findings).withColumn("ord", order)
 
 
+def _rules(given):
+    """Rules as a table or a list."""
+    return given if isinstance(given, DataFrame) else list(given)
+
+
 def compliance_report(
     findings: DataFrame,
     requirements: DataFrame,
@@ -61,11 +66,11 @@ def compliance_report(
     """
     has_order = "ord" in findings.columns
     ordered = findings if has_order else with_order(findings)
-    if exclude_rules:
-        kept, reports = exclude_packages(ordered, list(exclude_rules))
+    if isinstance(exclude_rules, DataFrame) or exclude_rules:
+        kept, reports = exclude_packages(ordered, _rules(exclude_rules))
         reports = reports.drop("n_dropped") if has_order else with_order(reports)
         ordered = kept.unionByName(reports, allowMissingColumns=True)
-    marked = apply_suppressions(ordered, list(ignore_rules))
+    marked = apply_suppressions(ordered, _rules(ignore_rules))
     if lines is not None:
         marked = inline_suppressions(marked, lines)
     base = marked.persist()

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,19 +36,14 @@ def build_session(app: str = "sievelake", master: str | None = None, **conf: str
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach, as named by spark.checkpoint.dir.
-
-    A temporary folder is used only in local mode, where driver and executors
-    share one machine. On a cluster an unset folder is an error.
-    """
+    """The folder every executor can reach: spark.checkpoint.dir, else one below Spark's warehouse folder."""
     named = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local"):
+    warehouse = spark.conf.get("spark.sql.warehouse.dir", None)
+    if not warehouse:
         raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder all executors can reach")
-    made = tempfile.mkdtemp(prefix="sievelake-checkpoint-")
-    spark.conf.set(CHECKPOINT_KEY, made)
-    return made
+    return f"{warehouse.rstrip('/')}/_scratch"
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
@@ -66,4 +60,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, "step")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    cut = spark.read.schema(df.schema).parquet(path)
+    cut.scratch = path
+    return cut
+
+
+def forget(*cuts: DataFrame) -> None:
+    """Delete the files of cut_lineage() results that no later step reads. Other DataFrames are left alone."""
+    for cut in cuts:
+        path = getattr(cut, "scratch", None)
+        if path:
+            jvm = cut.sparkSession._jvm
+            target = jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(cut.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(target, True)

@@ -53,13 +53,13 @@ def extract_inline_kv(lines: DataFrame) -> DataFrame:
     )
 
 
-def flatten_json(df: DataFrame, json: str, keep=("record_id",), max_depth: int = fv.JSON_MAX_DEPTH) -> DataFrame:
+def flatten_json(df: DataFrame, json: str, keep=("record_id",), max_depth: int | None = None) -> DataFrame:
     """Leaves of a JSON column as (keep..., key, value) rows.
 
     Objects add `.name`, arrays add `[index]`; numbers and booleans become text,
-    nulls and empty strings vanish, containers below `max_depth` are dropped.
-    Each row is expanded level by level inside one projection: no shuffle, and
-    the input is read once whatever its depth.
+    nulls and empty strings vanish. Each row is expanded level by level, as often as
+    its own brackets are nested, inside one projection: no shuffle, and the
+    input is read once whatever its depth. With `max_depth`, containers below it are dropped.
     """
     entry = "struct<key:string,node:variant,leaf:boolean>"
 
@@ -88,15 +88,28 @@ def flatten_json(df: DataFrame, json: str, keep=("record_id",), max_depth: int =
             F.coalesce(fields, items, F.array(made(e["key"], e["node"], True)))
         )
 
+    brackets = F.regexp_replace("_json", r'"(?:[^"\\]|\\.)*+"|[^\[\]{}]', "")
+    nested = F.aggregate(
+        F.split(brackets, ""),
+        F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")),
+        lambda s, b: F.struct(
+            (s["now"] + F.when(b.isin("{", "["), 1).when(b.isin("}", "]"), -1).otherwise(0)).alias("now"),
+            F.greatest(s["most"], s["now"] + F.when(b.isin("{", "["), 1).otherwise(0)).alias("most"),
+        ),
+        lambda s: F.greatest(s["most"], F.lit(1)),
+    )
+    if max_depth is not None:
+        nested = F.least(nested, F.lit(max_depth))
     expanded = F.aggregate(
-        F.sequence(F.lit(1), F.lit(max_depth)),
+        F.sequence(F.lit(1), F.col("_depth")),
         F.array(made(F.lit(""), F.col("_doc"), False)).cast(f"array<{entry}>"),
         # Rows whose entries are all leaves pass the remaining levels untouched.
         lambda acc, _: F.when(
             F.exists(acc, lambda e: ~e["leaf"]), F.flatten(F.transform(acc, opened)).cast(f"array<{entry}>")
         ).otherwise(acc),
     )
-    documents = df.select(*keep, F.try_parse_json(col(json)).alias("_doc")).filter(as_object(F.col("_doc")).isNotNull())
+    parsed = df.select(*keep, col(json).alias("_json"), F.try_parse_json(col(json)).alias("_doc"))
+    documents = parsed.filter(as_object(F.col("_doc")).isNotNull()).withColumn("_depth", nested)
     leaves = documents.select(*keep, F.explode(expanded).alias("_leaf"))
     node = F.col("_leaf.node")
     scalar = F.col("_leaf.leaf") | (as_object(node).isNull() & as_array(node).isNull())

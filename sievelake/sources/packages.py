@@ -58,7 +58,7 @@ def explode_advisories(advisories: DataFrame) -> DataFrame:
 def flat_advisories(advisories: DataFrame) -> DataFrame:
     """One row per advisory and affected package, events kept as an ordered array.
 
-    This is the shape the matcher joins on: (adv_id, package, ranges, labels).
+    This is the shape the matcher joins on: (adv_id, affected_no, package, ranges, labels).
     """
     base = advisories.select(
         F.col("id").alias("adv_id"),
@@ -74,6 +74,7 @@ def flat_advisories(advisories: DataFrame) -> DataFrame:
         "db_severity",
         "cvss",
         "summary",
+        "affected_no",
         F.col("_affected.package.name").alias("package"),
         F.col("_affected.ranges").alias("ranges"),
     )

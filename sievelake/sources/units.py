@@ -19,12 +19,12 @@ def read_units(
     spark: SparkSession,
     path: str,
     exts=(),
-    max_bytes: int = fv.MAX_FILE_BYTES,
+    max_bytes: int | None = None,
 ) -> DataFrame:
     """Files below `path` as UNIT rows; files that cannot be read are skipped.
 
-    The size limit is pushed into the file listing through the `length` column,
-    so an oversized file is never opened.
+    A size limit, where one is given, is pushed into the file listing through the
+    `length` column, so an oversized file is never opened.
     """
     reader = (
         spark.read.format("binaryFile")
@@ -34,7 +34,9 @@ def read_units(
     )
     if exts:
         reader = reader.option("pathGlobFilter", _suffix_glob(exts))
-    files = reader.load(path).filter(F.col("length") <= max_bytes)
+    files = reader.load(path)
+    if max_bytes is not None:
+        files = files.filter(F.col("length") <= max_bytes)
     root = path.rstrip("/") + "/"
     relative = F.regexp_replace("path", f"^(file:/*)?{_quoted(root)}", "")
     return files.select(
@@ -68,7 +70,7 @@ def filter_scope(
     exclude_dirs=(),
     exclude_globs=(),
     include_tests: bool = False,
-    max_bytes: int = fv.MAX_FILE_BYTES,
+    max_bytes: int | None = None,
     path: str = "path",
     size: str = "n_bytes",
 ) -> DataFrame:
@@ -80,7 +82,8 @@ def filter_scope(
     folder_globs = [g[:-1] for g in exclude_globs if g.endswith("/")]
     file_globs = [g for g in exclude_globs if not g.endswith("/")]
     folders = [d.lower() for d in (*fv.DEFAULT_EXCLUDED_DIRS, *exclude_dirs, *folder_globs)]
-    keep = (F.col(size) <= max_bytes) & ~F.lower(p).rlike(f"(^|/)({any_of(folders)})/")
+    keep = F.lit(True) if max_bytes is None else F.col(size) <= max_bytes
+    keep = keep & ~F.lower(p).rlike(f"(^|/)({any_of(folders)})/")
     for glob in file_globs:
         keep = keep & ~base_name(p).rlike(f"^{glob_regex(glob)}$")
     if not include_tests:

@@ -179,6 +179,15 @@ def test_weak_hash_across_block_edges(spark, block):
     assert got == weak_hash_by_hand(lines)
 
 
+def test_weak_hash_sees_calls_and_names_only(spark):
+    lines = ["a = sha256(x); b = md5(y)", "md5(sha1(z))", "h = md5(x) // shopping list", 'log("md5(pin)")', "'it\\'s' + des (x) /* pin */ + MD5.new(`key`)", "mymd5(x)"]
+    got = []
+    for n, line in enumerate(lines):
+        df = spark.createDataFrame([("r", 1, line)], "record_id string, line_no int, line string")
+        got.append(sorted((r.subject, r.severity) for r in crypto.scan_weak_hash(df).collect()))
+    assert got == [[("md5", "INFO")], [("md5", "INFO"), ("sha1", "INFO")], [("md5", "INFO")], [], [("des", "INFO"), ("md5", "INFO")], []]
+
+
 PAY = '<form><input name="card-number"></form>'
 
 

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sievelake import fixed_values as fv
+from sievelake.functions import paths
 from sievelake.operators import (
     context,
     dependencies,
@@ -82,9 +83,8 @@ def test_parse_ignore_lines(spark, tmp_path):
     ]
     assert [(r.source_line, r.pattern) for r in excludes] == [(7, "gen/**")]
     (tmp_path / "ignore").write_text("\n".join(IGNORE))
-    assert suppression.read_ignore_file(spark, str(tmp_path / "ignore")) == (rules, excludes)
-    with pytest.raises(ValueError):
-        suppression.read_ignore_file(spark, str(tmp_path / "ignore"), max_rows=3)
+    tables = suppression.read_ignore_file(spark, str(tmp_path / "ignore"))
+    assert [sorted(map(tuple, t.collect())) for t in tables] == [[(r.source_line, r.pattern, getattr(r, "line_no", 0)) for r in own] for own in (rules, excludes)]
 
 
 PATHS = ["testdata/x.html", "config/a.yaml", "docs/r.md", "docs/x/r.md", "a/b/c.html", "c.html", "src/a.go", "odd:name", "x/testdata/a"]
@@ -105,6 +105,33 @@ def test_rule_list_and_rule_table_agree(spark):
     }
 
 
+GLOBS = [r"a\*b", "a*b", "[ab]x", "[^a]x", "d[1", "[]x]y", "a?b", "x\\", r"q\[z", "a.b", "t/**", "t/**/", "t/**/*.g?", "**/[xy].c", "p+(**", r"[\d]"]
+NAMES = ["a*b", "aXb", "ax", "bx", "cx", "d[1", "xy", "]y", "a/b", "a.b", "x\\", "q[z", "t/u/v.go", "t/v.gx", "t/", "z/x.c", "p+(q/r", "\\", "d", "azb"]
+
+
+def test_both_glob_translations_agree(spark):
+    rows = [(g, n) for g in GLOBS for n in NAMES]
+    df = spark.createDataFrame(rows, "g string, n string").withColumn("own", paths.rule_regex_of(F.col("g")))
+    by_column = {(r.g, r.n): r.hit for r in df.selectExpr("g", "n", "n rlike own AS hit").collect()}
+    for glob in GLOBS:
+        by_text = {r.n: r.hit for r in spark.createDataFrame([(n,) for n in NAMES], "n string").select("n", paths.glob_match(glob, "n").alias("hit")).collect()}
+        assert by_text == {n: by_column[glob, n] for n in NAMES}, glob
+
+
+@pytest.mark.parametrize("extra", [0, 300])
+def test_answers_do_not_depend_on_the_number_of_rules(spark, extra):
+    rules = [suppression.IgnoreRule(i + 1, g) for i, g in enumerate(GLOBS)] + [suppression.IgnoreRule(1000 + i, f"never{i}/**") for i in range(extra)]
+    df = findings(spark, *[("R", "HIGH", "1", n, 1, []) for n in NAMES])
+    got = {r.path: r.suppression_source for r in suppression.apply_suppressions(df, rules).collect()}
+    assert got["a*b"] == "ignore-file:1" and got["d[1"] == "ignore-file:5" and got["]y"] == "ignore-file:6" and got["azb"] == "ignore-file:2"
+
+
+def test_repeated_lines_do_not_repeat_findings(spark):
+    lines = spark.createDataFrame([("a.go", 1, "x() // pci-ignore: ok")] * 3, "record_id string, line_no int, line string")
+    got = suppression.inline_suppressions(findings(spark, ("R", "HIGH", "1", "a.go", 1, [])), lines).collect()
+    assert [r.suppression_reason for r in got] == ["ok"]
+
+
 def test_long_rule_lists_use_the_table(spark):
     rules = [suppression.IgnoreRule(i, f"never{i}/**") for i in range(1, 300)] + [suppression.IgnoreRule(300, "src/*.go")]
     df = findings(spark, ("R", "HIGH", "1", "src/a.go", 1, []), ("R", "HIGH", "1", "lib/a.go", 1, []))
@@ -357,6 +384,23 @@ def test_alias_groups_bridge(spark):
     }
 
 
+def test_several_affected_entries_and_ranges(spark):
+    ev = lambda i=None, f=None: {"introduced": i, "fixed": f, "last_affected": None}
+    semver = lambda *events: {"type": "SEMVER", "events": list(events)}
+    schema = "adv_id string, aliases array<string>, package string, affected_no int, db_severity string, cvss string, ranges array<struct<type:string,events:array<struct<introduced:string,fixed:string,last_affected:string>>>>"
+    rows = [
+        ("A", [], "m", 0, "HIGH", None, [semver(ev("0"))]),
+        ("A", [], "m", 1, "HIGH", None, [semver(ev("2.0.0"), ev(f="2.3.0"))]),
+        ("B", [], "n", 0, "LOW", None, [semver(ev("0"), ev(f="1.2.0"), ev("2.0.0"), ev(f="2.3.0"))]),
+        ("C", [], "o", 0, "LOW", None, [semver(ev(f="0.9.0")), semver(ev("0"))]),
+    ]
+    want = {("A", "v2.3.0", ">=v0.0.0"), ("B", "v1.2.0", ">=v2.0.0, <v2.3.0"), ("C", "v0.9.0", ">=v0.0.0")}
+    used = deps(spark, ("m", "v1.0.0", False), ("n", "v2.1.0", False), ("o", "v3.0.0", False))
+    for order in (rows, rows[::-1]):
+        found = dependencies.scan_dependencies(used, spark.createDataFrame(order, schema).repartition(3)).collect()
+        assert {(r.subject, r.fix_version, r.affected_range) for r in found} == want
+
+
 def test_scan_dependencies(spark):
     rows = [
         ("GO-1", ["CVE-1"], "m", "1.0.0", "1.4.0", None, None), ("GHSA-1", ["CVE-1"], "m", "1.0.0", "1.4.0", "MODERATE", None),

@@ -66,11 +66,11 @@ def test_extract_inline_kv(spark):
 
 def brute(node, key="", depth=0):
     if isinstance(node, dict):
-        if depth < 20:
+        if depth < 40:
             for name, value in node.items():
                 yield from brute(value, f"{key}.{name}" if key else name, depth + 1)
     elif isinstance(node, list):
-        if depth < 20:
+        if depth < 40:
             for i, value in enumerate(node):
                 yield from brute(value, f"{key}[{i}]", depth + 1)
     elif isinstance(node, bool):
@@ -81,10 +81,11 @@ def brute(node, key="", depth=0):
 
 def test_flatten_json_against_recursion(spark):
     deep, capped = "x", "y"
-    for i in range(19):
+    for i in range(30):
         deep = {f"k{i}": deep}
     for _ in range(21):
         capped = [capped]
+    capped += ['{[ \\" } not a bracket']
     docs = [
         {"a": 1, "b": {"c": "x", "d": [True, None, {"e": "f"}, "", 2.5]}, "z": {}},
         {"deep": deep},

@@ -805,18 +805,20 @@ SELECT {found("'CRYPTO-PLAIN-HTTP'", "'CRITICAL'", "'4.2.1'", "page_id", "url",
 FROM pages WHERE regexp_matches(url, 'http://[^\s"]') AND NOT regexp_matches(url, {q(fv.LOCAL_HTTP_PATTERN)})"""
 add("r08_scan_plain_http", R08)
 
+CODE = f"SELECT record_id, line_no, replace(regexp_replace(line, {q(fv.NOT_CODE)}, ' ', 'g'), '(', '( ') AS line FROM v_lines"
 CALLS = r"""
-SELECT record_id, line_no, lower(regexp_extract(line, '(?i)(?:^|[^A-Za-z0-9_])(md5|sha1|des|sha256)(?:\.[A-Za-z0-9]+)?[ \t]*\(', 1)) AS algo
-FROM v_lines"""
+SELECT record_id, line_no,
+       lower(unnest(regexp_extract_all(line, '(?i)(?:^|[^A-Za-z0-9_])(md5|sha1|des|sha256)(?:\.[A-Za-z0-9]+)?[ \t]*\(', 1))) AS algo
+FROM code"""
 R09 = f"""
 SELECT {found("'CRYPTO-WEAK-HASH'", "CASE WHEN near THEN 'CRITICAL' ELSE 'INFO' END", "'6.2.4'", "record_id", EMPTY, "line_no", "algo")}
 FROM (SELECT c.record_id, c.line_no, c.algo, EXISTS (
-        SELECT 1 FROM v_lines l WHERE l.record_id = c.record_id AND l.line_no BETWEEN c.line_no - 5 AND c.line_no + 5
+        SELECT 1 FROM code l WHERE l.record_id = c.record_id AND l.line_no BETWEEN c.line_no - 5 AND c.line_no + 5
           AND ((c.algo <> 'sha256' AND {has_any('lower(l.line)', fv.HASH_CONTEXT_WORDS)})
                OR (c.algo = 'sha256' AND {has_any('lower(l.line)', fv.SHA256_CONTEXT_WORDS)}))) AS near
       FROM calls c WHERE c.algo <> '')
 WHERE near OR algo <> 'sha256'"""
-add("r09_scan_weak_hash", R09, ("calls", CALLS))
+add("r09_scan_weak_hash", R09, ("code", CODE), ("calls", CALLS))
 
 PAY = "CASE WHEN is_payment THEN '-PAYMENT' ELSE '' END"
 PAY_SEV = "CASE WHEN is_payment THEN 'CRITICAL' ELSE 'HIGH' END"
@@ -1416,6 +1418,7 @@ FROM everything GROUP BY rule_id, severity, requirement_id""",
     ("text_lines", TEXT_LINES),
     ("logged", LOGGED),
     *R06_STEPS,
+    ("code", CODE),
     ("calls", CALLS),
     *PAGE_STEPS,
     ("judged", CSP_JUDGED),

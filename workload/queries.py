@@ -169,7 +169,7 @@ def _(spark, sf):
 
 @query("src02_filter_scope")
 def _(spark, sf):
-    return units.filter_scope(view(spark, sf, "v_paths"), SCOPE_EXTS, exclude_globs=["*.pb.go", "examples/"])
+    return units.filter_scope(view(spark, sf, "v_paths"), SCOPE_EXTS, exclude_globs=["*.pb.go", "examples/"], max_bytes=fv.MAX_FILE_BYTES)
 
 
 @query("src03_tracked_only")
