@@ -9,11 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievelake.llm.common import ship
+from sievelake.llm.common import fresh, ship
 from sievelake.llm.mixing import mix
 from sievelake.llm.near_dups import near_duplicates
 from sievelake.llm.packing import pack
-from sievelake.llm.quality import quality_rules
+from sievelake.llm.quality import ADDED, quality_rules
 from sievelake.llm.queries import QUANTUM, SEQUENCE, WORD, domain_of, mix_weights, trusted_documents, vocabulary
 from sievelake.llm.secrets import redacted, scan_secrets
 from sievelake.session import scratch_path
@@ -22,10 +22,18 @@ from sievelake.session import scratch_path
 SHARE = 0.95
 
 
+def _apart(docs: DataFrame, *names: str) -> tuple[DataFrame, dict[str, str]]:
+    """Documents without columns of these names, and the way back to their own names."""
+    taken = [c for c in docs.columns if c.lower() in names]
+    renamed = {c: fresh(docs, f"own_{c.lower()}") for c in taken}
+    return docs.withColumnsRenamed(renamed), {v: k for k, v in renamed.items()}
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
     ship(spark)
-    return quality_rules(docs, trusted_documents(spark, sf_dir)).filter("kept").select(*docs.columns)
+    plain, back = _apart(docs, *ADDED)
+    return quality_rules(plain, trusted_documents(spark, sf_dir)).filter("kept").select(*plain.columns).withColumnsRenamed(back)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,18 +54,22 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     found = scan_secrets(docs, repository=["source", "lang"], owner=["source"])
     found = found.filter(F.exists("verdicts", lambda v: v["verdict"] != "example")).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("verdicts").alias("_verdicts")).distinct()
     text_hash = F.sha2(F.coalesce("text", F.lit("")), 256)
-    marked = docs.withColumn("_here", text_hash).join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_here") == F.col("_hash")), "left")
-    text = F.when(F.col("_verdicts").isNotNull(), redacted(F.col("text"), F.col("_verdicts"))).otherwise(F.col("text"))
-    out = marked.withColumn("text", text).withColumn("n_chars", F.when(F.col("_verdicts").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col("doc_id").alias("_own_id"), text_hash.alias("_own_hash"))
+    marked = whole.join(found, F.col("_own_id").eqNullSafe(F.col("_id")) & (F.col("_own_hash") == F.col("_hash")), "left")
+    doc, hit = F.col("_doc"), F.col("_verdicts").isNotNull()
+    text = F.when(hit, redacted(doc["text"], F.col("_verdicts"))).otherwise(doc["text"])
+    new = {"text": text, "n_chars": F.when(hit, F.length(text).cast("long")).otherwise(doc["n_chars"])}
+    return marked.select(*[new.get(c, doc[c]).alias(c) for c in docs.columns])
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents under hierarchical budgets; one that a budget cuts stays whole."""
     ship(spark)
-    counted = docs.withColumn("_n_tokens", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
+    plain, back = _apart(docs, "epoch", "take")
+    tokens = fresh(plain, "_n_tokens")
+    counted = plain.withColumn(tokens, F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
     levels = [domain_of(), F.col("lang"), F.col("source")]
-    return mix(counted, levels, mix_weights(), SHARE, tokens="_n_tokens", max_epochs=1).select(*docs.columns)
+    return mix(counted, levels, mix_weights(), SHARE, tokens=tokens, max_epochs=1).select(*plain.columns).withColumnsRenamed(back)
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -110,7 +110,7 @@ def pack(
     one by one; an empty table gives an empty one. Other columns are left out. `window` must
     be a multiple of `quantum`.
     """
-    assert window % quantum == 0
+    assert window % quantum == 0 and (not targets or min(targets.values()) > 0)
     kind = dict(df.dtypes)[key]
     streams = cut_lineage(token_streams(df, key, text, source, vocabulary, end_id))
     sums = streams.groupBy("_source", "_part").agg(F.sum("_n").alias("_tokens"))
@@ -134,7 +134,7 @@ def pack(
             named = F.lit("-") if name is None else F.lit(f"{len(name)}={name}")
             weight = F.when(F.col("_source") == named, F.lit(float(value))).otherwise(weight)
     else:
-        weight = F.col("_quanta").cast("double")
+        weight = F.greatest(F.col("_quanta"), F.lit(1)).cast("double")
     queues = cut_lineage(queues.withColumn("_weight", weight))
     total = queues.agg(F.sum("_quanta").alias("quanta"), F.max(F.col("_quanta") / F.col("_weight")).alias("last"), F.sum("_weight").alias("weights")).first()
     quanta, last = total["quanta"] or 0, total["last"] or 1.0

@@ -30,6 +30,7 @@ WINDOW = 5
 SYMBOLS = np.zeros(256, np.int64)
 SYMBOLS[list(b"#*$%&|<>")] = 1
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+ADDED = [*MEASURES, "base_failed", "ratio", "kept"]
 
 
 def grams(words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -133,8 +134,7 @@ def quality_rules(df: DataFrame, trusted: DataFrame, key: str = "doc_id", text:
     Null keys are never trusted. Without trusted rows every ratio is 0. An empty table gives an empty
     one. Columns of `df` are carried along, those named like the added ones are replaced.
     """
-    added = [*MEASURES, "base_failed", "ratio", "kept"]
-    carried = [f for f in df.schema.fields if f.name not in added]
+    carried = [f for f in df.schema.fields if f.name not in ADDED]
     chosen = trusted.select(F.col(trusted.columns[0]).alias("_key")).filter("_key IS NOT NULL").distinct()
     chosen = chosen.orderBy(F.xxhash64("_key"), "_key").limit(TRUSTED_ROWS).withColumn("_hit", F.lit(True))
     rows = df.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").alias("_text"))
@@ -157,8 +157,8 @@ def quality_rules(df: DataFrame, trusted: DataFrame, key: str = "doc_id", text:
             failed = (n < 10) | (100 * found["n_repeat_words"] > 20 * n)
             kept = ~failed & (ratio >= least)
             columns = [batch.column(f.name) for f in carried] + [pa.array(found[m]) for m in MEASURES] + [pa.array(failed), pa.array(ratio), pa.array(kept)]
-            yield pa.RecordBatch.from_arrays(columns, names=[*[f.name for f in carried], *added])
+            yield pa.RecordBatch.from_arrays(columns, names=[*[f.name for f in carried], *ADDED])
 
-    counts = [StructField(c, BooleanType() if c in ("base_failed", "kept") else LongType()) for c in added]
+    counts = [StructField(c, BooleanType() if c in ("base_failed", "kept") else LongType()) for c in ADDED]
     whole = df.select(*[F.col(f"`{f.name}`") for f in carried], F.col(f"`{text}`").alias(own))
     return whole.mapInArrow(work, StructType([*carried, *counts]))
