@@ -16,20 +16,20 @@ from sievelake.session import cut_lineage
 #: Rows of the sketch, and the most cells (as a power of two) of each; the driver and every worker hold a bit per cell.
 DEPTH, MOST_CELL_BITS = 2, 28
 BLOCK_BITS = 20
-#: Windows that a task gathers before it reduces and emits them.
-GATHER = 2_000_000
+#: Windows that a task gathers before it emits their cells, and before it reduces and emits candidates.
+GATHER_CELLS, GATHER = 6_000_000, 1_000_000
 LAST = np.iinfo(np.int64).max
 
 
 def window_hashes(words: Words, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Two independent 64-bit hashes of every window, and its first word."""
+    """A 64-bit and an independent 32-bit hash of every window, and its first word."""
     one, first = gram_hashes(words, n, 15)
     again = mix64(words.hash ^ seeds(16, 1)[0])
-    return one, run_hash(running_hash(again, 17), first, first + n, 17), first
+    return one, (run_hash(running_hash(again, 17), first, first + n, 17) >> np.uint64(32)).astype(np.int32), first
 
 
 def cells_of(hashes: np.ndarray, row: int, bits: int) -> np.ndarray:
-    return (mix64(hashes ^ seeds(41 + row, 1)[0]) >> np.uint64(64 - bits)).astype(np.int64)
+    return (mix64(hashes ^ seeds(41 + row, 1)[0]) >> np.uint64(64 - bits)).astype(np.int32)
 
 
 def pack_cells(cells: np.ndarray) -> bytes:
@@ -58,7 +58,7 @@ def partial_sketches(texts: DataFrame, n: int, bits: int) -> DataFrame:
             edges = np.searchsorted(cells, np.arange((1 << (bits - width)) + 1) << width)
             for block in np.flatnonzero(np.diff(edges)).tolist():
                 part = slice(edges[block], edges[block + 1])
-                inside = cells[part] - (block << width)
+                inside = cells[part].astype(np.int64) - (block << width)
                 for name, value in zip(out, (row, block, pack_cells(inside), pack_cells(inside[counts[part] > 1])), strict=True):
                     out[name].append(value)
         yield pa.RecordBatch.from_arrays([pa.array(out["row"], pa.int32()), pa.array(out["block"], pa.int32()), pa.array(out["once"], pa.binary()), pa.array(out["twice"], pa.binary())], names=list(out))
@@ -68,7 +68,7 @@ def partial_sketches(texts: DataFrame, n: int, bits: int) -> DataFrame:
         for batch in pieces(batches, "_text"):
             hashes.append(gram_hashes(words_of(*text_bytes(batch.column("_text"))), n, 15)[0])
             count += len(hashes[-1])
-            if count >= GATHER:
+            if count >= GATHER_CELLS:
                 yield from emit(hashes)
                 hashes, count = [], 0
         if count:
@@ -118,7 +118,7 @@ def estimated_repeated(sketch: np.ndarray, hashes: np.ndarray, bits: int) -> np.
 
 def candidate_windows(texts: DataFrame, n: int, bits: int, sketch) -> DataFrame:
     """The first place of each window that is estimated repeated among what a task has gathered; its other places as lists to remove."""
-    schema = "one bigint, two bigint, doc bigint, tie bigint, start int, starts array<int>"
+    schema = "one bigint, two int, doc bigint, tie bigint, start int, starts array<int>"
 
     def emit(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
         one, two, doc, tie, start = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -136,10 +136,10 @@ def candidate_windows(texts: DataFrame, n: int, bits: int, sketch) -> DataFrame:
             edge = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (tie[1:] != tie[:-1])]))
             lists = pa.ListArray.from_arrays(pa.array(np.append(edge, len(doc)).astype(np.int32)), pa.array(start.astype(np.int32)))
             # Their own keys, so that nothing else meets them; equal places of two tasks are joined later.
-            yield _batch(mix64(doc[edge].view(np.uint64)), tie[edge].view(np.uint64), doc[edge], tie[edge], np.full(len(edge), -1), lists)
+            yield _batch(mix64(doc[edge].view(np.uint64)), mix64(tie[edge].view(np.uint64)).astype(np.int32), doc[edge], tie[edge], np.full(len(edge), -1), lists)
 
     def _batch(one, two, doc, tie, start, starts) -> pa.RecordBatch:
-        columns = [pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(doc), pa.array(tie), pa.array(start.astype(np.int32)), starts]
+        columns = [pa.array(one.view(np.int64)), pa.array(two.astype(np.int32)), pa.array(doc), pa.array(tie), pa.array(start.astype(np.int32)), starts]
         return pa.RecordBatch.from_arrays(columns, names=["one", "two", "doc", "tie", "start", "starts"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,7 +209,7 @@ def without_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", n: i
     on the input. Every task counts its windows' hashes in a count-min sketch, as the
     cells it has met; the sketches are added block by block, and a cell met twice
     marks all its windows. So no repeated window is missed. A second pass groups
-    the marked ones by 128 bits of hash. A task first reduces what it has gathered to
+    the marked ones by 96 bits of hash. A task first reduces what it has gathered to
     one place for each window, so a passage that is everywhere gives one row for
     millions of windows, not one for each.
 

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Text is worked on in pieces of about this many bytes; a longer document is one piece.
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 20
 
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -48,11 +48,11 @@ def powers(seed: int, n: int, inverse: bool = False) -> np.ndarray:
     """The first n powers of the seed's odd number (or of its inverse) modulo 2^64."""
     have = _POWERS.get((seed, inverse))
     if have is None or len(have) < n:
-        size = max(n, PIECE_BYTES + 1)
+        size = 1 << max(10, n.bit_length())
         step = np.full(size, _base(seed)[inverse], np.uint64)
         step[0] = 1
         have = np.cumprod(step, dtype=np.uint64)
-        if n <= 4 * PIECE_BYTES:  # one very long document shall not stay in memory
+        if size <= 4 * PIECE_BYTES:  # one very long document shall not stay in memory
             _POWERS[seed, inverse] = have
     return have[:n]
 
