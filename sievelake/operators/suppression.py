@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievelake import fixed_values as fv
-from sievelake.functions.paths import rule_regex_of
+from sievelake.functions.paths import rule_regex, rule_regex_of
 from sievelake.functions.text import extension, strip
 from sievelake.operators.groups import join_lookup
 from sievelake.schemas import text_list
@@ -120,17 +120,37 @@ def match_rule_table(findings: DataFrame, rules: DataFrame) -> DataFrame:
     return pairs.groupBy("path", "line_no").agg(F.min(F.struct("source_line", "pattern")).alias("_rule"))
 
 
-def _marked(findings: DataFrame, rules) -> DataFrame:
-    """Findings with the first matching rule in `_rule`; a list of rules, however long, is made a table."""
-    table = rules if isinstance(rules, DataFrame) else rules_table(findings.sparkSession, rules)
-    return join_lookup(findings, match_rule_table(findings, table), ["path", "line_no"])
+def _first_rule(rules, path: Column, line_no: Column | None) -> Column:
+    """Struct of the first matching rule in source order, or null."""
+    result = None
+    for rule in sorted(rules, key=lambda r: r.source_line):
+        hit = path.rlike(rule_regex(rule.pattern))
+        head, stars, tail = rule.pattern.partition("**")
+        if stars and tail not in ("", "/"):
+            hit = hit & (F.length(path) > len(head))
+        if line_no is not None and getattr(rule, "line_no", 0) > 0:
+            hit = hit & (line_no == rule.line_no)
+        made = F.struct(F.lit(rule.source_line).alias("source_line"), F.lit(rule.pattern).alias("pattern"))
+        result = F.when(hit, made) if result is None else result.when(hit, made)
+    return F.lit(None).cast("struct<source_line:int,pattern:string>") if result is None else result
+
+
+def _marked(findings: DataFrame, rules, by_line: bool) -> DataFrame:
+    """Findings with the first matching rule in `_rule`.
+
+    A list, of whatever length, becomes one ordered CASE in the scan; a table is joined by folder.
+    """
+    if isinstance(rules, DataFrame):
+        table = rules if by_line else rules.withColumn("line_no", F.lit(0))
+        return join_lookup(findings, match_rule_table(findings, table), ["path", "line_no"])
+    return findings.withColumn("_rule", _first_rule(rules, F.col("path"), F.col("line_no") if by_line else None))
 
 
 def apply_suppressions(findings: DataFrame, rules) -> DataFrame:
     """Mark findings matched by an ignore rule, given as a list or as a table; nothing is dropped."""
     rule = F.col("_rule")
     return (
-        _marked(findings, rules)
+        _marked(findings, rules, True)
         .withColumn("suppressed", rule.isNotNull())
         .withColumn("suppression_reason", F.concat(F.lit("pattern "), rule["pattern"]))
         .withColumn("suppression_source", F.concat(F.lit(IGNORE_SOURCE), rule["source_line"].cast("string")))
@@ -191,8 +211,7 @@ def exclude_packages(findings: DataFrame, rules) -> tuple[DataFrame, DataFrame]:
 
     The first matching rule, of a list or a table, takes a finding.
     """
-    table = rules if isinstance(rules, DataFrame) else rules_table(findings.sparkSession, rules)
-    marked = _marked(findings, table.withColumn("line_no", F.lit(0)))
+    marked = _marked(findings, rules, False)
     kept = marked.filter(F.col("_rule").isNull()).drop("_rule")
     counts = (
         marked.filter(F.col("_rule").isNotNull())
