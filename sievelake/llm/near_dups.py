@@ -18,6 +18,8 @@ from sievelake.session import cut_lineage
 HASHES, BAND_ROWS = 128, 4
 #: Hashes compared between two looks at the posterior, and the probability below which a pair is dropped.
 BATCH, MISS = 32, 1e-7
+#: Nodes that one task compares with as many others at once.
+BLOCK = 256
 
 
 def shingle_sets(batch: pa.RecordBatch, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -123,31 +125,76 @@ def verify(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int, ki
     return cut_lineage(full.mapInArrow(exact, f"a {kind}, b {kind}").distinct())
 
 
-def leftover_pairs(members: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs that may still be linked across labels, among the nodes of bands with several labels.
+def overlaps(one: list[np.ndarray], two: list[np.ndarray], columns: int = 8192) -> np.ndarray:
+    """Sizes of the intersections of every set in `one` with every set in `two`, as products of 0/1 matrices."""
+    items, place = np.unique(np.concatenate([*one, *two]), return_inverse=True)
+    row = np.repeat(np.arange(len(one) + len(two)), [len(s) for s in (*one, *two)])
+    out = np.zeros((len(one), len(two)), np.int64)
+    order = np.argsort(place, kind="stable")
+    place, row = place[order], row[order]
+    for at in range(0, len(items), columns):
+        part = slice(*np.searchsorted(place, [at, at + columns]))
+        grid = np.zeros((len(one) + len(two), columns), np.float32)
+        grid[row[part], place[part] - at] = 1
+        out += (grid[: len(one)] @ grid[len(one) :].T).astype(np.int64)
+    return out
+
 
-    Two sets with enough similarity share one of the first |set| - ceil(percent * |set|) + 1
-    shingles of each, in any order of all shingles. Here rare shingles come first, so
-    a group's common shingles hardly ever make pairs. Pairs of one label are never formed.
+def leftover_links(members: DataFrame, nodes: DataFrame, sets: DataFrame, labels: DataFrame, percent: int, kind: str) -> DataFrame:
+    """Links across labels among nodes whose bands share a hub, other than the hub's own.
+
+    The nodes of a hub are dealt to blocks of about BLOCK nodes, large labels to blocks of their own; two blocks
+    make one row, unless they are of one label. Inside, signatures are compared in batches, pairs are dropped
+    by their posterior, and what is left is decided on the full sets. So only links leave a task.
     """
-    named = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = named.groupBy("band").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).filter("_low != _high").select("band")
-    nodes = named.join(mixed, "band", "left_semi").select("node", "label").distinct()
-    each = cut_lineage(sets.join(nodes, "node").select("node", "label", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("shingle")))
-    shared = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("_docs"), F.min("label").alias("_low"), F.max("label").alias("_high")).filter("_docs > 1")
-    common = each.join(shared, "shingle").groupBy("node", "label", "n").agg(
-        F.sort_array(F.collect_list(F.struct("_docs", "shingle", (F.col("_low") != F.col("_high")).alias("across")))).alias("_in_order")
-    )
-    # Shingles of one document only come first of all, and make no pairs.
-    length = F.expr(f"n - (n * {percent} + 99) div 100 + 1 - (n - size(_in_order))")
-    prefix = common.withColumn("_length", length).filter("_length > 0").withColumn("_one", F.explode(F.expr("slice(_in_order, 1, cast(_length as int))")))
-    posts = cut_lineage(prefix.filter("_one.across").select("node", "label", "n", F.col("_one.shingle").alias("shingle")))
-    groups = posts.groupBy("shingle", "label").agg(F.count(F.lit(1)).alias("_rows"))
-    across = groups.select("shingle", F.col("label").alias("label_a")).join(groups.select("shingle", F.col("label").alias("label_b")), "shingle").filter("label_a < label_b")
-    one, two = (posts.select(*[F.col(c).alias(c if c == "shingle" else f"{c}_{x}") for c in posts.columns]) for x in "ab")
-    pairs = across.join(one, ["shingle", "label_a"]).join(two, ["shingle", "label_b"])
-    pairs = pairs.filter(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
-    return pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+    needed = least_matches(percent)
+    pools = members.filter(F.col("node") != F.col("hub")).select(F.col("hub").alias("pool"), "node").distinct()
+    named = pools.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    counts = cut_lineage(named.groupBy("pool", "label").agg(F.count(F.lit(1)).alias("_nodes")))
+    large = F.col("_nodes") >= BLOCK // 2
+    whole = counts.groupBy("pool").agg(F.count(F.lit(1)).alias("_labels"), F.sum(F.when(~large, F.col("_nodes"))).alias("_small")).filter("_labels > 1")
+    sized = counts.join(whole, "pool").withColumn("_own", F.when(large, F.col("label")))
+    sized = sized.withColumn("_parts", F.ceil(F.when(large, F.col("_nodes")).otherwise(F.col("_small")) / BLOCK))
+    dealt = named.join(sized.select("pool", "label", "_own", "_parts"), ["pool", "label"])
+    block = F.concat(F.coalesce(F.col("_own").cast("string"), F.lit("-")), F.lit(":"), F.pmod(F.xxhash64("node"), F.col("_parts")).cast("string"))
+    dealt = cut_lineage(dealt.select("pool", "node", "label", "_own", block.alias("block")))
+    names = dealt.select("pool", "block", "_own").distinct()
+    left, right = (names.select("pool", F.col("block").alias(f"block_{x}"), F.col("_own").alias(f"own_{x}")) for x in "ab")
+    pairs = left.join(right, "pool").filter("block_a <= block_b AND NOT coalesce(own_a = own_b, false)").select("pool", "block_a", "block_b")
+    full = dealt.join(nodes.select("node", "sig"), "node").join(sets, "node")
+    packed = cut_lineage(full.groupBy("pool", "block").agg(F.collect_list(F.struct("node", "label", "sig", "shingles")).alias("held")))
+    one, two = (packed.select("pool", F.col("block").alias(f"block_{x}"), F.col("held").alias(f"held_{x}")) for x in "ab")
+    rows = pairs.join(one, ["pool", "block_a"]).join(two, ["pool", "block_b"]).select((F.col("block_a") == F.col("block_b")).alias("same"), "held_a", "held_b")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                held = [batch.column(c)[k].values for c in ("held_a", "held_b")]
+                node, label = ([h.field(c) for h in held] for c in ("node", "label"))
+                label = np.unique(pa.concat_arrays(label).to_numpy(zero_copy_only=False), return_inverse=True)[1]
+                n = len(held[0])
+                sig = [np.frombuffer(b"".join(h.field("sig").to_pylist()), np.uint32).reshape(-1, HASHES) for h in held]
+                lists = [h.field("shingles") for h in held]
+                size = [np.diff(x.offsets.to_numpy()) for x in lists]
+                alive = label[:n, None] != label[None, n:]
+                alive &= np.minimum(size[0][:, None], size[1]) * 100 >= np.maximum(size[0][:, None], size[1]) * percent
+                if batch.column("same")[k].as_py():
+                    alive = np.triu(alive)
+                a, b = alive.nonzero()
+                matches = np.zeros(len(a), np.int64)
+                for step, least in enumerate(needed):
+                    part = slice(step * BATCH, (step + 1) * BATCH)
+                    matches += (sig[0][a, part] == sig[1][b, part]).sum(1)
+                    good = matches >= least
+                    a, b, matches = a[good], b[good], matches[good]
+                if not len(a):
+                    continue
+                (rows_a, at_a), (rows_b, at_b) = (np.unique(x, return_inverse=True) for x in (a, b))
+                both = overlaps([lists[0][i].values.to_numpy() for i in rows_a.tolist()], [lists[1][i].values.to_numpy() for i in rows_b.tolist()])[at_a, at_b]
+                good = 100 * both >= percent * (size[0][a] + size[1][b] - both)
+                yield pa.RecordBatch.from_arrays([node[0].take(pa.array(a[good])), node[1].take(pa.array(b[good]))], names=["a", "b"])
+
+    return cut_lineage(rows.mapInArrow(compare, f"a {kind}, b {kind}").distinct())
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -160,9 +207,9 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shin
 
     Equal sets are one node from the start, so exact copies cost one row each. Nodes that
     share a band of their MinHash signatures are candidates. First each is compared with the
-    smallest node of its bands; then, where a band still has several components, pairs across
-    components are found by their rarest shingles, so that no group is ever compared
-    pairwise and no link is given up. Sequential Bayesian tests on signature batches drop
+    smallest node of its bands; then, where the nodes of one such hub are still several components,
+    those are compared across components, block by block, so no link is given up and no
+    pair becomes a row before it is a link. Sequential Bayesian tests on signature batches drop
     hopeless pairs; the rest is decided on the full sets.
 
     Null, empty and blank texts have no shingles, are linked with nothing and kept. Rows with a
@@ -186,7 +233,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shin
     signatures = cut_lineage(nodes.join(wanted, "node", "left_semi").select("node", "n", "sig"))
     stars = members.filter(F.col("node") != F.col("hub")).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     links = verify(stars, signatures, sets, percent, kind)
-    more = verify(leftover_pairs(members, sets, components(links), percent), signatures, sets, percent, kind)
+    more = leftover_links(members, signatures, sets, components(links), percent, kind)
     labels = components(links.unionByName(more))
 
     named = classes.join(labels, "node", "left").select("_set_1", "_set_2", "n", F.coalesce("label", "node").alias("_component"))
