@@ -102,6 +102,22 @@ def audit_field_coverage(records: DataFrame, fields: str = "fields", timestamp_a
     )
 
 
+def scan_audit_fields(records: DataFrame, fields: str = "fields") -> DataFrame:
+    """AUDIT-FIELDS per log record that lacks audit categories, with the severity of its score."""
+    auto = F.col("timestamp_auto") if "timestamp_auto" in records.columns else None
+    scored = audit_field_coverage(records, fields, auto).filter(F.size("missing") > 0)
+    return scored.select(
+        F.lit("AUDIT-FIELDS").alias("rule_id"),
+        "severity",
+        F.lit("10.2.1").alias("requirement_id"),
+        F.lit(SCANNER).alias("scanner"),
+        "record_id",
+        F.concat_ws(",", "missing").alias("subject"),
+        F.lit("Log record lacks audit fields").alias("description"),
+        F.lit("Record who did what, when, where from, and with what result").alias("suggestion"),
+    )
+
+
 def log_field_rule() -> RowRule:
     """For rows of `log_fields`; generic identifiers and safe headers are left out."""
     kind = F.col("_f_class")

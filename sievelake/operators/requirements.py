@@ -35,6 +35,11 @@ def is_active(findings: DataFrame) -> Column:
     return ~F.col("suppressed") if "suppressed" in findings.columns else F.lit(True)
 
 
+def with_coverage(dim: DataFrame, covered) -> DataFrame:
+    """The catalogue with `covered` as a scan's rules give it: what no rule that ran checks is not checked."""
+    return dim.withColumn("covered", F.col("requirement_id").isin(sorted(covered)))
+
+
 def requirement_status(dim: DataFrame, findings: DataFrame) -> DataFrame:
     """NOT_CHECKED, FAIL, SUPPRESSED or PASS per requirement.
 

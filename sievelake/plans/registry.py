@@ -9,9 +9,10 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 
-from sievelake.operators.audit import log_field_rule
+from sievelake.operators.audit import audit_trail_coverage, log_field_rule, scan_audit_fields
 from sievelake.operators.cards import kv_pan_rule, log_pan_rule, scan_pan_columns, scan_pan_literals
 from sievelake.operators.crypto import scan_plain_http, scan_weak_hash
+from sievelake.operators.dependencies import scan_dependencies
 from sievelake.operators.pages import scan_csp_headers, scan_pages
 from sievelake.operators.retention import scan_retention_groups
 from sievelake.operators.schema import scan_schema_columns
@@ -101,9 +102,37 @@ DEFAULT_RULES = (
         "weak hashes near sensitive names",
         row_local=False,
     ),
+    RuleSpec(
+        "dependencies",
+        ("deps", "advisories"),
+        ("6.3.3",),
+        lambda i: scan_dependencies(i["deps"], i["advisories"]),
+        "dependencies with known vulnerabilities",
+        row_local=False,
+    ),
+    RuleSpec(
+        "audit_trail",
+        ("operations", "operation_logs"),
+        ("10.2.1",),
+        lambda i: audit_trail_coverage(i["operations"], i["operation_logs"], "key"),
+        "payment operations without a trail; both inputs have the column `key`",
+        row_local=False,
+    ),
+    RuleSpec("audit_fields", ("audit_records",), ("10.2.1",), lambda i: scan_audit_fields(i["audit_records"]), "log records without audit fields"),
 )
 
 
+@dataclass(frozen=True)
+class ScanRun:
+    """What a scan found, and which rules it stands on."""
+
+    findings: DataFrame
+    ran: tuple[str, ...]
+    failed: tuple[str, ...]  # could not be built on their inputs
+    without_input: tuple[str, ...]
+    covered: frozenset[str]  # requirements of the rules that ran
+
+
 def covered_requirements(rules=DEFAULT_RULES) -> set[str]:
     return {requirement for rule in rules for requirement in rule.requirements}
 
@@ -116,34 +145,51 @@ def _attempt(names: str, build: Callable[[], DataFrame]) -> DataFrame | None:
         return None
 
 
-def _row_scan(table: DataFrame, specs: list[RuleSpec]) -> list[DataFrame]:
-    """All row rules of one input in one scan; one by one when they do not build together."""
+def _row_scan(table: DataFrame, specs: list[RuleSpec]) -> tuple[list[DataFrame], list[str]]:
+    """All row rules of one input in one scan, one by one when they do not build together; and the names of those built."""
     together = None
     if len(specs) > 1:
         names = ", ".join(spec.name for spec in specs) + " as one scan"
         together = _attempt(names, lambda: apply_rules(table, [spec.row() for spec in specs]))
     if together is not None:
-        return [together]
-    alone = [_attempt(spec.name, lambda s=spec: apply_rules(table, [s.row()])) for spec in specs]
-    return [df for df in alone if df is not None]
+        return [together], [spec.name for spec in specs]
+    alone = {spec.name: _attempt(spec.name, lambda s=spec: apply_rules(table, [s.row()])) for spec in specs}
+    return [df for df in alone.values() if df is not None], [name for name, df in alone.items() if df is not None]
 
 
 def run_scans(inputs: Inputs, rules=DEFAULT_RULES) -> DataFrame:
+    """Findings of every rule whose inputs are present; scan() also tells which rules ran."""
+    return scan(inputs, rules).findings
+
+
+def scan(inputs: Inputs, rules=DEFAULT_RULES) -> ScanRun:
     """Union of every rule whose inputs are present.
 
     Row rules over one input share its scan. A rule that cannot be built on its
-    inputs, say for a missing column, is reported and left out; the others
-    still run. The result is one lazy plan.
+    inputs, say for a missing column, is logged, named in `failed` and left out; the others
+    still run. Only what the rules that ran cover counts as checked. Findings are
+    lazy, but for the matches of the dependency rule, which are written once.
     """
     ready = [rule for rule in rules if set(rule.needs) <= set(inputs)]
     built: list[DataFrame] = []
+    ran: list[str] = []
     for name, prepare in dict.fromkeys((rule.needs[0], rule.prepare) for rule in ready if rule.row):
         rows = prepare(inputs[name]) if prepare else inputs[name]
-        built += _row_scan(rows, [r for r in ready if r.row and (r.needs[0], r.prepare) == (name, prepare)])
+        made, names = _row_scan(rows, [r for r in ready if r.row and (r.needs[0], r.prepare) == (name, prepare)])
+        built += made
+        ran += names
     for rule in ready:
         if rule.build:
             made = _attempt(rule.name, lambda r=rule: r.build(inputs))
-            built += [] if made is None else [made]
+            if made is not None:
+                built.append(made)
+                ran.append(rule.name)
     if not built:
         raise ValueError("no rule could be built from the given inputs")
-    return reduce(DataFrame.unionByName, built)
+    return ScanRun(
+        reduce(DataFrame.unionByName, built),
+        tuple(ran),
+        tuple(r.name for r in ready if r.name not in ran),
+        tuple(r.name for r in rules if r not in ready),
+        frozenset(covered_requirements([r for r in rules if r.name in ran])),
+    )

@@ -14,6 +14,7 @@ from sievelake.operators.requirements import (
     propagate_related,
     report_summary,
     requirement_status,
+    with_coverage,
 )
 from sievelake.operators.summary import findings_by_rule, scan_summary, severity_counts, sort_by_severity
 from sievelake.operators.suppression import apply_suppressions, exclude_packages, inline_suppressions
@@ -57,13 +58,18 @@ def compliance_report(
     exclude_rules=(),
     lines: DataFrame | None = None,
     units: DataFrame | None = None,
+    covered=None,
 ) -> Report:
     """Exclude, suppress, then derive every part of the report from one cached table.
 
     Findings with a numeric `ord` keep it; others are ordered by scanner, path,
     line, column and rule. Several parts read the suppressed findings, so they
     are persisted; a lost executor only costs the recomputation of its blocks.
+    `covered` of the scan's run replaces the catalogue's own, so that a rule that
+    did not run leaves NOT_CHECKED and not PASS.
     """
+    if covered is not None:
+        requirements = with_coverage(requirements, covered)
     has_order = "ord" in findings.columns
     ordered = findings if has_order else with_order(findings)
     if isinstance(exclude_rules, DataFrame) or exclude_rules:

@@ -948,15 +948,13 @@ SELECT *, CASE WHEN {first} THEN 1 WHEN {has_any('lower(name)', fv.TIER_2_WORDS)
 
 R17_RULE = "CASE WHEN s THEN 'AUDIT-LOG-OK' WHEN u THEN 'AUDIT-UNSTRUCTURED' ELSE 'AUDIT-NO-LOG' END"
 R17_SEV = "CASE WHEN s THEN 'INFO' WHEN tier = 1 THEN 'CRITICAL' WHEN tier = 2 THEN 'HIGH' ELSE 'MEDIUM' END"
-add(
-    "r17_audit_trail_coverage",
-    f"""
-SELECT {found(R17_RULE, R17_SEV, "'10.2.1'", "record_id", EMPTY, "0", "name")}, tier
+R17 = f"""
+SELECT {found(R17_RULE, R17_SEV, "'10.2.1'", "record_id", EMPTY, "0", "name")}{{extra}}
 FROM (SELECT t.*, EXISTS (SELECT 1 FROM v_audit_mix a WHERE a.user_id = t.user_id AND a.structured) AS s,
              EXISTS (SELECT 1 FROM v_audit_mix a WHERE a.user_id = t.user_id AND NOT a.structured) AS u
-      FROM tiers t WHERE tier > 0)""",
-    ("tiers", tier_sql("v_ops", "user_id")),
-)
+      FROM tiers t WHERE tier > 0)"""
+R17_STEPS = (("tiers", tier_sql("v_ops", "user_id")),)
+add("r17_audit_trail_coverage", R17.format(extra=", tier"), *R17_STEPS)
 
 FIELD_NORM = "lower(replace(replace(replace(f, '_', ''), '-', ''), '.', ''))"
 COVER = "SELECT CAST(event_id AS VARCHAR) AS record_id, body_sourced, " + ", ".join(
@@ -981,6 +979,8 @@ SELECT record_id, {SCORE} AS score, CASE WHEN {SCORE} >= 3 THEN 'INFO' WHEN {SCO
        {MATCHED} AS matched, {MISSING} AS missing FROM cover""",
     ("cover", COVER),
 )
+SCORED = f"CASE WHEN {SCORE} >= 3 THEN 'INFO' WHEN {SCORE} >= 1 THEN 'MEDIUM' ELSE 'HIGH' END"
+AUDIT_FIELDS = f"SELECT {found(q('AUDIT-FIELDS'), SCORED, q('10.2.1'), 'record_id', EMPTY, '0', MISSING)} FROM cover WHERE {MISSING} <> ''"
 
 
 def log_fields_sql(source: str) -> str:
@@ -1073,9 +1073,7 @@ FROM (SELECT g.*, a.db_severity FROM {prefix}grp g JOIN v_advisories a ON a.adv_
     )
 
 
-add(
-    "j02_scan_dependencies",
-    f"""
+J02 = f"""
 SELECT 'DEP-VULN' AS rule_id, {adv_severity('db_severity', 'cvss')} AS severity, '6.3.3' AS requirement_id, module, version,
        adv_id, group_id, ord AS first_ord,
        CASE WHEN package = module AND fixed IS NOT NULL THEN 'v' || fixed ELSE '' END AS fix_version,
@@ -1085,13 +1083,14 @@ FROM (SELECT d.*, b.group_id, a.db_severity, a.cvss, a.introduced, a.fixed,
              row_number() OVER (PARTITION BY b.group_id ORDER BY d.ord, d.module, d.version, d.package) AS rn
       FROM direct d JOIN gbest b ON b.best_id = d.adv_id AND b.adv_id = d.adv_id
       JOIN v_advisories a ON a.adv_id = d.adv_id)
-WHERE rn = 1""",
+WHERE rn = 1"""
+J02_STEPS = (
     ("match", MATCH),
     ("direct", "SELECT * FROM match WHERE NOT indirect"),
     ("hit", "SELECT adv_id, alias FROM v_advisories WHERE adv_id IN (SELECT adv_id FROM direct)"),
     *component_steps("hit", "g"),
-    recursive=True,
 )
+add("j02_scan_dependencies", J02, *J02_STEPS, recursive=True)
 add(
     "j03_enrich_requirements",
     """
@@ -1410,6 +1409,7 @@ WHERE p.t_ord IS NULL OR f.ord <> p.t_ord""",
 # ---- sets of findings ---------------------------------------------------------
 
 ALL_RULES = [R01, R02, R03, R04, R05, R06, R07, R08, R09, R10, R11, R12, R13, R14, R15, R16, R19]
+ALL_RULES += [R17.format(extra=""), AUDIT_FIELDS, f"SELECT {found(q('DEP-VULN'), 'severity', q('6.3.3'))} FROM vulnerable"]
 add(
     "s01_run_scans",
     """
@@ -1424,7 +1424,20 @@ FROM everything GROUP BY rule_id, severity, requirement_id""",
     ("judged", CSP_JUDGED),
     ("schema_hits", SCHEMA_HITS),
     *R16_STEPS,
+    *R17_STEPS,
+    ("cover", COVER),
+    *J02_STEPS,
+    ("vulnerable", J02),
     ("everything", " UNION ALL ".join(f"SELECT * FROM ({rule})" for rule in ALL_RULES)),
+    recursive=True,
+)
+add(
+    "x01_status_of_rules_that_ran",
+    STATUS.format(src="ran").replace("SELECT r.requirement_id", "SELECT 'broken' AS failed, r.requirement_id").replace("FROM v_requirements r", "FROM checked r"),
+    ("checked", "SELECT requirement_id, title, requirement_id IN ('3.3.1', '3.5.1', '4.2.1', '10.2.1') AS covered FROM v_requirements"),
+    ("schema_hits", SCHEMA_HITS),
+    *R17_STEPS,
+    ("ran", "SELECT *, false AS suppressed FROM (" + " UNION ALL ".join(f"SELECT * FROM ({rule})" for rule in (R03, R08, R15, R17.format(extra=""))) + ")"),
 )
 add(
     "s02_filter_findings",

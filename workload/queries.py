@@ -30,7 +30,7 @@ from sievelake.operators import (
 )
 from sievelake.operators import cards as card_scans
 from sievelake.operators import secrets as secret_scans
-from sievelake.plans.registry import run_scans
+from sievelake.plans.registry import DEFAULT_RULES, RuleSpec, run_scans, scan
 from sievelake.plans.report import compliance_report
 from sievelake.session import scratch_path
 from sievelake.sources import columns, keyvalues, packages, sinks, units
@@ -1017,6 +1017,11 @@ def _(spark, sf):
         "pages": view(spark, sf, "v_pages_aug"),
         "responses": responses(spark, sf),
         "settings": tls_settings(spark, sf),
+        "deps": view(spark, sf, "v_deps"),
+        "advisories": advisories(spark, sf),
+        "operations": view(spark, sf, "v_ops").withColumnRenamed("user_id", "key"),
+        "operation_logs": view(spark, sf, "v_audit_mix").withColumnRenamed("user_id", "key"),
+        "audit_records": log_records(spark, sf).withColumnRenamed("body_sourced", "timestamp_auto"),
     }
     found = run_scans(inputs)
     return found.groupBy("rule_id", "severity", "requirement_id").agg(
@@ -1024,6 +1029,21 @@ def _(spark, sf):
     )
 
 
+@query("x01_status_of_rules_that_ran")
+def _(spark, sf):
+    """Addresses, columns and operations only; and a rule that can't be built, which must not leave PASS behind."""
+    broken = RuleSpec("broken", ("urls",), ("6.4.3",), lambda i: i["urls"].select("no_such_column"))
+    inputs = {
+        "urls": page_urls(spark, sf),
+        "columns": view(spark, sf, "v_all_cols"),
+        "operations": view(spark, sf, "v_ops").withColumnRenamed("user_id", "key"),
+        "operation_logs": view(spark, sf, "v_audit_mix").withColumnRenamed("user_id", "key"),
+    }
+    run = scan(inputs, (*DEFAULT_RULES, broken))
+    catalogue = requirements.with_coverage(view(spark, sf, "v_requirements"), run.covered)
+    return requirements.requirement_status(catalogue, run.findings).withColumn("failed", F.lit(",".join(run.failed)))
+
+
 @query("s02_filter_findings")
 def _(spark, sf):
     by_list = summary.filter_findings(bulk(spark, sf), "high", "PAN-LITERAL, SEC-PREFIX")
