@@ -15,26 +15,30 @@ def dedup_paired(findings: DataFrame, order: str = "ord") -> DataFrame:
 
     Per (path, line_no) the last field and the last tag PAN-KEYWORD finding are
     compared; with equal normalised subjects the field finding stays with the
-    higher severity. Only the two candidates per place are aggregated, so a
+    higher severity. Only their numbers are aggregated over all findings, so a
     crowded place is not gathered.
     """
     place = ["path", "line_no"]
-    entry = F.struct(F.col(order).alias("ord"), F.col("subject").alias("subject"), severity_rank("severity").alias("rank"))
+    pan = F.col("rule_id") == "PAN-KEYWORD"
 
     def last(kind: str) -> Column:
-        return F.max(F.when((F.col("rule_id") == "PAN-KEYWORD") & (F.col("kind") == kind), entry))
+        return F.max(F.when(pan & (F.col("kind") == kind), F.col(order)))
 
-    places = findings.groupBy(*place).agg(
-        last("field").alias("_field"), last("tag").alias("_tag"), F.count(F.lit(1)).alias(ROWS)
-    )
-    equal = F.coalesce(normalize_name(F.col("_field.subject")) == normalize_name(F.col("_tag.subject")), F.lit(False))
-    facts = places.select(
-        *place,
-        ROWS,
-        F.when(equal, F.col("_field.ord")).alias("_field_ord"),
-        F.when(equal, F.col("_tag.ord")).alias("_tag_ord"),
-        F.greatest("_field.rank", "_tag.rank").alias("_rank"),
+    # Numbers first, in a hash aggregate; then the two rows of each place that they name.
+    places = findings.groupBy(*place).agg(last("field").alias("_field"), last("tag").alias("_tag"), F.count(F.lit(1)).alias(ROWS))
+    ends = places.filter("_field IS NOT NULL AND _tag IS NOT NULL")
+    ends = ends.select(*[F.col(c).alias(f"_{c}") for c in place], ROWS, F.explode(F.array("_field", "_tag")).alias("_end"))
+    rows = findings.filter(pan).select(*place, F.col(order).alias("_ord"), "kind", normalize_name(F.col("subject")).alias("_name"), severity_rank("severity").alias("_rank"))
+    named = (F.col("_ord") == F.col("_end")) & F.col("path").eqNullSafe(F.col("_path")) & F.col("line_no").eqNullSafe(F.col("_line_no"))
+    picked = rows.join(ends, named)
+
+    def of(kind: str, column: str) -> Column:
+        return F.max(F.when(F.col("kind") == kind, F.col(column)))
+
+    pairs = picked.groupBy(*place, ROWS).agg(
+        of("field", "_ord").alias("_field_ord"), of("tag", "_ord").alias("_tag_ord"), F.max("_rank").alias("_rank"), of("field", "_name").alias("_field_name"), of("tag", "_name").alias("_tag_name")
     )
+    facts = pairs.filter("_field_name = _tag_name").select(*place, ROWS, "_field_ord", "_tag_ord", "_rank")
     joined = join_facts(findings, facts, place)
     kept = joined.filter(F.col("_tag_ord").isNull() | (F.col(order) != F.col("_tag_ord")))
     raised = F.col("_field_ord") == F.col(order)

@@ -41,9 +41,14 @@ class Report:
 
 
 def with_order(findings: DataFrame) -> DataFrame:
-    """FINDING rows with an order key (scanner, path, line, column, rule): a comparable struct, no global sort."""
-    order = F.struct("scanner", "path", "line_no", "col_no", "rule_id", "subject")
-    return as_findings(findings).withColumn("ord", order)
+    """FINDING rows numbered in the order of scanner, path, line, column and rule: growing numbers with gaps.
+
+    Rows are dealt to ranges and sorted inside each; a number's upper bits are its range, so numbers
+    need no count of the ranges before. Later steps aggregate and page by plain numbers.
+    """
+    order = ["scanner", "path", "line_no", "col_no", "rule_id", "subject"]
+    placed = as_findings(findings).repartitionByRange(*order).sortWithinPartitions(*order)
+    return placed.withColumn("ord", F.monotonically_increasing_id())
 
 
 def _rules(given):
@@ -71,11 +76,13 @@ def compliance_report(
     if covered is not None:
         requirements = with_coverage(requirements, covered)
     has_order = "ord" in findings.columns
-    ordered = findings if has_order else with_order(findings)
+    ordered = findings if has_order else as_findings(findings)
     if isinstance(exclude_rules, DataFrame) or exclude_rules:
         kept, reports = exclude_packages(ordered, _rules(exclude_rules))
-        reports = reports.drop("n_dropped") if has_order else with_order(reports)
+        reports = reports.drop("n_dropped") if has_order else as_findings(reports)
         ordered = kept.unionByName(reports, allowMissingColumns=True)
+    if not has_order:
+        ordered = with_order(ordered)
     marked = apply_suppressions(ordered, _rules(ignore_rules))
     if lines is not None:
         marked = inline_suppressions(marked, lines)

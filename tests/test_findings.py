@@ -529,6 +529,9 @@ def test_report(spark):
         status = {r.requirement_id: r.status for r in report.status.collect()}
         assert status == {"1": "FAIL", "2": "PASS", "3": "SUPPRESSED", "4": "PASS", "5": "FAIL", "6": "NOT_CHECKED", "7": "NOT_CHECKED", "8": "NOT_CHECKED"}
         assert report.gate.collect()[0].overall == "FAIL"
+        page = summary.paginate(report.findings, 1).collect()
+        assert [(r.row_no, r.rule_id, r.next_offset) for r in page] == [(2, "SUPPRESSED-PACKAGE", None)]
+        assert dict(report.findings.dtypes)["ord"] == "bigint"
         assert {r.requirement_id for r in report.not_checked.collect()} == {"6", "7", "8"}
         assert [r.rule_id for r in report.by_rule.collect()] == ["PAN-LITERAL", "SUPPRESSED-PACKAGE"]
         assert {r.severity: r.n for r in report.severity.collect()}["HIGH"] == 1

@@ -1357,8 +1357,8 @@ SELECT source, age_days, CASE WHEN age_days IS NULL THEN 'cold' WHEN age_days >=
        CASE WHEN age_days IS NULL THEN 'DEP-CACHE-COLD' WHEN age_days >= 7 THEN 'DEP-CACHE-STALE' ELSE '' END AS rule_id
 FROM (SELECT s.source, CAST(floor((epoch(TIMESTAMP '{AS_OF}') - floor(epoch(max(x.ts)))) / 86400) AS BIGINT) AS age_days, count(x.ts) AS n_snapshots
       FROM (SELECT CAST(c_custkey AS VARCHAR) AS source FROM customer UNION SELECT 'err' || CAST(c_custkey AS VARCHAR) FROM customer) s
-      LEFT JOIN (SELECT CAST(user_id AS VARCHAR) AS source, ts FROM events WHERE ts < TIMESTAMP '2024-01-06'
-                 UNION ALL SELECT 'err' || CAST(user_id AS VARCHAR), ts FROM events WHERE event_type = 'error') x
+      LEFT JOIN (SELECT CAST(user_id AS VARCHAR) AS source, ts FROM events
+                 UNION ALL SELECT substr(event_type, 1, 3) || CAST(user_id AS VARCHAR), ts FROM events) x
       ON x.source = s.source GROUP BY s.source)""",
 )
 
