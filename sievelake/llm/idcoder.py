@@ -8,7 +8,7 @@ confidence, and without context (order 0); the three counts are added, so the on
 evidence weighs more, and the mixture drives a carryless range coder. Coder and model step through
 many blocks at once, one id of each.
 
-Layout: magic, ids in a block, ids, blocks; for each block the number of its 16-bit words and the
+Layout: magic, ids in a block, ids, blocks; for each block the number of its 32-bit words and the
 CRC-32 of its ids; then the words. All numbers are little-endian.
 """
 
@@ -26,8 +26,11 @@ TOTAL_BITS = 12
 SLOTS_1, SLOTS_2 = 1 << 10, 1 << 11
 #: The mixture is made anew after these many ids of a block, and then every 64.
 RENEW = {8, 16, 32}
-TOP, BOTTOM, WORD = np.uint64(1 << 48), np.uint64(1 << 32), np.uint64(16)
+#: A word is sent when low's upper half is settled; a span below BOTTOM is cut at the next border, so it is.
+WORD, HALF, BOTTOM = np.uint64(32), np.uint64(1 << 32), np.uint64(1 << 28)
 LENGTHS = np.array([int(k).bit_length() for k in range(1 << 16)], np.int64)
+#: What a symbol counts for, and what symbols count for before any has been met.
+STEP = 24
 
 
 class Model:
@@ -37,47 +40,59 @@ class Model:
         self.lanes = lanes
         self.one, self.two = np.zeros(lanes * SLOTS_1, np.int32), np.zeros(lanes * SLOTS_2, np.int32)
         self.base_1, self.base_2 = np.arange(lanes) * SLOTS_1, np.arange(lanes) * SLOTS_2
-        start = np.ones((lanes, SYMBOLS), np.int32)
-        self.count_0 = start.copy()
-        self.count_1, self.count_2 = (np.repeat(start[:, None], LEVELS, 1) for _ in range(2))
-        for level in range(LEVELS):
-            self.count_1[:, level, 1] += 2 * level
-            self.count_2[:, level, 0] += 4 * level
+        self.base_row = np.arange(lanes) * (LEVELS * LEVELS)
+        self.met = np.zeros(lanes * LEVELS * LEVELS * SYMBOLS, np.int32)
         self.before, self.earlier = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-        self.lane = np.arange(lanes)
+        self.start = np.full((LEVELS, LEVELS, SYMBOLS), 3, np.int32)
+        for level in range(LEVELS):
+            self.start[level, :, 0] += 4 * level
+            self.start[:, level, 1] += 2 * level
         self.renew()
 
     def renew(self) -> None:
-        mixed = self.count_2[:, :, None] + self.count_1[:, None] + self.count_0[:, None, None]
+        """Counts by order-2 confidence, by order-1 confidence and without context, added."""
+        met = self.met.reshape(self.lanes, LEVELS, LEVELS, SYMBOLS)
+        by_2, by_1 = met.sum(2), met.sum(1)
+        mixed = by_2[:, :, None] + by_1[:, None] + by_2.sum(1)[:, None, None] + self.start
         room = (1 << TOTAL_BITS) - SYMBOLS
         parts = mixed * room // mixed.sum(-1, keepdims=True) + 1
-        self.cum = np.zeros((self.lanes, LEVELS * LEVELS, SYMBOLS + 1), np.int32)
-        np.cumsum(parts.reshape(self.lanes, -1, SYMBOLS), axis=-1, out=self.cum[:, :, 1:])
-        self.cum[:, :, -1] = 1 << TOTAL_BITS
-        self.flat, self.rows = self.cum.reshape(-1), self.cum.reshape(-1, SYMBOLS + 1)
+        cum = np.zeros((self.lanes * LEVELS * LEVELS, SYMBOLS + 1), np.int16)
+        np.cumsum(parts.reshape(-1, SYMBOLS), axis=-1, out=cum[:, 1:])
+        cum[:, -1] = 1 << TOTAL_BITS
+        self.rows, self.flat = cum, cum.reshape(-1)
 
     def predict(self, n: int) -> None:
         """For the first n blocks."""
         hashed = self.before[:n] * 40503
         self.at_1 = (hashed >> 4 & SLOTS_1 - 1) + self.base_1[:n]
         self.at_2 = ((hashed ^ self.earlier[:n] * 48271) >> 3 & SLOTS_2 - 1) + self.base_2[:n]
-        self.seen_1, self.seen_2 = self.one[self.at_1], self.two[self.at_2]
+        self.seen_1, self.seen_2 = self.one.take(self.at_1), self.two.take(self.at_2)
         self.guess_1, self.guess_2 = self.seen_1 >> 2, self.seen_2 >> 2
         self.level_1, self.level_2 = self.seen_1 & 3, self.seen_2 & 3
-        self.row = self.lane[:n] * (LEVELS * LEVELS) + self.level_2 * LEVELS + self.level_1
+        self.row = self.base_row[:n] + (self.level_2 * LEVELS + self.level_1)
 
     def update(self, ids: np.ndarray, symbol: np.ndarray) -> None:
         n = len(ids)
-        lane = self.lane[:n]
-        self.count_0.reshape(-1)[lane * SYMBOLS + symbol] += 24
-        self.count_1.reshape(-1)[(lane * LEVELS + self.level_1) * SYMBOLS + symbol] += 24
-        self.count_2.reshape(-1)[(lane * LEVELS + self.level_2) * SYMBOLS + symbol] += 24
-        for table, at, seen, guess, level in ((self.one, self.at_1, self.seen_1, self.guess_1, self.level_1), (self.two, self.at_2, self.seen_2, self.guess_2, self.level_2)):
-            table[at] = np.where(guess == ids, seen + (level < LEVELS - 1), ids << 2)
+        self.met[self.row * SYMBOLS + symbol] += STEP
+        fresh = ids << 2
+        self.one[self.at_1] = np.where(self.guess_1 == ids, self.seen_1 + (self.level_1 < LEVELS - 1), fresh)
+        self.two[self.at_2] = np.where(self.guess_2 == ids, self.seen_2 + (self.level_2 < LEVELS - 1), fresh)
         self.earlier[:n] = self.before[:n]
         self.before[:n] = ids
 
 
+def _due(low: np.ndarray, span: np.ndarray) -> np.ndarray:
+    """Blocks with a word to send or to take. After it the span is wide enough for the next id."""
+    settled = (low ^ (low + span)) < HALF
+    short = span < BOTTOM
+    short &= ~settled
+    if short.any():
+        where = short.nonzero()[0]
+        span[where] = (np.uint64(0) - low[where]) & (BOTTOM - np.uint64(1))
+        settled |= short
+    return settled.nonzero()[0]
+
+
 def _steps(ids: int, block: int) -> tuple[int, int]:
     """Blocks, and ids of the last one."""
     lanes = -(-ids // block)
@@ -96,61 +111,46 @@ def encode_ids(ids: np.ndarray, block: int = BLOCK) -> bytes:
     by_step = np.ascontiguousarray(grid.T)
     model = Model(lanes)
     low, span = np.zeros(lanes, np.uint64), np.full(lanes, 2**64 - 1, np.uint64)
-    cap = 2 * block + 8
-    words, used = np.zeros(lanes * cap, np.uint16), np.zeros(lanes, np.int64)
+    cap = block + 4  # an id takes 27 bits at most
+    words, used = np.zeros(lanes * cap, np.uint32), np.zeros(lanes, np.int64)
     begin = np.arange(lanes) * cap
     for step in range(block if lanes > 1 else last):
         n = lanes if step < last else lanes - 1
         x = by_step[step, :n]
         model.predict(n)
-        length = LENGTHS[x]
+        length = LENGTHS.take(x)
         symbol = np.where(model.guess_2 == x, 0, np.where(model.guess_1 == x, 1, length + 2))
         at = model.row * (SYMBOLS + 1) + symbol
-        below, above = model.flat[at], model.flat[at + 1]
+        below, above = model.flat.take(at), model.flat.take(at + 1)
         lo, sp = low[:n], span[:n]
         sp >>= np.uint64(TOTAL_BITS)
         lo += sp * below.astype(np.uint64)
         sp *= (above - below).astype(np.uint64)
-        bits = np.where(symbol > 3, length - 1, 0)
+        bits = np.maximum(symbol - 3, 0)
         rest = np.where(symbol > 3, x - (1 << bits), 0)
         sp >>= bits.astype(np.uint64)
         lo += sp * rest.astype(np.uint64)
         model.update(x, symbol)
-        todo = _settle(lo, sp)
-        while len(todo):
-            words[begin[todo] + used[todo]] = (lo[todo] >> np.uint64(48)).astype(np.uint16)
-            used[todo] += 1
-            lo[todo] <<= WORD
-            sp[todo] <<= WORD
-            todo = todo[_open(lo, sp, todo)]
+        due = _due(lo, sp)
+        if len(due):
+            send = lo[due]
+            words[begin[due] + used[due]] = (send >> WORD).astype(np.uint32)
+            used[due] += 1
+            lo[due] = send << WORD
+            sp[due] <<= WORD
         if step + 1 in RENEW or not (step + 1) % 64:
             model.renew()
-    for k in range(4):
-        words[begin + used] = (low >> np.uint64(48 - 16 * k)).astype(np.uint16)
+    for k in range(2):
+        words[begin + used] = (low >> np.uint64(32 - 32 * k)).astype(np.uint32)
         used += 1
     heads = np.empty((lanes, 2), "<u4")
     heads[:, 0] = used
     plain = ids.astype("<u4")
     heads[:, 1] = [zlib.crc32(plain[k * block : (k + 1) * block].tobytes()) for k in range(lanes)]
-    body = b"".join(words[b : b + u].astype("<u2").tobytes() for b, u in zip(begin.tolist(), used.tolist(), strict=True))
+    body = b"".join(words[b : b + u].astype("<u4").tobytes() for b, u in zip(begin.tolist(), used.tolist(), strict=True))
     return MAGIC + struct.pack("<IQI", block, len(ids), lanes) + heads.tobytes() + body
 
 
-def _settle(low: np.ndarray, span: np.ndarray) -> np.ndarray:
-    """Blocks with a word to send; where low and span lie across a border too long, the span is cut."""
-    return _open(low, span, None).nonzero()[0]
-
-
-def _open(low: np.ndarray, span: np.ndarray, some: np.ndarray | None) -> np.ndarray:
-    lo, sp = (low, span) if some is None else (low[some], span[some])
-    fixed = (lo ^ (lo + sp)) < TOP
-    short = ~fixed & (sp < BOTTOM)
-    if short.any():
-        where = short.nonzero()[0] if some is None else some[short]
-        span[where] = (np.uint64(0) - low[where]) & (BOTTOM - np.uint64(1))
-    return fixed | short
-
-
 def decode_ids(data: bytes) -> np.ndarray:
     """The ids of encode_ids(). Raises ValueError where the data is damaged."""
     if data[:4] != MAGIC or len(data) < 20:
@@ -161,16 +161,18 @@ def decode_ids(data: bytes) -> np.ndarray:
     if not block or lanes != -(-total // block) or len(data) < 20 + 8 * lanes:
         raise ValueError("broken header")
     heads = np.frombuffer(data, "<u4", 2 * lanes, 20).reshape(lanes, 2).astype(np.int64)
-    body = np.frombuffer(data[20 + 8 * lanes :], "<u2")
+    if (len(data) - 20) % 4:
+        raise ValueError("broken length")
+    body = np.frombuffer(data[20 + 8 * lanes :], "<u4")
     if len(body) != heads[:, 0].sum():
         raise ValueError("broken length")
-    body = np.concatenate([body, np.zeros(8, np.uint16)]).astype(np.uint64)
+    body = np.concatenate([body, np.zeros(8, np.uint32)]).astype(np.uint64)
     at = np.concatenate([[0], np.cumsum(heads[:-1, 0])])
     lanes, last = _steps(total, block)
     model = Model(lanes)
     low, span = np.zeros(lanes, np.uint64), np.full(lanes, 2**64 - 1, np.uint64)
     code = np.zeros(lanes, np.uint64)
-    for _ in range(4):
+    for _ in range(2):
         code = (code << WORD) | body[np.minimum(at, len(body) - 1)]
         at = at + 1
     by_step = np.zeros((block, lanes), np.int32)
@@ -181,10 +183,10 @@ def decode_ids(data: bytes) -> np.ndarray:
         lo, sp = low[:n], span[:n]
         sp >>= np.uint64(TOTAL_BITS)
         sp |= sp == 0
-        value = np.minimum((code[:n] - lo) // sp, full).astype(np.int32)
-        symbol = (model.rows[model.row, 1:] <= value[:, None]).sum(1)
+        value = np.minimum((code[:n] - lo) // sp, full).astype(np.int16)
+        symbol = np.count_nonzero(model.rows.take(model.row, axis=0)[:, 1:] <= value[:, None], axis=1)
         where = model.row * (SYMBOLS + 1) + symbol
-        below, above = model.flat[where], model.flat[where + 1]
+        below, above = model.flat.take(where), model.flat.take(where + 1)
         lo += sp * below.astype(np.uint64)
         sp *= (above - below).astype(np.uint64)
         bits = np.maximum(symbol - 3, 0)
@@ -196,13 +198,12 @@ def decode_ids(data: bytes) -> np.ndarray:
         x = np.where(symbol == 0, model.guess_2, np.where(symbol == 1, model.guess_1, plain)).astype(np.int32)
         by_step[step, :n] = x
         model.update(x, symbol)
-        todo = _settle(lo, sp)
-        while len(todo):
-            code[todo] = (code[todo] << WORD) | body[np.minimum(at[todo], len(body) - 1)]
-            at[todo] += 1
-            lo[todo] <<= WORD
-            sp[todo] <<= WORD
-            todo = todo[_open(lo, sp, todo)]
+        due = _due(lo, sp)
+        if len(due):
+            code[due] = (code[due] << WORD) | body[np.minimum(at[due], len(body) - 1)]
+            at[due] += 1
+            lo[due] <<= WORD
+            sp[due] <<= WORD
         if step + 1 in RENEW or not (step + 1) % 64:
             model.renew()
     ids = np.ascontiguousarray(by_step.T).reshape(-1)[:total]

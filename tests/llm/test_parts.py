@@ -71,7 +71,7 @@ def test_coder_learns_and_checks():
     ids = np.tile(np.random.default_rng(1).integers(0, 49000, 50), 400)
     data = idcoder.encode_ids(ids)
     assert len(data) < len(ids) // 2
-    for at in (0, 9, 25, 60, len(data) - 3):
+    for at in (0, 9, 25, 60, len(data) // 2):
         with pytest.raises(ValueError):
             idcoder.decode_ids(data[:at] + bytes([data[at] ^ 85]) + data[at + 1 :])
     for cut in (data[:3], data[:30], data[:-2]):
