@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from functools import cache
 from typing import NamedTuple
 
 import numpy as np
@@ -20,6 +21,10 @@ WIDTH, ROWS, DELAY = 192, 64, 10
 BINS = 8
 
 
+FULL = np.full(CLEAR_AT, 12, np.int64)
+FULL_BEGINS = np.arange(CLEAR_AT + 1) * 12
+
+
 class Frame(NamedTuple):
     delay_ms: int
     left: int
@@ -30,10 +35,20 @@ class Frame(NamedTuple):
     canvas: np.ndarray  # height x width x 3 of the whole screen, as shown
 
 
-def code_widths(size: int, n: int) -> np.ndarray:
-    """Bits of the first n codes after a clear code; each code but the first adds an entry to the table."""
-    entries = (1 << size) + 2 + np.maximum(np.arange(n) - 1, 0)
-    return np.minimum(np.maximum(np.floor(np.log2(entries)).astype(np.int64) + 1, size + 1), 12)
+@cache
+def code_widths(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bits of the codes after a clear code, and where each begins; each code but the first adds an entry to the table.
+
+    Long enough for a table to fill; after that all codes have 12 bits.
+    """
+    entries = (1 << size) + 2 + np.maximum(np.arange(CLEAR_AT) - 1, 0)
+    bits = np.minimum(np.maximum(np.floor(np.log2(entries)).astype(np.int64) + 1, size + 1), 12)
+    return bits, np.concatenate([[0], np.cumsum(bits)])
+
+
+@cache
+def _single(clear: int) -> list[bytes]:
+    return [bytes([k]) for k in range(clear)] + [b"", b""]
 
 
 def lzw_codes(data: bytes, size: int = 8) -> tuple[list[int], list[int]]:
@@ -41,22 +56,22 @@ def lzw_codes(data: bytes, size: int = 8) -> tuple[list[int], list[int]]:
     clear = 1 << size
     out, starts, table, entry = [clear], [1], {}, clear + 2
     if data:
-        prefix = data[0]
-        for byte in memoryview(data)[1:]:
-            key = prefix << 8 | byte
-            code = table.get(key)
+        prefix, get, send = data[0], table.get, out.append
+        for byte in data[1:]:
+            code = get(prefix << 8 | byte)
             if code is not None:
                 prefix = code
                 continue
-            out.append(prefix)
-            prefix = byte
+            send(prefix)
             if entry < CLEAR_AT:
-                table[key] = entry
+                table[prefix << 8 | byte] = entry
                 entry += 1
             else:
-                out.append(clear)
+                send(clear)
                 starts.append(len(out))
                 table, entry = {}, clear + 2
+                get = table.get
+            prefix = byte
         out.append(prefix)
     out.append(clear + 1)
     return out, starts
@@ -64,13 +79,14 @@ def lzw_codes(data: bytes, size: int = 8) -> tuple[list[int], list[int]]:
 
 def pack_codes(codes: list[int], starts: list[int], size: int = 8) -> bytes:
     runs = np.diff([*starts, len(codes)])
-    schedule = code_widths(size, int(runs.max()))
-    width = np.concatenate([[size + 1], *[schedule[:n] for n in runs]])
-    at = np.concatenate([[0], np.cumsum(width)])
+    schedule = code_widths(size)[0]
+    width = np.concatenate([[size + 1], *[schedule[:n] for n in runs.tolist()]])
+    at = np.zeros(len(width) + 1, np.int64)
+    np.cumsum(width, out=at[1:])
     value = np.array(codes, np.int64) << (at[:-1] & 7)
     byte, out = at[:-1] >> 3, np.zeros((int(at[-1]) + 7 >> 3) + 2, np.int64)
     for k in range(3):
-        out += np.bincount(byte + k, (value >> (8 * k)) & 255, len(out)).astype(np.int64)[: len(out)]
+        out += np.bincount(byte + k, (value >> (8 * k)) & 255, len(out)).astype(np.int64)
     return out[: int(at[-1]) + 7 >> 3].astype(np.uint8).tobytes()
 
 
@@ -79,33 +95,53 @@ def lzw_samples(stream: bytes, size: int) -> bytes:
     clear, end = 1 << size, (1 << size) + 1
     data = np.concatenate([np.frombuffer(stream, np.uint8), np.zeros(4, np.uint8)]).astype(np.int64)
     total, at, out = 8 * len(stream), 0, []
-    first = [bytes([k]) for k in range(clear)] + [b"", b""]
-    schedule = code_widths(size, CLEAR_AT)
+    first, (schedule, begins) = _single(clear), code_widths(size)
     while at < total:
         table, before, met = first.copy(), None, 0
         done = False
         while not done:
-            widths = schedule if not met else np.full(CLEAR_AT, 12, np.int64)
-            place = at + np.concatenate([[0], np.cumsum(widths)])
-            usable = int(np.searchsorted(place[1:], total, side="right"))
-            if not usable:
+            widths, cum = (schedule, begins) if not met else (FULL, FULL_BEGINS)
+            usable = int(np.searchsorted(cum, total - at, side="right")) - 1
+            if usable <= 0:
                 return b"".join(out)
-            place, widths = place[: usable + 1], widths[:usable]
+            usable = min(usable, CLEAR_AT)
+            place, widths = at + cum[: usable + 1], widths[:usable]
             byte = place[:-1] >> 3
             codes = ((data[byte] | data[byte + 1] << 8 | data[byte + 2] << 16) >> (place[:-1] & 7)) & ((1 << widths) - 1)
             stop = np.flatnonzero((codes == clear) | (codes == end))
             count = int(stop[0]) if len(stop) else usable
-            for code in codes[:count].tolist():
-                if code < len(table):
-                    entry = table[code]
-                elif before is not None and code == len(table):
-                    entry = before + before[:1]
-                else:
-                    return b"".join(out)
-                out.append(entry)
-                if before is not None and len(table) < CLEAR_AT:
-                    table.append(before + entry[:1])
-                before = entry
+            run = codes[:count]
+            # Entries there are when each code is read: the first code adds none, every other one. A code
+            # may name the entry that it is about to complete, but none beyond.
+            newest = len(table) + np.maximum(np.arange(count) - (before is None), 0)
+            if not (run > newest).any():
+                entries = run.tolist()
+                if before is None and entries:
+                    before = table[entries[0]]
+                    out.append(before)
+                    del entries[0]
+                add, send = table.append, out.append
+                for code in entries:
+                    try:
+                        entry = table[code]
+                    except IndexError:
+                        entry = before + before[:1]
+                    send(entry)
+                    add(before + entry[:1])
+                    before = entry
+                del table[CLEAR_AT:]
+            else:
+                for code in run.tolist():
+                    if code < len(table):
+                        entry = table[code]
+                    elif before is not None and code == len(table):
+                        entry = before + before[:1]
+                    else:
+                        return b"".join(out)
+                    out.append(entry)
+                    if before is not None and len(table) < CLEAR_AT:
+                        table.append(before + entry[:1])
+                    before = entry
             if len(stop):
                 if codes[count] == end:
                     return b"".join(out)
@@ -159,10 +195,11 @@ def decode_gif(data: bytes) -> Iterator[Frame]:
                 colours = own if own is not None else shared if shared is not None else np.zeros((256, 3), np.uint8)
                 size, at = data[at], at + 1
                 stream, at = _joined(data, at)
+                got = np.frombuffer(lzw_samples(stream, size), np.uint8)[: width * height]
                 samples = np.zeros(width * height, np.uint8)
-                got = np.frombuffer(lzw_samples(stream, size), np.uint8)[: len(samples)]
                 samples[: len(got)] = got
-                drawn = np.arange(len(samples)) < len(got)
+                drawn = np.zeros(width * height, bool)
+                drawn[: len(got)] = True
                 samples, drawn = samples.reshape(height, width), drawn.reshape(height, width)
                 if flags & 0x40:
                     order = np.concatenate([np.arange(s, height, step) for s, step in ((0, 8), (4, 8), (2, 4), (1, 2))])
@@ -173,7 +210,11 @@ def decode_gif(data: bytes) -> Iterator[Frame]:
                 area = canvas[top : top + height, left : left + width]
                 samples, drawn = (x[: area.shape[0], : area.shape[1]] for x in (samples, drawn))
                 seen = drawn if transparent is None else drawn & (samples != transparent)
-                area[seen] = colours[samples[seen].astype(np.int64) % len(colours)]
+                shown = colours.take(samples if len(colours) == 256 else samples.astype(np.int64) % len(colours), axis=0)
+                if seen.all():
+                    area[:] = shown
+                else:
+                    area[seen] = shown[seen]
                 yield Frame(10 * delay, left, top, width, height, disposal, canvas.copy())
                 if disposal == 2:
                     area[:] = 0
@@ -238,7 +279,8 @@ def read_gifs(media: DataFrame, channels: int = 3) -> DataFrame:
         frames, samples = [], []
         for f in decode_gif(data):
             area = f.canvas[f.top : f.top + f.height, f.left : f.left + f.width]
-            histogram = [int(x) for c in range(3) for x in np.bincount(area[:, :, c].reshape(-1) // (256 // BINS), minlength=BINS)]
+            bins = (area // np.uint8(256 // BINS)).reshape(-1, 3) + np.arange(0, 3 * BINS, BINS)
+            histogram = np.bincount(bins.reshape(-1), minlength=3 * BINS).tolist()
             frames.append({**{c: getattr(f, c) for c in ("delay_ms", "left", "top", "width", "height", "disposal")}, "histogram": histogram})
             samples.append(area[:, :, :channels].tobytes())
         return frames, b"".join(samples)
