@@ -10,10 +10,6 @@ from pyspark.sql import functions as F
 from sievelake import fixed_values as fv
 from sievelake.functions.text import any_of
 from sievelake.operators.groups import join_lookup
-from sievelake.session import cut_lineage
-
-# Widened to five lines of about sixty bytes each, this many places are about 60 MB.
-MAX_BROADCAST_PLACES = 200_000
 
 
 def transit_downgrade(findings: DataFrame, flow: DataFrame, node: str = "node") -> DataFrame:
@@ -48,24 +44,20 @@ def snippets(
     findings: DataFrame,
     lines: DataFrame,
     radius: int = fv.SNIPPET_RADIUS,
-    max_broadcast_places: int = MAX_BROADCAST_PLACES,
 ) -> DataFrame:
     """(record_id, line_no, code_snippet) per distinct finding place.
 
-    Places are written once, counted, and widened to the few line numbers they
-    need. Up to `max_broadcast_places` of them are sent to the lines, so the
-    text itself is not shuffled; more are joined by equality on both sides. Each
+    Places are widened to the few line numbers they need and joined with the lines
+    by equality; Spark sends them to the lines where they turn out to be few. Each
     result gathers at most 2 * radius + 1 lines. Places without a line are left
-    out.
+    out. Nothing runs while the plan is built.
     """
-    places = cut_lineage(findings.select("record_id", "line_no").filter(F.col("line_no") >= 1).distinct())
+    places = findings.select("record_id", "line_no").filter(F.col("line_no") >= 1).distinct()
     wanted = places.select(
         "record_id",
         "line_no",
         F.explode(F.sequence(F.greatest(F.col("line_no") - radius, F.lit(1)), F.col("line_no") + radius)).alias("_at"),
     )
-    if places.count() <= max_broadcast_places:
-        wanted = F.broadcast(wanted)
     text = lines.select(F.col("record_id").alias("_record"), F.col("line_no").alias("_no"), F.col("line").alias("_text"))
     found = wanted.join(text, (F.col("record_id") == F.col("_record")) & (F.col("_at") == F.col("_no")))
     gap = F.col("_at") - F.col("line_no")
@@ -89,9 +81,8 @@ def diff_findings(expected: DataFrame, actual: DataFrame, tolerance: int = fv.LI
 
     Expected rows match within `tolerance` lines, or anywhere in the path for
     line 0; actual rows are unexpected when no expected row shares rule,
-    severity and path. Both sides are made distinct first. The line test is a
-    semi and an anti join on line blocks over the same shuffles, so repeated
-    findings do not multiply.
+    severity and path. Both sides are made distinct first, so repeated findings
+    do not multiply. One left join on line blocks tells matched and missing rows apart.
     """
     keys = ["rule_id", "severity", "path"]
     want = expected.select(*keys, "line_no").distinct()
@@ -111,14 +102,13 @@ def diff_findings(expected: DataFrame, actual: DataFrame, tolerance: int = fv.LI
         & (F.abs(F.col("line_no") - F.col("_line")) <= tolerance)
     )
     anywhere, paths = want.filter(F.col("line_no") <= 0), have.select(*keys).distinct()
-    matched = placed.join(nearby, near, "left_semi").drop("_block").unionByName(anywhere.join(paths, keys, "left_semi"))
-    missing = placed.join(nearby, near, "left_anti").drop("_block").unionByName(anywhere.join(paths, keys, "left_anti"))
+    by_line = placed.join(nearby, near, "left").groupBy(*keys, "line_no").agg(F.count("_line").alias("_hits"))
+    by_path = anywhere.join(paths.withColumn("_hits", F.lit(1).cast("long")), keys, "left").select(*keys, "line_no", F.coalesce("_hits", F.lit(0)).alias("_hits"))
+    judged = by_line.unionByName(by_path)
     wanted = want.select(*keys).distinct().withColumn("_wanted", F.lit(True))
     unexpected = join_lookup(have, wanted, keys).filter(F.col("_wanted").isNull())
 
-    def tagged(df: DataFrame, name: str) -> DataFrame:
-        return df.select(F.lit(name).alias("outcome"), *keys, "line_no")
-
-    return tagged(matched, "matched").unionByName(tagged(missing, "missing")).unionByName(
-        tagged(unexpected, "unexpected")
+    outcome = F.when(F.col("_hits") > 0, F.lit("matched")).otherwise(F.lit("missing"))
+    return judged.select(outcome.alias("outcome"), *keys, "line_no").unionByName(
+        unexpected.select(F.lit("unexpected").alias("outcome"), *keys, "line_no")
     )
