@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievelake.llm.common import ROWS_PER_BIN, bins_for, group_key, running
+from sievelake.llm.common import ROWS_PER_BIN, bins_for, group_key, running, seeded_order
 from sievelake.llm.tokens import encoder, with_end
 from sievelake.llm.words import pieces, text_bytes
 from sievelake.session import cut_lineage
@@ -83,7 +83,7 @@ def pack(
     vocabulary: str,
     end_id: int = 0,
     window: int = 1024,
-    quantum: int = 256,
+    quantum: int = 32,
     targets: dict[str | None, float] | None = None,
     key: str = "doc_id",
     text: str = "text",
@@ -94,10 +94,12 @@ def pack(
 
     Each source's documents form one stream. A source gains credit in proportion to
     its target and sends a quantum of tokens whenever its credit has grown by one: its
-    j-th quantum falls due at time (j + 1) / target. Quanta go out in the order in which
-    they fall due, ties by source, so credit that a window leaves unspent carries over to
-    the next one, into whichever partition that falls, and a window's shares are off their
-    targets by less than a quantum. A source that has run out drops out of the round and the
+    j-th quantum falls due at time (j + u) / target, where u in (0, 1) is a hash of the
+    source, so that similar sources don't all fall due together. Quanta go out in the order in
+    which they fall due, ties by source, so credit that a window leaves unspent carries over to
+    the next one, into whichever partition that falls. What a source has sent by any time is off
+    its target by less than a quantum; the length of a window in that time varies with how many others
+    happen to fall due. A source that has run out drops out of the round and the
     others go on. Without `targets` a source's target is its share of all tokens, and all
     run out together; sources that `targets` doesn't name get the smallest weight in it.
 
@@ -141,8 +143,9 @@ def pack(
     # At most `weights` quanta fall due in a unit of time, so no bin holds many more than rows_per_bin.
     bins = max(bins_for(quanta, rows_per_bin), int((total["weights"] or 0) * last / rows_per_bin) + 1)
 
+    phase = (F.conv(F.substring(seeded_order("pack", "_source"), 1, 8), 16, 10).cast("double") + F.lit(0.5)) / F.lit(2.0**32)
     units = cuts.filter(F.col("_in_unit") == 0).select("_source", "_unit").join(queues, "_source").filter(F.col("_unit") < F.col("_quanta"))
-    units = units.withColumn("_due", (F.col("_unit") + 1) / F.col("_weight")).withColumn("_bin", F.floor(F.col("_due") / F.lit(last) * bins))
+    units = units.withColumn("_due", (F.col("_unit") + phase) / F.col("_weight")).withColumn("_bin", F.floor(F.col("_due") / F.lit(last) * bins))
     units = running(units.select("_source", "_unit", "_due", "_bin"), [], "_bin", ["_due", "_source"], F.lit(1).cast("long"), "_place", "_count")
     per_window = window // quantum
     units = units.select(

@@ -22,7 +22,7 @@ from sievelake.session import cut_lineage
 WORD = r"[^\x20\x09-\x0D]+"
 SHARDS = 24
 #: Packing: tokens of a sequence, and of the quanta that sources send.
-SEQUENCE, QUANTUM = 1024, 256
+SEQUENCE, QUANTUM = 1024, 32
 #: Production mixture: share of all tokens, epochs a source may be repeated, and weights.
 MIX_SHARE, MIX_EPOCHS = 0.9, 2
 LANGUAGE_WEIGHTS = {"en": 4.0, "de": 2.0, "es": 2.0, "fr": 2.0}

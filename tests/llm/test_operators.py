@@ -18,6 +18,7 @@ from sievelake.llm.mixing import leaf_budgets, mix
 from sievelake.llm.near_dups import near_duplicates
 from sievelake.llm.packing import pack
 from sievelake.llm.quality import quality_rules
+from sievelake.llm.queries import QUANTUM, SEQUENCE
 from sievelake.llm.repeats import without_repeats
 from sievelake.llm.secrets import redacted, scan_secrets
 from sievelake.llm.sharding import interleave
@@ -92,6 +93,24 @@ def test_pack_keeps_proportions(spark):
             assert abs(sent - share * 256 * (k + 1)) <= 2 * 32
 
 
+@pytest.mark.parametrize("others", [20, 60])
+def test_pack_keeps_proportions_in_every_window(spark, others):
+    """A hot source with a third of the tokens and many of nearly the same size."""
+    rows = [(k, "one two three four five six seven " * (9 + k % 3), f"s{k // 3 * 2 % others + k % 3 - 1}" if k % 3 else "hot") for k in range(1800)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    pieces = pack(df, BYTE, window=SEQUENCE, quantum=QUANTUM, rows_per_bin=300).collect()
+    sequences, _ = brute.check_packing(pieces, {r[0]: [r[1]] for r in rows}, Tokenizer.from_file(BYTE), window=SEQUENCE)
+    sent, whole = defaultdict(Counter), Counter()
+    for p in pieces:
+        sent[p.sequence_id][p.queue] += p.length
+        whole[p.queue] += p.length
+    assert sequences > 90 and len(whole) == others + 1
+    total = sum(whole.values())
+    for k in [k for k in sent if sum(sent[k].values()) == SEQUENCE and k < total // SEQUENCE - 1 - others * QUANTUM // SEQUENCE]:
+        assert abs(sent[k]["3=hot"] / SEQUENCE - whole["3=hot"] / total) < 0.18 and len(sent[k]) >= 14
+        assert all(n / SEQUENCE - whole[q] / total < 0.07 for q, n in sent[k].items() if q != "3=hot")
+
+
 def test_quality_rules(docs):
     trusted = docs.filter("doc_id IN (4, 5, 8)").select("doc_id")
     found = quality_rules(docs, trusted)
