@@ -26,15 +26,25 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 #: Other runs that may be credentials: long enough, of several kinds of characters, and not repetitive.
 GENERIC = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}")
 ASSIGNED_LENGTH, BITS = 8, 3.0
+#: Candidates in one letter case: hexadecimal, an identifier of 8-4-4-4-12 digits, a token with a known prefix,
+#: or a run without separators that changes between letters and digits at least twice.
+HEXADECIMAL = re.compile(r"[0-9A-F]+|[0-9a-f]+")
+TOKEN_FORM = re.compile(r"(?<![A-Za-z0-9-])(?:[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}(?![A-Za-z0-9-])|xox[a-z]-)")
+RUN, PARTS, MIXED_PARTS = re.compile(r"[A-Za-z0-9]{16,}"), re.compile(r"[0-9]+|[A-Za-z]+"), 3
 #: A value in so many repositories or of so many owners is a copied example.
 EXAMPLE_OWNERS, EXAMPLE_REPOSITORIES = 3, 4
 
 
-def looks_live(value: str) -> bool:
-    """A run with digits and letters (both cases, unless it is hexadecimal) whose characters carry BITS of entropy."""
+def looks_live(value: str, kind: int) -> bool:
+    """Access keys by their form; other values by digits, letters and BITS of entropy of their characters.
+
+    Paths and slugs are candidates too, but in one case and without the form of a token: their words and numbers stand apart.
+    """
+    if kind == 1:
+        return True
     if not any(c.isdigit() for c in value) or not any(c.isalpha() for c in value):
         return False
-    if not re.fullmatch(r"[0-9A-F]+|[0-9a-f]+", value) and (value.islower() or value.isupper()):
+    if kind == 3 and (value.islower() or value.isupper()) and not (HEXADECIMAL.fullmatch(value) or TOKEN_FORM.search(value) or any(len(PARTS.findall(r)) >= MIXED_PARTS for r in RUN.findall(value))):
         return False
     n = len(value)
     return -sum(k / n * log2(k / n) for k in Counter(value).values()) >= BITS
@@ -54,7 +64,7 @@ def candidates(text: str, base: list[tuple[int, int, int, str]]) -> list[tuple[i
     for m in GENERIC.finditer(text):
         while at < len(base) and base[at][0] <= m.start():
             covered, at = max(covered, base[at][2]), at + 1
-        if covered < m.end() and looks_live(m[0]):
+        if covered < m.end() and looks_live(m[0], 3):
             out.append((m.start(), 3, m.end(), m[0]))
     return out
 
@@ -76,7 +86,7 @@ def find_secrets(rows: DataFrame, kind: str) -> DataFrame:
                     out[name].append(sum(s[1] == kind for s in base))
                 out["base_sha256"].append(hashlib.sha256(joined(base).encode()).hexdigest())
                 spans = base + candidates(text or "", base) if text else []
-                out["found"].append([{"start": s[0], "kind": s[1], "end": s[2], "hash": hashlib.sha256(s[3].encode()).hexdigest(), "live": looks_live(s[3])} for s in spans])
+                out["found"].append([{"start": s[0], "kind": s[1], "end": s[2], "hash": hashlib.sha256(s[3].encode()).hexdigest(), "live": looks_live(s[3], s[1])} for s in spans])
             kinds = [pa.int64()] * 3 + [pa.string(), pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32()), ("hash", pa.string()), ("live", pa.bool_())]))]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in carried], *[pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True)]], names=[*carried, *out])
 
