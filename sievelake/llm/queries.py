@@ -125,7 +125,7 @@ def tool_events(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.when(F.length(text) % 3 == 0, "fetch").when(F.col("role") == "user", "search").otherwise("note").alias("name"),
         F.when(F.col("role") == "user", search).otherwise(note).alias("arguments"),
     )
-    results = conversations.filter("role = 'assistant'").select(name_of(turn - 1).alias("call_id"), "turn", F.col("text").alias("content"))
+    results = conversations.filter("role = 'assistant'").select("conv_id", name_of(turn - 1).alias("call_id"), "turn", F.col("text").alias("content"))
     return calls, results
 
 

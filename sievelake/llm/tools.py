@@ -8,9 +8,10 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sievelake.llm.common import bins_for, group_key, hash_bin, running
 from sievelake.session import cut_lineage
 
 TYPES = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
@@ -157,39 +158,97 @@ def depths(calls: DataFrame) -> DataFrame:
     return state.select("call_id", F.when(F.col("up").isNull(), F.col("steps")).alias("depth"))
 
 
+def numbered(rows: DataFrame, turn: str, content: list[str]) -> DataFrame:
+    """Number the distinct rows of each `_id` from 0 by turn, nulls first, then by a hash of the content, as `_no`."""
+    bins = bins_for(rows.count())
+    marked = rows.withColumn("_hash", F.md5(group_key(*content)))
+    marked = marked.withColumn("_bin", F.struct(F.col(turn).isNotNull(), F.coalesce(F.col(turn), F.lit(0)), hash_bin(F.col("_hash"), bins)))
+    return running(marked, ["_id"], "_bin", ["_hash"], F.lit(1).cast("long"), "_no", "_whole").drop("_hash", "_bin", "_whole")
+
+
+def latest(spots: DataFrame, asks: DataFrame) -> DataFrame:
+    """Which calls of an identifier (`_id`) a row of some turn means: those of the last turn up to its own, else of the first turn.
+
+    `_kind` is 1 for rows that calls of their own turn come before, -1 for others. Adds `_first` and `_size`, null without calls.
+    """
+    marks = spots.select("_id", F.col("turn").alias("_turn"), F.lit(0).alias("_kind"), F.struct("_first", "_size").alias("_spot"))
+    marks = marks.unionByName(asks.select("_id", "_turn", "_kind").distinct(), allowMissingColumns=True)
+    order = Window.partitionBy("_id").orderBy("_turn", "_kind")
+    before = F.last("_spot", True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    start = F.first("_spot", True).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    found = marks.withColumn("_meant", F.coalesce(before, start)).filter("_kind != 0")
+    found = found.select("_id", group_key("_turn").alias("_t"), "_kind", "_meant.*")
+    return asks.withColumn("_t", group_key("_turn")).join(found, ["_id", "_t", "_kind"], "left").drop("_t")
+
+
+def node_of(identifier: str, number: Column) -> Column:
+    return F.concat(F.col(identifier), F.lit("#"), number.cast("string"))
+
+
 def link_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
-    """One row for each call identifier, with its result, place, verdict and canonical JSON.
+    """A row for every distinct call and every distinct result, linked within the conversation, with place, verdict and canonical JSON.
 
     `calls` has conv_id, turn, call_id, after (the identifier of a call that must come first, or null), name
-    and arguments (JSON text); `results` has call_id, turn and content; `schemas` has name and schema (JSON
-    Schema text). Other columns are ignored. Identifiers are reduced to one row on either side first, so
-    repeated ones never multiply: the call with the smallest (conv_id, turn, name, arguments) and the result with the
-    smallest (turn, content) stand for all, `n_calls` and `n_results` say how many there were.
+    and arguments (JSON text); `results` has conv_id, call_id, turn and content; `schemas` has name and schema (JSON
+    Schema text). Other columns are ignored. Identifiers hold within a conversation; a null conv_id is a value like
+    others. Distinct calls of one identifier are numbered by turn (`call_no`, from 1), and so are its results (`result_no`);
+    equal rows are one. A result belongs to the calls of the last turn up to its own (else of the first), the k-th such
+    result to the k-th such call, and results beyond them to the last of these, each in a row of its own. Nothing is
+    multiplied or left out. `n_calls` and `n_results` count all rows of the identifier.
 
     `status` is `linked`, `no_result`, or `orphan` for results without a call. `depth` orders calls
-    topologically: whoever comes after another is deeper; a call whose `after` is unknown
-    begins at 0, and calls in or behind a circle have no depth. `errors` lists what breaks the tool's schema,
+    topologically: whoever comes after another is deeper; `after` means the first call of its identifier's last turn up to
+    the call's own (before it, if it is the same identifier); a call whose `after` is unknown begins at 0, and calls
+    in or behind a circle have no depth. `errors` lists what breaks the tool's schema,
     `valid` says that nothing does. `message` is canonical JSON of call and result, null where the arguments aren't
     JSON. Rows with a null identifier can't be linked and stand alone: each call is `no_result`, each
     result `orphan`. Empty tables give an empty one.
+
+    Where `results` has no conv_id, identifiers hold across conversations, and the smallest (turn, content) of an
+    identifier is its result; the others are listed in `further_results`.
     """
-    calls = calls.select("conv_id", "turn", "call_id", "after", "name", "arguments")
-    results = results.select("call_id", F.col("turn").alias("result_turn"), "content")
-    first = F.min(F.struct("conv_id", "turn", "name", "arguments", "after")).alias("_call")
-    known = calls.filter("call_id IS NOT NULL").groupBy("call_id").agg(first, F.count(F.lit(1)).alias("n_calls"))
-    known = cut_lineage(known.select("call_id", "_call.*", "n_calls"))
-    found = results.filter("call_id IS NOT NULL").groupBy("call_id").agg(F.min(F.struct("result_turn", "content")).alias("_result"), F.count(F.lit(1)).alias("n_results"))
-    both = known.join(found, "call_id", "full").select(
-        "conv_id", "call_id", "turn", "after", "name", "arguments", "_result.*", F.coalesce("n_calls", F.lit(0)).alias("n_calls"), F.coalesce("n_results", F.lit(0)).alias("n_results")
-    )
-    loose = calls.filter("call_id IS NULL").withColumn("n_calls", F.lit(1)).unionByName(results.filter("call_id IS NULL").withColumn("n_results", F.lit(1)), allowMissingColumns=True)
-    both = both.unionByName(loose.select("conv_id", "call_id", "turn", "after", "name", "arguments", "result_turn", "content", F.coalesce("n_calls", F.lit(0)).alias("n_calls"), F.coalesce("n_results", F.lit(0)).alias("n_results")))
-    status = F.when(F.col("n_calls") == 0, "orphan").when(F.col("n_results") == 0, "no_result").otherwise("linked")
-    placed = both.join(depths(known), "call_id", "left").withColumn("status", status)
-    placed = placed.withColumn("depth", F.when(F.col("call_id").isNull() & (F.col("n_calls") > 0), 0).otherwise(F.col("depth")))
+    within = ["conv_id"] if "conv_id" in results.columns else []
+    fields = ["conv_id", "turn", "call_id", "after", "name", "arguments"]
+    calls = calls.select(*fields)
+    results = results.select(*within, "call_id", F.col("turn").alias("result_turn"), "content")
+    loose_calls, loose_results = calls.filter("call_id IS NULL"), results.filter("call_id IS NULL")
+    known = calls.filter("call_id IS NOT NULL").withColumn("_id", group_key(*within, "call_id")).groupBy("_id", *fields).agg(F.count(F.lit(1)).alias("_copies"))
+    known = cut_lineage(numbered(cut_lineage(known), "turn", fields))
+    found = results.filter("call_id IS NOT NULL").withColumn("_id", group_key(*within, "call_id"))
+    counts = known.groupBy("_id").agg(F.sum("_copies").alias("n_calls")).join(found.groupBy("_id").agg(F.count(F.lit(1)).alias("n_results")), "_id", "full").na.fill(0)
+    further = []
+    if within:
+        found = found.distinct()
+    else:
+        further = ["further_results"]
+        listed = F.array_sort(F.collect_set(F.struct("result_turn", "content"))).alias("_all")
+        found = found.groupBy("_id", "call_id").agg(listed, F.min(F.struct("result_turn", "content")).alias("_result"))
+        found = found.select("_id", "call_id", "_result.*", F.filter("_all", lambda r: ~r.eqNullSafe(F.col("_result"))).alias("further_results"))
+    found = numbered(cut_lineage(found), "result_turn", ["result_turn", "content"]).withColumnRenamed("_no", "_result_no")
+    spots = known.groupBy("_id", "turn").agg(F.min("_no").alias("_first"), F.count(F.lit(1)).alias("_size"))
+    found = cut_lineage(latest(spots, found.withColumn("_turn", F.col("result_turn")).withColumn("_kind", F.lit(1))))
+    begun = found.filter("_first IS NOT NULL").groupBy("_id", "_first").agg(F.min("_result_no").alias("_begun"))
+    found = found.join(begun, ["_id", "_first"], "left")
+    found = found.withColumn("_no", F.col("_first") + F.least(F.col("_result_no") - F.col("_begun"), F.col("_size") - 1))
+    renamed = {c: f"_own_{c}" for c in [*within, "call_id"]}
+    both = known.join(found.select("_id", "_no", "_result_no", "result_turn", "content", *further, *[F.col(c).alias(n) for c, n in renamed.items()]).withColumn("_link", F.col("_no")).drop("_no").withColumnRenamed("_id", "_result_id"), (F.col("_id") == F.col("_result_id")) & (F.col("_no") == F.col("_link")), "full")
+    both = both.withColumns({c: F.coalesce(c, n) for c, n in renamed.items()}).withColumn("_id", F.coalesce("_id", "_result_id")).join(counts, "_id")
+    both = both.withColumn("call_no", F.col("_no") + 1).withColumn("result_no", F.col("_result_no") + 1).withColumn("_node", node_of("_id", F.col("_no")))
+
+    asks = known.filter("after IS NOT NULL").select(node_of("_id", F.col("_no")).alias("_node"), group_key(*within, "after").alias("_id"), F.col("turn").alias("_turn"), F.when(F.col("after") == F.col("call_id"), -1).otherwise(1).alias("_kind"))
+    above = latest(spots, asks).select("_node", node_of("_id", F.col("_first")).alias("after"))
+    nodes = known.select(node_of("_id", F.col("_no")).alias("_node")).join(above, "_node", "left").withColumnRenamed("_node", "call_id")
+    deep = depths(cut_lineage(nodes)).withColumnRenamed("call_id", "_node")
+    placed = both.join(deep, "_node", "left")
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    loose_calls = loose_calls.withColumns({"n_calls": one, "call_no": one, "n_results": none, "depth": none})
+    loose_results = loose_results.withColumns({"n_results": one, "result_no": one, "n_calls": none})
+    columns = ["conv_id", "call_id", "turn", "depth", "name", "status", "n_calls", "n_results", "call_no", "result_no", "result_turn", *further]
+    placed = placed.select(*[c for c in columns if c != "status"], "arguments", "content")
+    placed = placed.unionByName(loose_calls.drop("after"), allowMissingColumns=True).unionByName(loose_results, allowMissingColumns=True)
+    placed = placed.withColumn("status", F.when(F.col("call_no").isNull(), "orphan").when(F.col("result_no").isNull(), "no_result").otherwise("linked"))
     tools = schemas.groupBy("name").agg(F.min("schema").alias("_schema"))
     placed = placed.join(tools, "name", "left")
-    columns = ["conv_id", "call_id", "turn", "depth", "name", "status", "n_calls", "n_results", "result_turn"]
     kinds = dict(placed.dtypes)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

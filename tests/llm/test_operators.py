@@ -332,6 +332,27 @@ def test_link_calls(spark):
     assert nothing.isEmpty()
 
 
+def test_link_calls_within_conversations(spark):
+    """Identifiers that start anew in each conversation, and repeats of one identifier."""
+    calls = [(c, t, f"call_{t // 2}", f"call_{t // 2 - 1}" if t else None, "f", f'{{"c":{c or 0},"t":{t}}}') for c in (1, 2, None) for t in (0, 2, 4)]
+    calls += [(3, 0, "x", None, "f", "1"), (3, 4, "x", "y", "f", "2"), (3, 2, "y", "x", "f", "3"), (3, 4, "x", "y", "f", "2")]
+    calls += [(None, 7, "hot", None, "f", str(k)) for k in range(50)]
+    results = [(c, "call_1", 3, f"of {c}") for c in (1, None)] + [(2, "call_9", 1, "lost"), (3, "x", 5, "late"), (3, "x", 6, "later"), (3, "x", 6, "later")]
+    results += [(None, "hot", 8, f"r{k}") for k in range(52)]
+    df = spark.createDataFrame(calls, "conv_id long, turn long, call_id string, after string, name string, arguments string").repartition(3)
+    got = link_calls(df, spark.createDataFrame(results, "conv_id long, call_id string, turn long, content string"), spark.createDataFrame([("f", "{}")], "name string, schema string")).collect()
+    by = {(r.conv_id, r.call_id, r.call_no, r.result_no): r for r in got}
+    assert len(by) == len(got) == 9 + 1 + 4 + 52
+    for c in (1, 2, None):
+        assert [by[c, f"call_{k}", 1, 1 if k == 1 and c != 2 else None].depth for k in range(3)] == [0, 1, 2]
+    assert '"t":2' in by[1, "call_1", 1, 1].message and '"of 1"' in by[1, "call_1", 1, 1].message and '"of None"' in by[None, "call_1", 1, 1].message
+    assert by[2, "call_1", 1, None].status == "no_result" and by[2, "call_9", None, 1].status == "orphan"
+    assert by[3, "x", 1, None].depth == 0 and by[3, "y", 1, None].depth == 1
+    assert [(by[3, "x", 2, k].depth, by[3, "x", 2, k].result_turn, by[3, "x", 2, k].n_calls, by[3, "x", 2, k].n_results) for k in (1, 2)] == [(2, 5, 3, 3), (2, 6, 3, 3)]
+    hot = [r for r in got if r.call_id == "hot"]
+    assert len({r.call_no for r in hot}) == 50 and len({r.result_no for r in hot}) == 52 and len({r.message for r in hot}) == 52
+
+
 def test_hash_names(spark):
     """The signature of a set doesn't depend on order or repetition."""
     rows = [(1, "a b c d e a b c d e"), (2, "a b c d e a b c d e a b c d e"), (3, "b c d e a b c d e a b c")]
