@@ -40,15 +40,16 @@ def leaf_budgets(leaves: DataFrame, levels: list[str], total: int, weights: list
     `weights` has one expression for each level, over that level's columns; a
     null weight counts as 0. The root gets `total`, or all there is if that is
     less. Going down, every node's share is filled among its children, and a node
-    can hold max_epochs times what lies below it; so a shortage is made good by
-    siblings first, and only what they can't take has gone to the ancestors' siblings.
+    can hold max_epochs times what lies below it in leaves that have weight all the way; so a shortage
+    is made good by siblings first, and only what they can't take has gone to the ancestors' siblings.
     """
-    tree = leaves.withColumn("_capacity", F.col("available") * F.lit(max_epochs))
+    weights = [F.greatest(F.coalesce(w.cast("double"), F.lit(0.0)), F.lit(0.0)) for w in weights]
+    tree = leaves.withColumn("_capacity", F.when(all_of([w > 0 for w in weights]), F.col("available") * F.lit(max_epochs)).otherwise(0))
     whole = tree.agg(F.least(F.lit(float(total)), F.sum("_capacity").cast("double")).alias("_budget_0"), F.lit(0).alias("_root"))
     for depth in range(1, len(levels) + 1):
         path = levels[:depth]
         node = tree.groupBy(*path).agg(F.sum("_capacity").alias("_capacity"))
-        node = node.withColumn("_root", F.lit(0)).withColumn("_weight", F.greatest(F.coalesce(weights[depth - 1].cast("double"), F.lit(0.0)), F.lit(0.0)))
+        node = node.withColumn("_root", F.lit(0)).withColumn("_weight", weights[depth - 1])
         above = ["_root", *levels[: depth - 1]]
         node = node.join(whole, above).withColumn("_node", F.col(path[-1]))
         whole = water_fill(node, above, f"_budget_{depth - 1}", "_capacity", "_weight", f"_budget_{depth}")

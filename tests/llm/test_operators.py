@@ -299,6 +299,16 @@ def test_budgets(spark):
     assert budgets(2000, 2)[("c", "x")] == 20 and sum(budgets(2000, 2).values()) in range(1997, 2001)
 
 
+def test_budgets_around_leaves_without_weight(spark):
+    leaves = [("a", "x", 100), ("a", "y", 1000), ("b", "x", 5000), ("c", "x", 300)]
+    df = spark.createDataFrame(leaves, "d string, s string, available long")
+    for nothing in (0.0, None):
+        weights = [F.when(F.col("d") != "c", 1.0).otherwise(F.lit(nothing)), F.when(F.col("s") != "y", 1.0).otherwise(F.lit(nothing))]
+        got = {(r.d, r.s): r.budget for r in leaf_budgets(df, ["d", "s"], 2000, weights, 1).collect()}
+        # y of a can take nothing, so a holds 100 only, and b takes what is left.
+        assert got == {("a", "x"): 100, ("a", "y"): 0, ("b", "x"): 1900, ("c", "x"): 0}
+
+
 def test_mix_epochs(spark):
     df = spark.createDataFrame([(k, "p" if k < 5 else "q", 10) for k in range(105)], "doc_id long, source string, n_tokens long")
     rows = mix(df, [F.col("source")], [F.lit(1.0)], 235, max_epochs=3, seed="s").collect()
