@@ -126,4 +126,52 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, s
 FROM words LEFT JOIN kept USING (doc_id)
 """
 
-ORACLE = {"op5_without_repeats": OP5, "op4_near_duplicates": OP4, "op9_interleave": OP9, "op10_mix": OP10}
+_FIELD = "CASE WHEN {0} IS NULL THEN '-' ELSE octet_length(encode({0}::VARCHAR)) || ':' || {0}::VARCHAR END"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "{n_chars}", "text")) + ")"
+_RISE = "list_transform(range(0, (len(nodes) + 1) // 2), lambda k: sha256(nodes[2 * k + 1] || coalesce(nodes[2 * k + 2], '')))"
+
+
+def _sibling(place: str, level: str) -> str:
+    """The side and digest of a place's sibling among the nodes of a level, `-` where there is none."""
+    own = f"({place} >> {level})"
+    return f"CASE WHEN {own} % 2 = 1 THEN 'L' || nodes[{own}] ELSE coalesce('R' || nodes[{own} + 2], '-') END"
+
+
+OP11 = f"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, lang, {_LEAF.format(n_chars="n_chars")} AS leaf, {_LEAF.format(n_chars="(n_chars + 1)")} AS changed, n_chars,
+         regexp_replace(hex(encode(doc_id::VARCHAR)), '(.)(.)', '\\2\\1', 'g') AS nibbles
+  FROM documents
+), leaves AS (
+  SELECT doc_id, coalesce('=' || lang, '') AS tree, leaf, CASE WHEN n_chars IS NOT NULL AND xor(list_reduce(list_prepend(4294967295::BIGINT,
+           list_transform(regexp_extract_all(nibbles, '.'), lambda d: ('0x' || d)::BIGINT)),
+           lambda c, x: 0::BIGINT + xor(c >> 4, {_crc_steps()}[(xor(c, x) & 15) + 1])), 4294967295) % 7 = 0 THEN changed ELSE leaf END AS given,
+         row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place
+  FROM docs
+), levels AS (
+  SELECT tree, 0 AS level, list(leaf ORDER BY place) AS nodes FROM leaves GROUP BY tree
+  UNION ALL SELECT tree, level + 1, {_RISE} FROM levels WHERE len(nodes) > 1
+), subroots AS (
+  SELECT tree, nodes[1] AS subroot, row_number() OVER (ORDER BY encode(tree)) - 1 AS place FROM levels WHERE len(nodes) = 1
+), upper_levels AS (
+  SELECT 0 AS level, list(subroot ORDER BY place) AS nodes FROM subroots
+  UNION ALL SELECT level + 1, {_RISE} FROM upper_levels WHERE len(nodes) > 1
+), siblings AS (
+  SELECT doc_id, leaf, given, tree, place, list({_sibling("place", "level")} ORDER BY level) FILTER (WHERE len(nodes) > 1) AS own
+  FROM leaves JOIN levels USING (tree) GROUP BY ALL
+), upper_siblings AS (
+  SELECT tree, subroot, list({_sibling("place", "level")} ORDER BY level) FILTER (WHERE len(nodes) > 1) AS more
+  FROM subroots, upper_levels GROUP BY ALL
+), climbed AS (
+  SELECT doc_id, leaf, subroot, (SELECT nodes[1] FROM upper_levels WHERE len(nodes) = 1) AS root, given, coalesce(own, []) || coalesce(more, []) AS way
+  FROM siblings JOIN upper_siblings USING (tree)
+), folded AS (
+  SELECT *, list_reduce(list_prepend(given, way), lambda h, s: CASE s[1] WHEN 'L' THEN sha256(s[2:] || h) WHEN 'R' THEN sha256(h || s[2:]) ELSE sha256(h) END) AS folded_root
+  FROM climbed
+)
+SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(list_filter(way, lambda s: s <> '-'), lambda s: s[2:]), '')) AS proof_sha256,
+       folded_root, folded_root = root AS verified
+FROM folded
+"""
+
+ORACLE = {"op11_manifest": OP11, "op5_without_repeats": OP5, "op4_near_duplicates": OP4, "op9_interleave": OP9, "op10_mix": OP10}

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sievelake.llm.common import pick, ship
 from sievelake.llm.gif import read_gifs, store_gifs
 from sievelake.llm.idfiles import id_segments, read_ids
+from sievelake.llm.merkle import proof_text, row_digest, verify
 from sievelake.llm.mixing import mix
 from sievelake.llm.near_dups import near_duplicates
 from sievelake.llm.packing import pack
@@ -163,6 +164,27 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(counted, levels, mix_weights(), MIX_SHARE, max_epochs=MIX_EPOCHS).select("doc_id", "lang", "source", "n_tokens", "epoch", "take")
 
 
+def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document a leaf of its language's tree; those whose number's CRC-32 is divisible by 7 climb with a changed n_chars."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "source", "lang", "n_chars", "text")
+    changed = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    columns = lambda n_chars: [F.col("doc_id"), F.col("source"), F.col("lang"), n_chars, F.col("text")]
+    tampered = F.when(changed & F.col("n_chars").isNotNull(), row_digest(columns(F.col("n_chars") + 1)))
+    leaves = docs.select("doc_id", "lang", row_digest(columns(F.col("n_chars"))).alias("digest"), tampered.alias("changed"))
+    leaves = leaves.withColumn("given", F.coalesce("changed", "digest")).drop("changed")
+    climbed = verify(leaves, group="lang", order="doc_id", given="given")
+    text = lambda name: F.lower(F.hex(name))
+    return climbed.select(
+        "doc_id",
+        text("digest").alias("leaf"),
+        text("subroot").alias("subroot"),
+        text("root").alias("root"),
+        F.sha2(proof_text(F.col("path")).cast("binary"), 256).alias("proof_sha256"),
+        text("folded").alias("folded_root"),
+        (F.col("folded") == F.col("root")).alias("verified"),
+    )
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_pack": op2_pack,
@@ -174,4 +196,5 @@ QUERIES = {
     "op8_coded_ids": op8_coded_ids,
     "op9_interleave": op9_interleave,
     "op10_mix": op10_mix,
+    "op11_manifest": op11_manifest,
 }
