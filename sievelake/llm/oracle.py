@@ -174,4 +174,21 @@ SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(list_f
 FROM folded
 """
 
-ORACLE = {"op11_manifest": OP11, "op5_without_repeats": OP5, "op4_near_duplicates": OP4, "op9_interleave": OP9, "op10_mix": OP10}
+_TERMS = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+
+OP12 = f"""
+WITH words AS (SELECT doc_id, row_number() OVER () AS row, {_TERMS} AS t FROM documents),
+corpus AS (SELECT count(*) AS n_docs, sum(len(t))::BIGINT AS n_terms FROM words WHERE len(t) > 0),
+counts AS (SELECT row, doc_id, n, term, count(*) AS tf FROM (SELECT row, doc_id, len(t) AS n, unnest(t) AS term FROM words) GROUP BY ALL),
+asked AS (SELECT row, item_id, term, count(*) AS c FROM (SELECT item_id, row_number() OVER () AS row, unnest({_TERMS}) AS term FROM benchmark) GROUP BY ALL),
+weights AS (
+  SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM counts, corpus GROUP BY term, n_docs
+), scored AS (
+  SELECT a.row, item_id, c.row AS doc_row, doc_id, sum(a.c * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // n_terms))))::BIGINT AS score
+  FROM asked a JOIN weights USING (term) JOIN counts c USING (term), corpus GROUP BY ALL
+)
+SELECT item_id, row_number() OVER (PARTITION BY row ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+FROM scored WHERE score > 0 QUALIFY rank <= 10
+"""
+
+ORACLE = {"op12_ranked_search": OP12, "op11_manifest": OP11, "op5_without_repeats": OP5, "op4_near_duplicates": OP4, "op9_interleave": OP9, "op10_mix": OP10}

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sievelake.llm.common import pick, ship
 from sievelake.llm.gif import read_gifs, store_gifs
 from sievelake.llm.idfiles import id_segments, read_ids
+from sievelake.llm.lexical import best_documents
 from sievelake.llm.merkle import proof_text, row_digest, verify
 from sievelake.llm.mixing import mix
 from sievelake.llm.near_dups import near_duplicates
@@ -185,6 +186,13 @@ def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item against every document."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    found = best_documents(docs, table(spark, sf_dir, "benchmark", "item_id", "text"), k=10)
+    return found.select(F.col("item").alias("item_id"), "rank", F.col("doc").alias("doc_id"), "score")
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_pack": op2_pack,
@@ -197,4 +205,5 @@ QUERIES = {
     "op9_interleave": op9_interleave,
     "op10_mix": op10_mix,
     "op11_manifest": op11_manifest,
+    "op12_ranked_search": op12_ranked_search,
 }
