@@ -9,6 +9,7 @@ from sievelake.llm.common import pick, ship
 from sievelake.llm.gif import read_gifs, store_gifs
 from sievelake.llm.idfiles import id_segments, read_ids
 from sievelake.llm.lexical import best_documents
+from sievelake.llm.main_text import extract_pages
 from sievelake.llm.merkle import proof_text, row_digest, verify
 from sievelake.llm.mixing import mix
 from sievelake.llm.near_dups import near_duplicates
@@ -193,6 +194,10 @@ def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("item").alias("item_id"), "rank", F.col("doc").alias("doc_id"), "score")
 
 
+def op13_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_pack": op2_pack,
@@ -206,4 +211,5 @@ QUERIES = {
     "op10_mix": op10_mix,
     "op11_manifest": op11_manifest,
     "op12_ranked_search": op12_ranked_search,
+    "op13_main_text": op13_main_text,
 }
