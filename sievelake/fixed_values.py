@@ -305,6 +305,8 @@ HINT_PREFIXES = [
     ("SEC-", "check whether the value is injected from the environment at run time"),
 ]
 DEFAULT_HINT = "read the surrounding lines and imports"
+# Minutes for which a scan's result is used again.
+REUSE_MINUTES = 10
 LINK_RADIUS, SNIPPET_RADIUS, LINE_TOLERANCE, PAGE_SIZE = 10, 2, 2, 60
 MIME_TYPES = [
     ([".go"], "text/x-go"),

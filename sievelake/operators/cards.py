@@ -26,19 +26,20 @@ CARD_TOKEN = r"(?<![0-9A-Za-z])[0-9]{13,19}(?![0-9A-Za-z])"
 ASSIGNED_NAME = r"([A-Za-z_][A-Za-z0-9_-]*)[ \t]*(?::=|=|:)"
 
 
-def scan_pan_literals(units: DataFrame) -> DataFrame:
+def scan_pan_literals(units: DataFrame, keep=()) -> DataFrame:
     """PAN-LITERAL per card-number token; CRITICAL on a line that assigns a sensitive name.
 
     Whole texts are tested once by a cheap digit pattern; only texts with a long
     digit run are split into lines, so the line explode stays small.
     """
-    lines = to_lines(units.filter(F.col("text").rlike(r"[0-9]{13}"))).filter(F.col("line").rlike(CARD_TOKEN))
+    lines = to_lines(units.filter(F.col("text").rlike(r"[0-9]{13}")), keep).filter(F.col("line").rlike(CARD_TOKEN))
     names = F.regexp_extract_all("line", F.lit(ASSIGNED_NAME), 1)
     tokens = lines.select(
         "record_id",
         "path",
         "line_no",
         "line",
+        *keep,
         F.exists(names, is_sensitive_keyword).alias("_bound"),
         F.explode(F.regexp_extract_all("line", F.lit(CARD_TOKEN), 0)).alias("_token"),
     ).filter(is_likely_pan("_token"))
@@ -54,6 +55,7 @@ def scan_pan_literals(units: DataFrame) -> DataFrame:
         F.concat(card_brand("_token"), F.lit(" *"), F.right("_token", F.lit(4))).alias("subject"),
         F.lit("Token has the shape and check digit of a card number").alias("description"),
         F.lit("Replace the number by a token reference").alias("suggestion"),
+        *keep,
     )
 
 

@@ -13,10 +13,10 @@ from sievelake.operators.groups import into_blocks
 WEAK_CALL = r"(?i)(?<![A-Za-z0-9_])(md5|sha1|des|sha256)(\.[A-Za-z0-9]+)?[ \t]*\("
 
 
-def scan_plain_http(df: DataFrame, value: str = "value") -> DataFrame:
+def scan_plain_http(df: DataFrame, value: str = "value", keep=()) -> DataFrame:
     """CRYPTO-PLAIN-HTTP on values with an http:// address, except local ones."""
     url = col(value)
-    carried = [c for c in ("record_id", "path", "line_no") if c in df.columns]
+    carried = [c for c in ("record_id", "path", "line_no", *keep) if c in df.columns]
     hits = df.filter(url.rlike(fv.PLAIN_HTTP_PATTERN) & ~url.rlike(fv.LOCAL_HTTP_PATTERN))
     return hits.select(
         F.lit("CRYPTO-PLAIN-HTTP").alias("rule_id"),

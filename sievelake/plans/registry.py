@@ -39,12 +39,13 @@ class RuleSpec:
     build: Callable[[Inputs], DataFrame] | None = None
     description: str = ""
     row: Callable[[], RowRule] | None = None
-    prepare: Callable[[DataFrame], DataFrame] | None = None
+    prepare: Callable[..., DataFrame] | None = None
     row_local: bool = True  # also runs unchanged on a stream
+    timed: Callable[[DataFrame, tuple[str, ...]], DataFrame] | None = None  # a row-local `build` that carries further columns
 
 
 DEFAULT_RULES = (
-    RuleSpec("pan_literals", ("units",), ("3.4.1",), lambda i: scan_pan_literals(i["units"]), "card numbers in text"),
+    RuleSpec("pan_literals", ("units",), ("3.4.1",), lambda i: scan_pan_literals(i["units"]), "card numbers in text", timed=scan_pan_literals),
     RuleSpec("kv_pan", ("kv",), ("3.4.1", "3.3.1"), row=kv_pan_rule, description="card data in configuration"),
     RuleSpec("secrets", ("kv",), ("8.6.2",), row=secret_rule, description="secrets in configuration"),
     RuleSpec("hardcoded_keys", ("kv",), ("6.2.4",), row=hardcoded_key_rule, description="literal key material"),
@@ -67,7 +68,7 @@ DEFAULT_RULES = (
     ),
     RuleSpec("tls", ("settings",), ("4.2.1",), row=tls_rule, description="TLS settings"),
     RuleSpec("password_policy", ("settings",), ("8.3.6",), row=password_policy_rule, description="password lengths"),
-    RuleSpec("plain_http", ("urls",), ("4.2.1",), lambda i: scan_plain_http(i["urls"]), "unencrypted addresses"),
+    RuleSpec("plain_http", ("urls",), ("4.2.1",), lambda i: scan_plain_http(i["urls"]), "unencrypted addresses", timed=lambda df, keep: scan_plain_http(df, keep=keep)),
     RuleSpec("pages", ("pages",), ("6.4.3", "11.6.1"), lambda i: scan_pages(i["pages"]), "script integrity"),
     RuleSpec("csp_headers", ("responses",), ("6.4.3",), lambda i: scan_csp_headers(i["responses"]), "content policy"),
     RuleSpec(

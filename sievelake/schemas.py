@@ -107,8 +107,8 @@ def text_list(values) -> Column:
     return F.array(*[F.lit(v) for v in values]).cast("array<string>")
 
 
-def as_findings(df: DataFrame) -> DataFrame:
-    """Project `df` onto the FINDING shape, filling what a rule leaves out."""
+def as_findings(df: DataFrame, keep=()) -> DataFrame:
+    """Project `df` onto the FINDING shape and the columns to `keep`, filling what a rule leaves out."""
     present = dict(df.dtypes)
     defaults = {"related_requirements": "array()", "dev_context": "false"}
     columns = []
@@ -119,7 +119,7 @@ def as_findings(df: DataFrame) -> DataFrame:
         else:
             value = field.name if field.name in present else defaults.get(field.name, "NULL")
             columns.append(f"CAST({value} AS {kind}) AS {field.name}")
-    return df.selectExpr(*columns)
+    return df.selectExpr(*columns, *keep)
 
 
 def finding(

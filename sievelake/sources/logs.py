@@ -9,14 +9,14 @@ from sievelake.schemas import PLACE_COLUMNS
 
 
 def log_fields(
-    logs: DataFrame, fields: str = "fields", values: str | None = None, body_sourced: str = "body_sourced"
+    logs: DataFrame, fields: str = "fields", values: str | None = None, body_sourced: str = "body_sourced", keep=()
 ) -> DataFrame:
     """(place..., body_sourced, field, field_value) rows. Narrow: an explode, no shuffle.
 
     `values` holds the field texts in the same order; without it they are null.
     Records without a body mark count as not taken from a request body.
     """
-    carried = [c for c in PLACE_COLUMNS if c in logs.columns]
+    carried = [c for c in (*PLACE_COLUMNS, *keep) if c in logs.columns]
     body = F.col(body_sourced) if body_sourced in logs.columns else F.lit(False)
     if values is None:
         row = [F.explode(fields).alias("field")]

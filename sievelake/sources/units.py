@@ -105,10 +105,11 @@ def tracked_only(
     return df.join(manifest.select(path).distinct(), path, "left_semi")
 
 
-def to_lines(units: DataFrame) -> DataFrame:
-    """One row per line, numbered from 1. A narrow step: no shuffle."""
+def to_lines(units: DataFrame, keep=()) -> DataFrame:
+    """One row per line, numbered from 1, with the columns to `keep`. A narrow step: no shuffle."""
     return units.select(
         "record_id",
         "path",
         F.posexplode(F.split("text", "\n")).alias("_pos", "line"),
-    ).select("record_id", "path", (F.col("_pos") + 1).alias("line_no"), "line")
+        *keep,
+    ).select("record_id", "path", (F.col("_pos") + 1).alias("line_no"), "line", *keep)

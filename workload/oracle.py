@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from sievelake import fixed_values as fv
 from workload.queries import AS_OF, SCOPE_EXTS
-from workload.views import expand
+from workload.views import STREAM_COLUMNS, expand
 
 ORACLE: dict[str, str] = {}
 
@@ -729,7 +729,7 @@ FROM logged WHERE {sensitive('field')}"""
 add("r04_scan_log_pan", R04, ("logged", LOGGED))
 
 
-def secrets_sql(source: str) -> str:
+def secrets_sql(source: str, first: str = "") -> str:
     p, v = "path", "value"
     live = f"NOT {basic_placeholder(v)} AND NOT {is_sql(v)}"
     late = f"NOT {fragment(v)} AND NOT {pair('key', v)}"
@@ -739,7 +739,7 @@ def secrets_sql(source: str) -> str:
         severity = f"CASE WHEN {fragment(v)} THEN '{base_sev}' ELSE {ctx_severity(p, v, q(base_sev))} END"
         dev_flag = f"(NOT {fragment(v)} AND {ctx_dev(p, v)})"
         columns = found(q(rule), severity, "'8.6.2'", "record_id", p, "line_no", "key", EMPTY, dev_flag, hint)
-        return f"SELECT {columns} FROM {source} WHERE {live} AND {condition}"
+        return f"SELECT {first}{columns} FROM {source} WHERE {live} AND {condition}"
 
     return " UNION ALL ".join(
         [
@@ -1455,12 +1455,38 @@ SELECT f.ord, f.rule_id, {location('f.path')} AS file_location, CASE WHEN f.line
 FROM v_findings_bulk f LEFT JOIN v_lines l ON l.record_id = f.record_id AND l.line_no = f.line_no
 WHERE f.rule_id NOT LIKE '%-OK'""",
 )
-STREAMED = """
-SELECT CAST(event_id AS VARCHAR) AS record_id, value > 20 AS body_sourced,
-       unnest(CASE event_type WHEN 'purchase' THEN ['card_number', 'outcome', 'cvv'] WHEN 'error' THEN ['api_key', 'message', 'span_id']
-              WHEN 'signup' THEN ['password', 'User-Agent'] ELSE ['note', 'path'] END) AS field
-FROM events"""
-add("st01_scan_stream", f"{R04} UNION ALL {R19}", ("logged", STREAMED))
+STREAMED = "SELECT CAST(floor(epoch(time_bucket(INTERVAL '10 minutes', ts))) AS BIGINT) AS slot, " + ", ".join(f"{text} AS {name}" for name, text in STREAM_COLUMNS.items()) + ", 0 AS line_no FROM events"
+SLOTTED = {
+    "text_lines": "SELECT slot, record_id, path, 1 AS line_no, text AS line FROM told",
+    "logged": "SELECT slot, record_id, path, body_sourced, unnest(string_split(fields, ',')) AS field FROM told",
+}
+
+
+PAN_RELATED = f"CASE WHEN {kind('field')} = 'PAN' THEN '3.4.1,10.2.1' ELSE '3.3.1.2' END"
+INPUT_SEVERITY = f"CASE WHEN {field_class('field')} IN ('PAN', 'SECRET') OR body_sourced THEN 'HIGH' ELSE 'MEDIUM' END"
+INPUT_RELATED = f"CASE {field_class('field')} WHEN 'PAN' THEN '3.3.1,3.5.1' WHEN 'SECRET' THEN '8.6.2' ELSE '' END"
+PLAIN_HOST = r"regexp_extract(url, 'http://[^\s" + '"' + r"/?#]+')"
+ST01_RULES = [
+    f"""
+SELECT slot, {found("'PAN-LITERAL'", f"CASE WHEN {BOUND} THEN 'CRITICAL' ELSE 'MEDIUM' END", "'3.4.1'", "record_id", "path", "line_no", f"{brand('t')} || ' *' || right(t, 4)")}
+FROM (SELECT *, unnest(regexp_extract_all(line, '[0-9A-Za-z]+')) AS t FROM text_lines) WHERE {likely_pan('t')}""",
+    f"""
+SELECT slot, {found("'PAN-LOGGER'", "'CRITICAL'", f"CASE WHEN {kind('field')} = 'PAN' THEN '3.5.1' ELSE '3.3.1' END", "record_id", "path", "0", "field", PAN_RELATED)}
+FROM logged WHERE {sensitive('field')}""",
+    f"""
+SELECT slot, {found("'HTTP-INPUT-LOG'", INPUT_SEVERITY, "'10.2.1'", "record_id", "path", "0", "field", INPUT_RELATED)}
+FROM logged WHERE lower(field) NOT IN {inlist(fv.SAFE_LOG_FIELDS)} AND {field_class('field')} <> 'GENERIC_ID'""",
+    f"""
+SELECT slot, {found("'CRYPTO-PLAIN-HTTP'", "'CRITICAL'", "'4.2.1'", "record_id", "path", "0", PLAIN_HOST)}
+FROM told WHERE regexp_matches(url, 'http://[^\\s"]') AND NOT regexp_matches(url, {q(fv.LOCAL_HTTP_PATTERN)})""",
+    secrets_sql("told", "slot, "),
+]
+add(
+    "st01_scan_stream",
+    "SELECT DISTINCT * FROM (" + " UNION ALL ".join(ST01_RULES) + ")",
+    ("told", STREAMED),
+    *SLOTTED.items(),
+)
 add(
     "report_requirement_status",
     PROPAGATED,

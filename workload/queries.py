@@ -36,7 +36,7 @@ from sievelake.session import scratch_path
 from sievelake.sources import columns, keyvalues, packages, sinks, units
 from sievelake.sources import pages as page_sources
 from sievelake.streaming.scan_stream import scan_available
-from workload.views import IGNORE_FILE, table, view
+from workload.views import IGNORE_FILE, STREAM_COLUMNS, table, view
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -1071,23 +1071,20 @@ def _(spark, sf):
 
 @query("st01_scan_stream")
 def _(spark, sf):
-    """Log rules on the event table read as a stream, in micro-batches until it is drained."""
+    """Five rules on the event table read as a stream in which every event is delivered twice, until it is drained."""
 
     def prepare(events: DataFrame) -> dict[str, DataFrame]:
-        fields = (
-            F.when(F.col("event_type") == "purchase", F.lit("card_number,outcome,cvv"))
-            .when(F.col("event_type") == "error", F.lit("api_key,message,span_id"))
-            .when(F.col("event_type") == "signup", F.lit("password,User-Agent"))
-            .otherwise(F.lit("note,path"))
-        )
+        told = events.selectExpr(*[f"{text} AS {name}" for name, text in STREAM_COLUMNS.items()])
+        told = told.unionByName(told).withColumn("event_time", F.col("event_time").cast("timestamp"))
+        place = ["record_id", "path", "event_time"]
         return {
-            "logs": events.select(
-                F.col("event_id").cast("string").alias("record_id"),
-                F.split(fields, ",").alias("fields"),
-                (F.col("value") > 20).alias("body_sourced"),
-            )
+            "units": told.select(*place, "text"),
+            "kv": told.select(*place, F.lit(0).alias("line_no"), "key", "value"),
+            "urls": told.select(*place, F.col("url").alias("value")),
+            "logs": told.select(*place, F.split("fields", ",").alias("fields"), "body_sourced"),
         }
 
+    chosen = tuple(r for r in DEFAULT_RULES if r.name in ("pan_literals", "log_pan", "secrets", "plain_http", "log_fields"))
     # The pattern fits a single file and a folder of part files.
     found = scan_available(
         spark,
@@ -1096,8 +1093,10 @@ def _(spark, sf):
         prepare,
         scratch_path(spark, "findings"),
         scratch_path(spark, "stream"),
+        chosen,
+        event_time="event_time",
     )
-    return flat(found)
+    return flat(found, F.unix_seconds("slot").alias("slot"))
 
 
 @query("report_requirement_status")

@@ -220,6 +220,19 @@ SELECT * FROM (VALUES ('3.3.1','SAD not retained',true,NULL,NULL),('3.4.1','PAN
 AS t(requirement_id, title, covered, covered_by, reason)""",
 }
 
+# Columns of the event stream, in either engine: what twenty agents report, as text, settings, addresses and log fields.
+STREAM_COLUMNS = {
+    "event_time": "ts",
+    "record_id": "'agent' || CAST(user_id % 20 AS STRING)",
+    "path": "'svc/' || event_type",
+    "text": "CASE event_id % 5 WHEN 0 THEN 'card_number = 4111111111111111' WHEN 1 THEN 'ref 5500000000000004 paid' ELSE 'nothing' END",
+    "key": "CASE event_type WHEN 'purchase' THEN 'db.password' WHEN 'error' THEN 'svc.token' ELSE 'svc.note' END",
+    "value": "CASE event_id % 3 WHEN 0 THEN 'changeme' WHEN 1 THEN 'sk_' || 'live_' || substr(md5(event_type), 1, 30) ELSE 'plainvalue' END",
+    "url": "CASE event_id % 4 WHEN 0 THEN 'http://' || event_type || '.example.net/x' WHEN 1 THEN 'http://localhost/x' ELSE 'https://a.example.net' END",
+    "fields": "CASE event_type WHEN 'purchase' THEN 'card_number,outcome,cvv' WHEN 'error' THEN 'api_key,message,span_id' WHEN 'signup' THEN 'password,User-Agent' ELSE 'note,path' END",
+    "body_sourced": "event_id % 3 = 0",
+}
+
 IGNORE_FILE = ["testdata/**", "config/prod/f5.yaml:7", "**/*.html", "exclude-package: internal/card/**", "exclude-package: vendor/**"]
 
 
