@@ -110,7 +110,7 @@ def _tops(level: DataFrame) -> DataFrame:
 def _levels(bottom: DataFrame) -> list[DataFrame]:
     """The stored rows of every tier, from the bottom to the one of single runs."""
     tiers = [_with_runs(bottom)]
-    while tiers[-1].agg(F.max("nodes")).first()[0] > RUN:
+    while (tiers[-1].agg(F.max("nodes")).first()[0] or 0) > RUN:
         tiers.append(_with_runs(_tops(tiers[-1])))
     return tiers
 

@@ -1,6 +1,8 @@
 """Plain versions of the operators, row by row on one machine."""
 
 import hashlib
+import html
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -109,3 +111,65 @@ def check_packing(pieces, texts, tokenizer, window=1024, end_id=0):
         padding += window - at
     assert sorted(sequences) == list(range(len(sequences)))
     return len(sequences), padding
+
+
+def article(page):
+    """The text of a page's one article, for pages whose article holds headings, paragraphs, bold text and breaks only."""
+    inside = re.search("<article>(.*?)</article>", page, re.S)[1]
+    blocks = [" ".join(html.unescape(re.sub("</?(?:b|br)>", " ", x)).split()) for x in re.split("</?(?:p|h1)>", inside)]
+    return "\n".join(x for x in blocks if x)
+
+
+def digest(*parts):
+    return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+
+def leaf(*fields):
+    return digest(*["-" if f is None else f"{len(str(f).encode())}:{f}" for f in fields])
+
+
+def tree(leaves):
+    """All levels of a tree, from the leaves to the root."""
+    levels = [leaves]
+    while len(levels[-1]) > 1:
+        row = levels[-1]
+        levels.append([digest(*row[k : k + 2]) for k in range(0, len(row), 2)])
+    return levels
+
+
+def climb(levels, place, given):
+    """The digest at the top when a leaf is given another digest, and the siblings on the way."""
+    siblings = []
+    for row in levels[:-1]:
+        own = row[place ^ 1] if place ^ 1 < len(row) else None
+        given = digest(given) if own is None else digest(own, given) if place % 2 else digest(given, own)
+        siblings += [own] if own else []
+        place //= 2
+    return given, siblings
+
+
+def best_documents(docs, queries, k):
+    """(item, rank, doc, score) rows for (doc, text) and (item, text) pairs."""
+    terms = lambda t: re.findall("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+    split = [(d, Counter(own)) for d, own in ((d, terms(t)) for d, t in docs) if own]
+    documents, tokens = len(split), sum(c.total() for _, c in split)
+    df = Counter(t for _, c in split for t in c)
+    out = []
+    for item, text in queries:
+        scores = []
+        for d, c in split:
+            m = 25 + 75 * c.total() * documents // tokens
+            score = sum(math.floor(1000 * math.log((2 * documents + 2) / (2 * df[t] + 1))) * (10**9 * c[t] // (1000 * c[t] + 8 * m)) for t in terms(text))
+            scores += [(-score, d is None, d)] if score > 0 else []
+        out += [(item, r, d, -s) for r, (s, _, d) in enumerate(sorted(scores, key=lambda x: (x[0], x[1], x[2] or 0))[:k], 1)]
+    return out
+
+
+def common_length(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+        row = new
+    return row[-1]

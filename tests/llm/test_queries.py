@@ -18,7 +18,7 @@ from sievelake.llm.queries import QUERIES, WORD
 from . import brute
 from .conftest import COLUMNS, edge_rows
 
-TABLES = ("documents", "conversations", "labels")
+TABLES = ("documents", "conversations", "labels", "benchmark", "pages")
 BYTE, WORDS = (Tokenizer.from_file(public_tokenizers.path(n)) for n in ("byte_bpe_50k.json", "word_bpe_49k.json"))
 
 
@@ -37,7 +37,7 @@ def texts(engine):
 
 
 def test_names():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", list(ORACLE))
@@ -110,6 +110,15 @@ def test_op8(spark, sf_dir, texts):
         at += len(ids)
 
 
+def test_op13(spark, sf_dir, engine):
+    rows = {r.page_id: r for r in QUERIES["op13_main_text"](spark, sf_dir).collect()}
+    pages = engine.execute("SELECT page_id, url, html FROM pages").fetchall()
+    assert len(rows) == len(pages)
+    for page_id, url, page in pages:
+        text = brute.article(page)
+        assert (rows[page_id].url, rows[page_id].text, rows[page_id].n_chars) == (url, text, len(text))
+
+
 def test_pipeline(spark, sf_dir, tmp_path):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     kept = {}
