@@ -27,7 +27,7 @@ def dedup_paired(findings: DataFrame, order: str = "ord") -> DataFrame:
     # Numbers first, in a hash aggregate; then the two rows of each place that they name.
     places = findings.groupBy(*place).agg(last("field").alias("_field"), last("tag").alias("_tag"), F.count(F.lit(1)).alias(ROWS))
     ends = places.filter("_field IS NOT NULL AND _tag IS NOT NULL")
-    ends = ends.select(*[F.col(c).alias(f"_{c}") for c in place], ROWS, F.explode(F.array("_field", "_tag")).alias("_end"))
+    ends = ends.select(*[F.col(c).alias(f"_{c}") for c in place], F.explode(F.array("_field", "_tag")).alias("_end"))
     rows = findings.filter(pan).select(*place, F.col(order).alias("_ord"), "kind", normalize_name(F.col("subject")).alias("_name"), severity_rank("severity").alias("_rank"))
     named = (F.col("_ord") == F.col("_end")) & F.col("path").eqNullSafe(F.col("_path")) & F.col("line_no").eqNullSafe(F.col("_line_no"))
     picked = rows.join(ends, named)
@@ -35,11 +35,11 @@ def dedup_paired(findings: DataFrame, order: str = "ord") -> DataFrame:
     def of(kind: str, column: str) -> Column:
         return F.max(F.when(F.col("kind") == kind, F.col(column)))
 
-    pairs = picked.groupBy(*place, ROWS).agg(
+    pairs = picked.groupBy(*place).agg(
         of("field", "_ord").alias("_field_ord"), of("tag", "_ord").alias("_tag_ord"), F.max("_rank").alias("_rank"), of("field", "_name").alias("_field_name"), of("tag", "_name").alias("_tag_name")
     )
-    facts = pairs.filter("_field_name = _tag_name").select(*place, ROWS, "_field_ord", "_tag_ord", "_rank")
-    joined = join_facts(findings, facts, place)
+    facts = pairs.filter("_field_name = _tag_name").select(*place, "_field_ord", "_tag_ord", "_rank")
+    joined = join_facts(findings, facts, place, counts=places)
     kept = joined.filter(F.col("_tag_ord").isNull() | (F.col(order) != F.col("_tag_ord")))
     raised = F.col("_field_ord") == F.col(order)
     return kept.withColumn(

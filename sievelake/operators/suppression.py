@@ -193,7 +193,8 @@ def inline_suppressions(findings: DataFrame, lines: DataFrame) -> DataFrame:
             .withColumn("suppression_source", F.lit(None).cast("string"))
         )
     ext = extension(F.col("path"))
-    chosen = F.coalesce(*[F.when(ext.isin(exts), F.col(r)) for r, (exts, _, _) in zip(reasons, fv.INLINE_MARKERS)])
+    # Few lines have a reason; only their paths are looked at.
+    chosen = F.coalesce(*[F.when(F.col(r).isNotNull() & ext.isin(exts), F.col(r)) for r, (exts, _, _) in zip(reasons, fv.INLINE_MARKERS)])
     joined = join_lookup(findings, marked, ["record_id", "line_no"]).withColumn("_reason", F.when(~F.col("suppressed"), chosen))
     found = F.col("_reason").isNotNull()
     return (

@@ -71,6 +71,32 @@ def test_hot_rows_are_spread(spark):
         spark.conf.unset("spark.sql.adaptive.enabled")
 
 
+@pytest.mark.parametrize("matched", [True, False])
+def test_hot_keys_of_a_lookup_are_spread(spark, matched):
+    """A hot key is dealt to slots whether the lookup has it or not; null is a key, and nothing is broadcast by a hint."""
+    key = F.when(F.col("id") % 3 == 0, F.lit(None).cast("long")).otherwise(F.col("id"))
+    df = spark.range(30_000).select("id", key.alias("k"))
+    lookup = spark.createDataFrame([(None if matched else -1, "hot"), (1, "one")], "k long, v string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        joined = groups.join_lookup(df, lookup, ["k"], hot_rows=1000)
+        assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
+        assert max(r[1] for r in joined.groupBy(F.spark_partition_id()).count().collect()) < 2 * 30_000 / 8
+        assert {(r.v, r["count"]) for r in joined.groupBy("v").count().collect()} == ({("hot", 10_000), ("one", 1), (None, 19_999)} if matched else {("one", 1), (None, 29_999)})
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_hot_keys_are_few_and_real(spark):
+    df = spark.range(200_000).select(F.when(F.col("id") % 2 == 0, F.lit(-1)).when(F.col("id") % 5 == 0, F.lit(-2)).otherwise(F.col("id")).alias("k"))
+    (found,) = spark.range(1).select(groups.hot_keys(df, ["k"], 5_000)).first()
+    want = {r[0] for r in spark.createDataFrame([(-1,), (-2,)], "k long").select(groups._key_hash(["k"])).collect()}
+    assert set(found) == want
+    assert spark.range(1).select(groups.hot_keys(df.limit(0), ["k"], 5_000)).first()[0] == []
+
+
 # ---- suppressions -------------------------------------------------------------
 
 IGNORE = ["# note", "", "testdata/**", "config/a.yaml:7", "docs/*.md:*", "**/*.html", "exclude-package: gen/**", "exclude-package:", "odd:name"]

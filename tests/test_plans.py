@@ -58,3 +58,14 @@ def test_the_large_input_meets_a_hash_aggregate(spark, sf_dir, name):
     plan = plan_of(QUERIES[name](spark, sf_dir))
     lowest = [line for line in plan.split("\n") if "Aggregate(" in line][-1]
     assert " HashAggregate(" in lowest or "- HashAggregate(" in lowest
+
+
+@pytest.mark.parametrize(
+    "name",
+    ["r03_scan_pan_columns", "r15_scan_schema_columns", "r16_scan_retention_groups", "r17_audit_trail_coverage", "r21_payment_tier", "j05_inline_suppressions", "j07_encryption_crossref", "j09_transit_downgrade", "w04_dropped_column_downgrade", "w05_dedup_paired"],
+)
+def test_group_facts_are_joined_without_hints(spark, sf_dir, name):
+    """Spark's own size check decides what is broadcast; no hint does."""
+    plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution()
+    assert "ResolvedHint" not in plan.analyzed().toString()
+    assert "approx_top_k" in plan.analyzed().toString() or "_rows" in plan.analyzed().toString()
