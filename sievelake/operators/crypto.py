@@ -38,7 +38,9 @@ def scan_weak_hash(lines: DataFrame, block: int = 4096) -> DataFrame:
     blocks of a record's lines, so one long record spreads over many tasks.
     """
     code = F.regexp_replace("line", fv.NOT_CODE, " ")
-    marked = lines.select(
+    # Cutting only takes words away, so lines without any of them need none of it.
+    named = name_has(F.col("line"), ["md5", "sha1", "des", "sha256", *fv.HASH_CONTEXT_WORDS, *fv.SHA256_CONTEXT_WORDS])
+    marked = lines.filter(named).select(
         "record_id",
         *[c for c in ("path",) if c in lines.columns],
         "line_no",

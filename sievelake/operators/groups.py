@@ -25,7 +25,7 @@ def _same(keys: list[str], prefix: str) -> Column:
     return reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(prefix + k)) for k in keys])
 
 
-def _key_hash(names: list[str]) -> Column:
+def key_hash(names: list[str]) -> Column:
     return F.xxhash64(F.lit("key"), *[F.col(n) for n in names])
 
 
@@ -41,7 +41,7 @@ def hot_keys(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> Column
     A frequent-items sketch reads the key columns only; sketches of tasks merge, so nothing is shuffled but
     them. Its counts are estimates, which decide where rows go and never what comes out.
     """
-    hashed = df.select(_key_hash(keys).alias("_hash"))
+    hashed = df.select(key_hash(keys).alias("_hash"))
     sketch = hashed.agg(F.expr(f"approx_top_k(_hash, {HOT_KEYS}, {TRACKED_KEYS})").alias("_top"))
     large = F.filter("_top", lambda t: t["count"] > hot_rows)
     return F.coalesce(sketch.select(F.transform(large, lambda t: t["item"])).scalar(), F.array().cast("array<bigint>"))
@@ -49,7 +49,7 @@ def hot_keys(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> Column
 
 def counted_hot_keys(counts: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> Column:
     """The same from a table that has every key with its number of rows."""
-    largest = counts.filter(F.col(ROWS) > hot_rows).select(_key_hash(keys).alias("_hash"), ROWS).orderBy(F.desc(ROWS)).limit(HOT_KEYS)
+    largest = counts.filter(F.col(ROWS) > hot_rows).select(key_hash(keys).alias("_hash"), ROWS).orderBy(F.desc(ROWS)).limit(HOT_KEYS)
     return F.coalesce(largest.agg(F.collect_list("_hash")).scalar(), F.array().cast("array<bigint>"))
 
 
@@ -60,7 +60,7 @@ def salted_join(df: DataFrame, lookup: DataFrame, keys: list[str], hot: Column)
     others meet in slot 0. The copies are at most HOT_KEYS * SLOTS short rows. Which side is sent where is left to Spark.
     """
     names = [c for c in lookup.columns if c not in (*keys, ROWS)]
-    is_hot = F.array_contains(hot, _key_hash(keys))
+    is_hot = F.array_contains(hot, key_hash(keys))
     marked = df.withColumn("_slot", F.when(is_hot, _row_slot(df)).otherwise(F.lit(0)))
     slots = F.when(is_hot, F.sequence(F.lit(0), F.lit(SLOTS - 1))).otherwise(F.array(F.lit(0)))
     offered = lookup.select(

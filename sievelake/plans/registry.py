@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Callable, Mapping
-from dataclasses import dataclass
-from functools import reduce
+from dataclasses import dataclass, field
+from functools import cached_property, reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 
 from sievelake.operators.audit import audit_trail_coverage, log_field_rule, scan_audit_fields
@@ -41,6 +42,8 @@ class RuleSpec:
     row: Callable[[], RowRule] | None = None
     prepare: Callable[..., DataFrame] | None = None
     row_local: bool = True  # also runs unchanged on a stream
+    #: Columns that each input must have, for a rule whose making runs jobs; it is then made when the findings are asked for.
+    staged: Mapping[str, tuple[str, ...]] = field(default_factory=dict)
     timed: Callable[[DataFrame, tuple[str, ...]], DataFrame] | None = None  # a row-local `build` that carries further columns
 
 
@@ -110,6 +113,7 @@ DEFAULT_RULES = (
         lambda i: scan_dependencies(i["deps"], i["advisories"]),
         "dependencies with known vulnerabilities",
         row_local=False,
+        staged={"deps": ("module", "version", "ord", "indirect"), "advisories": ("adv_id", "package", "aliases", "db_severity", "cvss", "ranges")},
     ),
     RuleSpec(
         "audit_trail",
@@ -125,14 +129,21 @@ DEFAULT_RULES = (
 
 @dataclass(frozen=True)
 class ScanRun:
-    """What a scan found, and which rules it stands on."""
+    """What a scan finds, and which rules it stands on.
 
-    findings: DataFrame
+    Nothing has run until `findings` is read; then rules that work in rounds run theirs, once, and the union is a plan.
+    """
+
+    parts: tuple[Callable[[], DataFrame], ...]
     ran: tuple[str, ...]
     failed: tuple[str, ...]  # could not be built on their inputs
     without_input: tuple[str, ...]
     covered: frozenset[str]  # requirements of the rules that ran
 
+    @cached_property
+    def findings(self) -> DataFrame:
+        return reduce(DataFrame.unionByName, [part() for part in self.parts])
+
 
 def covered_requirements(rules=DEFAULT_RULES) -> set[str]:
     return {requirement for rule in rules for requirement in rule.requirements}
@@ -141,11 +152,22 @@ def covered_requirements(rules=DEFAULT_RULES) -> set[str]:
 def _attempt(names: str, build: Callable[[], DataFrame]) -> DataFrame | None:
     try:
         return as_findings(build())
-    except Exception as error:  # a broken rule must not stop the others
+    except AnalysisException as error:  # a rule that doesn't fit its inputs must not stop the others
         log.error("left out %s: %s", names, error)
         return None
 
 
+def _fits(rule: RuleSpec, inputs: Inputs) -> bool:
+    """Whether the inputs of a staged rule have its columns."""
+    try:
+        for name, columns in rule.staged.items():
+            inputs[name].select(*columns)
+    except AnalysisException as error:
+        log.error("left out %s: %s", rule.name, error)
+        return False
+    return True
+
+
 def _row_scan(table: DataFrame, specs: list[RuleSpec]) -> tuple[list[DataFrame], list[str]]:
     """All row rules of one input in one scan, one by one when they do not build together; and the names of those built."""
     together = None
@@ -168,27 +190,31 @@ def scan(inputs: Inputs, rules=DEFAULT_RULES) -> ScanRun:
 
     Row rules over one input share its scan. A rule that cannot be built on its
     inputs, say for a missing column, is logged, named in `failed` and left out; the others
-    still run. Only what the rules that ran cover counts as checked. Findings are
-    lazy, but for the matches of the dependency rule, which are written once.
+    still run. Any other error, such as a lost file, ends the scan. Only what the rules that ran cover counts as checked. No
+    job runs here: rules that work in rounds are checked for their columns and made when the findings are read.
     """
     ready = [rule for rule in rules if set(rule.needs) <= set(inputs)]
-    built: list[DataFrame] = []
+    built: list[Callable[[], DataFrame]] = []
     ran: list[str] = []
     for name, prepare in dict.fromkeys((rule.needs[0], rule.prepare) for rule in ready if rule.row):
         rows = prepare(inputs[name]) if prepare else inputs[name]
         made, names = _row_scan(rows, [r for r in ready if r.row and (r.needs[0], r.prepare) == (name, prepare)])
-        built += made
+        built += [lambda df=df: df for df in made]
         ran += names
     for rule in ready:
-        if rule.build:
+        if rule.staged:
+            if _fits(rule, inputs):
+                built.append(lambda r=rule: as_findings(r.build(inputs)))
+                ran.append(rule.name)
+        elif rule.build:
             made = _attempt(rule.name, lambda r=rule: r.build(inputs))
             if made is not None:
-                built.append(made)
+                built.append(lambda df=made: df)
                 ran.append(rule.name)
     if not built:
         raise ValueError("no rule could be built from the given inputs")
     return ScanRun(
-        reduce(DataFrame.unionByName, built),
+        tuple(built),
         tuple(ran),
         tuple(r.name for r in ready if r.name not in ran),
         tuple(r.name for r in rules if r not in ready),

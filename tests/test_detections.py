@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sievelake.operators import audit, cards, crypto, licences, pages, payment, retention, schema, secrets, transport
-from sievelake.plans.registry import DEFAULT_RULES, RuleSpec, covered_requirements, run_scans
+from sievelake.plans.registry import DEFAULT_RULES, RuleSpec, covered_requirements, run_scans, scan
 from sievelake.schemas import FINDING, as_findings
 
 KV = "record_id string, path string, line_no int, key string, value string"
@@ -356,8 +356,8 @@ def test_licences(spark):
 def test_registry(spark):
     inputs = {"kv": kv(spark, ("a", "db.password", "hunter22")), "units": units(spark, "4111111111111111")}
 
-    def broken(_):
-        raise KeyError("missing")
+    def broken(given):
+        return given["kv"].select("no_such_column")
 
     extra = (RuleSpec("broken", ("kv",), ("1.1",), broken), *DEFAULT_RULES)
     found = run_scans(inputs, extra)
@@ -369,6 +369,42 @@ def test_registry(spark):
         run_scans({}, DEFAULT_RULES)
 
 
+def test_only_unfit_rules_are_left_out(spark):
+    """A rule that doesn't fit its inputs is named; any other error ends the scan instead of making the rule vanish."""
+
+    def lost(_):
+        raise OSError("executor lost")
+
+    data = {"kv": kv(spark, ("a", "db.password", "hunter22"))}
+    with pytest.raises(OSError):
+        scan(data, (RuleSpec("lost", ("kv",), ("1.1",), lost),))
+    run = scan(data | {"deps": data["kv"], "advisories": data["kv"]})
+    assert run.failed == ("dependencies",) and "retention" in run.ran and "6.3.3" not in run.covered
+
+
+def test_a_scan_starts_no_job(spark):
+    """Building a scan of every rule runs nothing, whatever the rules need; asking for the findings does."""
+    advisory = "adv_id string, package string, aliases array<string>, db_severity string, cvss string, ranges array<struct<type:string,events:array<struct<introduced:string,fixed:string>>>>"
+    given = {
+        "kv": kv(spark, ("a", "db.password", "hunter22")),
+        "units": units(spark, "4111111111111111"),
+        "columns": spark.createDataFrame([("t", "pan", "text", 1)], "table_name string, column_name string, sql_type string, ordinal int"),
+        "lines": spark.createDataFrame([("r", 1, "h = md5(x)"), ("r", 2, "password = 1")], "record_id string, line_no int, line string"),
+        "deps": spark.createDataFrame([("m", "v1.0.0", 1, False)], "module string, version string, ord int, indirect boolean"),
+        "advisories": spark.createDataFrame([("GO-1", "m", ["CVE-1"], "HIGH", None, [("SEMVER", [("0", None)])]), ("GO-2", "m", ["CVE-1"], None, None, [("SEMVER", [("0", None)])])], advisory),
+        "operations": spark.createDataFrame([("o", "k", "chargeCard")], "record_id string, key string, name string"),
+        "operation_logs": spark.createDataFrame([("k", True)], "key string, structured boolean"),
+    }
+    jobs = lambda: spark.sparkContext._jsc.sc().statusStore().jobsList(None).size()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    before = jobs()
+    run = scan(given)
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    assert jobs() == before and not run.failed
+    assert {"DEP-VULN", "PAN-KEYWORD", "CRYPTO-WEAK-HASH", "AUDIT-LOG-OK"} <= {r.rule_id for r in run.findings.collect()}
+    assert run.findings is run.findings and run.findings.filter("rule_id = 'DEP-VULN'").count() == 1
+
+
 def test_clean_inputs_give_nothing(spark):
     clean = kv(spark, ("svc/app.yaml", "server.port", "8080"), ("svc/app.yaml", "log.level", "info"), ("svc/app.yaml", "feature.path", "/etc/app/x.conf"))
     text = units(spark, "order 1234567890123 shipped", "call 555-0100")

@@ -92,7 +92,7 @@ def test_hot_keys_of_a_lookup_are_spread(spark, matched):
 def test_hot_keys_are_few_and_real(spark):
     df = spark.range(200_000).select(F.when(F.col("id") % 2 == 0, F.lit(-1)).when(F.col("id") % 5 == 0, F.lit(-2)).otherwise(F.col("id")).alias("k"))
     (found,) = spark.range(1).select(groups.hot_keys(df, ["k"], 5_000)).first()
-    want = {r[0] for r in spark.createDataFrame([(-1,), (-2,)], "k long").select(groups._key_hash(["k"])).collect()}
+    want = {r[0] for r in spark.createDataFrame([(-1,), (-2,)], "k long").select(groups.key_hash(["k"])).collect()}
     assert set(found) == want
     assert spark.range(1).select(groups.hot_keys(df.limit(0), ["k"], 5_000)).first()[0] == []
 
