@@ -13,8 +13,8 @@ from sievelake.functions.text import extension, strip
 from sievelake.operators.groups import join_lookup
 from sievelake.schemas import text_list
 
-# Copies of a rule that meets every place.
-SLOTS = 64
+# Listed rules up to this number are cheaper to try on every row than to join.
+FEW_RULES = 16
 EXCLUDE_PREFIX = "exclude-package:"
 IGNORE_SOURCE = "ignore-file:"
 
@@ -76,43 +76,99 @@ def rules_table(spark: SparkSession, rules) -> DataFrame:
     return spark.createDataFrame(rows, "source_line int, pattern string, line_no int")
 
 
-def _keyed(rules: DataFrame) -> DataFrame:
-    """Rules with their regex, the folder that they can be found under, and a slot.
+def _longest(candidates: Column) -> Column:
+    """The candidate with the longest literal text."""
+    return F.array_max(F.transform(candidates, lambda c: F.struct(F.length(c["text"]).alias("n"), c.alias("anchor"))))["anchor"]
 
-    Rules without a literal folder meet every place, so they are copied to SLOTS slots that the
-    places are dealt to.
+
+def _anchor(position, kind: str, text: Column, depth=0) -> Column:
+    """What a path must have for a rule to match: a text that its part at `position` is (E), begins (H) or ends (T) with.
+
+    Position 0 is the whole path, -1 its last segment, others count segments of paths with `depth` segments.
+    """
+    number = lambda v: (v if isinstance(v, Column) else F.lit(v)).cast("int")
+    return F.struct(number(depth).alias("depth"), number(position).alias("position"), F.lit(kind).alias("kind"), F.coalesce(text, F.lit("")).alias("text"))
+
+
+def _index_rules(rules: DataFrame) -> DataFrame:
+    """Rules with their regex and the anchor under which paths find them.
+
+    A glob is cut into segments; the segment with the longest literal beginning or end is the anchor, or the whole path of a
+    glob without wildcards. A rule with ** is found by its literal beginning or by the literal part of its file glob. Classes
+    and escapes may reach over a slash, so globs with any are found by what stands before the first of them.
     """
     pattern = F.col("pattern")
     starred = pattern.contains("**")
     head = F.substring_index(pattern, "**", 1)
-    whole_tree = starred & F.substr(pattern, F.length(head) + 3).isin("", "/")
-    folder = F.regexp_extract(pattern, r"^([^*?\[\\]*)/", 1)
-    slots = F.when(folder == "", F.sequence(F.lit(0), F.lit(SLOTS - 1))).otherwise(F.array(F.lit(0)))
+    rest = F.substr(pattern, F.length(head) + 3)
+    whole_tree = starred & rest.isin("", "/")
+    odd = lambda g: g.rlike(r"[\[\\]")
+    before = lambda g: F.regexp_extract(g, r"^[^*?\[\\]*", 0)
+    after = lambda g: F.regexp_extract(g, r"[^*?]*$", 0)
+    plain = lambda g: ~g.rlike(r"[*?\[\\]")
+
+    parts = F.split(pattern, "/")
+    depth = F.size(parts)
+    segments = F.flatten(
+        F.transform(
+            parts,
+            lambda g, i: F.when(plain(g), F.array(_anchor(i + 1, "E", g, depth))).otherwise(F.array(_anchor(i + 1, "H", before(g), depth), _anchor(i + 1, "T", after(g), depth))),
+        )
+    )
+    glob = F.substr(rest, F.lit(2))
+    aligned = (head == "") | head.endswith("/")
+    last = (
+        F.when(glob.contains("/") | odd(glob), F.array(_anchor(0, "H", head)))
+        .when(~aligned, F.array(_anchor(0, "H", head), _anchor(-1, "T", after(glob))))
+        .when(plain(glob), F.array(_anchor(0, "H", head), _anchor(-1, "E", glob)))
+        .otherwise(F.array(_anchor(0, "H", head), _anchor(-1, "H", before(glob)), _anchor(-1, "T", after(glob))))
+    )
+    anchor = (
+        F.when(whole_tree, _anchor(0, "H", head))
+        .when(starred, _longest(last))
+        .when(plain(pattern), _anchor(0, "E", pattern))
+        .when(odd(pattern), _anchor(0, "H", before(pattern)))
+        .otherwise(_longest(segments))
+    )
     return rules.select(
         "source_line",
         "pattern",
         F.col("line_no").alias("_rule_line"),
         rule_regex_of(pattern).alias("_regex"),
-        folder.alias("_folder"),
         F.when(starred & ~whole_tree, F.length(head) + 1).otherwise(F.lit(0)).alias("_min_length"),
-        F.explode(slots).alias("_slot"),
+        anchor.alias("_anchor"),
     )
 
 
 def match_rule_table(findings: DataFrame, rules: DataFrame) -> DataFrame:
     """First matching rule per (path, line_no) for rule tables of any size.
 
-    Distinct locations are expanded by their ancestor folders and joined by
-    equality with each rule's literal folder; only those pairs meet the regex.
-    Only rules that start with a wildcard meet every location, in slots.
+    The rules' anchors have few shapes: where in the path, which end, and how long a text. They are read first, as a
+    path gives one text for each shape, and meets the rules that have this text by equality; only these pairs meet the
+    regex. So a hundred thousand rules cost a path as many texts as there are shapes. Texts that very many paths share are
+    left to Spark, which broadcasts rules when they are small and else splits such partitions. Rules that name no
+    literal text, such as `*`, meet every path that has their number of segments.
     """
+    indexed = _index_rules(rules)
+    size = F.when(F.col("_anchor.kind") == "E", F.lit(0)).otherwise(F.length("_anchor.text"))
+    shapes = indexed.select("_anchor.depth", "_anchor.position", "_anchor.kind", size.alias("size")).distinct().collect()
     parts = F.split("path", "/")
-    ancestors = F.transform(
-        F.sequence(F.lit(0), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/")
-    )
-    places = findings.select("path", "line_no").distinct().withColumn("_folder", F.explode(ancestors))
-    slot = F.when(F.col("_folder") == "", F.pmod(F.hash("path", "line_no"), F.lit(SLOTS))).otherwise(F.lit(0))
-    pairs = places.withColumn("_slot", slot).join(_keyed(rules), ["_folder", "_slot"]).filter(
+
+    def text_of(depth: int, position: int, kind: str, size: int) -> Column:
+        part = F.col("path") if position == 0 else F.element_at(parts, -1) if position < 0 else F.get(parts, F.lit(position - 1))
+        text = part if kind == "E" else F.when(F.length(part) >= size, F.left(part, F.lit(size)) if kind == "H" else F.right(part, F.lit(size)))
+        fits = text.isNotNull() & (F.lit(True) if depth == 0 else F.size(parts) == depth)
+        own = [F.lit(depth).alias("depth"), F.lit(position).alias("position"), F.lit(kind).alias("kind"), text.alias("text")]
+        return F.when(fits, F.struct(*own))
+
+    if not shapes:
+        none = F.lit(None).cast("struct<source_line:int,pattern:string>")
+        return findings.select("path", "line_no", none.alias("_rule")).limit(0)
+    texts = F.array(*[text_of(*s) for s in sorted(shapes)])
+    places = findings.select("path", "line_no").distinct().select("path", "line_no", F.explode(texts).alias("_anchor")).filter("_anchor IS NOT NULL")
+    places = places.select("path", "line_no", "_anchor.*")
+    offered = indexed.select("*", "_anchor.*").drop("_anchor")
+    pairs = places.join(offered, ["depth", "position", "kind", "text"]).filter(
         F.expr("path rlike _regex")
         & (F.length("path") >= F.col("_min_length"))
         & ((F.col("_rule_line") == 0) | (F.col("_rule_line") == F.col("line_no")))
@@ -121,7 +177,7 @@ def match_rule_table(findings: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def _first_rule(rules, path: Column, line_no: Column | None) -> Column:
-    """Struct of the first matching rule in source order, or null."""
+    """Struct of the first matching rule of a short list in source order, or null."""
     result = None
     for rule in sorted(rules, key=lambda r: r.source_line):
         hit = path.rlike(rule_regex(rule.pattern))
@@ -136,14 +192,15 @@ def _first_rule(rules, path: Column, line_no: Column | None) -> Column:
 
 
 def _marked(findings: DataFrame, rules, by_line: bool) -> DataFrame:
-    """Findings with the first matching rule in `_rule`.
+    """Findings with the first matching rule, of a list or a table, in `_rule`.
 
-    A list, of whatever length, becomes one ordered CASE in the scan; a table is joined by folder.
+    A handful of listed rules is tried in the scan, without a shuffle; longer lists are tables, found by their texts.
     """
-    if isinstance(rules, DataFrame):
-        table = rules if by_line else rules.withColumn("line_no", F.lit(0))
-        return join_lookup(findings, match_rule_table(findings, table), ["path", "line_no"])
-    return findings.withColumn("_rule", _first_rule(rules, F.col("path"), F.col("line_no") if by_line else None))
+    if not isinstance(rules, DataFrame) and len(rules) <= FEW_RULES:
+        return findings.withColumn("_rule", _first_rule(rules, F.col("path"), F.col("line_no") if by_line else None))
+    table = rules if isinstance(rules, DataFrame) else rules_table(findings.sparkSession, rules)
+    table = table if by_line else table.withColumn("line_no", F.lit(0))
+    return join_lookup(findings, match_rule_table(findings, table), ["path", "line_no"])
 
 
 def apply_suppressions(findings: DataFrame, rules) -> DataFrame:

@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -154,6 +155,55 @@ def test_answers_do_not_depend_on_the_number_of_rules(spark, extra):
     assert got["a*b"] == "ignore-file:1" and got["d[1"] == "ignore-file:5" and got["]y"] == "ignore-file:6" and got["azb"] == "ignore-file:2"
 
 
+def random_globs(rng, n):
+    """Globs of every form over a small alphabet, so that many match."""
+    words = ["a", "b", "ab", "gen", "x_test", "mod1", "mod12", "c.go", "d.go", "e.yaml", "z"]
+    piece = lambda: rng.choice([*words, "*", "?", "*.go", "mod*", "*_test", "a*b", "*o*", "[ab]", "[^a]*", r"a\\*", "m?d1*"])
+    out = []
+    for _ in range(n):
+        body = "/".join(piece() for _ in range(rng.randint(1, 4)))
+        out.append(rng.choice([body, body, f"{rng.choice(words)}/**", f"{rng.choice(words)}**", f"**/{piece()}", f"{rng.choice(words)}/**/{piece()}", f"a**/{piece()}", "**", f"{body}**/"]))
+    return out
+
+
+def test_indexed_rules_against_every_pair(spark):
+    """Rules found by their texts are those that match when each rule meets each path."""
+    rng = random.Random(11)
+    rules = [suppression.IgnoreRule(i + 1, g, rng.choice([0, 0, 0, 7])) for i, g in enumerate(random_globs(rng, 400))]
+    names = ["a", "b", "ab", "gen", "x_test", "mod1", "mod12", "mod123", "c.go", "d.go", "e.yaml", "z", "axb", "a*", ""]
+    places = sorted({("/".join(rng.choice(names) for _ in range(rng.randint(1, 4))), rng.choice([7, 8])) for _ in range(400)})
+    want = {}
+    for path, line in places:
+        for rule in rules:
+            head, stars, tail = rule.pattern.partition("**")
+            long_enough = not stars or tail in ("", "/") or len(path) > len(head)
+            if re.search(paths.rule_regex(rule.pattern), path) and long_enough and rule.line_no in (0, line):
+                want[path, line] = rule.source_line
+                break
+    for chosen in (rules, [r for r in rules if "*" not in r.pattern or r.source_line % 7 == 0]):
+        numbers = {r.source_line for r in chosen}
+        df = spark.createDataFrame(places, "path string, line_no int")
+        got = {(r.path, r.line_no): r._rule.source_line for r in suppression.match_rule_table(df, suppression.rules_table(spark, chosen)).collect()}
+        if chosen is rules:
+            assert got == want
+        else:
+            assert set(got.values()) <= numbers and len(got) > 20
+
+
+def test_many_rules_meet_few_paths(spark):
+    """Fifty thousand rules that begin with a wildcard: a path meets those with its own texts only."""
+    n = 50_000
+    rules = spark.range(1, n + 1).select(
+        F.col("id").cast("int").alias("source_line"),
+        F.when(F.col("id") % 2 == 0, F.concat(F.lit("**/*_test"), "id", F.lit(".go"))).otherwise(F.concat(F.lit("*/mod"), "id", F.lit("/*.go"))).alias("pattern"),
+        F.lit(0).alias("line_no"),
+    )
+    places = spark.range(1, n + 1).select(F.when(F.col("id") % 2 == 0, F.concat(F.lit("a/b/c_test"), "id", F.lit(".go"))).otherwise(F.concat(F.lit("x/mod"), "id", F.lit("/y.go"))).alias("path"), F.lit(1).alias("line_no"), "id")
+    matched = suppression.match_rule_table(places, rules)
+    assert matched.count() == n
+    assert matched.join(places, ["path", "line_no"]).filter("_rule.source_line != id").isEmpty()
+
+
 def test_repeated_lines_do_not_repeat_findings(spark):
     lines = spark.createDataFrame([("a.go", 1, "x() // pci-ignore: ok")] * 3, "record_id string, line_no int, line string")
     got = suppression.inline_suppressions(findings(spark, ("R", "HIGH", "1", "a.go", 1, [])), lines).collect()
