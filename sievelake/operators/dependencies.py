@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievelake import fixed_values as fv
@@ -17,42 +17,67 @@ from sievelake.operators.groups import join_lookup
 from sievelake.session import cut_lineage
 
 RANGE_TYPES = ["SEMVER", "ECOSYSTEM"]
-VERSION_SLOTS = 16
+# Version numbers of a module that meet the intervals of its advisories in one place.
+BIN = 256
 
 
 def _filled(value: Column) -> Column:
     return F.nullif(value, F.lit(""))
 
 
-def _ordered_events(ranges: Column) -> Column:
-    """Ranges that can be compared, with version keys worked out once per advisory."""
-    usable = F.filter(ranges, lambda r: r["type"].isin(RANGE_TYPES))
-    return F.transform(
-        usable,
-        lambda r: F.transform(
-            r["events"],
-            lambda e: F.named_struct(
-                F.lit("from_start"),
-                e["introduced"] == "0",
-                F.lit("introduced"),
-                F.when(_filled(e["introduced"]).isNotNull(), semver_key(e["introduced"])),
-                F.lit("fixed"),
-                F.when(_filled(e["fixed"]).isNotNull(), semver_key(e["fixed"])),
+KEY_TYPE = "struct<is_valid:int,major:decimal(38,0),minor:decimal(38,0),patch:decimal(38,0),is_release:int,pre:array<struct<is_word:int,size:int,text:string>>>"
+SPAN_TYPE = f"struct<lo:{KEY_TYPE},hi:{KEY_TYPE}>"
+
+
+def _bound(rank: int) -> Column:
+    """A key before (-1) or after (2) every version's."""
+    zero = F.lit(0).cast("decimal(38,0)")
+    fields = {"is_valid": F.lit(rank), "major": zero, "minor": zero, "patch": zero, "is_release": F.lit(0), "pre": F.array()}
+    return F.struct(*[v.alias(k) for k, v in fields.items()]).cast(KEY_TYPE)
+
+
+def _spans_of_range(events: Column) -> Column:
+    """The half-open version intervals in which a range is open.
+
+    Events take effect in their listed order from their version on, so at a version the last listed one among those at or
+    below it decides. In order of versions that is a running maximum of the places in the list.
+    """
+    points = F.flatten(
+        F.transform(
+            events,
+            lambda e, i: F.array(
+                F.when(_filled(e["introduced"]).isNotNull(), F.struct(F.when(e["introduced"] == "0", _bound(-1)).otherwise(semver_key(e["introduced"]).cast(KEY_TYPE)).alias("key"), (i * 2).alias("no"), F.lit(True).alias("opens"))),
+                F.when(_filled(e["fixed"]).isNotNull(), F.struct(semver_key(e["fixed"]).cast(KEY_TYPE).alias("key"), (i * 2 + 1).alias("no"), F.lit(False).alias("opens"))),
             ),
-        ),
+        )
     )
+    ordered = F.array_sort(F.filter(points, lambda p: p.isNotNull()))
+    state = F.struct(F.lit(-1).alias("no"), F.lit(False).alias("open"), F.array().cast(f"array<struct<key:{KEY_TYPE},open:boolean>>").alias("steps"))
+
+    def step(acc: Column, p: Column) -> Column:
+        later = p["no"] > acc["no"]
+        is_open = F.when(later, p["opens"]).otherwise(acc["open"])
+        return F.struct(F.greatest(acc["no"], p["no"]).alias("no"), is_open.alias("open"), F.concat(acc["steps"], F.array(F.struct(p["key"].alias("key"), is_open.alias("open")))).alias("steps"))
+
+    def spans(steps: Column) -> Column:
+        each = F.transform(steps, lambda t, i: F.struct(t["key"].alias("lo"), F.coalesce(F.get(steps, i + 1)["key"], _bound(2)).alias("hi"), t["open"].alias("open")))
+        return F.transform(F.filter(each, lambda x: x["open"] & (x["lo"] < x["hi"])), lambda x: F.struct(x["lo"].alias("lo"), x["hi"].alias("hi")).cast(SPAN_TYPE))
+
+    return F.aggregate(ordered, state, step, lambda acc: spans(acc["steps"]))
 
 
-def _is_affected(version: Column, ranges: Column) -> Column:
-    """Fold the events of each range in their listed order; any open range counts."""
+def affected_spans(ranges: Column) -> Column:
+    """Disjoint half-open intervals of version keys that any range of a comparable type leaves open."""
+    usable = F.filter(ranges, lambda r: r["type"].isin(RANGE_TYPES))
+    every = F.array_sort(F.flatten(F.transform(usable, lambda r: _spans_of_range(r["events"]))))
 
-    def step(state: Column, event: Column) -> Column:
-        opened = F.when(
-            event["introduced"].isNotNull() & (event["from_start"] | (version >= event["introduced"])), F.lit(True)
-        ).otherwise(state)
-        return F.when(event["fixed"].isNotNull() & (version >= event["fixed"]), F.lit(False)).otherwise(opened)
+    def merge(acc: Column, x: Column) -> Column:
+        last = F.element_at(acc, -1)
+        apart = (F.size(acc) == 0) | (x["lo"] > last["hi"])
+        wider = F.struct(last["lo"].alias("lo"), F.greatest(last["hi"], x["hi"]).alias("hi")).cast(SPAN_TYPE)
+        return F.when(apart, F.concat(acc, F.array(x))).otherwise(F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(wider)))
 
-    return F.exists(ranges, lambda events: F.aggregate(events, F.lit(False), step))
+    return F.aggregate(every, F.array().cast(f"array<{SPAN_TYPE}>"), merge)
 
 
 def match_advisories(deps: DataFrame, advisories: DataFrame, order: str = "ord") -> DataFrame:
@@ -63,12 +88,12 @@ def match_advisories(deps: DataFrame, advisories: DataFrame, order: str = "ord")
     into its leading paths and joined by equality. Dependencies are first
     reduced to distinct (module, version), which many projects share, and packages to the
     leading paths that are modules of some dependency: a host name alone never is.
+
+    Each advisory's events become intervals once. Versions and the ends of intervals are numbered together within their
+    module, so that an interval is a run of version numbers; runs and versions meet in bins of BIN numbers, and a
+    module with very many versions or advisories is many bins.
     """
-    distinct = (
-        deps.groupBy("module", "version")
-        .agg(F.count(F.lit(1)).alias("n_deps"), F.min(order).alias("first_ord"))
-        .withColumn("_key", semver_key("version"))
-    )
+    distinct = deps.groupBy("module", "version").agg(F.count(F.lit(1)).alias("n_deps"), F.min(order).alias("first_ord"))
     parts = F.split("package", "/")
     leading = F.transform(
         F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/")
@@ -80,13 +105,26 @@ def match_advisories(deps: DataFrame, advisories: DataFrame, order: str = "ord")
         .join(deps.select("module").distinct(), "module", "left_semi")
         .groupBy("adv_id", "module")
         .agg(F.min("package").alias("package"), F.flatten(F.sort_array(F.collect_list("ranges"))).alias("_ranges"))
-        .withColumn("_ranges", _ordered_events(F.col("_ranges")))
+        .select("adv_id", "module", "package", F.posexplode(affected_spans(F.col("_ranges"))).alias("_no", "_span"))
+    )
+    none = F.lit(None)
+    versions = distinct.select("module", semver_key("version").cast(KEY_TYPE).alias("_key"), F.lit(1).alias("_is_version"), "version", "n_deps", "first_ord", none.cast("string").alias("adv_id"), none.cast("string").alias("package"), none.cast("int").alias("_no"), none.cast("int").alias("_end"))
+    ends = offered.select("module", "adv_id", "package", "_no", F.inline(F.array(F.struct(F.lit(0).alias("_end"), F.col("_span.lo").alias("_key")), F.struct(F.lit(1).alias("_end"), F.col("_span.hi").alias("_key")))))
+    points = versions.unionByName(ends.withColumn("_is_version", F.lit(0)), allowMissingColumns=True)
+    # An end stands before the versions that equal it; its number is that of the first version behind it.
+    before = Window.partitionBy("module").orderBy("_key", "_is_version").rowsBetween(Window.unboundedPreceding, -1)
+    numbered = points.withColumn("_rank", F.coalesce(F.sum("_is_version").over(before), F.lit(0)))
+    bin_of = lambda rank: F.floor(rank / BIN)
+    placed = numbered.filter("_is_version = 1").select("module", "version", "n_deps", "first_ord", "_rank", bin_of(F.col("_rank")).alias("_bin"))
+    runs = (
+        numbered.filter("_is_version = 0")
+        .groupBy("module", "adv_id", "_no")
+        .agg(F.min("package").alias("package"), F.min(F.when(F.col("_end") == 0, F.col("_rank"))).alias("_from"), F.max(F.when(F.col("_end") == 1, F.col("_rank"))).alias("_to"))
+        .filter("_from < _to")
+        .withColumn("_bin", F.explode(F.sequence(bin_of(F.col("_from")), bin_of(F.col("_to") - 1))))
+        .select("module", "adv_id", "package", "_from", "_to", "_bin")
     )
-    # Versions of one popular module are dealt out over several slots.
-    slots = F.sequence(F.lit(0), F.lit(VERSION_SLOTS - 1))
-    distinct = distinct.withColumn("_slot", F.pmod(F.hash("version"), F.lit(VERSION_SLOTS)))
-    offered = offered.withColumn("_slot", F.explode(slots))
-    pairs = distinct.join(offered, ["module", "_slot"]).filter(_is_affected(F.col("_key"), F.col("_ranges")))
+    pairs = placed.join(runs, ["module", "_bin"]).filter((F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to")))
     return pairs.select("module", "version", "adv_id", "package", "n_deps", "first_ord")
 
 

@@ -447,6 +447,43 @@ def test_events_fold_in_listed_order_over_any_range(spark):
     }
 
 
+def test_intervals_against_folding_every_pair(spark):
+    """Random events in random order, several ranges, open ends, repeated and odd versions; many versions of one module."""
+    rng = random.Random(4)
+    ev = lambda i=None, f=None: {"introduced": i, "fixed": f, "last_affected": None}
+    schema = "adv_id string, package string, ranges array<struct<type:string,events:array<struct<introduced:string,fixed:string,last_affected:string>>>>"
+    number = lambda: f"{rng.randint(0, 3)}.{rng.randint(0, 9)}.{rng.randint(0, 9)}" + rng.choice(["", "", "-rc.1"])
+
+    def event():
+        return rng.choice([ev("0"), ev(number()), ev(number()), ev(f=number()), ev(f=number()), ev(number(), number()), ev(), ev(""), ev("odd")])
+
+    rows = [(f"A{i}", rng.choice(["m", "m/sub"]), [{"type": rng.choice(["SEMVER", "ECOSYSTEM", "SEMVER", "GIT"]), "events": [event() for _ in range(rng.randint(0, 6))]} for _ in range(rng.randint(0, 3))]) for i in range(120)]
+    versions = sorted({"v" + number() for _ in range(700)}) + ["odd", "v1", "1.2.3"]
+
+    def key(v):
+        v = v if v.startswith("v") else "v" + v
+        if not re.fullmatch(r"v\d+(\.\d+(\.\d+(-[0-9a-z.]+)?)?)?", v):
+            return (0, 0, 0, 0, 0)
+        main, _, label = v[1:].partition("-")
+        return (1, *[int(x) for x in (main.split(".") + ["0", "0"])[:3]], 0 if label else 1)
+
+    def affected(v, ranges):
+        for r in ranges:
+            state = False
+            for e in r["events"] if r["type"] != "GIT" else []:
+                if e["introduced"] and (e["introduced"] == "0" or key(v) >= key(e["introduced"])):
+                    state = True
+                if e["fixed"] and key(v) >= key(e["fixed"]):
+                    state = False
+            if state:
+                return True
+        return False
+
+    want = {(v, a) for v in versions for a, _, ranges in rows if affected(v, ranges)}
+    found = dependencies.match_advisories(deps(spark, *[("m", v, False) for v in versions]), spark.createDataFrame(rows, schema)).collect()
+    assert len(found) == len(want) and {(r.version, r.adv_id) for r in found} == want
+
+
 def test_alias_groups_bridge(spark):
     rows = [
         ("GO-2", ["CVE-1"], "m", "0", None, None, None), ("GHSA-9", ["CVE-2"], "m", "0", None, "HIGH", None), ("GO-1", ["CVE-1", "CVE-2"], "m", "0", None, None, None),
