@@ -389,6 +389,9 @@ RULE_REQUIREMENTS = [
     ("TLS-WEAK-VERSION", "4.2.1"),
 ]
 
+# Words of the runs by which licence texts are compared, and the percentage of a text that must be licence text.
+LICENCE_SHINGLE, LICENCE_COVERAGE = 5, 75
+
 # ---- fixed values: licence marker phrases, most restrictive first --------------
 LICENCE_MARKERS = [
     ("AGPL-3.0", r"(?i)GNU Affero General Public License"),

@@ -218,11 +218,11 @@ def scan_dependencies(deps: DataFrame, advisories: DataFrame, order: str = "ord"
 
 
 def snapshot_freshness(sources: DataFrame, snapshots: DataFrame, as_of: str) -> DataFrame:
-    """Latest snapshot per source and its state at `as_of`; sources without one are cold."""
-    latest = snapshots.groupBy("source").agg(
+    """Latest snapshot per source up to `as_of` and its state then; later ones don't count, and sources without one are cold."""
+    moment = F.lit(as_of).cast("timestamp")
+    latest = snapshots.filter(F.col("ts").cast("timestamp") <= moment).groupBy("source").agg(
         F.max(F.col("ts").cast("timestamp")).alias("latest"), F.count(F.lit(1)).alias("n_snapshots")
     )
-    moment = F.lit(as_of).cast("timestamp")
     age = F.floor((F.unix_seconds(moment) - F.unix_seconds("latest")) / 86400)
     rows = (
         sources.select("source")

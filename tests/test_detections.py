@@ -1,3 +1,6 @@
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -353,6 +356,56 @@ def test_licences(spark):
     assert {r.licence: r.n_units for r in licences.license_counts(df).collect()} == {"MIT": 1, "GPL-3.0": 1, "CC-BY-NC-4.0": 1, "unknown": 2}
 
 
+def words_of(text):
+    return re.findall("[a-z0-9]+", (text or "").lower())
+
+
+def brute_coverage(text, known, n=5, percent=75):
+    """(licence, covered words, longest run) of one text by comparing every pair of places."""
+    own = words_of(text)
+    covered, runs = set(), []
+    for name, other in known:
+        theirs = words_of(other)
+        hits = {(i, j) for i in range(len(own) - n + 1) for j in range(len(theirs) - n + 1) if own[i : i + n] == theirs[j : j + n]}
+        for i, j in hits:
+            covered.update(range(i, i + n))
+            if (i - 1, j - 1) not in hits:
+                k = 0
+                while (i + k, j + k) in hits:
+                    k += 1
+                runs.append((-(k + n - 1), name))
+    if not runs or 100 * len(covered) < percent * len(own):
+        return None
+    span, name = min(runs)
+    return name, len(covered), -span
+
+
+def test_license_coverage(spark):
+    """Licence texts with changed, moved, repeated and missing parts; mentions, mixtures, ties, nulls and repeated units."""
+    rng = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(60)]
+    texts = {name: " ".join(rng.choice(vocabulary) for _ in range(size)) for name, size in (("A", 120), ("B", 80), ("C", 40), ("D", 4))}
+    texts["E"] = texts["C"]  # two licences of one text: the first by name
+    known = [*texts.items(), ("A", "a second text of licence A with words of its own")]
+    rows = [None, "", "MIT License", texts["D"], texts["C"].upper().replace(" ", ", "), "a second text of licence A with words of its own!"]
+    for _ in range(40):
+        parts = []
+        for name in rng.sample(sorted(texts), 2):
+            own = texts[name].split()
+            at = rng.randint(0, len(own) // 2)
+            parts += own[at : at + rng.randint(3, len(own))] + [f"x{rng.randint(0, 9)}" for _ in range(rng.randint(0, 25))]
+        rows.append(" ".join(parts))
+    df = units(spark, *rows)
+    twice = df.unionByName(df.limit(10))
+    library = spark.createDataFrame([*known, ("N", None)], "licence string, text string")
+    want = {(str(i), *found) for i, text in enumerate(rows) if (found := brute_coverage(text, known))}
+    ids = {r.record_id: i for i, r in enumerate(df.collect())}
+    got = licences.license_coverage(twice, library).collect()
+    assert {(str(ids[r.record_id]), r.licence, r.n_covered, r.span) for r in got} == want and len(got) == len(want) > 8
+    assert {r.licence for r in licences.license_inventory(df, library).collect()} == {w[1] for w in want}
+    assert licences.license_coverage(df.limit(0), library).count() == licences.license_coverage(df, library.limit(0)).count() == 0
+
+
 def test_registry(spark):
     inputs = {"kv": kv(spark, ("a", "db.password", "hunter22")), "units": units(spark, "4111111111111111")}
 

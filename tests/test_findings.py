@@ -537,6 +537,14 @@ def test_snapshots(spark):
     }
 
 
+def test_freshness_as_of_an_earlier_day(spark):
+    """Snapshots taken after the day asked for are not known on it."""
+    shots = spark.createDataFrame([("a", "2024-01-01"), ("a", "2024-03-01"), ("b", "2024-03-01")], "source string, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+    sources = spark.createDataFrame([("a",), ("b",)], "source string")
+    got = {r.source: (r.age_days, r.state, r.n_snapshots) for r in dependencies.snapshot_freshness(sources, shots, "2024-02-01").collect()}
+    assert got == {"a": (31, "critical", 1), "b": (None, "cold", None)}
+
+
 def test_inventory(spark):
     h1 = "h1:q83vASNFZ4mrze8BI0VniavN7wEjRWeJq83vASNFZ4k="
     entries = spark.createDataFrame([(1, "m", "v1", h1, False), (1, "m", "v1", "h1:AAAA", True), (1, "n", "v1", "h1:bad", True)], "project_id long, module string, version string, hash string, mod_only boolean")

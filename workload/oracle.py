@@ -1032,6 +1032,29 @@ add(
     ("licensed", LICENSED),
 )
 
+SHINGLED = """
+SELECT record_id, len(w) AS n_words, unnest(range(1, len(w) - 3)) AS p, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS shingle
+FROM (SELECT 'documents/' || CAST(doc_id AS VARCHAR) || ':' || i AS record_id, regexp_extract_all(lower(ls[i]), '[a-z0-9]+') AS w
+      FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), unnest(range(1, len(ls) + 1)) AS u(i))"""
+KNOWN = """
+SELECT licence, unnest(range(1, len(w) - 3)) AS q, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS shingle
+FROM (SELECT 'L' || CAST(item_id AS VARCHAR) AS licence, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM benchmark)"""
+add(
+    "r22_license_coverage",
+    """
+SELECT record_id, licence, n_words, n_covered, span
+FROM (SELECT record_id, any_value(n_words) AS n_words, count(DISTINCT pos) AS n_covered
+      FROM (SELECT record_id, n_words, unnest(range(p, p + 5)) AS pos FROM matched) GROUP BY record_id)
+JOIN (SELECT record_id, licence, span FROM runs QUALIFY row_number() OVER (PARTITION BY record_id ORDER BY span DESC, licence) = 1) USING (record_id)
+WHERE 100 * n_covered >= 75 * n_words""",
+    ("shingled", SHINGLED),
+    ("known", KNOWN),
+    ("matched", "SELECT DISTINCT record_id, n_words, licence, p, p - q AS diagonal FROM shingled JOIN known USING (shingle)"),
+    ("runs", """
+SELECT record_id, licence, count(*) + 4 AS span
+FROM (SELECT *, p - row_number() OVER (PARTITION BY record_id, licence, diagonal ORDER BY p) AS island FROM matched) GROUP BY record_id, licence, diagonal, island"""),
+)
+
 # ---- joins and graph ----------------------------------------------------------
 
 
@@ -1359,7 +1382,7 @@ FROM (SELECT s.source, CAST(floor((epoch(TIMESTAMP '{AS_OF}') - floor(epoch(max(
       FROM (SELECT CAST(c_custkey AS VARCHAR) AS source FROM customer UNION SELECT 'err' || CAST(c_custkey AS VARCHAR) FROM customer) s
       LEFT JOIN (SELECT CAST(user_id AS VARCHAR) AS source, ts FROM events
                  UNION ALL SELECT substr(event_type, 1, 3) || CAST(user_id AS VARCHAR), ts FROM events) x
-      ON x.source = s.source GROUP BY s.source)""",
+      ON x.source = s.source AND x.ts <= TIMESTAMP '{AS_OF}' GROUP BY s.source)""",
 )
 
 # ---- order, ranks and pages ---------------------------------------------------

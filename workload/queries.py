@@ -43,7 +43,7 @@ QUERIES: dict[str, Query] = {}
 
 IGNORE_RULES, EXCLUDE_RULES = suppression.parse_ignore_lines(IGNORE_FILE)
 SCOPE_EXTS = [".env", ".json", ".yaml", ".go"]
-AS_OF = "2024-02-05 00:00:00"
+AS_OF = "2024-01-22 00:00:00"
 
 
 def query(name: str) -> Callable[[Query], Query]:
@@ -704,6 +704,14 @@ def _(spark, sf):
     return licences.license_inventory(document_units(spark, sf)).select("record_id", "licence")
 
 
+@query("r22_license_coverage")
+def _(spark, sf):
+    """Lines of documents against the benchmark's passages, which stand for the texts of licences."""
+    found = units.to_lines(document_units(spark, sf)).select(F.concat_ws(":", "record_id", "line_no").alias("record_id"), "path", F.col("line").alias("text"))
+    known = table(spark, sf, "benchmark").select(F.concat(F.lit("L"), F.col("item_id").cast("string")).alias("licence"), "text")
+    return licences.license_coverage(found, known).select("record_id", "licence", "n_words", "n_covered", "span")
+
+
 @query("r22_license_counts")
 def _(spark, sf):
     return licences.license_counts(document_units(spark, sf))
