@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievelake import fixed_values as fv
@@ -80,35 +78,19 @@ def diff_findings(expected: DataFrame, actual: DataFrame, tolerance: int = fv.LI
     """Distinct (rule, severity, path, line) rows marked matched, missing or unexpected.
 
     Expected rows match within `tolerance` lines, or anywhere in the path for
-    line 0; actual rows are unexpected when no expected row shares rule,
-    severity and path. Both sides are made distinct first, so repeated findings
-    do not multiply. One left join on line blocks tells matched and missing rows apart.
+    line 0 or no line; actual rows are unexpected when no expected row shares rule,
+    severity and path. Null keys are equal to each other.
+
+    Both sides are one table, made distinct with a mark for each side, so repeated findings do not multiply; then one sort
+    by rule, severity, path and line answers everything: a frame of lines tells what is near, the whole group what is
+    anywhere. A group holds at most one row for each line of a file.
     """
     keys = ["rule_id", "severity", "path"]
-    want = expected.select(*keys, "line_no").distinct()
-    have = actual.select(*keys, "line_no").distinct()
-    block = F.floor(F.col("line_no") / (tolerance + 1))
-
-    # Lines within the tolerance lie in the same or a neighbouring block.
-    placed = want.filter(F.col("line_no") > 0).withColumn("_block", block)
-    nearby = have.select(
-        *[F.col(k).alias(f"_{k}") for k in keys],
-        F.col("line_no").alias("_line"),
-        F.explode(F.array(block - 1, block, block + 1)).alias("_near"),
-    )
-    near = (
-        reduce(lambda a, b: a & b, [F.col(k) == F.col(f"_{k}") for k in keys])
-        & (F.col("_block") == F.col("_near"))
-        & (F.abs(F.col("line_no") - F.col("_line")) <= tolerance)
-    )
-    anywhere, paths = want.filter(F.col("line_no") <= 0), have.select(*keys).distinct()
-    by_line = placed.join(nearby, near, "left").groupBy(*keys, "line_no").agg(F.count("_line").alias("_hits"))
-    by_path = anywhere.join(paths.withColumn("_hits", F.lit(1).cast("long")), keys, "left").select(*keys, "line_no", F.coalesce("_hits", F.lit(0)).alias("_hits"))
-    judged = by_line.unionByName(by_path)
-    wanted = want.select(*keys).distinct().withColumn("_wanted", F.lit(True))
-    unexpected = join_lookup(have, wanted, keys).filter(F.col("_wanted").isNull())
-
-    outcome = F.when(F.col("_hits") > 0, F.lit("matched")).otherwise(F.lit("missing"))
-    return judged.select(outcome.alias("outcome"), *keys, "line_no").unionByName(
-        unexpected.select(F.lit("unexpected").alias("outcome"), *keys, "line_no")
-    )
+    both = expected.select(*keys, "line_no", F.lit(True).alias("_wanted")).unionByName(actual.select(*keys, "line_no", F.lit(False).alias("_wanted")))
+    rows = both.groupBy(*keys, "line_no").agg(F.bool_or("_wanted").alias("_e"), F.bool_or(~F.col("_wanted")).alias("_a"))
+    group = Window.partitionBy(*keys).orderBy("line_no")
+    near, whole = group.rangeBetween(-tolerance, tolerance), Window.partitionBy(*keys)
+    judged = rows.select(*keys, "line_no", "_e", "_a", F.max("_a").over(near).alias("_near"), F.max("_a").over(whole).alias("_any"), F.max("_e").over(whole).alias("_known"))
+    found = F.when(F.col("line_no") > 0, F.col("_near")).otherwise(F.col("_any"))
+    outcomes = F.array(F.when(F.col("_e"), F.when(found, F.lit("matched")).otherwise(F.lit("missing"))), F.when(F.col("_a") & ~F.col("_known"), F.lit("unexpected")))
+    return judged.select(F.explode(outcomes).alias("outcome"), *keys, "line_no").filter("outcome IS NOT NULL")

@@ -1405,6 +1405,7 @@ FROM (SELECT *, row_number() OVER (ORDER BY 5 - ({rank('severity')}), ord, rule_
       FROM v_findings_bulk)
 WHERE rn > 3000 AND rn <= 3060""",
 )
+ORACLE["w03_indexed_page"] = ORACLE["w03_paginate"]
 add(
     "w04_dropped_column_downgrade",
     """

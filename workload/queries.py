@@ -18,6 +18,7 @@ from sievelake.operators import (
     inventory,
     licences,
     pages,
+    paging,
     pairing,
     payment,
     requirements,
@@ -995,6 +996,13 @@ def _(spark, sf):
     return found.select("row_no", "next_offset", "severity", "ord", "rule_id", "path")
 
 
+@query("w03_indexed_page")
+def _(spark, sf):
+    """The same page from findings written in page order, by the index of their positions."""
+    book = paging.write_pages(bulk(spark, sf), scratch_path(spark, "pages"), ties=("rule_id", "path", "line_no"))
+    return book.page(3000).select("row_no", "next_offset", "severity", "ord", "rule_id", "path")
+
+
 @query("w04_dropped_column_downgrade")
 def _(spark, sf):
     events = view(spark, sf, "v_schema_events")
