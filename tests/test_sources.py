@@ -179,3 +179,34 @@ def test_write_findings(spark, tmp_path):
         assert back.filter("severity = 'HIGH'").select("rule_id").collect()[0][0] == "R1"
         assert back.count() == 2
     assert json.loads(sinks.findings_json(df.limit(1)).collect()[0].finding) == {"rule_id": "R1", "severity": "HIGH"}
+
+
+def test_lines_of_long_files(spark, tmp_path):
+    """A file in many byte ranges gives the lines and numbers of the whole file, and so do files that share a task."""
+    texts = {
+        "long.log": "\n".join(f"line {i} {'é' * (i % 50)}" for i in range(3000)),
+        "one/line.log": "x" * 50_000,
+        "one/end.log": "a\n\nb\r\n",
+        "two/empty.log": "",
+        "two/skip.txt": "not this",
+        **{f"small/{i}.log": f"first {i}\nsecond {i}" for i in range(30)},
+    }
+    for name, text in texts.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(text.encode())
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    spark.conf.set("spark.sql.files.openCostInBytes", "64")
+    try:
+        lines = units.read_lines(spark, str(tmp_path), [".log"])
+        assert spark.read.text(str(tmp_path / "long.log")).rdd.getNumPartitions() > 10
+        got = {(r.path, r.line_no): r.line for r in lines.collect()}
+        small = units.read_lines(spark, str(tmp_path), [".log"], max_bytes=1000)
+        assert {r.path for r in small.collect()} == {n for n, t in texts.items() if n.endswith(".log") and 0 < len(t.encode()) <= 1000}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    want = {}
+    for name, text in texts.items():
+        rows = text.removesuffix("\n").split("\n") if name.endswith(".log") and text else []
+        want |= {(name, i): row for i, row in enumerate(rows, 1)}
+    assert got == want

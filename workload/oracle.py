@@ -335,6 +335,13 @@ add(
     "SELECT record_id, source, path, CAST(strlen(text) AS BIGINT) AS n_bytes, md5(text) AS text_md5 FROM units",
     ("units", UNITS),
 )
+add(
+    "src01_read_lines",
+    """
+SELECT file, CAST(i AS INTEGER) AS line_no, md5(ls[i]) AS line_md5
+FROM (SELECT CAST(doc_id % 16 AS INTEGER) AS file, string_split(string_agg(coalesce(text, ''), chr(10) ORDER BY doc_id), chr(10)) AS ls FROM documents GROUP BY 1),
+     unnest(range(1, len(ls) + 1)) AS u(i)""",
+)
 add(
     "src02_filter_scope",
     f"""

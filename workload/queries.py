@@ -168,6 +168,16 @@ def _(spark, sf):
     return all_units(spark, sf).select("record_id", "source", "path", "n_bytes", F.md5("text").alias("text_md5"))
 
 
+@query("src01_read_lines")
+def _(spark, sf):
+    """Documents written as sixteen text files below the shared folder, read as numbered lines."""
+    path = scratch_path(spark, "files")
+    docs = table(spark, sf, "documents").select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("value"), (F.col("doc_id") % 16).alias("file"))
+    docs.repartition(16, "file").sortWithinPartitions("file", "doc_id").select("value", "file").write.partitionBy("file").text(path)
+    lines = units.read_lines(spark, path, [".txt"])
+    return lines.select(F.regexp_extract("path", "file=([0-9]+)/", 1).cast("int").alias("file"), "line_no", F.md5("line").alias("line_md5"))
+
+
 @query("src02_filter_scope")
 def _(spark, sf):
     return units.filter_scope(view(spark, sf, "v_paths"), SCOPE_EXTS, exclude_globs=["*.pb.go", "examples/"], max_bytes=fv.MAX_FILE_BYTES)
