@@ -689,6 +689,41 @@ def test_triage(spark):
     assert (got["SEC-PREFIX"].hint, got["CSP-MISSING"].hint) == (hints["SEC-"], hints["CSP-MISSING"])
 
 
+def test_report_post_processes(spark):
+    """Pairs merge, flows lower, encrypted columns and later drops become INFO, all before the status is derived."""
+    rows = [
+        (1, "PAN-KEYWORD", "HIGH", "1", "m.go", 5, "cardNumber", "field", 7, False, True, "f", None),
+        (2, "PAN-KEYWORD", "CRITICAL", "1", "m.go", 5, "card_number", "tag", 7, False, True, "f", None),
+        (3, "PAN-TYPE", "HIGH", "1", "api/x.go", 1, "cvv", "field", 8, True, False, "g", None),
+        (4, "PAN-TYPE", "HIGH", "1", "db/y.go", 1, "pan", "field", 9, False, True, "h", None),
+        (5, "PAN-TYPE", "CRITICAL", "1", "db/y.go", 2, "pan", "field", 9, False, True, "k", None),
+        (6, "SQL-SENSITIVE-COLUMN", "HIGH", "1", "cards", 1, "cards.pan", None, None, None, None, None, 1),
+        (7, "SQL-SENSITIVE-COLUMN", "HIGH", "1", "cards", 2, "cards.exp_month", None, None, None, None, None, 2),
+        (8, "SQL-TEXT-TYPE", "MEDIUM", "1", "users", 3, "users.pan", None, None, None, None, None, 3),
+        (9, "SQL-TEXT-TYPE", "MEDIUM", "1", "users", 4, "users.iban", None, None, None, None, None, 4),
+    ]
+    cols = "ord long, rule_id string, severity string, requirement_id string, path string, line_no int, subject string, kind string, node long, has_json_tag boolean, has_db_tag boolean, function_name string, event_ord long"
+    df = spark.createDataFrame(rows, cols).withColumn("record_id", F.col("path"))
+    flow = spark.createDataFrame([(7, True), (8, False), (9, False)], "source long, reaches boolean")
+    encrypted = spark.createDataFrame([("CARDS", "pan")], "table_name string, column_name string")
+    events = spark.createDataFrame([("users", 3, "ADD", "pan"), ("users", 9, "DROP", "pan"), ("users", 4, "ADD", "iban")], "table_name string, ord long, op string, column_name string")
+    report = compliance_report(df, catalogue(spark), flow=flow, encrypted=encrypted, schema_events=events)
+    try:
+        got = {r.ord: (r.severity, r.confidence, r.triage_hint) for r in report.base.collect()}
+        assert got == {
+            1: ("CRITICAL", "high", "stored"), 4: ("HIGH", None, None), 5: ("CRITICAL", None, None),
+            6: ("INFO", None, "encrypted by the application"), 8: ("INFO", "high", "downgrade:column_dropped_later"), 9: ("MEDIUM", None, None),
+        }
+        assert [(r.path, r.subject, r.severity, r.n) for r in report.repeated.collect()] == [("db/y.go", "pan", "CRITICAL", 2)]
+        assert sorted(r.function_name for r in report.repeated_members.collect()) == ["h", "k"]
+        assert report.gate.collect()[0].overall == "FAIL"
+    finally:
+        report.close()
+    plain = compliance_report(df.select(*[c for c in df.columns if c not in ("kind", "node", "event_ord")]), catalogue(spark))
+    assert plain.base.count() == 9 and not plain.held
+    plain.close()
+
+
 def test_report(spark):
     df = findings(
         spark, ("PAN-LITERAL", "HIGH", "1", "src/a.go", 1, ["5"]), ("PAN-LITERAL", "LOW", "1", "src/a.go", 2, []), ("SEC-PREFIX", "CRITICAL", "3", "x", 4, []),

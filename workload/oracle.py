@@ -1172,13 +1172,14 @@ J07_DROP = (
     f"WHERE e.table_name = h.table_name AND ({sensitive('e.column_name')} OR {norm('e.column_name')} IN {inlist(fv.ACCOUNT_LIKE_COLUMNS)}))"
 )
 J07_HINT = "CASE WHEN enc THEN 'encrypted by the application' ELSE '' END"
-add(
-    "j07_encryption_crossref",
-    f"""
+J07 = f"""
 SELECT {found("'SQL-SENSITIVE-COLUMN'", "CASE WHEN enc THEN 'INFO' ELSE 'HIGH' END", "CASE WHEN k = 'PAN' THEN '3.5.1' ELSE '3.3.1' END", "table_name", "table_name", "ordinal", COL_SUBJECT, EMPTY, "false", J07_HINT)}
 FROM marked WHERE NOT dropped
 UNION ALL SELECT {found("'SQL-TEXT-TYPE'", "CASE WHEN enc THEN 'INFO' ELSE 'MEDIUM' END", "'3.5.1'", "table_name", "table_name", "ordinal", COL_SUBJECT, EMPTY, "false", J07_HINT)}
-FROM marked WHERE {plaintext('sql_type')}""",
+FROM marked WHERE {plaintext('sql_type')}"""
+add(
+    "j07_encryption_crossref",
+    J07,
     ("schema_hits", SCHEMA_HITS),
     ("marked", f"SELECT h.*, {J07_ENC} AS enc, {J07_DROP} AS dropped FROM schema_hits h"),
 )
@@ -1190,6 +1191,9 @@ SELECT w.source, bool_or(s.node IS NOT NULL) AS reaches, CAST(min(CASE WHEN s.no
 FROM walk w LEFT JOIN v_sinks s ON s.node = w.node GROUP BY w.source"""
 add("j08_flow_reaches", "SELECT * FROM flow", ("walk", WALK), ("flow", FLOW), recursive=True)
 MARKER = has_any("lower(path)", fv.TRANSIT_PATH_MARKERS)
+J09_TAGGED = f"""
+SELECT *, NOT stored AND NOT has_db_tag AND (has_json_tag OR subject IN {inlist(fv.SAD_FIELD_NAMES)} OR {MARKER}) AS transit
+FROM (SELECT f.*, f.node IN (SELECT source FROM flow WHERE reaches) AS stored FROM v_field_findings f)"""
 add(
     "j09_transit_downgrade",
     """
@@ -1201,9 +1205,7 @@ FROM fields WHERE NOT (transit AND rule_id = 'PAN-TYPE')""",
     ("flow", FLOW),
     (
         "fields",
-        f"""
-SELECT *, NOT stored AND NOT has_db_tag AND (has_json_tag OR subject IN {inlist(fv.SAD_FIELD_NAMES)} OR {MARKER}) AS transit
-FROM (SELECT f.*, f.node IN (SELECT source FROM flow WHERE reaches) AS stored FROM v_field_findings f)""",
+        J09_TAGGED,
     ),
     recursive=True,
 )
@@ -1422,9 +1424,7 @@ SELECT table_name, column_name, ord, CASE WHEN first_drop IS NOT NULL AND NOT EX
 FROM (SELECT e.*, (SELECT min(d.ord) FROM v_schema_events d WHERE d.table_name = e.table_name AND d.column_name = e.column_name
                      AND d.op = 'DROP' AND d.ord > e.ord) AS first_drop FROM v_schema_events e WHERE e.op = 'ADD') f""",
 )
-add(
-    "w05_dedup_paired",
-    f"""
+W05 = f"""
 SELECT f.ord, f.rule_id, CASE WHEN f.ord = p.f_ord AND {rank('p.t_sev')} > {rank('f.severity')} THEN p.t_sev ELSE f.severity END AS severity,
        f.path, f.kind
 FROM v_field_findings f LEFT JOIN (
@@ -1434,9 +1434,8 @@ FROM v_field_findings f LEFT JOIN (
            arg_max(severity, ord) FILTER (kind = 'tag') AS t_sev
     FROM v_field_findings WHERE rule_id = 'PAN-KEYWORD' GROUP BY path, line_no)
   WHERE {norm('f_sub')} = {norm('t_sub')}) p ON p.path = f.path AND p.line_no = f.line_no
-WHERE p.t_ord IS NULL OR f.ord <> p.t_ord""",
-)
-
+WHERE p.t_ord IS NULL OR f.ord <> p.t_ord"""
+add("w05_dedup_paired", W05)
 # ---- sets of findings ---------------------------------------------------------
 
 ALL_RULES = [R01, R02, R03, R04, R05, R06, R07, R08, R09, R10, R11, R12, R13, R14, R15, R16, R19]
@@ -1526,3 +1525,22 @@ add(
     ("scoped", "SELECT * FROM inlined WHERE NOT starts_with(path, 'internal/card/')"),
     *status_steps("scoped"),
 )
+POST_HINT = "CASE WHEN transit THEN 'transit only' WHEN stored THEN 'stored' ELSE '' END"
+add(
+    "report_post_processed",
+    f"""
+SELECT rule_id, severity, hint, count(*) AS n FROM flowed GROUP BY ALL
+UNION ALL SELECT rule_id, severity, triage_hint, count(*) FROM ({J07}) GROUP BY ALL
+UNION ALL SELECT 'PAN-TYPE', severity, 'merged', sum(n)::BIGINT FROM (
+  SELECT arg_max(severity, {rank('severity')}) AS severity, count(*) AS n FROM flowed WHERE rule_id = 'PAN-TYPE' GROUP BY path, subject) GROUP BY severity""",
+    ("walk", WALK),
+    ("flow", FLOW),
+    ("schema_hits", SCHEMA_HITS),
+    ("marked", f"SELECT h.*, {J07_ENC} AS enc, {J07_DROP} AS dropped FROM schema_hits h"),
+    ("paired", W05),
+    ("tagged", J09_TAGGED.replace("FROM v_field_findings f", "FROM (SELECT f.* REPLACE (p.severity AS severity) FROM v_field_findings f JOIN paired p USING (ord)) f")),
+    ("flowed", f"""
+SELECT rule_id, CASE WHEN transit THEN 'INFO' ELSE severity END AS severity, path, subject, {POST_HINT} AS hint
+FROM tagged WHERE NOT (transit AND rule_id = 'PAN-TYPE')"""),
+    recursive=True,
+)

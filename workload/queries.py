@@ -1132,3 +1132,18 @@ def _(spark, sf):
         bulk(spark, sf), view(spark, sf, "v_requirements"), IGNORE_RULES, EXCLUDE_RULES, view(spark, sf, "v_lines")
     )
     return report.status
+
+
+@query("report_post_processed")
+def _(spark, sf):
+    """Field findings with their flow, and schema findings with a list of encrypted columns, through the whole report."""
+    edges = view(spark, sf, "v_edges")
+    flow = graph.flow_reaches(edges, edges.select(F.col("src").alias("node")), view(spark, sf, "v_sinks"))
+    fields = view(spark, sf, "v_field_findings").withColumn("requirement_id", F.lit("3.3.1")).withColumn("scanner", F.lit("cards"))
+    columns_found = schema.scan_schema_columns(view(spark, sf, "v_all_cols")).withColumn("ord", F.lit(10**12) + F.col("line_no"))
+    found = fields.withColumn("ord", F.col("ord").cast("long")).unionByName(columns_found, allowMissingColumns=True)
+    report = compliance_report(found, view(spark, sf, "v_requirements"), flow=flow, encrypted=view(spark, sf, "v_encryption"))
+    hint = F.coalesce("triage_hint", F.lit(""))
+    counts = report.base.groupBy("rule_id", "severity", hint.alias("hint")).agg(F.count(F.lit(1)).alias("n"))
+    merged = report.repeated.groupBy("rule_id", "severity").agg(F.sum("n").alias("n")).select("rule_id", "severity", F.lit("merged").alias("hint"), "n")
+    return counts.unionByName(merged)
