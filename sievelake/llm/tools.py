@@ -14,6 +14,15 @@ from pyspark.sql import functions as F
 from sievelake.llm.common import bins_for, group_key, hash_bin, running
 from sievelake.session import cut_lineage
 
+#: Levels of objects and arrays that arguments and schemas may have.
+MOST_LEVELS = 200
+# The schema keywords that are checked, and those that say nothing about a value.
+CHECKED = frozenset(
+    "type enum const required properties additionalProperties items minItems maxItems uniqueItems minLength maxLength pattern minimum maximum "
+    "exclusiveMinimum exclusiveMaximum multipleOf minProperties maxProperties allOf anyOf oneOf not".split()
+)
+SILENT = frozenset("title description default examples $schema $id $comment $defs definitions format deprecated readOnly writeOnly".split())
+LONE = re.compile("[\ud800-\udfff]")
 TYPES = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
 
 
@@ -47,7 +56,23 @@ def canonical(value) -> str:
         return "[" + ",".join(map(canonical, value)) + "]"
     if isinstance(value, float):
         return number_text(value)
-    return json.dumps(value, ensure_ascii=False)
+    return _escaped(json.dumps(value, ensure_ascii=False))
+
+
+def _escaped(text: str) -> str:
+    """Halves of surrogate pairs, which UTF-8 can't hold, as JSON escapes."""
+    return LONE.sub(lambda m: f"\\u{ord(m[0]):04x}", text)
+
+
+def _levels(value) -> int:
+    """Levels of nesting, counted without recursion."""
+    deepest, todo = 0, [(value, 1)]
+    while todo:
+        x, level = todo.pop()
+        if isinstance(x, (dict, list)):
+            deepest = max(deepest, level)
+            todo += [(y, level + 1) for y in (x.values() if isinstance(x, dict) else x)]
+    return deepest
 
 
 def _no_constant(name: str):
@@ -55,11 +80,13 @@ def _no_constant(name: str):
 
 
 def parse(text: str):
-    """A JSON value; ValueError otherwise, also for NaN, infinities and nesting beyond what Python can hold."""
+    """A JSON value; ValueError otherwise, also for NaN, infinities and more than MOST_LEVELS levels."""
     try:
         value = json.loads(text, parse_constant=_no_constant, parse_float=_finite)
     except RecursionError as deep:
         raise ValueError("nested too deeply") from deep
+    if _levels(value) > MOST_LEVELS:
+        raise ValueError("nested too deeply")
     return value
 
 
@@ -71,19 +98,27 @@ def _finite(text: str) -> float:
 
 
 def problems(value, schema, at: str = "$") -> list[str]:
-    """What in a value breaks a JSON schema: type, enum, const, required, properties, additionalProperties, items, lengths, ranges, pattern."""
+    """What in a value breaks a JSON schema, by the keywords in CHECKED; any other keyword that could matter is a problem itself."""
     if schema is True or not isinstance(schema, dict):
         return [f"{at}: not allowed"] if schema is False else []
     kinds = schema.get("type")
     kinds = kinds if isinstance(kinds, list) else [kinds] if kinds else []
     if kinds and not any(_is(value, k) for k in kinds):
         return [f"{at}: expected {' or '.join(kinds)}"]
-    out = []
+    out = [f"{at}: schema has {k}, which is not supported" for k in sorted(schema.keys() - CHECKED - SILENT)]
+    for k in ("allOf", "anyOf", "oneOf"):
+        if k in schema:
+            fits = [not problems(value, s, at) for s in schema[k]]
+            if not (all(fits) if k == "allOf" else any(fits) if k == "anyOf" else sum(fits) == 1):
+                out.append(f"{at}: {k}")
+    if "not" in schema and not problems(value, schema["not"], at):
+        out.append(f"{at}: not")
     if "enum" in schema and not any(canonical(value) == canonical(x) for x in schema["enum"]):
         out.append(f"{at}: not in enum")
     if "const" in schema and canonical(value) != canonical(schema["const"]):
         out.append(f"{at}: not the constant")
     if isinstance(value, dict):
+        out += _sized(value, schema, at, "minProperties", "maxProperties")
         known = schema.get("properties", {})
         out += [f"{at}.{k}: missing" for k in schema.get("required", []) if k not in value]
         for k in sorted(value):
@@ -93,6 +128,8 @@ def problems(value, schema, at: str = "$") -> list[str]:
                 out += problems(value[k], schema["additionalProperties"], f"{at}.{k}")
     elif isinstance(value, list):
         out += _sized(value, schema, at, "minItems", "maxItems")
+        if schema.get("uniqueItems") is True and len({canonical(x) for x in value}) < len(value):
+            out.append(f"{at}: uniqueItems")
         for k, x in enumerate(value):
             out += problems(x, schema.get("items", True), f"{at}[{k}]")
     elif isinstance(value, str):
@@ -104,6 +141,12 @@ def problems(value, schema, at: str = "$") -> list[str]:
             out.append(f"{at}: minimum")
         if value > schema.get("maximum", value):
             out.append(f"{at}: maximum")
+        if "exclusiveMinimum" in schema and value <= schema["exclusiveMinimum"]:
+            out.append(f"{at}: exclusiveMinimum")
+        if "exclusiveMaximum" in schema and value >= schema["exclusiveMaximum"]:
+            out.append(f"{at}: exclusiveMaximum")
+        if "multipleOf" in schema and value / schema["multipleOf"] % 1:
+            out.append(f"{at}: multipleOf")
     return out
 
 
@@ -132,9 +175,13 @@ def judge(name: str | None, arguments: str | None, schema: str | None) -> tuple[
     if schema is None:
         return canonical(value), [f"unknown tool {name}" if name is not None else "no tool"]
     try:
-        return canonical(value), problems(value, _schema(schema))
+        rules = _schema(schema)
     except ValueError:
         return canonical(value), ["schema: not JSON"]
+    try:
+        return canonical(value), [_escaped(p) for p in problems(value, rules)]
+    except Exception as wrong:  # a schema may hold anything where a number, a list or a pattern belongs
+        return canonical(value), [f"schema: {type(wrong).__name__}"]
 
 
 def depths(calls: DataFrame) -> DataFrame:

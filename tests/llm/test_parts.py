@@ -184,3 +184,35 @@ def test_schema_problems():
     assert tools.problems([], schema) == ["$: expected object"]
     assert tools.judge("f", "{}", "nonsense") == ("{}", ["schema: not JSON"])
     assert tools.judge("f", None, None) == (None, ["$: not JSON"])
+
+
+@pytest.mark.parametrize(
+    "arguments, schema, shown, found",
+    [
+        (r'{"q":"\ud800"}', '{"properties":{"q":{"maxLength":0}}}', r'{"q":"\ud800"}', ["$.q: maxLength"]),
+        (r'{"\udc00":1}', '{"additionalProperties":false}', r'{"\udc00":1}', [r"$.\udc00: not allowed"]),
+        ("[" * 5000 + "]" * 5000, "{}", None, ["$: not JSON"]),
+        ("[" * 200 + "]" * 200, "{}", "[" * 200 + "]" * 200, []),
+        ("{}", "[" * 5000 + "]" * 5000, "{}", ["schema: not JSON"]),
+        ("1" * 5000, "{}", None, ["$: not JSON"]),
+        ('{"q":"x"}', '{"properties":{"q":{"pattern":"("}}}', '{"q":"x"}', ["schema: PatternError"]),
+        ("1", '{"minimum":"x"}', "1", ["schema: TypeError"]),
+        ("1", '{"enum":5}', "1", ["schema: TypeError"]),
+        ('"a"', '{"maxLength":null}', '"a"', ["schema: TypeError"]),
+        ("1", '{"type":{}}', "1", []),
+        ("1", '{"type":[{}]}', "1", ["schema: TypeError"]),
+        ("1", '{"exclusiveMinimum":5}', "1", ["$: exclusiveMinimum"]),
+        ("7", '{"multipleOf":2,"exclusiveMaximum":7}', "7", ["$: exclusiveMaximum", "$: multipleOf"]),
+        ("[1,1.0]", '{"uniqueItems":true}', "[1,1]", ["$: uniqueItems"]),
+        ("{}", '{"minProperties":1}', "{}", ["$: minProperties"]),
+        ("1", '{"$ref":"#/x"}', "1", ["$: schema has $ref, which is not supported"]),
+        ("1", '{"anyOf":[{"type":"string"},{"minimum":2}]}', "1", ["$: anyOf"]),
+        ("3", '{"oneOf":[{"type":"integer"},{"minimum":2}],"not":{"const":3}}', "3", ["$: oneOf", "$: not"]),
+        ("3", '{"allOf":[{"type":"integer"},{"minimum":2}],"title":"t"}', "3", []),
+    ],
+)
+def test_odd_arguments_and_schemas(arguments, schema, shown, found):
+    """One odd row gets an answer of its own; it never ends the batch, and what comes out is UTF-8."""
+    text, wrong = tools.judge("f", arguments, schema)
+    assert (text, wrong) == (shown, found)
+    "".join([text or "", *wrong]).encode()
