@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from sievelake import fixed_values as fv
 from sievelake.functions.severity import severity_order
@@ -15,6 +16,7 @@ PART, PLACE = "page_part", "page_place"
 ROWS_PER_PART = 100_000
 #: Bits of monotonically_increasing_id() below the partition's number.
 ID_BITS = 33
+INDEX = f"{PART} int, first long, n long, total long"
 
 
 @dataclass(frozen=True)
@@ -23,6 +25,7 @@ class PagedFindings:
 
     spark: SparkSession
     path: str
+    schema: StructType
 
     def page(self, offset: int, page: int = fv.PAGE_SIZE, limit: int = 0) -> DataFrame:
         """Rows offset .. offset+page of the severity order, with row_no and next_offset (null on the last page).
@@ -33,9 +36,9 @@ class PagedFindings:
         if limit > page:
             raise ValueError(f"limit {limit} exceeds the page size {page}")
         size, start = limit if limit > 0 else page, max(offset, 0)
-        index = self.spark.read.parquet(f"{self.path}/index")
+        index = self.spark.read.schema(INDEX).parquet(f"{self.path}/index")
         wanted = index.filter((F.col("first") < start + size) & (F.col("first") + F.col("n") > start)).collect()  # as many ranges as a page spans
-        rows = self.spark.read.parquet(f"{self.path}/rows")
+        rows = self.spark.read.schema(self.schema).parquet(f"{self.path}/rows")
         spans = [(r[PART], r["first"], max(start - r["first"], 0), min(start + size - r["first"], r["n"])) for r in wanted]
         chosen, first = F.lit(False), F.lit(None).cast("long")
         for part, position, low, high in spans:
@@ -60,7 +63,7 @@ def write_pages(findings: DataFrame, path: str, order: str = "ord", ties: tuple[
     sorted_rows = findings.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).withColumn("_id", F.monotonically_increasing_id())
     placed = sorted_rows.withColumn(PART, F.shiftright("_id", ID_BITS).cast("int")).withColumn(PLACE, F.col("_id").bitwiseAND(F.lit((1 << ID_BITS) - 1))).drop("_id")
     placed.write.partitionBy(PART).parquet(f"{path}/rows")
-    sizes = spark.read.parquet(f"{path}/rows").groupBy(PART).agg(F.count(F.lit(1)).alias("n"))
+    sizes = spark.read.schema(placed.schema).parquet(f"{path}/rows").groupBy(PART).agg(F.count(F.lit(1)).alias("n"))
     ends = sizes.withColumn("_end", F.sum("n").over(Window.orderBy(PART))).withColumn("total", F.sum("n").over(Window.partitionBy()))
     ends.select(PART, (F.col("_end") - F.col("n")).alias("first"), "n", "total").coalesce(1).write.parquet(f"{path}/index")
-    return PagedFindings(spark, path)
+    return PagedFindings(spark, path, placed.schema)

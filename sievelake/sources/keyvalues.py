@@ -118,3 +118,12 @@ def flatten_json(df: DataFrame, json: str, keep=("record_id",), max_depth: int |
         .select(*keep, F.col("_leaf.key").alias("key"), F.try_variant_get(node, "$", "string").alias("value"))
         .filter(F.col("value").isNotNull() & (F.col("value") != ""))
     )
+
+
+def json_kv(units: DataFrame, json: str = "text", max_depth: int | None = None) -> DataFrame:
+    """Leaves of JSON texts as KV rows (record_id, path, line_no, key, value), for the rules that read configuration.
+
+    A leaf has no line of its own; line_no is 0, as for every key whose line is unknown. Texts that aren't JSON objects give no rows.
+    """
+    leaves = flatten_json(units, json, keep=("record_id", "path"), max_depth=max_depth)
+    return leaves.select("record_id", "path", F.lit(0).alias("line_no"), "key", "value")

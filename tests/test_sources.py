@@ -210,3 +210,10 @@ def test_lines_of_long_files(spark, tmp_path):
         rows = text.removesuffix("\n").split("\n") if name.endswith(".log") and text else []
         want |= {(name, i): row for i, row in enumerate(rows, 1)}
     assert got == want
+
+
+def test_json_as_settings(spark):
+    docs = ['{"a":{"b":[1,{"c":true}]},"d":"x","e":null,"f":""}', "[1]", "not json", None, '{"k":2.50}']
+    df = spark.createDataFrame([(str(i), f"p{i}.json", t) for i, t in enumerate(docs)], "record_id string, path string, text string")
+    got = sorted(tuple(r) for r in keyvalues.json_kv(df).collect())
+    assert got == [("0", "p0.json", 0, "a.b[0]", "1"), ("0", "p0.json", 0, "a.b[1].c", "true"), ("0", "p0.json", 0, "d", "x"), ("4", "p4.json", 0, "k", "2.5")]

@@ -943,6 +943,7 @@ FROM ret_kv WHERE path NOT IN (SELECT path FROM ret_skip) AND {has_any('lower(pa
 GROUP BY path, parent HAVING NOT bool_or({has_any(f'lower({last("key")})', fv.TTL_KEYS)})"""
 R16_STEPS = (("ret_kv", RET_KV), ("ret_skip", RET_SKIP))
 add("r16_scan_retention_groups", R16, *R16_STEPS)
+add("r16_scan_retention_json", R16.replace("min(line_no)", "0"), *R16_STEPS)
 
 
 def tier_sql(source: str, group: str) -> str:

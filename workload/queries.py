@@ -669,6 +669,15 @@ def _(spark, sf):
     return flat(retention.scan_retention_groups(kv(spark, sf)))
 
 
+@query("r16_scan_retention_json")
+def _(spark, sf):
+    """The same settings as JSON documents, three objects deep, flattened into keys."""
+    rows = kv(spark, sf)
+    level = lambda n: F.split("key", r"\.")[n]
+    nested = F.to_json(F.create_map(level(0), F.create_map(level(1), F.create_map(level(2), F.col("value")))))
+    return flat(retention.scan_retention_groups(keyvalues.json_kv(rows.select("record_id", "path", nested.alias("text")))))
+
+
 @query("r17_audit_trail_coverage")
 def _(spark, sf):
     found = audit.audit_trail_coverage(view(spark, sf, "v_ops"), view(spark, sf, "v_audit_mix"), "user_id")
