@@ -389,6 +389,14 @@ RULE_REQUIREMENTS = [
     ("TLS-WEAK-VERSION", "4.2.1"),
 ]
 
+# Pairs that the rules here use besides: a rule of our own, and fields that are authentication data rather than card numbers.
+OWN_RULE_REQUIREMENTS = [
+    ("AUDIT-FIELDS", "10.2.1"),
+    ("PAN-KEYWORD", "3.3.1"),
+    ("PAN-LOGGER", "3.3.1"),
+    ("SQL-SENSITIVE-COLUMN", "3.3.1"),
+]
+
 # Words of the runs by which licence texts are compared, and the percentage of a text that must be licence text.
 LICENCE_SHINGLE, LICENCE_COVERAGE = 5, 75
 

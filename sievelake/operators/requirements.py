@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievelake import fixed_values as fv
@@ -150,6 +150,11 @@ def gate(findings: DataFrame) -> DataFrame:
     return findings.agg(F.when(failed, F.lit("FAIL")).otherwise(F.lit("PASS")).alias("overall"))
 
 
+def rule_map(spark: SparkSession) -> DataFrame:
+    """(rule_id, requirement_id) pairs that a scan's findings may have: the canonical ones and those of the rules here."""
+    return spark.createDataFrame(fv.RULE_REQUIREMENTS + fv.OWN_RULE_REQUIREMENTS, "rule_id string, requirement_id string")
+
+
 def mapping_drift(findings: DataFrame, rule_map: DataFrame) -> DataFrame:
     """(rule, requirement) pairs that findings use but the canonical table lacks."""
     used = findings.groupBy("rule_id", "requirement_id").agg(F.count(F.lit(1)).alias("n_findings"))

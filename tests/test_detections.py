@@ -4,7 +4,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from sievelake.operators import audit, cards, crypto, licences, pages, payment, retention, schema, secrets, transport
+from sievelake.operators import audit, cards, crypto, licences, pages, payment, requirements, retention, schema, secrets, transport
 from sievelake.plans.registry import DEFAULT_RULES, RuleSpec, covered_requirements, run_scans, scan
 from sievelake.schemas import FINDING, as_findings
 
@@ -458,6 +458,21 @@ def test_a_scan_starts_no_job(spark):
     assert run.findings is run.findings and run.findings.filter("rule_id = 'DEP-VULN'").count() == 1
 
 
+def test_findings_of_a_scan_are_mapped(spark):
+    """No rule uses a requirement that the rule map lacks."""
+    fields = [(str(i), [f], i % 2 == 0) for i, f in enumerate(["card_number", "cvv", "password", "note", "user_id"])]
+    given = {
+        "kv": kv(spark, ("a", "db.password", "hunter22"), ("a", "card.cvv", "123"), ("a", "card.number", "4111111111111111"), ("a", "k", "sk_" + "live_" + "a1b2c3d4e5f6g7h8i9j0k1l2")),
+        "columns": spark.createDataFrame([("cards", c, "text", i) for i, c in enumerate(["pan", "cvv", "exp_month", "track_data"])], "table_name string, column_name string, sql_type string, ordinal int"),
+        "logs": spark.createDataFrame(fields, "record_id string, fields array<string>, body_sourced boolean"),
+        "audit_records": spark.createDataFrame(fields, "record_id string, fields array<string>, timestamp_auto boolean"),
+        "settings": spark.createDataFrame([("s", True, "VersionTLS10", ["TLS_RSA_WITH_RC4_128_SHA"], 6, "bytes")], "record_id string, skip_verify boolean, min_version string, ciphers array<string>, min_password_len int, len_unit string"),
+    }
+    found = run_scans(given)
+    assert found.select("rule_id").distinct().count() > 10
+    assert requirements.mapping_drift(found, requirements.rule_map(spark)).collect() == []
+
+
 def test_clean_inputs_give_nothing(spark):
     clean = kv(spark, ("svc/app.yaml", "server.port", "8080"), ("svc/app.yaml", "log.level", "info"), ("svc/app.yaml", "feature.path", "/etc/app/x.conf"))
     text = units(spark, "order 1234567890123 shipped", "call 555-0100")
