@@ -94,6 +94,24 @@ def match_advisories(deps: DataFrame, advisories: DataFrame, order: str = "ord")
     module with very many versions or advisories is many bins.
     """
     distinct = deps.groupBy("module", "version").agg(F.count(F.lit(1)).alias("n_deps"), F.min(order).alias("first_ord"))
+    return _met(distinct, advisories, "n_deps", "first_ord").select("module", "version", "adv_id", "package", "n_deps", "first_ord")
+
+
+def first_matches(deps: DataFrame, advisories: DataFrame, order: str = "ord") -> DataFrame:
+    """(adv_id, first_ord, module, version, package): of all matches, the first dependency's for each advisory.
+
+    An advisory may hold any number of versions, so these are numbered in the dependencies' order within their module, and the
+    smallest number for each advisory and module is a hash aggregate in the tasks that find the matches.
+    """
+    distinct = deps.groupBy("module", "version").agg(F.min(order).alias("first_ord"))
+    nth = distinct.withColumn("_nth", F.row_number().over(Window.partitionBy("module").orderBy("first_ord", "version")))
+    least = _met(nth.drop("first_ord"), advisories, "_nth").groupBy("adv_id", "module", "package").agg(F.min("_nth").alias("_nth"))
+    of_module = least.join(nth, ["module", "_nth"])
+    return of_module.groupBy("adv_id").agg(F.min(F.struct("first_ord", "module", "version", "package")).alias("_first")).select("adv_id", "_first.*")
+
+
+def _met(distinct: DataFrame, advisories: DataFrame, *kept: str) -> DataFrame:
+    """(module, version, adv_id, package) that match, with the columns to keep of `distinct`, which has one row for each version."""
     parts = F.split("package", "/")
     leading = F.transform(
         F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/")
@@ -102,20 +120,20 @@ def match_advisories(deps: DataFrame, advisories: DataFrame, order: str = "ord")
     # gathers little, and the join then yields each match exactly once.
     offered = (
         advisories.select("adv_id", "package", "ranges", F.explode(leading).alias("module"))
-        .join(deps.select("module").distinct(), "module", "left_semi")
+        .join(distinct.select("module").distinct(), "module", "left_semi")
         .groupBy("adv_id", "module")
         .agg(F.min("package").alias("package"), F.flatten(F.sort_array(F.collect_list("ranges"))).alias("_ranges"))
         .select("adv_id", "module", "package", F.posexplode(affected_spans(F.col("_ranges"))).alias("_no", "_span"))
     )
     none = F.lit(None)
-    versions = distinct.select("module", semver_key("version").cast(KEY_TYPE).alias("_key"), F.lit(1).alias("_is_version"), "version", "n_deps", "first_ord", none.cast("string").alias("adv_id"), none.cast("string").alias("package"), none.cast("int").alias("_no"), none.cast("int").alias("_end"))
+    versions = distinct.select("module", semver_key("version").cast(KEY_TYPE).alias("_key"), F.lit(1).alias("_is_version"), "version", *kept, none.cast("string").alias("adv_id"), none.cast("string").alias("package"), none.cast("int").alias("_no"), none.cast("int").alias("_end"))
     ends = offered.select("module", "adv_id", "package", "_no", F.inline(F.array(F.struct(F.lit(0).alias("_end"), F.col("_span.lo").alias("_key")), F.struct(F.lit(1).alias("_end"), F.col("_span.hi").alias("_key")))))
     points = versions.unionByName(ends.withColumn("_is_version", F.lit(0)), allowMissingColumns=True)
     # An end stands before the versions that equal it; its number is that of the first version behind it.
     before = Window.partitionBy("module").orderBy("_key", "_is_version").rowsBetween(Window.unboundedPreceding, -1)
     numbered = points.withColumn("_rank", F.coalesce(F.sum("_is_version").over(before), F.lit(0)))
     bin_of = lambda rank: F.floor(rank / BIN)
-    placed = numbered.filter("_is_version = 1").select("module", "version", "n_deps", "first_ord", "_rank", bin_of(F.col("_rank")).alias("_bin"))
+    placed = numbered.filter("_is_version = 1").select("module", "version", *kept, "_rank", bin_of(F.col("_rank")).alias("_bin"))
     runs = (
         numbered.filter("_is_version = 0")
         .groupBy("module", "adv_id", "_no")
@@ -125,7 +143,7 @@ def match_advisories(deps: DataFrame, advisories: DataFrame, order: str = "ord")
         .select("module", "adv_id", "package", "_from", "_to", "_bin")
     )
     pairs = placed.join(runs, ["module", "_bin"]).filter((F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to")))
-    return pairs.select("module", "version", "adv_id", "package", "n_deps", "first_ord")
+    return pairs.select("module", "version", "adv_id", "package", *kept)
 
 
 def alias_groups(advisories: DataFrame) -> DataFrame:
@@ -166,16 +184,12 @@ def group_aliases(advisories: DataFrame, groups: DataFrame) -> DataFrame:
 def scan_dependencies(deps: DataFrame, advisories: DataFrame, order: str = "ord") -> DataFrame:
     """DEP-VULN once per advisory group, on the first direct dependency the group's best advisory hits."""
     direct = deps.filter(~F.col("indirect"))
-    # Read three times below; one reliable copy instead of three matchings.
-    matches = cut_lineage(match_advisories(direct, advisories, order))
-    hit = advisories.join(matches.select("adv_id").distinct(), "adv_id", "left_semi")
+    # One row for each advisory, in one reliable copy that is read twice. Of all matches, which compress a hundredfold, Spark
+    # would take the files for small and broadcast them.
+    firsts = cut_lineage(first_matches(direct, advisories, order))
+    hit = advisories.join(firsts.select("adv_id"), "adv_id", "left_semi")
     best = alias_groups(hit).select("group_id", F.col("best_id").alias("adv_id")).distinct()
-    first = (
-        matches.join(best, "adv_id")
-        .groupBy("group_id", "adv_id")
-        .agg(F.min(F.struct("first_ord", "module", "version", "package")).alias("_first"))
-        .select("group_id", "adv_id", "_first.*")
-    )
+    first = firsts.join(best, "adv_id")
     # All affected entries of a package in their listed order; equal numbers by content.
     number = F.col("affected_no") if "affected_no" in advisories.columns else F.lit(0)
     listed = hit.select("adv_id", "package", "db_severity", "cvss", "ranges", number.alias("_no"))
