@@ -5,6 +5,7 @@ import re
 import pytest
 
 from workload.queries import QUERIES
+from workload.views import view
 
 STREAMED = {"st01_scan_stream"}
 
@@ -69,3 +70,11 @@ def test_group_facts_are_joined_without_hints(spark, sf_dir, name):
     plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution()
     assert "ResolvedHint" not in plan.analyzed().toString()
     assert "approx_top_k" in plan.analyzed().toString() or "_rows" in plan.analyzed().toString()
+
+
+def test_the_scan_reads_settings_from_one_copy(spark, sf_dir):
+    """The settings view joins the part table with itself: once, by a merge join, not in every rule that reads it."""
+    assert "postgres://u" not in plan_of(QUERIES["s01_run_scans"](spark, sf_dir))
+    merged, free = view(spark, sf_dir, "v_kv", hint="MERGE(p, v)"), view(spark, sf_dir, "v_kv")
+    assert "SortMergeJoin" in plan_of(merged) and "BroadcastExchange" not in plan_of(merged)
+    assert merged.exceptAll(free).isEmpty() and free.exceptAll(merged).isEmpty()
