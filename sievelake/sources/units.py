@@ -48,13 +48,16 @@ def read_units(
     )
 
 
-def read_lines(spark: SparkSession, path: str, exts=(), max_bytes: int | None = None) -> DataFrame:
+def read_lines(spark: SparkSession, path: str, exts=(), max_bytes: int | None = None, parts: bool = False) -> DataFrame:
     """Lines of the files below `path` as LINE rows (record_id, path, line_no, line), a file of any size in many tasks.
 
     Spark cuts files into byte ranges and gives each line to the range that it begins in. Lines of a range are numbered as
     they come; a first pass counts each range, and the counts of the ranges before it in the file are added. That table has one
     row for each range, so it is sent to the lines where Spark finds it small enough. Lines end with a line feed; one at the end
     of a file ends its last line. Files that cannot be read are skipped, as are files over `max_bytes`, unopened.
+
+    With `parts` a folder of part files, as Spark writes one, is one file: lines are numbered through its parts in the order of
+    their numbers, and `path` is the folder's. So a file that grows is written by more tasks, too.
     """
     reader = spark.read.option("recursiveFileLookup", True).option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True).option("lineSep", "\n")
     if exts:
@@ -65,10 +68,12 @@ def read_lines(spark: SparkSession, path: str, exts=(), max_bytes: int | None =
     # Numbers grow by one from row to row of a task, and a task reads its ranges one after the other.
     raw = files.select(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_id"), F.col("value"))
     ranges = raw.groupBy("_file", "_start").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    earlier = Window.partitionBy("_file").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
+    folder = F.regexp_replace("_file", "/[^/]*$", "")
+    # Part numbers have leading zeros up to five digits; longer ones make longer names.
+    earlier = Window.partitionBy(folder if parts else F.col("_file")).orderBy(F.length("_file"), "_file", "_start").rowsBetween(Window.unboundedPreceding, -1)
     offsets = ranges.select("_file", "_start", (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).alias("_offset"))
     root = path.rstrip("/") + "/"
-    relative = F.regexp_replace("_file", f"^(file:/*)?{_quoted(root)}", "")
+    relative = F.regexp_replace(folder if parts else F.col("_file"), f"^(file:/*)?{_quoted(root)}", "")
     return raw.join(offsets, ["_file", "_start"]).select(
         relative.alias("record_id"), relative.alias("path"), (F.col("_id") + F.col("_offset") + 1).cast("int").alias("line_no"), F.make_valid_utf8("value").alias("line")
     )

@@ -217,3 +217,19 @@ def test_json_as_settings(spark):
     df = spark.createDataFrame([(str(i), f"p{i}.json", t) for i, t in enumerate(docs)], "record_id string, path string, text string")
     got = sorted(tuple(r) for r in keyvalues.json_kv(df).collect())
     assert got == [("0", "p0.json", 0, "a.b[0]", "1"), ("0", "p0.json", 0, "a.b[1].c", "true"), ("0", "p0.json", 0, "d", "x"), ("4", "p4.json", 0, "k", "2.5")]
+
+
+def test_lines_of_a_file_in_parts(spark, tmp_path):
+    """Lines are numbered through the parts of a folder, in the order of the parts' numbers; parts may be ranges, too."""
+    texts = {"part-00000-x": ["a", "b"], "part-00002-x": [], "part-00009-x": ["c"] * 500, "part-99999-x": ["d"], "part-100000-x": ["e", "f"]}
+    for file in ("one", "two"):
+        (tmp_path / file).mkdir()
+        for name, lines in texts.items():
+            (tmp_path / file / f"{name}.txt").write_text("".join(f"{line}\n" for line in lines))
+    whole = [line for lines in texts.values() for line in lines]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    try:
+        found = units.read_lines(spark, str(tmp_path), [".txt"], parts=True).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted((r.path, r.line_no, r.line) for r in found) == [(f, i + 1, line) for f in ("one", "two") for i, line in enumerate(whole)]
