@@ -14,9 +14,12 @@ from sievelake.functions.severity import severity_order
 PART, PLACE = "page_part", "page_place"
 #: Rows of a written range; a page reads the one or two ranges that it lies in.
 ROWS_PER_PART = 100_000
+#: Ranges of one shuffle, unless they would hold more rows than ROWS_PER_RANGE. For more than 200 partitions a task sorts all
+#: that it has read in memory before it sends anything; up to 200 it writes each row as it comes.
+RANGES, ROWS_PER_RANGE = 200, 4_000_000
 #: Bits of monotonically_increasing_id() below the partition's number.
 ID_BITS = 33
-INDEX = f"{PART} int, first long, n long, total long"
+INDEX = f"{PART} long, first long, n long, total long"
 
 
 @dataclass(frozen=True)
@@ -54,14 +57,18 @@ class PagedFindings:
 def write_pages(findings: DataFrame, path: str, order: str = "ord", ties: tuple[str, ...] = (), rows_per_part: int = ROWS_PER_PART) -> PagedFindings:
     """Write findings once, most severe first and then by `order` and `ties`, in ranges of about `rows_per_part` rows.
 
-    One range shuffle sorts everything; a range's number and a row's place in it come from where the sorted rows lie. The
-    index counts the written ranges and adds up their sizes, one row for each, whatever the findings hold.
+    One range shuffle sorts everything, and each of its ranges is cut into the written ones; a range's number and a row's place in
+    it come from where the sorted rows lie. The index counts the written ranges and adds up their sizes, one row for each,
+    whatever the findings hold.
     """
     spark = findings.sparkSession
-    parts = max(1, -(-findings.count() // rows_per_part))
+    rows = findings.count()
+    ranges = max(1, min(-(-rows // rows_per_part), max(RANGES, -(-rows // ROWS_PER_RANGE))))
     keys = [severity_order("severity"), F.col(order), *[F.col(t) for t in ties]]
-    sorted_rows = findings.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).withColumn("_id", F.monotonically_increasing_id())
-    placed = sorted_rows.withColumn(PART, F.shiftright("_id", ID_BITS).cast("int")).withColumn(PLACE, F.col("_id").bitwiseAND(F.lit((1 << ID_BITS) - 1))).drop("_id")
+    sorted_rows = findings.repartitionByRange(ranges, *keys).sortWithinPartitions(*keys).withColumn("_id", F.monotonically_increasing_id())
+    place = F.col("_id").bitwiseAND(F.lit((1 << ID_BITS) - 1))
+    part = F.shiftleft(F.shiftright("_id", ID_BITS), ID_BITS) + F.floor(place / rows_per_part)
+    placed = sorted_rows.withColumn(PART, part).withColumn(PLACE, place % rows_per_part).drop("_id")
     placed.write.partitionBy(PART).parquet(f"{path}/rows")
     sizes = spark.read.schema(placed.schema).parquet(f"{path}/rows").groupBy(PART).agg(F.count(F.lit(1)).alias("n"))
     ends = sizes.withColumn("_end", F.sum("n").over(Window.orderBy(PART))).withColumn("total", F.sum("n").over(Window.partitionBy()))
