@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievelake.llm.idcoder import decode_ids, encode_ids
-from sievelake.llm.tokens import encoder, with_end
+from sievelake.llm.tokens import BATCH_BYTES, encoder, with_end
 from sievelake.llm.words import pieces, text_bytes
 
 #: Ids that a task gathers for one segment; a longer document is one segment.
@@ -50,9 +50,8 @@ def id_segments(df: DataFrame, vocabulary: str, end_id: int, key: str = "doc_id"
                 names=["part", "segment", "keys", "lengths", "coded"],
             )
 
-        for batch in pieces(batches, "_text"):
-            data, offsets = text_bytes(batch.column("_text"))
-            got, at = with_end(*tokens.encode([data[offsets[k] : offsets[k + 1]].tobytes() for k in range(batch.num_rows)]), end_id)
+        for batch in pieces(batches, "_text", BATCH_BYTES):
+            got, at = with_end(*tokens.encode_bytes(*text_bytes(batch.column("_text"))), end_id)
             keys.append(batch.column("_key"))
             lengths.append(np.diff(at))
             ids.append(got)

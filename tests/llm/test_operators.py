@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -16,7 +17,7 @@ from sievelake.llm.gif import read_gifs, store_gifs
 from sievelake.llm.idfiles import id_segments, read_ids
 from sievelake.llm.mixing import leaf_budgets, mix
 from sievelake.llm.near_dups import near_duplicates
-from sievelake.llm.packing import pack
+from sievelake.llm.packing import counted_places, pack
 from sievelake.llm.quality import quality_rules
 from sievelake.llm.queries import QUANTUM, SEQUENCE
 from sievelake.llm.repeats import without_repeats
@@ -128,6 +129,30 @@ def test_pack_keeps_proportions_in_every_window(spark, others):
         assert all(n / SEQUENCE - whole[q] / total < 0.07 for q, n in sent[k].items() if q != "3=hot")
 
 
+@pytest.mark.parametrize("targets", [None, {"s1": 3.0, "s2": 1.0, None: 0.5}])
+def test_pack_counts_places_without_a_sort(spark, targets):
+    """Few queues are counted in the cutting task, many are put in order by a shuffle; the places are the same."""
+    rows = [(k, "one two three four " * (k % 23), f"s{k * k % 11}" if k % 13 else None) for k in range(700)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    counted, by_sort = (pack(df, BYTE, window=128, quantum=16, targets=targets, rows_per_bin=40, most_counted=most) for most in (12, 0))
+    assert sorted(counted.collect()) == sorted(by_sort.collect())
+    plan = counted._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Sort" not in plan and "Aggregate" not in plan
+    brute.check_packing(counted.collect(), {r[0]: [r[1]] for r in rows}, Tokenizer.from_file(BYTE), window=128)
+
+
+def test_counted_places_are_exact():
+    """Against a sort of all quanta by due time and source, with queues that fall due together."""
+    Queue = Row("_source", "_quanta", "_weight", "_phase", "sequence_id", "_at")
+    queues = [Queue("b", 50, 50.0, 0.25, None, None), Queue("a", 50, 50.0, 0.25, 9, 3), Queue("c", 7, 0.3, 0.99, None, None), Queue("d", 1000, 33.3, 0.5, 77, 1), Queue("e", 0, 1.0, 0.1, 78, 0)]
+    quanta = sorted(((j + q._phase) / q._weight, q._source, j) for q in queues for j in range(q._quanta))
+    where = counted_places(queues, window=64, quantum=16)
+    names = [q._source for q in queues]
+    at = where(names, np.array([names.index(s) for _, s, _ in quanta]), np.array([j for _, _, j in quanta]))
+    assert [(w, o) for w, o in zip(*map(np.ndarray.tolist, at), strict=True)] == [(k // 4, k % 4 * 16) for k in range(len(quanta))]
+    assert [x.tolist() for x in where(["a", "d", "e"], np.arange(3), np.array([50, 1000, 0]))] == [[9, 77, 78], [3, 1, 0]]
+
+
 def test_quality_rules(docs):
     trusted = docs.filter("doc_id IN (4, 5, 8)").select("doc_id")
     found = quality_rules(docs, trusted)

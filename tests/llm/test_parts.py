@@ -60,6 +60,24 @@ def test_ids_equal_the_librarys(name):
             assert ids[at[j] : at[j + 1]].tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_library_is_asked_once_for_a_word(name):
+    """Marks are cut off by their bytes, so a word with other marks behind it is not a new word."""
+    path = public_tokenizers.path(name)
+    own, library = Encoder(path), Tokenizer.from_file(path)
+    rows = [f"Straße{a} über{b}\nabc{a}{b} it's{a} 3.5{b} x.{a}y" for a in ("", "%%%", "$$$", "...###", '"') for b in ("", ")", ",&&&", "***")]
+    asked = []
+    whole, own._whole = own._whole, lambda text: asked.append(text) or whole(text)
+    learn, own._learn = own._learn, lambda words: asked.extend(words) or learn(words)
+    data = "".join(rows).encode()
+    ids, at = own.encode_bytes(np.frombuffer(data, np.uint8), np.cumsum([0] + [len(r.encode()) for r in rows]))
+    assert [ids[at[k] : at[k + 1]].tolist() for k in range(len(rows))] == [library.encode(r, add_special_tokens=False).ids for r in rows]
+    assert not any("Stra" in w for w in asked if isinstance(w, str)) and [w for w in asked if isinstance(w, bytes) and b"Stra" in w] == ["Straße".encode()]
+    more = len(asked)
+    own.encode(["".join(rows[:1]).encode()])
+    assert len(asked) == more
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.integers(0, 65535), max_size=60), st.integers(1, 40), st.integers(1, 9))
 def test_coded_ids_come_back(ids, times, block):
