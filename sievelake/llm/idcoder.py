@@ -29,54 +29,91 @@ RENEW = {8, 16, 32}
 #: A word is sent when low's upper half is settled; a span below BOTTOM is cut at the next border, so it is.
 WORD, HALF, BOTTOM = np.uint64(32), np.uint64(1 << 32), np.uint64(1 << 28)
 LENGTHS = np.array([int(k).bit_length() for k in range(1 << 16)], np.int64)
+#: How many lower bits follow a symbol, and a mask of them.
+BITS = np.array([max(s - 3, 0) for s in range(SYMBOLS)], np.uint64)
+LOWER = np.array([(1 << max(s - 3, 0)) - 1 for s in range(SYMBOLS)], np.int32)
 #: What a symbol counts for, and what symbols count for before any has been met.
 STEP = 24
+#: Four 16-bit borders lie in one 64-bit number, the top bit of each is set.
+FIELDS, TOPS = 4, np.uint64(0x8000800080008000)
+ONES = np.uint64(0x0001000100010001)
 
 
 class Model:
-    """Predictions and counts of some blocks, all at the same place."""
+    """Predictions and counts of some blocks, all at the same place.
 
-    def __init__(self, lanes: int):
+    In all tables but the two of ids the blocks lie side by side, so that steps run along them.
+    """
+
+    def __init__(self, lanes: int, searched: bool = False):
         self.lanes = lanes
         self.one, self.two = np.zeros(lanes * SLOTS_1, np.int32), np.zeros(lanes * SLOTS_2, np.int32)
         self.base_1, self.base_2 = np.arange(lanes) * SLOTS_1, np.arange(lanes) * SLOTS_2
-        self.base_row = np.arange(lanes) * (LEVELS * LEVELS)
-        self.met = np.zeros(lanes * LEVELS * LEVELS * SYMBOLS, np.int32)
+        self.lane = np.arange(lanes)
+        self.stride = LEVELS * LEVELS * lanes
+        self.met = np.zeros(SYMBOLS * self.stride, np.int32)
         self.before, self.earlier = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-        self.start = np.full((LEVELS, LEVELS, SYMBOLS), 3, np.int32)
+        self.start = np.full((SYMBOLS, LEVELS, LEVELS, 1), 3, np.int32)
         for level in range(LEVELS):
-            self.start[level, :, 0] += 4 * level
-            self.start[:, level, 1] += 2 * level
+            self.start[0, level] += 4 * level
+            self.start[1, :, level] += 2 * level
+        self.cum = np.zeros((SYMBOLS + 1, self.stride), np.int16)
+        self.flat = self.cum.reshape(-1)
+        words = -(-(SYMBOLS - 1) // FIELDS)
+        self.borders = np.full((words, self.stride, FIELDS), -1, np.int16) if searched else None
         self.renew()
 
     def renew(self) -> None:
         """Counts by order-2 confidence, by order-1 confidence and without context, added."""
-        met = self.met.reshape(self.lanes, LEVELS, LEVELS, SYMBOLS)
-        by_2, by_1 = met.sum(2), met.sum(1)
-        mixed = by_2[:, :, None] + by_1[:, None] + by_2.sum(1)[:, None, None] + self.start
-        room = (1 << TOTAL_BITS) - SYMBOLS
-        parts = mixed * room // mixed.sum(-1, keepdims=True) + 1
-        cum = np.zeros((self.lanes * LEVELS * LEVELS, SYMBOLS + 1), np.int16)
-        np.cumsum(parts.reshape(-1, SYMBOLS), axis=-1, out=cum[:, 1:])
-        cum[:, -1] = 1 << TOTAL_BITS
-        self.rows, self.flat = cum, cum.reshape(-1)
+        met = self.met.reshape(SYMBOLS, LEVELS, LEVELS, self.lanes)
+        by_2, by_1 = met.sum(2, dtype=np.int32), met.sum(1, dtype=np.int32)
+        by_2 += by_2.sum(1, keepdims=True, dtype=np.int32)
+        mixed = by_2[:, :, None] + by_1[:, None]
+        mixed += self.start
+        # Every product is rounded in the same way on both sides; one unit is kept back for that.
+        mixed = mixed.reshape(SYMBOLS, -1)
+        parts = mixed.astype(np.float32)
+        parts *= np.float32((1 << TOTAL_BITS) - SYMBOLS - 1) / mixed.sum(0, dtype=np.int32).astype(np.float32)
+        parts += np.float32(1)
+        parts = parts.astype(np.int16)
+        cum = self.cum
+        for k in range(SYMBOLS - 1):
+            np.add(cum[k], parts[k], out=cum[k + 1])
+        cum[-1] = 1 << TOTAL_BITS
+        if self.borders is not None:
+            for k in range(SYMBOLS - 1):
+                np.bitwise_or(cum[k + 1], np.int16(-0x8000), out=self.borders[k // FIELDS, :, k % FIELDS])
+
+    def search(self, value: np.ndarray) -> np.ndarray:
+        """The symbol in whose span each value lies."""
+        found = self.borders.view(np.uint64)[..., 0].take(self.row, axis=1)
+        found -= (value + np.uint64(1)) * ONES
+        found &= TOPS
+        above = np.bitwise_count(found)
+        return (len(found) * FIELDS - above.sum(0, dtype=np.uint8)).astype(np.int64)
 
     def predict(self, n: int) -> None:
         """For the first n blocks."""
         hashed = self.before[:n] * 40503
         self.at_1 = (hashed >> 4 & SLOTS_1 - 1) + self.base_1[:n]
         self.at_2 = ((hashed ^ self.earlier[:n] * 48271) >> 3 & SLOTS_2 - 1) + self.base_2[:n]
-        self.seen_1, self.seen_2 = self.one.take(self.at_1), self.two.take(self.at_2)
-        self.guess_1, self.guess_2 = self.seen_1 >> 2, self.seen_2 >> 2
-        self.level_1, self.level_2 = self.seen_1 & 3, self.seen_2 & 3
-        self.row = self.base_row[:n] + (self.level_2 * LEVELS + self.level_1)
-
-    def update(self, ids: np.ndarray, symbol: np.ndarray) -> None:
+        seen_1, seen_2 = self.one.take(self.at_1), self.two.take(self.at_2)
+        self.guess_1, self.guess_2 = seen_1 >> 2, seen_2 >> 2
+        self.level_1, self.level_2 = seen_1 & 3, seen_2 & 3
+        self.row = (self.level_2 * LEVELS + self.level_1) * np.int64(self.lanes) + self.lane[:n]
+
+    def spans(self, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where symbols stand in the counts, and what lies below and inside their spans."""
+        at = symbol * self.stride + self.row
+        below = self.flat.take(at)
+        return at, below.astype(np.uint64), (self.flat.take(at + self.stride) - below).astype(np.uint64)
+
+    def update(self, ids: np.ndarray, at: np.ndarray, hit_1: np.ndarray, hit_2: np.ndarray) -> None:
         n = len(ids)
-        self.met[self.row * SYMBOLS + symbol] += STEP
+        self.met[at] += STEP
         fresh = ids << 2
-        self.one[self.at_1] = np.where(self.guess_1 == ids, self.seen_1 + (self.level_1 < LEVELS - 1), fresh)
-        self.two[self.at_2] = np.where(self.guess_2 == ids, self.seen_2 + (self.level_2 < LEVELS - 1), fresh)
+        self.one[self.at_1] = (self.level_1 + (self.level_1 < LEVELS - 1)) * hit_1 + fresh
+        self.two[self.at_2] = (self.level_2 + (self.level_2 < LEVELS - 1)) * hit_2 + fresh
         self.earlier[:n] = self.before[:n]
         self.before[:n] = ids
 
@@ -112,42 +149,44 @@ def encode_ids(ids: np.ndarray, block: int = BLOCK) -> bytes:
     model = Model(lanes)
     low, span = np.zeros(lanes, np.uint64), np.full(lanes, 2**64 - 1, np.uint64)
     cap = block + 4  # an id takes 27 bits at most
-    words, used = np.zeros(lanes * cap, np.uint32), np.zeros(lanes, np.int64)
-    begin = np.arange(lanes) * cap
+    # Word k of all blocks, then word k + 1: blocks send theirs at about the same time.
+    words, used, lane = np.zeros(cap * lanes, np.uint32), np.zeros(lanes, np.int64), np.arange(lanes)
     for step in range(block if lanes > 1 else last):
         n = lanes if step < last else lanes - 1
         x = by_step[step, :n]
         model.predict(n)
-        length = LENGTHS.take(x)
-        symbol = np.where(model.guess_2 == x, 0, np.where(model.guess_1 == x, 1, length + 2))
-        at = model.row * (SYMBOLS + 1) + symbol
-        below, above = model.flat.take(at), model.flat.take(at + 1)
+        hit_1, hit_2 = model.guess_1 == x, model.guess_2 == x
+        symbol = LENGTHS.take(x)
+        symbol += 1
+        symbol *= ~hit_1
+        symbol += 1
+        symbol *= ~hit_2
+        at, below, inside = model.spans(symbol)
         lo, sp = low[:n], span[:n]
         sp >>= np.uint64(TOTAL_BITS)
-        lo += sp * below.astype(np.uint64)
-        sp *= (above - below).astype(np.uint64)
-        bits = np.maximum(symbol - 3, 0)
-        rest = np.where(symbol > 3, x - (1 << bits), 0)
-        sp >>= bits.astype(np.uint64)
-        lo += sp * rest.astype(np.uint64)
-        model.update(x, symbol)
+        lo += sp * below
+        sp *= inside
+        sp >>= BITS.take(symbol)
+        lo += sp * (x & LOWER.take(symbol)).astype(np.uint64)
+        model.update(x, at, hit_1, hit_2)
         due = _due(lo, sp)
         if len(due):
             send = lo[due]
-            words[begin[due] + used[due]] = (send >> WORD).astype(np.uint32)
+            words[used[due] * lanes + due] = (send >> WORD).astype(np.uint32)
             used[due] += 1
             lo[due] = send << WORD
             sp[due] <<= WORD
         if step + 1 in RENEW or not (step + 1) % 64:
             model.renew()
     for k in range(2):
-        words[begin + used] = (low >> np.uint64(32 - 32 * k)).astype(np.uint32)
+        words[used * lanes + lane] = (low >> np.uint64(32 - 32 * k)).astype(np.uint32)
         used += 1
     heads = np.empty((lanes, 2), "<u4")
     heads[:, 0] = used
     plain = ids.astype("<u4")
     heads[:, 1] = [zlib.crc32(plain[k * block : (k + 1) * block].tobytes()) for k in range(lanes)]
-    body = b"".join(words[b : b + u].astype("<u4").tobytes() for b, u in zip(begin.tolist(), used.tolist(), strict=True))
+    by_block = words.reshape(cap, lanes)[: used.max()].T.astype("<u4")
+    body = b"".join(by_block[k, :u].tobytes() for k, u in enumerate(used.tolist()))
     return MAGIC + struct.pack("<IQI", block, len(ids), lanes) + heads.tobytes() + body
 
 
@@ -169,7 +208,7 @@ def decode_ids(data: bytes) -> np.ndarray:
     body = np.concatenate([body, np.zeros(8, np.uint32)]).astype(np.uint64)
     at = np.concatenate([[0], np.cumsum(heads[:-1, 0])])
     lanes, last = _steps(total, block)
-    model = Model(lanes)
+    model = Model(lanes, searched=True)
     low, span = np.zeros(lanes, np.uint64), np.full(lanes, 2**64 - 1, np.uint64)
     code = np.zeros(lanes, np.uint64)
     for _ in range(2):
@@ -183,21 +222,22 @@ def decode_ids(data: bytes) -> np.ndarray:
         lo, sp = low[:n], span[:n]
         sp >>= np.uint64(TOTAL_BITS)
         sp |= sp == 0
-        value = np.minimum((code[:n] - lo) // sp, full).astype(np.int16)
-        symbol = np.count_nonzero(model.rows.take(model.row, axis=0)[:, 1:] <= value[:, None], axis=1)
-        where = model.row * (SYMBOLS + 1) + symbol
-        below, above = model.flat.take(where), model.flat.take(where + 1)
-        lo += sp * below.astype(np.uint64)
-        sp *= (above - below).astype(np.uint64)
-        bits = np.maximum(symbol - 3, 0)
-        sp >>= bits.astype(np.uint64)
+        symbol = model.search(np.minimum((code[:n] - lo) // sp, full))
+        at_symbol, below, inside = model.spans(symbol)
+        lo += sp * below
+        sp *= inside
+        sp >>= BITS.take(symbol)
         sp |= sp == 0
-        rest = np.minimum((code[:n] - lo) // sp, ((1 << bits) - 1).astype(np.uint64))
+        lower = LOWER.take(symbol)
+        rest = np.minimum((code[:n] - lo) // sp, lower.astype(np.uint64))
         lo += sp * rest
-        plain = np.where(symbol > 2, (1 << bits) + rest.astype(np.int64), 0)
-        x = np.where(symbol == 0, model.guess_2, np.where(symbol == 1, model.guess_1, plain)).astype(np.int32)
+        x = rest.astype(np.int32)
+        x += lower
+        x += symbol > 2
+        for hit, guess in ((symbol == 1, model.guess_1), (symbol == 0, model.guess_2)):
+            np.copyto(x, guess, where=hit)
         by_step[step, :n] = x
-        model.update(x, symbol)
+        model.update(x, at_symbol, model.guess_1 == x, model.guess_2 == x)
         due = _due(lo, sp)
         if len(due):
             code[due] = (code[due] << WORD) | body[np.minimum(at[due], len(body) - 1)]

@@ -15,7 +15,7 @@ from sievelake.llm.idcoder import decode_ids, encode_ids
 from sievelake.llm.tokens import BATCH_BYTES, encoder, with_end
 from sievelake.llm.words import pieces, text_bytes
 
-#: Ids that a task gathers for one segment; a longer document is one segment.
+#: A segment ends with the document that reaches this number of ids; a task's last one may have half as many more.
 SEGMENT_IDS = 4_000_000
 
 
@@ -36,16 +36,22 @@ def id_segments(df: DataFrame, vocabulary: str, end_id: int, key: str = "doc_id"
         tokens, part, done = encoder(vocabulary), TaskContext.get().partitionId(), 0
         keys, lengths, ids, count = [], [], [], 0
 
-        def segment() -> pa.RecordBatch:
-            blob = encode_ids(np.concatenate(ids))
-            key_list = pa.concat_arrays(keys)
+        def segment(most: int) -> pa.RecordBatch:
+            """The next segment; the document that reaches `most` ids is its last. What is left stays gathered."""
+            nonlocal keys, lengths, ids, count, done
+            key_list, sizes, plain = pa.concat_arrays(keys), np.concatenate(lengths), np.concatenate(ids)
+            ends = np.cumsum(sizes)
+            cut = min(len(sizes), int(np.searchsorted(ends, most)) + 1)
+            end = int(ends[cut - 1])
+            keys, lengths, ids, count = [key_list[cut:]], [sizes[cut:]], [plain[end:]], len(plain) - end
+            done += 1
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array([part], pa.int32()),
-                    pa.array([done], pa.int32()),
-                    pa.ListArray.from_arrays(pa.array([0, len(key_list)], pa.int32()), key_list),
-                    pa.array([np.concatenate(lengths)], pa.list_(pa.int64())),
-                    pa.array([blob], pa.binary()),
+                    pa.array([done - 1], pa.int32()),
+                    pa.ListArray.from_arrays(pa.array([0, cut], pa.int32()), key_list[:cut]),
+                    pa.array([sizes[:cut]], pa.list_(pa.int64())),
+                    pa.array([encode_ids(plain[:end])], pa.binary()),
                 ],
                 names=["part", "segment", "keys", "lengths", "coded"],
             )
@@ -56,11 +62,11 @@ def id_segments(df: DataFrame, vocabulary: str, end_id: int, key: str = "doc_id"
             lengths.append(np.diff(at))
             ids.append(got)
             count += len(got)
-            if count >= SEGMENT_IDS:
-                yield segment()
-                keys, lengths, ids, count, done = [], [], [], 0, done + 1
+            # The last segment keeps at least half: short ones take the coder as many steps as long ones.
+            while count >= SEGMENT_IDS + SEGMENT_IDS // 2:
+                yield segment(SEGMENT_IDS)
         if count:
-            yield segment()
+            yield segment(count)
 
     return dealt.sortWithinPartitions("_key", "_tie").select("_key", "_text").mapInArrow(work, f"part int, segment int, keys array<{kind}>, lengths array<bigint>, coded binary")
 

@@ -11,7 +11,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from sievelake.llm import near_dups
+from sievelake.llm import idfiles, near_dups
 from sievelake.llm.components import components
 from sievelake.llm.gif import read_gifs, store_gifs
 from sievelake.llm.idfiles import id_segments, read_ids
@@ -85,6 +85,27 @@ def test_secrets_in_one_case(spark):
     assert all(found[90 + k].n_example == 1 and found[90 + k].n_live == 0 for k in range(3))
 
 
+def test_segments_are_full_and_the_last_not_short(spark, monkeypatch):
+    """Documents are encoded in large batches, but segments are no larger for it, and a task's last one is no small rest."""
+    monkeypatch.setattr(idfiles, "SEGMENT_IDS", 50)
+    df = spark.createDataFrame([(k, "one two three four " * (k % 9)) for k in range(200)], "doc_id long, text string")
+    segments = id_segments(df, WORD, 2, partitions=3)
+    by_part = defaultdict(dict)
+    for r in segments.collect():
+        by_part[r.part][r.segment] = r.lengths
+    assert sum(map(len, by_part.values())) > 40
+    for found in by_part.values():
+        *full, last = [found[k] for k in range(len(found))]
+        assert all(sum(n[:-1]) < 50 <= sum(n) for n in full) and sum(last) < 75
+        assert not full or sum(full[-1]) + sum(last) >= 75
+    rows = {r.doc_id: r for r in read_ids(segments).collect()}
+    at = 0
+    for k in range(200):
+        ids = np.array([*Tokenizer.from_file(WORD).encode("one two three four " * (k % 9), add_special_tokens=False).ids, 2], "<u4") if k < 20 else None
+        assert rows[k].start == at and (ids is None or rows[k].ids_crc32 == zlib.crc32(ids.tobytes()))
+        at += rows[k].n_tokens
+
+
 def test_pack(docs):
     tokenizer = Tokenizer.from_file(BYTE)
     texts = defaultdict(list)

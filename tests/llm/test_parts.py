@@ -85,6 +85,22 @@ def test_coded_ids_come_back(ids, times, block):
     assert (idcoder.decode_ids(idcoder.encode_ids(ids, block * 7)) == ids).all()
 
 
+def test_symbols_are_found_by_their_borders():
+    """Four borders are compared at once; every symbol keeps a span, however one-sided the counts."""
+    dice = np.random.default_rng(4)
+    model = idcoder.Model(50, searched=True)
+    model.met[:] = dice.integers(0, 40, len(model.met)) ** dice.integers(0, 3, len(model.met)) * idcoder.STEP
+    model.met[: model.stride : 3] = 2048 * idcoder.STEP
+    model.renew()
+    cum = model.cum.astype(int)
+    assert (cum[0] == 0).all() and (cum[-1] == 1 << idcoder.TOTAL_BITS).all() and (np.diff(cum, axis=0) > 0).all()
+    model.predict(50)
+    for row in dice.permutation(model.stride)[:400].reshape(8, 50):
+        model.row = row
+        for value in [*dice.integers(0, 4096, (20, 50)), cum[3, row], cum[3, row] - 1, np.full(50, 4095), np.zeros(50, int)]:
+            assert model.search(value.astype(np.uint64)).tolist() == [int((cum[1:, r] <= v).sum()) for r, v in zip(row, value, strict=True)]
+
+
 def test_coder_learns_and_checks():
     ids = np.tile(np.random.default_rng(1).integers(0, 49000, 50), 400)
     data = idcoder.encode_ids(ids)
