@@ -16,7 +16,7 @@ from sievelake.llm.tokens import BATCH_BYTES, encoder, with_end
 from sievelake.llm.words import pieces, text_bytes
 
 #: A segment ends with the document that reaches this number of ids; a task's last one may have half as many more.
-SEGMENT_IDS = 4_000_000
+SEGMENT_IDS = 5_000_000
 
 
 def id_segments(df: DataFrame, vocabulary: str, end_id: int, key: str = "doc_id", text: str = "text", partitions: int | None = None) -> DataFrame:
